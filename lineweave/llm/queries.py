@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets, simhash
+from . import packing, quality, secrets, simhash, token_counts, token_orc
 from ..session import attach
 from .common import table
 
@@ -20,10 +20,22 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_orc.crc32_of_ids(token_orc.written_and_read(table(spark, sf_dir, "documents")))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.histogram(token_counts.lengths(table(spark, sf_dir, "documents")))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 #: n-gram buckets, weights in millionths of a nat and base counts, as the operator defines them.
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -52,7 +64,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base
 """
 
-QUERIES = {"op1_quality_llr": op1_quality_llr, "op2_simhash": op2_simhash, "op5_secrets": op5_secrets}
+QUERIES = {
+    "op1_quality_llr": op1_quality_llr, "op2_simhash": op2_simhash, "op3_token_orc": op3_token_orc, "op4_token_counts": op4_token_counts,
+    "op5_secrets": op5_secrets, "op8_packing": op8_packing,
+}
 SQL = {"op1_quality_llr": OP1_SQL}
 
 
