@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, secrets, simhash, token_counts, token_orc
+from . import chat, media, mixing, packing, quality, secrets, simhash, token_counts, token_orc
 from ..session import attach
 from .common import table
 
@@ -32,10 +32,25 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for i, r in enumerate(("user", "assistant"))])))
+    return chat.digests(chat.read_back(chat.format_conversations(rows.unionByName(probe))))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.peak_pairs(media.to_wav(table(spark, sf_dir, "documents"))))
+
+
 #: n-gram buckets, weights in millionths of a nat and base counts, as the operator defines them.
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -64,11 +79,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base
 """
 
+#: Sizes, targets by running sums, quotas in blocks, the permutation of blocks and the overlap of blocks and documents.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk FROM s),
+w AS (SELECT *, rnk % 3 + 1 AS weight, 3 * source_size AS cap FROM k),
+r AS (SELECT *, sum(source_size) OVER () AS all_size,
+             sum(source_size) OVER () - (sum(cap) OVER o - cap) AS lft, sum(weight) OVER () - (sum(weight) OVER o - weight) AS left_weight
+      FROM w WINDOW o AS (ORDER BY source_size::DOUBLE / weight, rnk ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, cap * left_weight < weight * lft AS capped FROM r),
+f AS (SELECT *, all_size - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS free_size, sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () AS free_weight FROM c),
+t AS (SELECT source, rnk, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE (weight * free_size)::DOUBLE / greatest(free_weight, 1)::DOUBLE END AS target,
+             (source_size + 127) // 128 AS n_blocks FROM f),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target * n_blocks / source_size + 0.5)::BIGINT ELSE 0 END AS quota,
+             (rnk * 7919 + 12345) % greatest(n_blocks, 1) AS shift, CASE WHEN greatest(n_blocks, 1) % 999983 <> 0 THEN 999983 WHEN greatest(n_blocks, 1) % 1000003 <> 0 THEN 1000003 ELSE 1000033 END AS mult FROM t),
+times AS (SELECT rnk, (j % n_blocks * mult + shift) % n_blocks AS block, count(*) AS n
+          FROM (SELECT rnk, n_blocks, mult, shift, unnest(range(0, quota)) AS j FROM q) GROUP BY ALL),
+n AS (SELECT greatest(1, ceil(count(*) / 20000.0))::BIGINT AS chunks FROM documents),
+o AS (SELECT d.doc_id, d.size, q.rnk, q.source_size, q.target,
+             sum(d.size) OVER (PARTITION BY q.rnk ORDER BY ((coalesce(d.doc_id, -1) % 1000003 + 1000003) % 1000003 * 7919) % 1000003 % n.chunks, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS start,
+             row_number() OVER () AS rid
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source CROSS JOIN n),
+p AS (SELECT rid, rnk, start, size, unnest(range((start // 128)::BIGINT, ((start + size - 1) // 128 + 1)::BIGINT)) AS block FROM o WHERE size > 0),
+g AS (SELECT rid, sum((least((block + 1) * 128 - start, size) - greatest(block * 128 - start, 0)) * n)::BIGINT AS taken FROM p JOIN times USING (rnk, block) GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM o LEFT JOIN g USING (rid)
+"""
+
+OP7_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, * FROM (VALUES (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]')) AS v(turn, role, text)),
+e AS (SELECT *, role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS begins,
+             length(regexp_replace(text, '([<\[])(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\])', '\1\\\2\3', 'g')) AS escaped FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(escaped + CASE WHEN begins THEN length('<|im_start|>') + length(role) + 1 + length('<|im_end|>') + 1 ELSE length('<|im_sep|>') END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 QUERIES = {
     "op1_quality_llr": op1_quality_llr, "op2_simhash": op2_simhash, "op3_token_orc": op3_token_orc, "op4_token_counts": op4_token_counts,
-    "op5_secrets": op5_secrets, "op8_packing": op8_packing,
+    "op5_secrets": op5_secrets, "op6_mixing": op6_mixing, "op7_chat": op7_chat, "op8_packing": op8_packing, "op10_media": op10_media,
 }
-SQL = {"op1_quality_llr": OP1_SQL}
+SQL = {"op1_quality_llr": OP1_SQL, "op6_mixing": OP6_SQL, "op7_chat": OP7_SQL}
 
 
 def _attached(f):

@@ -24,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,16 +67,17 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(id, fp): one row per row of ``docs``; fp is the fingerprint as a signed long."""
+    """(id, text_hash, fp): one row per row of ``docs``; fp is the fingerprint as a signed long."""
 
     def rows(batches):
         for b in batches:
-            for i, t in zip(b["id"], b["text"]):
+            for i, h, t in zip(b["id"], b["text_hash"], b["text"]):
                 f = fingerprint(t, size)
-                yield i, f - (1 << 64) if f >> 63 else f
+                yield i, h, f - (1 << 64) if f >> 63 else f
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rows, schema)
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType())])
+    text = F.col(f"`{text_col}`")
+    return arrow_map(docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")), rows, schema)
 
 
 # --- bit-sliced comparison -------------------------------------------------------------------------------------------
@@ -229,19 +230,36 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, direct: int = DIRECT) -> DataFrame:
-    """(id, fp, component): one row per row of ``docs``; component is the smallest id reachable over links.
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, radius: int, direct: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprint of each row, and (fp, root, best) of each distinct fingerprint; best is its row with the smallest id.
 
-    Fingerprints (16 bytes a document) are written once; the texts are read once and never shuffled.
+    Fingerprints (24 bytes a document) are written once; the texts are read once and not shuffled.
     """
     prints = written(fingerprints(docs, id_col, text_col, size), "prints")
-    first = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "first")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("best")
+    first = written(prints.groupBy("fp").agg(best), "first")
     roots = components(links(first.select("fp"), radius, direct))
-    named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    lowest = named.groupBy("root").agg(F.min("first").alias("component"))
-    grouped = named.join(lowest, "root").select("fp", "component")
+    return prints, first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "best")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, direct: int = DIRECT) -> DataFrame:
+    """(id, fp, component): one row per row of ``docs``; component is the smallest id reachable over links."""
+    prints, named = _grouped(docs, id_col, text_col, size, radius, direct)
+    lowest = named.groupBy("root").agg(F.min("best").alias("low"))
+    grouped = named.join(lowest, "root").select("fp", F.col("low.id").alias("component"))
     return prints.join(grouped, "fp").select("id", "fp", "component")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, direct: int = DIRECT) -> DataFrame:
+    """One row of each group, all columns of ``docs``: the row with the smallest id (ties: text hash); of equal rows one."""
+    _, named = _grouped(docs, id_col, text_col, size, radius, direct)
+    kept = named.groupBy("root").agg(F.min("best").alias("low")).select(F.col("low.id").alias("id"), F.col("low.text_hash").alias("text_hash"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("row_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("row_hash"))
+    found = keyed.join(kept, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("text_hash")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("row_id", "row_hash").orderBy("row_hash"))
+    return found.withColumn("nth", nth).where("nth = 1").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -6,10 +6,9 @@ Every stage works on all rows of ``docs`` and, but for the last, returns the col
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import attach
-from . import quality, secrets, simhash
+from . import mixing, packing, quality, secrets, simhash
 from .common import table, written
 
 reread = written
@@ -22,10 +21,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest id, of equal rows one."""
-    return simhash.keep_one(attach(spark) and docs)
+    attach(spark)
+    return simhash.keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows; secrets in their texts are replaced by a mark."""
     attach(spark)
     return secrets.redact_documents(docs)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document's words as often as the mix takes them, one row per document and epoch."""
+    attach(spark)
+    return mixing.mixed_documents(docs)
+
+
+def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences and their token ids."""
+    attach(spark)
+    return packing.pack_documents(docs)
