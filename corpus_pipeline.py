@@ -12,6 +12,8 @@ STAGES = [
     ("quality_rules", stages.quality_rules),
     ("simhash_near_dedup", stages.simhash_near_dedup),
     ("secret_scans", stages.secret_scans),
+    ("mixing_sources", stages.mixing_sources),
+    ("packing", stages.packing_sequences),
 ]
 
 #: Fingerprints, entropy windows and tokenizers are beyond SQL; tests hold each stage against brute force.
