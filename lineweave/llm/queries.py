@@ -75,7 +75,7 @@ base AS (SELECT d.rid, d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replac
          FROM d JOIN words USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN scores USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND llr_micro >= -100000 * n_grams AS kept, llr_micro, n_grams
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND llr_micro >= -400000 * n_grams AS kept, llr_micro, n_grams
 FROM base
 """
 
