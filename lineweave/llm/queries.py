@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, packing, quality, secrets, simhash, token_counts, token_orc
+from . import chat, licenses, media, mixing, packing, quality, secrets, simhash, token_counts, token_orc
 from ..session import attach
 from .common import table
 
@@ -47,6 +47,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.peak_pairs(media.to_wav(table(spark, sf_dir, "documents"))))
 
@@ -120,7 +124,8 @@ FROM e GROUP BY conv_id
 
 QUERIES = {
     "op1_quality_llr": op1_quality_llr, "op2_simhash": op2_simhash, "op3_token_orc": op3_token_orc, "op4_token_counts": op4_token_counts,
-    "op5_secrets": op5_secrets, "op6_mixing": op6_mixing, "op7_chat": op7_chat, "op8_packing": op8_packing, "op10_media": op10_media,
+    "op5_secrets": op5_secrets, "op6_mixing": op6_mixing, "op7_chat": op7_chat, "op8_packing": op8_packing, "op9_licenses": op9_licenses,
+    "op10_media": op10_media,
 }
 SQL = {"op1_quality_llr": OP1_SQL, "op6_mixing": OP6_SQL, "op7_chat": OP7_SQL}
 
