@@ -34,24 +34,23 @@ BLOOM_FPP = 0.01
 VOCABULARY = "word_bpe_49k.json"
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
-    enc = tokens.encoder(tokens.public_path(vocabulary), False)
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    enc = tokens.of_vocabulary(vocabulary)
+    end = np.array([tokens.END_ID], dtype=np.uint32)
     dealt, at = None, 0
     for whole in batches:
-        texts = whole.column(1).to_pylist()
-        for a, b in tokens.groups(texts):
-            part = whole.slice(a, b - a)
-            ids = [np.frombuffer(x + b"\x01\0\0\0", dtype="<u4").astype(np.int32) for x in enc.encode_batch(texts[a:b])]
-            n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            numbers = part.column(2).to_numpy(zero_copy_only=False)
+        for x in range(0, whole.num_rows, rows):
+            part = whole.slice(x, rows)
+            ids = enc.encode_column(part.column(1))
+            n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) + 1
             ats = np.zeros(len(ids), dtype=np.int64)
-            for i, d in enumerate(numbers.tolist()):
+            for i, d in enumerate(part.column(2).to_pylist()):
                 if d != dealt:
                     dealt, at = d, 0
                 ats[i] = at
                 at += int(n[i])
-            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+            values = np.concatenate([y for i in ids for y in (i, end)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ats), pa.array(n), lists], names=["doc_id", "dealt", "at", "n_tokens", "ids"])
 
 

@@ -1,40 +1,58 @@
-"""Token ids of whole texts, word by word, with a bounded cache of words.
+"""Token ids of whole texts, a column at a time, with a bounded table of words seen.
 
 A byte-pair tokenizer never joins what its pre-tokenizer splits, and both vocabularies split between a character that is not
-white space and white space that follows.  So a text is cut there, each distinct piece is encoded once by the tokenizers
-library and kept, and the text's ids are the pieces' ids in order.  Texts with the separators U+001C to U+001F, on which
-Python and the library disagree, are encoded as a whole.
+white space and an ASCII space that follows.  So texts are cut there; every distinct piece is encoded once by the tokenizers
+library and its ids are kept in a table, and a text's ids are its pieces' ids in order.  Cutting, looking up and joining go over
+whole columns in NumPy: pieces are known by 64-bit polynomial hashes with their lengths mixed in.
 
-The cache is per Python worker, holds at most ``CAPACITY`` pieces and starts anew when full; it changes speed only.
+A piece that is one word of Latin letters, maybe with a space before and marks after it, goes to the library's model directly, as
+normalizer and pre-tokenizer would hand it on; every other piece goes through the whole library.  Texts with white space beyond
+ASCII are not cut for the vocabulary that encodes white space, and pieces of over ``LONGEST_KEPT`` bytes are not kept.
+
+The table is per Python worker, holds at most ``CAPACITY`` pieces and starts anew when full; it changes speed only.
 """
 
 from __future__ import annotations
 
 import re
-import sys
-from array import array
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+
 #: End of a document (contract).
 END_ID = 1
-CAPACITY = 400_000
-#: Pieces longer than this are encoded but not kept.
+CAPACITY = 2_000_000
 LONGEST_KEPT = 40
+#: Bytes of text that are worked on at once.
+SLAB = 2 << 20
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xe1\xa0\x8e")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SIMPLE = re.compile(rf"( |\n|)([{_LETTERS}]+)([.,;:!?]*)")
 
-_ODD = re.compile("[\x1c-\x1f]")
-#: White space goes with the word that follows: byte-level vocabularies encode it, the word vocabulary drops it.
-_WITH_SPACE = re.compile(r"\s*\S+|\s+")
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+_MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _packed(ids: list[int]) -> bytes:
-    a = array("I", ids)
-    if sys.byteorder == "big":
-        a.byteswap()
-    return a.tobytes()
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones themselves, the rest from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes; special tokens' strings in a text are ordinary text."""
+    """Ids of columns of texts; special tokens' strings in a text are ordinary text."""
 
     def __init__(self, path: str, keeps_space: bool, capacity: int = CAPACITY):
         import os
@@ -44,54 +62,148 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut = _WITH_SPACE.findall if keeps_space else str.split
-        self.capacity = capacity
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {w: _packed(e.ids) for w, e in zip(pieces, found)}
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text (null: none), without an end id."""
-        known, cut = self.known, self.cut
-        odd = [t is not None and bool(_ODD.search(t)) for t in texts]
-        pieces = [[] if o or not t else cut(t) for t, o in zip(texts, odd)]
-        fresh = set()
-        for p in pieces:
-            fresh.update(p)
-        new = [w for w in fresh if w not in known]
-        extra: dict[str, bytes] = {}
-        for at in range(0, len(new), 20_000):
-            extra |= self._learn(new[at : at + 20_000])
-        if len(known) + len(extra) > self.capacity:
-            keep = {w: known[w] for w in fresh if w in known}  # what this batch still needs
-            known.clear()
-            known.update(keep)
-        known.update(extra)
-        get = known.__getitem__
-        out = [self.whole(t) if o else b"".join(map(get, p)) for t, o, p in zip(texts, odd, pieces)]
-        for w in extra:
-            if len(w) > LONGEST_KEPT:
-                del known[w]
-        if len(known) > self.capacity:
-            known.clear()
+        self.model = self.tokenizer.model
+        self.keeps_space, self.capacity = keeps_space, capacity
+        as_char = _byte_characters()
+        self.mapped = {c: "".join(as_char[b] for b in chr(c).encode()) for c in [10, 32, *range(33, 127), *range(0xC0, 0x100)]}
+        self.marks: dict[str, list[int]] = {"": []}
+        self._clear()
+
+    def _clear(self):
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.at = np.zeros(0, dtype=np.int64)
+        self.n = np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(1 << 16, dtype=np.uint32)
+        self.used = 0
+
+    def _of_model(self, s: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(s.translate(self.mapped))]
+
+    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each piece by itself."""
+        out: list = [None] * len(pieces)
+        rest = []
+        for i, p in enumerate(pieces):
+            m = _SIMPLE.fullmatch(p)
+            if not m:
+                rest.append(i)
+                continue
+            space, word, marks = m.groups()
+            if (tail := self.marks.get(marks)) is None:
+                tail = self.marks[marks] = self._of_model(marks)
+                if len(self.marks) > 10_000:
+                    self.marks = {"": []}
+            if not self.keeps_space:
+                ids = self._of_model(word.lower())
+            elif space == "\n":
+                ids = self._of_model(space) + self._of_model(word)
+            else:
+                ids = self._of_model(space + word)
+            out[i] = ids + tail if tail else ids
+        if rest:
+            for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
+                out[i] = e.ids
         return out
 
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        ids = self.encode_pieces([p.decode("utf-8", "surrogatepass") for p in pieces])
+        n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        total = int(n.sum())
+        if self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), total), dtype=np.uint32)])
+        self.pool[self.used : self.used + total] = np.fromiter((x for i in ids for x in i), dtype=np.uint32, count=total)
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.n = np.insert(self.keys, where, keys), np.insert(self.at, where, self.used + np.cumsum(n) - n), np.insert(self.n, where, n)
+        self.used += total
+
+    def _slab(self, raw: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in ``raw`` that begin at ``starts``, and how many each has."""
+        b = np.frombuffer(raw, dtype=np.uint8)
+        none = np.zeros(len(starts), dtype=np.int64)
+        if not len(b):
+            return np.zeros(0, dtype=np.uint32), none
+        first = np.zeros(len(b) + 1, dtype=bool)
+        first[starts] = True
+        first = first[:-1]
+        space = _SPACE[b]
+        before = np.concatenate([[True], space[:-1]])
+        if self.keeps_space:
+            s = np.flatnonzero(first | (space & ~before))
+            e = np.concatenate([s[1:], [len(b)]])
+        else:
+            s = np.flatnonzero(~space & (before | first))
+            after = np.concatenate([space[1:] | first[1:], [True]])
+            e = np.flatnonzero(~space & after) + 1
+        if not len(s):
+            return np.zeros(0, dtype=np.uint32), none
+        up, down = _powers(SLAB)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)])])
+        h = ((sums[e] - sums[s]) * down[s]) ^ ((e - s).astype(np.uint64) * _MIX)
+        keys, seen, back = np.unique(h, return_index=True, return_inverse=True)
+        long = np.flatnonzero(e - s > LONGEST_KEPT)
+        at = np.searchsorted(self.keys, keys)
+        fresh = np.ones(len(keys), dtype=bool)
+        ok = at < len(self.keys)
+        fresh[ok] = self.keys[at[ok]] != keys[ok]
+        fresh &= e[seen] - s[seen] <= LONGEST_KEPT
+        if fresh.any():
+            if len(self.keys) + int(fresh.sum()) > self.capacity:
+                self._clear()
+                fresh = e[seen] - s[seen] <= LONGEST_KEPT
+            new = np.flatnonzero(fresh)
+            self._learn(keys[new], [raw[x:y] for x, y in zip(s[seen[new]].tolist(), e[seen[new]].tolist())])
+            at = np.searchsorted(self.keys, keys)
+        at = np.minimum(at, max(len(self.keys) - 1, 0))
+        if len(self.keys):
+            lens, froms = self.n[at][back], self.at[at][back]
+        else:
+            lens, froms = np.zeros(len(s), dtype=np.int64), np.zeros(len(s), dtype=np.int64)
+        pool = self.pool
+        if len(long):  # encoded each time; their ids stand behind the table's for this slab only
+            ids = self.encode_pieces([raw[x:y].decode("utf-8", "surrogatepass") for x, y in zip(s[long].tolist(), e[long].tolist())])
+            n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            lens[long], froms[long] = n, self.used + np.cumsum(n) - n
+            pool = np.concatenate([pool[: self.used], np.fromiter((x for i in ids for x in i), dtype=np.uint32, count=int(n.sum()))])
+        ends = np.cumsum(lens)
+        values = pool[np.repeat(froms - (ends - lens), lens) + np.arange(int(ends[-1]))]
+        upto = np.concatenate([[0], ends])[np.searchsorted(s, np.concatenate([starts, [len(b)]]))]
+        return values, np.diff(upto)
+
+    def _whole(self, raw: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(raw.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, dtype=np.uint32)
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out: list = [None] * len(texts)
+        cut: list[int] = []
+        size = 0
+
+        def flush():
+            nonlocal cut, size
+            if cut:
+                lens = np.fromiter((len(texts[i]) for i in cut), dtype=np.int64, count=len(cut))
+                raw = b"".join([texts[i] for i in cut])
+                values, n = self._slab(raw, np.cumsum(lens) - lens)
+                for i, part in zip(cut, np.split(values, np.cumsum(n)[:-1])):
+                    out[i] = part
+            cut, size = [], 0
+
+        for i, t in enumerate(texts):
+            if not t:
+                out[i] = np.zeros(0, dtype=np.uint32)
+            elif self.keeps_space and _OTHER_SPACE.search(t) or len(t) > SLAB:
+                out[i] = self._whole(t)
+            else:
+                if size + len(t) > SLAB:
+                    flush()
+                cut.append(i)
+                size += len(t)
+        flush()
+        return out
 
-def groups(texts: list[str | None], most: int = 2_000_000):
-    """Slices of ``texts`` of about ``most`` characters, so that the pieces of a group stay few."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    def encode_column(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of an Arrow string column; null is empty."""
+        return self.encode([x or b"" for x in column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary()).to_pylist()])
 
 
 @lru_cache(maxsize=4)
@@ -100,8 +212,8 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
     return Encoder(path, keeps_space)
 
 
-def public_path(name: str) -> str:
-    """Where this machine has a public vocabulary file; executors resolve it for themselves."""
+def of_vocabulary(name: str) -> Encoder:
+    """Encoder of a public vocabulary file; every executor finds the file for itself."""
     import public_tokenizers
 
-    return public_tokenizers.path(name)
+    return encoder(public_tokenizers.path(name), name.startswith("byte"))
