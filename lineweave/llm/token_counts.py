@@ -30,11 +30,11 @@ def lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        enc = tokens.encoder(tokens.public_path(vocabulary), vocabulary.startswith("byte"))
+        enc = tokens.of_vocabulary(vocabulary)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for x, y in tokens.groups(texts):
-                yield pa.RecordBatch.from_arrays([pa.array([len(i) // 4 + 1 for i in enc.encode_batch(texts[x:y])], type=pa.int64())], names=["length"])
+            for x in range(0, b.num_rows, 1024):
+                n = [len(i) + 1 for i in enc.encode_column(b.column(0).slice(x, 1024))]
+                yield pa.RecordBatch.from_arrays([pa.array(n, type=pa.int64())], names=["length"])
 
     return docs.select("text").mapInArrow(run, T.StructType([T.StructField("length", T.LongType())]))
 
