@@ -124,7 +124,7 @@ def _mrt(spark, sf_dir):
     return t.select("net", F.col("seq").alias("line_no"), value.alias("value"))
 
 
-@query(f"WITH {T} SELECT net, seq, freq::DECIMAL(18,2)::DOUBLE AS freq, unc::DECIMAL(18,2)::DOUBLE AS unc, unc::DECIMAL(18,2)::DOUBLE AS orig_unc, up AS upper, low AS lower, ref, false AS excluded FROM t WHERE seq > 9 AND seq <> 12")
+@query(f"WITH {T} SELECT net, seq, freq::DECIMAL(18,2)::DOUBLE AS freq, unc::DECIMAL(18,2)::DOUBLE AS unc, unc::DECIMAL(18,2)::DOUBLE AS orig_unc, up AS upper, low AS lower, ref, false AS excluded FROM (SELECT *, max(seq) FILTER (seq IN (4, 9)) OVER (PARTITION BY net) AS bar FROM t) WHERE seq > bar AND seq <> 12")
 def q_mrt_after_divider(spark, sf_dir):
     return lines.parse_mrt_transitions(_mrt(spark, sf_dir))
 
@@ -632,3 +632,25 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return energies.where("comp = 1").select("net", "level", F.round("energy", 4).alias("energy"))
 
 
+
+
+@query()
+def q_model_forward(spark, sf_dir):
+    """Widths of all levels by the model with its initial weights."""
+    from ..operators import model
+
+    c = adapters.consistent(spark, sf_dir)
+    nodes, edges = features.build_graph(c, written(solve.solve_energies(c), "energies"))
+    return model.score_levels(nodes, edges, model.initial(7, hidden=16, layers=2)).select("net", "level", "log_sigma")
+
+
+@query(f"""WITH RECURSIVE {CC}, l AS (SELECT net, comp AS orphan_id, min(level) AS o FROM comps WHERE comp > 1 GROUP BY ALL), o AS (SELECT net, comp AS orphan_id, level, row_number() OVER (PARTITION BY net, comp ORDER BY level) - 1 AS i FROM comps WHERE comp > 1),
+ m AS (SELECT net, level, row_number() OVER (PARTITION BY net ORDER BY level) - 1 AS j FROM comps WHERE comp = 1), n AS (SELECT net, orphan_id, count(*) AS n_o FROM o GROUP BY ALL), q AS (SELECT net, count(*) AS n_m FROM m GROUP BY net),
+ d AS (SELECT n.net, n.orphan_id, k, {_hash('6', "'o'", 'n.net', '0', 'n.orphan_id', 'k')} % n_o AS i, {_hash('6', "'m'", 'n.net', '0', 'n.orphan_id', 'k')} % n_m AS j FROM n JOIN q USING (net), range(3) AS r(k))
+SELECT d.net, 0 AS copy, d.orphan_id, d.k, o.level AS orphan_level, m.level AS main_level, 0 AS label FROM d JOIN o ON o.net = d.net AND o.orphan_id = d.orphan_id AND o.i = d.i JOIN m ON m.net = d.net AND m.j = d.j
+UNION ALL SELECT l.net, 0, l.orphan_id, -1, o, (SELECT min(level) FROM m WHERE m.net = l.net), 1 FROM l""")
+def q_negative_pairs(spark, sf_dir):
+    c = written(network.components(adapters.transitions(spark, sf_dir)).withColumn("copy", F.lit(0)), "comps")
+    off, main = c.where("comp > 1").withColumnRenamed("comp", "orphan_id").select("net", "copy", "orphan_id", "level"), c.where("comp = 1").select("net", "copy", "level")
+    links = off.groupBy("net", "copy", "orphan_id").agg(F.min("level").alias("orphan_level")).join(main.groupBy("net", "copy").agg(F.min("level").alias("main_level")), ["net", "copy"])
+    return simulate.negative_pairs(links, off, main, n_neg=3, seed=6)
