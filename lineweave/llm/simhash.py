@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.network import star_components
 from .common import arrow_map, written
 
 #: Buckets above this many distinct fingerprints are keyed anew (a matter of speed, never of results).
@@ -206,30 +207,6 @@ def links(fps: DataFrame, radius: int = 2, direct: int = DIRECT) -> DataFrame:
     return _bucket_links(spread, radius).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): smallest member of the component of each node of ``edges(a, b)``.
-
-    Large-star and small-star rounds over a written table until nothing changes; the number of rounds grows with the
-    logarithm of the longest path.
-    """
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
-    state = None
-    for _ in range(max_rounds):
-        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low2, "a").select(F.col("b").alias("x"), "m", "a")
-        now = written(
-            small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges"
-        )
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if new == state:
-            return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-        state = new
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
 def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, radius: int, direct: int) -> tuple[DataFrame, DataFrame]:
     """Fingerprint of each row, and (fp, root, best) of each distinct fingerprint; best is its row with the smallest id.
 
@@ -238,7 +215,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, radius: int
     prints = written(fingerprints(docs, id_col, text_col, size), "prints")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("best")
     first = written(prints.groupBy("fp").agg(best), "first")
-    roots = components(links(first.select("fp"), radius, direct))
+    roots = star_components(links(first.select("fp"), radius, direct))
     return prints, first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "best")
 
 
