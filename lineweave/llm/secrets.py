@@ -65,16 +65,16 @@ def window_spans(s: str, members: frozenset, bits: float, window: int = WINDOW)
     table = _NLOGN if window == WINDOW else [0.0] + [n * math.log2(n) for n in range(1, window + 1)]
     most = math.log2(window)
     for i, c in enumerate(s):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        load += table[n + 1] - table[n]
-        outside += c not in members
         if i >= window:
             old = s[i - window]
             n = counts[old]
             counts[old] = n - 1
             load += table[n - 1] - table[n]
             outside -= old not in members
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        load += table[n + 1] - table[n]
+        outside += c not in members
         if i >= window - 1 and not outside and most - load / window >= bits - 1e-9:
             start = i - window + 1
             if spans and start <= spans[-1][1]:
