@@ -111,7 +111,8 @@ def pieces(rows: DataFrame, times: DataFrame) -> DataFrame:
     cut = rows.where("size > 0").select("key", "start", "size", F.explode(F.sequence(lo, hi)).alias("block"))
     at = F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0))
     end = F.least((F.col("block") + 1) * BLOCK - F.col("start"), F.col("size"))
-    return cut.join(times, ["key", "block"]).select("key", "start", at.alias("at"), (end - at).alias("words"), "times")
+    # AQE would judge these columns by their compressed size and broadcast many rows
+    return cut.join(times.hint("merge"), ["key", "block"]).select("key", "start", at.alias("at"), (end - at).alias("words"), "times")
 
 
 def times_taken(targets: DataFrame, seed: int = 42) -> DataFrame:
@@ -129,7 +130,7 @@ def mixed_sizes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     targets = written(source_targets(sizes), "targets")
     rows = placed(sizes.select("id", "key", "size"), n_chunks(sizes.count()), "id")
     taken = pieces(rows, times_taken(targets)).groupBy("key", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    with_words = rows.where("size > 0").join(taken, ["key", "start"], "left").select("id", "key", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
+    with_words = rows.where("size > 0").join(taken.hint("merge"), ["key", "start"], "left").select("id", "key", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
     all_rows = with_words.unionByName(sizes.where("size = 0").select("id", "key", "size", F.lit(0).cast("long").alias("taken")))
     return all_rows.join(targets.select("key", "source_size", "target"), "key").select("id", "size", "source_size", "target", "taken")
 
