@@ -38,6 +38,9 @@ MAX_REPEAT_PERCENT = 50
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 
+#: Size of the bitmap that is broadcast: 8 MiB whatever the labels.
+FILTER_BITS = 1 << 26
+
 _SLAB = 1 << 20
 
 
@@ -144,8 +147,18 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
 
 def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts labelled good.  A bitmap of hashed ids, ``FILTER_BITS`` at most, drops other texts before the join shuffles them.
+
+    Both joins are inner ones, as a semi-join would be pushed below the bitmap; the ids of ``good`` are distinct.  What is
+    left after the bitmap is little more than the texts sought, so the join shuffles it at any size and its plan never changes.
+    """
     good = labels.where("quality = 1").select("doc_id").distinct()
-    return docs.select("doc_id", "text").join(good, "doc_id", "left_semi").select("text")
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bitmap = good.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    maybe = docs.select("doc_id", "text").withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmap), "bucket")
+    return maybe.where(F.getbit(byte, (place % 8).cast("int")) == 1).select("doc_id", "text").join(good.hint("merge"), "doc_id").select("text")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold_micro: int = THRESHOLD_MICRO) -> DataFrame:
