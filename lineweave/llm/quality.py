@@ -1,8 +1,9 @@
 """Quality rules: base counts and a hashed n-gram log-likelihood ratio of each whole text.
 
 The method: character 4-grams of the text, its white space collapsed, are hashed into ``BUCKETS`` buckets.  Two multinomials
-are counted, one over the texts labelled good (the trusted target), one over all texts (the raw corpus), each with add-one
-smoothing.  A document's score is the sum over its n-grams of log p_target - log p_raw, divided by their number.  Weights are
+are counted, one over the texts labelled good (the trusted target), one over all texts (the raw corpus).  The corpus has add-one
+smoothing; the target is smoothed towards the corpus with the weight of ``BUCKETS`` n-grams, so with little or nothing trusted all
+scores go to 0.  A document's score is the sum over its n-grams of log p_target - log p_raw, divided by their number.  Weights are
 rounded to whole millionths of a nat, so a score is an exact integer sum and the verdict never depends on summation order,
 partitioning or machine.
 
@@ -12,8 +13,7 @@ Both counts cover all documents.  They are sums over ``BUCKETS`` counters, so wh
 has a fixed size.
 
 Edge cases: null text has no words and fails the base rules; a text of fewer than four characters has no n-grams and score 0;
-labels that are null, repeated or of unknown ids are ignored; without any trusted document every score compares a flat target
-with the corpus; repeated rows count each time; an empty table gives no rows; columns of other names are passed by.
+labels that are null, repeated or of unknown ids are ignored; without any trusted document every score is 0; repeated rows count each time; an empty table gives no rows; columns of other names are passed by.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ BUCKETS = 65521
 #: Multiplier of the polynomial hash of a gram's code points.
 BASE = 521
 GRAM = 4
-#: Millionths of a nat per n-gram.  In corpora of some hundred documents a language that is rare among the labelled ones scores
-#: down to -0.38 per n-gram, text made of symbols, tables or capitals -0.4 and (much) less.
+#: Millionths of a nat per n-gram.  In corpora of some hundred documents, clean text of a language that is rare among the labelled
+#: ones scores down to -0.3 per n-gram; text made of symbols, tables or capitals scores -0.5 and far less the larger the corpus.
 THRESHOLD_MICRO = -400_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -122,8 +122,9 @@ def log_ratios(texts: DataFrame, trusted: DataFrame) -> np.ndarray:
     counts = raw.join(target, "bucket", "full").select("bucket", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("r", F.lit(0)).alias("r")).toPandas()
     t, r = np.zeros(BUCKETS), np.zeros(BUCKETS)
     t[counts.bucket], r[counts.bucket] = counts.t, counts.r
+    q = (r + 1) / (r.sum() + BUCKETS)
     # half away from zero, as SQL rounds
-    w = 1e6 * (np.log((t + 1) / (t.sum() + BUCKETS)) - np.log((r + 1) / (r.sum() + BUCKETS)))
+    w = 1e6 * (np.log((t + BUCKETS * q) / (t.sum() + BUCKETS)) - np.log(q))
     return (np.sign(w) * np.floor(np.abs(w) + 0.5)).astype(np.int64)
 
 

@@ -66,7 +66,8 @@ per AS (SELECT rid, b, count(*) AS n FROM grams GROUP BY rid, b),
 good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
 counts AS (SELECT b, sum(n) AS r, coalesce(sum(n) FILTER (WHERE d.doc_id IN (SELECT doc_id FROM good)), 0) AS t FROM per JOIN d USING (rid) GROUP BY b),
 totals AS (SELECT sum(r)::DOUBLE AS rs, sum(t)::DOUBLE AS ts FROM counts),
-weights AS (SELECT b, round(1e6 * (ln((t + 1)::DOUBLE / (ts + 65521)) - ln((r + 1)::DOUBLE / (rs + 65521))))::BIGINT AS w FROM counts, totals),
+smooth AS (SELECT b, t::DOUBLE AS t, ts, (r + 1)::DOUBLE / (rs + 65521) AS q FROM counts, totals),
+weights AS (SELECT b, round(1e6 * (ln((t + 65521 * q) / (ts + 65521)) - ln(q)))::BIGINT AS w FROM smooth),
 scores AS (SELECT rid, sum(n * w)::BIGINT AS llr, sum(n)::BIGINT AS ng FROM per JOIN weights USING (b) GROUP BY rid),
 wins AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n
          FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM words)),
