@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.scalars import QN_SLOTS
 from .autograd import Value, below, beside, softmax_by
 from .features import EDGE_DIM, NODE_DIM, as_arrays
+from .frames import empty
 
 #: Sizes of the model, slope of the attention's activation, weights of the losses.
 HIDDEN, LAYERS, SLOPE, EXTRAS = 64, 3, 0.2, 3
@@ -243,7 +244,7 @@ def graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     def run(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(n) or not len(e):
-            return pd.DataFrame({"net": [], "sample": []})
+            return empty("net", "sample")
         x, ends, attr = as_arrays(n, e)
         return pd.DataFrame({"net": [key[0]], "sample": [packed({"x": x, "ends": ends, "attr": attr})]})
 
@@ -255,7 +256,7 @@ def score_lines(nodes: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
 
     def run(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(n) or not len(e):
-            return pd.DataFrame({"net": [], "seq": [], "logit": []})
+            return empty("net", "seq", "logit")
         x, ends, attr = as_arrays(n, e)
         w = leaves(p)
         logit = outlier_logits(w, encode(w, x, ends, attr), ends, attr).data
@@ -269,7 +270,7 @@ def score_levels(nodes: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
 
     def run(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(n) or not len(e):
-            return pd.DataFrame({"net": [], "idx": [], "level": [], "log_sigma": [], "h": []})
+            return empty("net", "idx", "level", "log_sigma", "h")
         x, ends, attr = as_arrays(n, e)
         w = leaves(p)
         h = encode(w, x, ends, attr)

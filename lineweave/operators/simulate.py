@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ERROR_SCALE, hashed, shifted, token_int, uniform
 from . import kernels
+from .frames import empty
 from .solve import _numbered, _weights, residuals
 
 CLEAN, FREQ_SHIFT, QN_BUMP = 0, 1, 2
@@ -87,7 +88,7 @@ def _refit(pdf: pd.DataFrame) -> pd.DataFrame:
     at = {v: i for i, v in enumerate(levels)}
     ground = at.get(pdf["ground"].iloc[0])
     if ground is None:
-        return pd.DataFrame({"net": [], "level": [], "sample": [], "err": []})
+        return empty("net", "level", "sample", "err")
     label = kernels.components(len(levels), u, l)
     mine = label[u] == label[ground]
     nodes, ends_ = np.unique(np.concatenate([u[mine], l[mine]]), return_inverse=True)

@@ -187,3 +187,60 @@ def advise_links(main: DataFrame, orphans: DataFrame, p: model.Params, *, k: int
 
     scored = rows.select("net", "orphan", "orphan_level", "main_level", "h_o", "h_m", "dqn").mapInPandas(run, "net string, orphan int, orphan_level string, main_level string, logit double")
     return candidates.orphan_report(scored, "logit", k=k)
+
+
+def link_ranks(samples: DataFrame, p: model.Params) -> DataFrame:
+    """(net, orphan, rank, n): place of each orphan's true link among all pairs of its levels and the main ones.
+
+    Pairs are scored one orphan level at a time and counted, never held together.
+    """
+
+    def run(batches):
+        w = model.leaves(p)
+        for b in batches:
+            out = []
+            for net, raw in zip(b["net"], b["sample"]):
+                g = model.unpacked(raw)
+                h, q = model.encode(w, g["x"], g["ends"], g["attr"]), g["x"][:, : model.QN_SLOTS]
+                every = np.arange(len(q))
+                for k, o in enumerate(g.get("orphans", ())):
+                    ho, qo = model.encode(w, o["x"], o["ends"], o["attr"]), o["x"][:, : model.QN_SLOTS]
+                    row = lambda i: model.link_logits(w, ho.take(np.full(len(every), i)), h, qo[np.full(len(every), i)], q).data  # noqa: E731, B023
+                    at = int(np.flatnonzero(o["label"])[0])
+                    true = row(int(o["pair_o"][at]))[int(o["pair_m"][at])]
+                    above = sum(int((row(i) > true).sum()) for i in range(len(qo)))
+                    out.append((net, k, above + 1, len(qo) * len(q)))
+            yield pd.DataFrame(out, columns=["net", "orphan", "rank", "n"])
+
+    return samples.select("net", "sample").mapInPandas(run, "net string, orphan int, rank long, n long")
+
+
+def fix_ranks(samples: DataFrame, p: model.Params) -> DataFrame:
+    """(net, suspect, rank, n): place of the true upper level in each suspect line's window."""
+
+    def run(batches):
+        w = model.leaves(p)
+        for b in batches:
+            out = []
+            for net, raw in zip(b["net"], b["sample"]):
+                g = model.unpacked(raw)
+                if not len(g.get("cand", ())):
+                    continue
+                logit = model.fix_logits(w, model.encode(w, g["x"], g["ends"], g["attr"]), g["cand"], g["lower"], g["line_attr"], g["extras"]).data
+                for s in np.unique(g["suspect"]):
+                    mine = g["suspect"] == s
+                    true = logit[mine][g["target"][mine] == 1][0]
+                    out.append((net, int(s), int((logit[mine] > true).sum()) + 1, int(mine.sum())))
+            yield pd.DataFrame(out, columns=["net", "suspect", "rank", "n"])
+
+    return samples.select("net", "sample").mapInPandas(run, "net string, suspect long, rank long, n long")
+
+
+def evaluation(transitions: DataFrame, p: model.Params, *, n_graphs: int = 30, seed: int = 5) -> dict[str, DataFrame]:
+    """Metrics of all heads on the main components of validation nets."""
+    corrupted = written(corrupted_samples(transitions, n_graphs=n_graphs, seed=seed), "corrupted")
+    linked = written(linked_samples(transitions, n_graphs=n_graphs, seed=seed), "linked")
+    return {
+        "calibration": calibration(transitions, p, seed=seed), **outlier_evaluation(transitions, p, n_graphs=n_graphs, seed=seed),
+        "fix": metrics.fix_metrics(fix_ranks(corrupted, p)), "link": metrics.link_metrics(link_ranks(linked, p)),
+    }

@@ -28,11 +28,14 @@ def read_lines(spark: SparkSession, path: str | list[str], net: Column | None =
     return raw.withColumn("place", place).join(before, ["file", "block"]).select(name.alias("net"), (F.col("before") + F.col("place")).alias("line_no"), "value")
 
 
+def _is_data() -> Column:
+    return (F.size("tok") >= 5) & ~F.startswith(F.get("tok", F.lit(0)), F.lit("#"))
+
+
 def _data_lines(lines: DataFrame) -> DataFrame:
     """Lines that are neither comments nor too short, as tokens."""
     toks = lines.where(~F.contains(F.col("value"), F.lit("&"))).withColumn("tok", tokens(F.col("value")))
-    # get() instead of an index: filters may be evaluated in any order
-    return toks.where((F.size("tok") >= 5) & ~F.startswith(F.get("tok", F.lit(0)), F.lit("#")))
+    return toks.where(_is_data())
 
 
 def parse_native(lines: DataFrame, nqn: int | None = None, segments: DataFrame | None = None) -> DataFrame:
@@ -49,10 +52,12 @@ def parse_native(lines: DataFrame, nqn: int | None = None, segments: DataFrame |
     else:
         data = data.withColumn("nqn", F.lit(nqn))
     tok, n = F.col("tok"), F.col("nqn")
+    # a caller's filter may be evaluated before those here, so what can raise asks itself whether the line is data
+    num = lambda i: F.when(_is_data(), number(F.get(tok, F.lit(i))))
     # element_at raises where a line has too few tokens for its reference
     row = data.select(
-        "net", F.col("line_no").alias("seq"), number(F.get(tok, F.lit(0))).alias("freq"), floored(number(F.get(tok, F.lit(2)))).alias("unc"), number(F.get(tok, F.lit(1))).alias("orig_unc"),
-        F.array_join(F.slice(tok, F.lit(4), n), " ").alias("upper"), F.array_join(F.slice(tok, n + 4, n), " ").alias("lower"), F.element_at(tok, 2 * n + 4).alias("ref"),
+        "net", F.col("line_no").alias("seq"), num(0).alias("freq"), floored(num(2)).alias("unc"), num(1).alias("orig_unc"),
+        F.array_join(F.slice(tok, F.lit(4), n), " ").alias("upper"), F.array_join(F.slice(tok, n + 4, n), " ").alias("lower"), F.when(_is_data(), F.element_at(tok, 2 * n + 4)).alias("ref"),
     )
     if segments is not None:
         row = convert_units(row, segments)
@@ -99,22 +104,27 @@ def mrt_data(lines: DataFrame) -> DataFrame:
     return checked_.where("line_no > last").withColumn("tok", tokens(F.col("value"))).where(F.size("tok") > 0)
 
 
+def _mrt_token(i: int) -> Column:
+    """Token of a data line; a line that is too short raises.  By way of ``last`` no filter on it goes below the divider's join."""
+    return F.when(F.col("line_no") > F.col("last"), F.element_at("tok", i + 1))
+
+
 def parse_mrt_transitions(lines: DataFrame) -> DataFrame:
     """Transitions of a machine-readable table: network, name (ignored), frequency, uncertainty, two tokens each level, reference."""
-    tok = F.col("tok")
-    unc = floored(number(tok[3]))
-    pair = lambda i: F.concat_ws(" ", tok[i], tok[i + 1])
+    tok = _mrt_token
+    unc = floored(number(tok(3)))
+    pair = lambda i: F.concat_ws(" ", tok(i), tok(i + 1))
     return mrt_data(lines).select(
-        tok[0].alias("net"), F.col("line_no").alias("seq"), number(tok[2]).alias("freq"), unc.alias("unc"), unc.alias("orig_unc"), pair(4).alias("upper"), pair(6).alias("lower"),
-        tok[8].alias("ref"), (number(tok[2]) < 0.0).alias("excluded"),
+        tok(0).alias("net"), F.col("line_no").alias("seq"), number(tok(2)).alias("freq"), unc.alias("unc"), unc.alias("orig_unc"), pair(4).alias("upper"), pair(6).alias("lower"),
+        tok(8).alias("ref"), (number(tok(2)) < 0.0).alias("excluded"),
     )
 
 
 def parse_mrt_levels(lines: DataFrame) -> DataFrame:
     """Levels of a machine-readable table: network, name (ignored), two tokens, energy, uncertainty, count."""
-    tok = F.col("tok")
+    tok = _mrt_token
     rows = mrt_data(lines).select(
-        tok[0].alias("net"), "line_no", F.concat_ws(" ", tok[2], tok[3]).alias("level"), number(tok[4]).alias("energy"), number(tok[5]).alias("unc"), tok[6].cast("int").alias("n_trans")
+        tok(0).alias("net"), "line_no", F.concat_ws(" ", tok(2), tok(3)).alias("level"), number(tok(4)).alias("energy"), number(tok(5)).alias("unc"), tok(6).cast("int").alias("n_trans")
     )
     return _last(rows)
 

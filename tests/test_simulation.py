@@ -56,6 +56,13 @@ def test_refits(net, ladder):
     assert sd["0 9"] > 10 * max(sd["0 1"], 1e-9)
 
 
+def test_refits_that_lose_the_ground(net):
+    t = net([(1.0, 1e-3, "b", "a"), (2.0, 1e-3, "c", "b")])
+    e = solve.solve_energies(t)
+    found = simulate.refit_errors(t, e, n_samples=20, mask_fraction=0.5, seed=0)
+    assert 0 < found.select("sample").distinct().count() < 20 and found.where("abs(err) > 1e-3").count() == 0
+
+
 def test_detachment(net, spark):
     core = [(1.0, 1e-3, f"0 {(i + 1) % 6}", f"0 {i}") for i in range(6)]
     chains = [(1.0, 1e-3, "1 1", "0 2"), (1.0, 1e-3, "1 2", "1 1"), (1.0, 1e-3, "1 3", "1 2"), (1.0, 1e-3, "2 1", "0 4"), (1.0, 1e-3, "2 2", "2 1"), (1.0, 1e-3, "2 3", "2 2")]
