@@ -38,6 +38,8 @@ MAX_REPEAT_PERCENT = 50
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 
+#: Buckets whose counters are shipped as one row.
+BLOCK = 64
 #: Size of the bitmap that is broadcast: 8 MiB whatever the labels.
 FILTER_BITS = 1 << 26
 
@@ -95,19 +97,33 @@ def repeat_words(words: list[bytes]) -> int:
 
 
 def bucket_counts(texts: DataFrame) -> DataFrame:
-    """(bucket, n): how often each bucket occurs in ``texts(text)``; one row per bucket and task is shuffled at most."""
+    """(bucket, n): how often each bucket occurs in ``texts(text)``.
 
-    def rows(batches):
-        total = np.zeros(BUCKETS, dtype=np.int64)
+    A task ships its counters in blocks of ``BLOCK``, as many rows whatever it has read; blocks are dealt by number and added up one
+    by one, so memory is that of the counters.
+    """
+
+    def counted(batches):
+        total = np.zeros(-(-BUCKETS // BLOCK) * BLOCK, dtype=np.int64)
         for b in batches:
             for t in b["text"]:
                 for g in grams(t):
-                    total += np.bincount(g, minlength=BUCKETS)
-        for i in np.flatnonzero(total).tolist():
-            yield i, int(total[i])
+                    total += np.bincount(g, minlength=len(total))
+        for k, part in enumerate(total.reshape(-1, BLOCK)):
+            if part.any():
+                yield k, part.tobytes()
 
-    counted = arrow_map(texts.select("text"), rows, _schema("bucket int, n long"), batch=4096)
-    return counted.groupBy("bucket").agg(F.sum("n").alias("n"))
+    def added(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b["block"], b["counts"]):
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw, dtype=np.int64)
+        for k, part in sums.items():
+            for i in np.flatnonzero(part).tolist():
+                yield k * BLOCK + i, int(part[i])
+
+    blocks = arrow_map(texts.select("text"), counted, _schema("block int, counts binary"))
+    return arrow_map(blocks.repartition("block"), added, _schema("bucket int, n long"), batch=4096)
 
 
 def _schema(ddl: str):
