@@ -409,7 +409,7 @@ def q_corrupt_apply(spark, sf_dir):
 
 
 def _main(spark, sf_dir, consistent=True):
-    """Main components of the nets of one quarter, which later samples fan out."""
+    """Main components of all nets, written, as samples fan out from them."""
     source = adapters.consistent if consistent else adapters.transitions
     return written(network.largest_component(source(spark, sf_dir)), "main")
 

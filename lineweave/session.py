@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _attached: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def attach(spark: SparkSession) -> SparkSession:
@@ -28,12 +31,18 @@ def attach(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, named by ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """Folder that driver and executors share, named by ``spark.checkpoint.dir``.
+
+    Only where that is unset, as in local tests, it is a folder of this process, gone when it ends.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="lineweave-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    if where:
+        return where.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="lineweave-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return _own[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
