@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
+from .common import written
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Lengths that one task of the second level holds.
-SPAN = 4096
+SPAN = 256
 
 
 def lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -44,7 +45,8 @@ def histogram(lengths: DataFrame) -> DataFrame:
 
     ``truncated_total`` is what is left of all documents cut to ``length`` tokens.
     """
-    h = lengths.groupBy("length").agg(F.count("*").alias("n_docs")).withColumn("span", F.floor(F.col("length") / SPAN))
+    # written, as it is read twice and the texts should be encoded once
+    h = written(lengths.groupBy("length").agg(F.count("*").alias("n_docs")), "lengths").withColumn("span", F.floor(F.col("length") / SPAN))
     spans = h.groupBy("span").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("length")).alias("t"))
     after = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
     tails = spans.select(
