@@ -69,12 +69,12 @@ def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
     """(limit, docs_over, truncated_total) for any context limits, each one lookup of the next longer length."""
     spark = hist.sparkSession
     asked = spark.createDataFrame([(int(x),) for x in limits], "limit long")
+    total = hist.agg(F.max(F.col("tokens_below") + F.col("tokens_at_least"))).first()[0] or 0
     joined = F.broadcast(asked).join(hist, F.col("length") > F.col("limit"), "left")
     next_ = joined.groupBy("limit").agg(F.min(F.struct("length", "docs_at_least", "tokens_below")).alias("h"))
-    all_ = hist.agg(F.max(F.col("tokens_below") + F.col("tokens_at_least")).alias("t_all"))
-    return next_.crossJoin(F.broadcast(all_)).select(  # one row
+    return next_.select(
         "limit", F.coalesce("h.docs_at_least", F.lit(0)).alias("docs_over"),
-        F.coalesce(F.col("h.tokens_below") + F.col("limit") * F.col("h.docs_at_least"), "t_all", F.lit(0)).alias("truncated_total"),
+        F.coalesce(F.col("h.tokens_below") + F.col("limit") * F.col("h.docs_at_least"), F.lit(total)).alias("truncated_total"),
     )
 
 
