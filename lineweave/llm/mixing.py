@@ -33,7 +33,7 @@ MOST = 3
 WEIGHTS = (1, 2, 3)
 #: Slots of an output shard on average.
 SHARD_SLOTS = 1024
-DOCS_PER_CHUNK = 20_000
+DOCS_PER_CHUNK = 4_000
 #: Multipliers of the permutations: primes, so that one that doesn't divide n is coprime to it.
 PRIMES = (999983, 1000003, 1000033)
 _SLOT_CHUNK = 1 << 16

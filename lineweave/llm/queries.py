@@ -101,7 +101,7 @@ q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target * n_blocks / source_
              (rnk * 7919 + 12345) % greatest(n_blocks, 1) AS shift, CASE WHEN greatest(n_blocks, 1) % 999983 <> 0 THEN 999983 WHEN greatest(n_blocks, 1) % 1000003 <> 0 THEN 1000003 ELSE 1000033 END AS mult FROM t),
 times AS (SELECT rnk, (j % n_blocks * mult + shift) % n_blocks AS block, count(*) AS n
           FROM (SELECT rnk, n_blocks, mult, shift, unnest(range(0, quota)) AS j FROM q) GROUP BY ALL),
-n AS (SELECT greatest(1, ceil(count(*) / 20000.0))::BIGINT AS chunks FROM documents),
+n AS (SELECT greatest(1, ceil(count(*) / 4000.0))::BIGINT AS chunks FROM documents),
 o AS (SELECT d.doc_id, d.size, q.rnk, q.source_size, q.target,
              sum(d.size) OVER (PARTITION BY q.rnk ORDER BY ((coalesce(d.doc_id, -1) % 1000003 + 1000003) % 1000003 * 7919) % 1000003 % n.chunks, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS start,
              row_number() OVER () AS rid
