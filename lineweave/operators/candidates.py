@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import qn_vector, shifted, token_int
+from .frames import empty
 
 #: How far J of a candidate lies from that of the line, in order of preference.
 OFFSETS = (-2, -1, 1, 2)
@@ -56,6 +61,37 @@ def top_pairs(pairs: DataFrame, score: Column, *, k: int = TOP) -> DataFrame:
     return pairs.withColumn("score", score).withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def _best_of_net(score: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int):
+    def run(key, o: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if not len(o) or not len(m):
+            return empty("net", "orphan", "orphan_level", "main_level", "score", "rank")
+        m = m.sort_values("level")  # ties go by position, hence by name
+        names, v = m["level"].to_numpy(), np.stack(m["v"].to_list())
+        out = []
+        for orphan, part in o.sort_values("level").groupby("orphan"):
+            found = []
+            for level, x in zip(part["level"], part["v"]):
+                s = score(np.asarray(x), v)
+                few = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+                few = few[np.argsort(-s[few], kind="stable")[:k]]
+                found += [(-s[i], level, names[i]) for i in few.tolist()]
+            out += [(key[0], orphan, a, b, -x, r) for r, (x, a, b) in enumerate(sorted(found)[:k], 1)]
+        return pd.DataFrame(out, columns=["net", "orphan", "orphan_level", "main_level", "score", "rank"])
+
+    return run
+
+
+def best_pairs(orphan_levels: DataFrame, main_levels: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], *, k: int = TOP) -> DataFrame:
+    """(net, orphan, orphan_level, main_level, score, rank): the ``k`` best pairs of each orphan, ties by orphan and main level.
+
+    ``orphan_levels(net, orphan, level, v)`` and ``main_levels(net, level, v)`` have a vector a level; ``score`` takes one vector and a
+    matrix of main ones.  Pairs are scored one orphan level at a time and only the best are kept, so no pair becomes a row.
+    """
+    left, right = orphan_levels.select("net", "orphan", "level", "v"), main_levels.select("net", "level", "v")
+    schema = "net string, orphan int, orphan_level string, main_level string, score double, rank int"
+    return left.groupBy("net").cogroup(right.toDF(*right.columns).groupBy("net")).applyInPandas(_best_of_net(score, k), schema)
+
+
 def correction_report(lines: DataFrame, outlier_logit: str, candidates: DataFrame, *, at: float = 0.0) -> DataFrame:
     """Best candidate of each line whose logit exceeds ``at``: reference, levels, proposal, probability and the window's softmax.
 

@@ -510,22 +510,28 @@ _PAIRS = f"""{CC}, o AS (SELECT net, comp AS orphan, level FROM comps WHERE comp
  sc AS (SELECT *, -(d1 + 3 * d0) AS logit FROM pr)"""
 
 
-def _pairs(spark, sf_dir):
-    c = written(network.components(adapters.transitions(spark, sf_dir)), "comps")
-    return candidates.pair_features(c.where("comp > 1 and n_levels <= 25").withColumnRenamed("comp", "orphan"), c.where("comp = 1"))
+def _closeness(o, m):
+    """Minus the second quantum number's distance and three times the first's."""
+    d = abs(m - o)
+    return -(d[:, 1] + 3 * d[:, 0])
+
+
+def _best_pairs(spark, sf_dir):
+    c = written(network.components(adapters.transitions(spark, sf_dir)), "comps").withColumn("v", qn_vector(F.col("level")))
+    return candidates.best_pairs(c.where("comp > 1 and n_levels <= 25").withColumnRenamed("comp", "orphan"), c.where("comp = 1"), _closeness)
 
 
 @query(f"WITH RECURSIVE {_PAIRS} SELECT net, orphan, orphan_level, main_level, d0, d1, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY net, orphan ORDER BY logit DESC, orphan_level, main_level) AS r FROM sc) WHERE r <= 5")
 def q_pair_features_top5(spark, sf_dir):
-    p = candidates.top_pairs(_pairs(spark, sf_dir), -(F.col("dqn")[1] + 3 * F.col("dqn")[0]))
+    dqn = F.zip_with(qn_vector(F.col("orphan_level")), qn_vector(F.col("main_level")), lambda a, b: F.abs(a - b))
+    p = _best_pairs(spark, sf_dir).withColumn("dqn", dqn)
     return p.select("net", "orphan", "orphan_level", "main_level", F.col("dqn")[0].alias("d0"), F.col("dqn")[1].alias("d1"), "rank")
 
 
 @query(f"WITH RECURSIVE {_PAIRS} SELECT net, orphan, orphan_level, main_level, round(1 / (1 + exp(-logit / 100)), 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY net, orphan ORDER BY 1 / (1 + exp(-logit / 100)) DESC, orphan_level, main_level) AS r FROM sc) WHERE r <= 5")
 def q_orphan_report(spark, sf_dir):
-    p = _pairs(spark, sf_dir).withColumn("logit", -(F.col("dqn")[1] + 3 * F.col("dqn")[0]) / 100)
-    r = candidates.orphan_report(p, "logit")
-    return r.withColumn("score", F.round("score", 6))
+    p = _best_pairs(spark, sf_dir).withColumn("logit", F.col("score") / 100).drop("score", "rank")
+    return candidates.orphan_report(p, "logit").withColumn("score", F.round("score", 6))
 
 
 # --- metrics ---------------------------------------------------------------------------------------------------------

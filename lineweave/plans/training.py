@@ -171,22 +171,19 @@ def advise_links(main: DataFrame, orphans: DataFrame, p: model.Params, *, k: int
     nodes, edges = features.build_graph(main)
     off = orphans.withColumn("net", F.concat_ws("#", "net", "orphan"))
     o_nodes, o_edges = features.build_graph(off.drop("orphan"))
-    h_m = model.score_levels(nodes, edges, p).select("net", F.col("level").alias("main_level"), F.col("h").alias("h_m"))
-    h_o = model.score_levels(o_nodes, o_edges, p).select(F.split("net", "#").alias("key"), F.col("level").alias("orphan_level"), F.col("h").alias("h_o"))
-    h_o = h_o.select(F.col("key")[0].alias("net"), F.col("key")[1].cast("int").alias("orphan"), "orphan_level", "h_o")
-    pairs = candidates.pair_features(h_o.select("net", "orphan", F.col("orphan_level").alias("level")), h_m.select("net", F.col("main_level").alias("level")))
-    rows = pairs.join(h_o, ["net", "orphan", "orphan_level"]).join(h_m, ["net", "main_level"])
-
-    def run(batches):
-        w = model.leaves(p)
-        for b in batches:
-            if len(b):
-                a, c, d = (np.stack(b[x].to_list()) for x in ("h_o", "h_m", "dqn"))
-                z = np.concatenate([a + c, np.abs(a - c), d], axis=1)
-                yield b[["net", "orphan", "orphan_level", "main_level"]].assign(logit=model.head(w, "link", model.Value(z)).data)
-
-    scored = rows.select("net", "orphan", "orphan_level", "main_level", "h_o", "h_m", "dqn").mapInPandas(run, "net string, orphan int, orphan_level string, main_level string, logit double")
-    return candidates.orphan_report(scored, "logit", k=k)
+    # a level's vector is its quantum numbers and its embedding
+    vector = lambda n, e: n.join(model.score_levels(n, e, p).select("net", "level", "h"), ["net", "level"]).withColumn("v", F.concat(F.slice("x", 1, model.QN_SLOTS), "h"))
+    of_main = vector(nodes, edges).select("net", "level", "v")
+    key = F.split("net", "#")
+    of_orphan = vector(o_nodes, o_edges).select(key[0].alias("net"), key[1].cast("int").alias("orphan"), "level", "v")
+
+    def score(o: np.ndarray, m: np.ndarray) -> np.ndarray:
+        w, n = model.leaves(p), model.QN_SLOTS
+        a = np.broadcast_to(o[n:], m[:, n:].shape)
+        return model.link_logits(w, model.Value(a), model.Value(m[:, n:]), np.broadcast_to(o[:n], m[:, :n].shape), m[:, :n]).data
+
+    best = candidates.best_pairs(of_orphan, of_main, score, k=k)
+    return candidates.orphan_report(best.withColumnRenamed("score", "logit").drop("rank"), "logit", k=k)
 
 
 def link_ranks(samples: DataFrame, p: model.Params) -> DataFrame:

@@ -95,6 +95,17 @@ def test_candidates(net, ladder):
     assert candidates.recoverable(candidates.correction_candidates(t.withColumn("orig_upper", F.lit("9 9")), e)).count() == 0
 
 
+def test_best_pairs_equal_all_pairs(spark):
+    from lineweave.functions.scalars import qn_vector
+
+    o = spark.createDataFrame([("n", 1, f"{a} {b}") for a in range(2) for b in range(3)] + [("n", 2, "9 9"), ("m", 1, "0 1")], "net string, orphan int, level string").withColumn("v", qn_vector(F.col("level")))
+    m = spark.createDataFrame([("n", f"{a} {b}") for a in range(3) for b in range(4)], "net string, level string").withColumn("v", qn_vector(F.col("level")))
+    slow = candidates.top_pairs(candidates.pair_features(o, m), -(F.col("dqn")[0] + F.col("dqn")[1]))
+    fast = candidates.best_pairs(o, m, lambda x, y: -np.abs(y - x).sum(axis=1))
+    key = lambda rs: sorted((r.net, r.orphan, r.orphan_level, r.main_level, r.score, r["rank"]) for r in rs)
+    assert key(slow.collect()) == key(fast.collect()) and fast.count() == 10
+
+
 def test_metrics(spark):
     rng = np.random.default_rng(0)
     y, s = rng.integers(0, 3, 60), np.round(rng.normal(size=60), 1)
