@@ -230,6 +230,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, direct: int = DIRECT) -> DataFrame:
     """One row of each group, all columns of ``docs``: the row with the smallest id (ties: text hash); of equal rows one."""
     _, named = _grouped(docs, id_col, text_col, size, radius, direct)
+    return chosen_rows(docs, named, id_col, text_col)
+
+
+def chosen_rows(docs: DataFrame, named: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``named(root, best)`` chooses, one for each root."""
     kept = named.groupBy("root").agg(F.min("best").alias("low")).select(F.col("low.id").alias("id"), F.col("low.text_hash").alias("text_hash"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("row_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("row_hash"))

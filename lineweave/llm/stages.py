@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import attach
-from . import mixing, packing, quality, secrets, simhash
+from . import mixing, packing, quality, secrets, similar
 from .common import table, written
 
 reread = written
@@ -20,9 +20,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest id, of equal rows one."""
+    """One row of each group of near-duplicates (five-word shingles, 4/5 alike): the one with the smallest id, of equal rows one."""
     attach(spark)
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
