@@ -5,8 +5,9 @@ too short are dropped.  The method adds kind ``entropy``: maximal runs of ``[A-Z
 are candidates.  A window slides over a candidate; per class of characters (hex digits, alphanumeric, base64) the counts of the
 window's characters change by one entry and one exit a step, and the sum of n*log2(n) with them, so a step costs the same
 whatever the window.  Windows whose characters all belong to the class and whose entropy reaches the class's bound are merged
-into spans.  The allow list suppresses candidates that are not secrets: words of letters alone, numbers, UUIDs, paths, runs of
-one alphabet in order, and placeholders.  A span that lies within a base span is not repeated.
+into spans.  A span counts unless every part between separators that it touches is harmless: a word or joined words, a number, a
+word with a short number, a part of a UUID, or what a placeholder leaves of a part.  So a harmless part hides nothing beside it.
+A span that lies within a base span is not repeated.
 
 Edge cases: null or empty text has no spans; very long texts are scanned whole, in one pass per rule; repeated rows give the same
 rows again; an empty table gives no rows; columns of other names are passed by.
@@ -47,13 +48,14 @@ CLASSES = {
     "alnum": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 3.7),
     "base64": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"), 3.9),
 }
-ALLOWED = (
-    re.compile(r"[A-Za-z=_/+-]+\Z"),  # words, however joined
-    re.compile(r"[0-9=_/+-]+\Z"),  # numbers, dates, telephone numbers
-    re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z"),  # UUID
-    re.compile(r"[A-Z]?[a-z]+(?:[-_/][A-Za-z]+|[-_/]?[0-9]{1,4})*\Z"),  # names with short numbers, paths, slugs
-    re.compile(r".*(?:example|placeholder|changeme|xxxx|0000000000|1234567890|abcdefghij)", re.I),
-)
+PART = re.compile(r"[A-Za-z0-9]+")
+HARMLESS = re.compile(r"[0-9]+\Z|[A-Z]?[a-z]+[0-9]{1,4}\Z")  # numbers, names with short numbers
+#: Words joined by capitals; no lower-case letter between two capitals stands alone.
+WORDS = re.compile(r"(?:[a-z](?=[A-Z]))?(?:[A-Z]*+[a-z]{2,}+)*+[A-Z]*+[a-z]?\Z")
+#: Bits of a window from which letters alone are no words.
+WORD_BITS = 3.9
+UUID = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}(?![A-Za-z0-9])")
+PLACEHOLDER = re.compile(r"(?i:example|placeholder|changeme|x{4,}|0{10,}|1234567890)|abcdefghij|ABCDEFGHIJ")
 
 _NLOGN = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
@@ -84,8 +86,17 @@ def window_spans(s: str, members: frozenset, bits: float, window: int = WINDOW)
     return [(a, b) for a, b in spans]
 
 
-def allowed(candidate: str) -> bool:
-    return any(p.match(candidate) for p in ALLOWED)
+def harmless(part: str) -> bool:
+    """``part`` is of letters and digits."""
+    if HARMLESS.match(part):
+        return True
+    return bool(WORDS.match(part)) and not (len(part) >= WINDOW and window_spans(part, CLASSES["alnum"][0], WORD_BITS))
+
+
+def suspects(candidate: str) -> list[tuple[int, int]]:
+    """Places of the parts of a candidate that are not harmless."""
+    blank = lambda m: "-" * len(m.group())
+    return [m.span() for m in PART.finditer(PLACEHOLDER.sub(blank, UUID.sub(blank, candidate))) if not harmless(m.group())]
 
 
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -107,7 +118,7 @@ def entropy_spans(text: str | None, base: list[tuple[str, int, int]]) -> list[tu
     found = []
     for m in CANDIDATE.finditer(text or ""):
         s, at = m.group(), m.start()
-        if allowed(s):
+        if not (odd := suspects(s)):
             continue
         merged: list[list[int]] = []
         for a, b in sorted(x for members, bits in CLASSES.values() for x in window_spans(s, members, bits)):
@@ -115,7 +126,7 @@ def entropy_spans(text: str | None, base: list[tuple[str, int, int]]) -> list[tu
                 merged[-1][1] = max(merged[-1][1], b)
             else:
                 merged.append([a, b])
-        found += [("entropy", at + a, at + b) for a, b in merged if not allowed(s[a:b]) and not any(x <= at + a and at + b <= y for _, x, y in base)]
+        found += [("entropy", at + a, at + b) for a, b in merged if any(x < b and a < y for x, y in odd) and not any(x <= at + a and at + b <= y for _, x, y in base)]
     return found
 
 
