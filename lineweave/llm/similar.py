@@ -23,12 +23,14 @@ from pyspark.sql import types as T
 
 from ..operators.network import star_components
 from .common import arrow_map, written
+from .quality import FILTER_BITS
 from .simhash import chosen_rows, shingle_hashes
 
 #: Rule for near-duplicate stages: words of a shingle, and 4/5 as the least similarity.
 SIZE = 5
 #: Texts whose shingles are counted for the order, and shingles that the order knows at most (a matter of speed, never of results).
 SEEN, KNOWN = 5_000, 50_000
+_MET = 1 << 17
 
 
 def shingle_set(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -55,7 +57,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles seen in several of at most about ``SEEN`` texts, ascending, and how often."""
     each = max(1, sets.count() // SEEN)
-    seen = sets.where(F.pmod("node", F.lit(each)) == 0).select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 2")
+    seen = sets.where(F.pmod("node", F.lit(each)) == 0).select("node", "shingles").select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 2")
     found = seen.orderBy(F.desc("count"), "s").limit(KNOWN).collect()
     pairs = np.array(sorted((r[0], r[1]) for r in found), dtype=np.int64).reshape(-1, 2)
     return pairs[:, 0].copy(), pairs[:, 1].copy()
@@ -72,15 +74,20 @@ def prefix_of(shingles: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """(s, n, node): a row for each shingle in a set's prefix."""
+    """(s, n, node): a row for each shingle in a set's prefix.  A task that meets a set again mostly passes it by."""
     known, times = _frequent(sets)
 
     def run(batches):
         import pyarrow as pa
 
+        met: set[int] = set()
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
+                new = [k not in met and (len(met) >= _MET or met.add(k) is None) for k in b.column(0).to_pylist()]
+                b = b.filter(pa.array(new))
+                if not b.num_rows:
+                    continue
                 node, n, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
                 values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
                 parts = [prefix_of(values[x:y], known, times) for x, y in zip(offsets[:-1], offsets[1:])]
@@ -107,20 +114,22 @@ def run_pairs(s: np.ndarray, n: np.ndarray, root: np.ndarray, near: bool) -> tup
     return at, at + np.repeat([d for _, d in found], [len(a) for a, _ in found]).astype(np.int64)
 
 
-def _candidates(rows: DataFrame, near: bool, tile: int = 1 << 16) -> DataFrame:
-    """(a, b): pairs to compare in the buckets of ``rows(s, n, node, root)``."""
+def _by_shingle(rows: DataFrame, take, schema: str, tile: int = 1 << 16) -> DataFrame:
+    """Columns that ``take`` makes of the columns of ``rows(s, n, node, ...)``, of whole buckets at a time, each sorted by n and node."""
+    width = len(rows.columns)
 
     def run(batches):
         import pyarrow as pa
 
+        names = [f.split()[0] for f in schema.split(", ")]
+
         def flush(c):
-            i, j = run_pairs(c[0], c[1], c[3], near)
-            for lo in range(0, len(i), tile):
-                a, b = c[2][i[lo : lo + tile]], c[2][j[lo : lo + tile]]
-                two = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=["a", "b"])
+            new = np.concatenate([[True], (c[0][1:] != c[0][:-1]) | (c[2][1:] != c[2][:-1])])  # copies met in several tasks
+            made = take(*[x[new] for x in c])
+            for lo in range(0, len(made[0]), tile):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(m[lo : lo + tile])) for m in made], names=names)
 
-        held = [np.zeros(0, dtype=np.int64)] * 4
+        held = [np.zeros(0, dtype=np.int64)] * width
         for b in batches:
             held = [np.concatenate([h, b.column(k).to_numpy()]) for k, h in enumerate(held)]
             if len(held[0]) >= tile:
@@ -132,26 +141,51 @@ def _candidates(rows: DataFrame, near: bool, tile: int = 1 << 16) -> DataFrame:
         if len(held[0]):
             yield from flush(held)
 
-    spread = rows.select("s", "n", "node", "root").repartition("s").sortWithinPartitions("s", "n", "node")
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("s").sortWithinPartitions("s", "n", "node").mapInArrow(run, schema)
+
+
+def _shared(s, n, node):
+    """The rows whose shingle is in the prefix of another set, too."""
+    same = np.concatenate([[False], s[1:] == s[:-1], [False]])
+    keep = same[:-1] | same[1:]
+    return s[keep], n[keep], node[keep]
+
+
+def _candidates(rows: DataFrame, near: bool) -> DataFrame:
+    """(a, b): pairs to compare in the buckets of ``rows(s, n, node, root)``."""
+
+    def take(s, n, node, root):
+        i, j = run_pairs(s, n, root, near)
+        two = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0)
+        return two[:, 0], two[:, 1]
+
+    return _by_shingle(rows.select("s", "n", "node", "root"), take, "a long, b long").distinct()
+
+
+def _sets_of(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, n, shingles) of ``nodes``.  A bitmap of hashed nodes, 8 MiB at most, drops most other sets before they are shuffled."""
+    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    place = F.bitmap_bit_position(bit)
+    bitmap = nodes.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    maybe = sets.select("node", "n", "shingles", F.bitmap_bucket_number(bit).alias("bucket")).join(F.broadcast(bitmap), "bucket")
+    return maybe.where(F.getbit(byte, (place % 8).cast("int")) == 1).select("node", "n", "shingles").dropDuplicates(["node"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose similarity is 4/5 or more, exactly: 9 times the shared shingles reach 4 times both sizes."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}"))
+    few = written(_sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), sets), "compared")
+    side = lambda c: few.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     return both.where(9 * F.size(F.array_intersect("s_a", "s_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _roots(sets: DataFrame) -> DataFrame:
-    """(node, root) of every node that is linked to another; ``sets(node, n, shingles)`` are distinct."""
-    prefixes = written(_prefixes(sets), "prefixes")
-    # a shingle that one set alone has in its prefix brings nothing
-    shared = prefixes.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-    prefixes = written(prefixes.join(shared.hint("merge"), "s"), "shared")
-    first = written(_linked(written(_candidates(prefixes.withColumn("root", F.col("node")), True), "near"), sets), "first_links")
+    """(node, root) of every node of ``sets(node, n, shingles)`` that is linked to another."""
+    rows = written(_by_shingle(_prefixes(sets), _shared, "s long, n long, node long"), "shared")
+    first = written(_linked(written(_candidates(rows.withColumn("root", F.col("node")), True), "near"), sets), "first_links")
     roots = written(star_components(first), "first_roots")
-    rooted = prefixes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rest = _linked(written(_candidates(rooted, False), "far"), sets)
     return star_components(first.unionByName(rest))
 
@@ -160,7 +194,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """One row of each group, all columns of ``docs``: the row with the smallest id (ties: text hash); of equal rows one."""
     rows = written(shingle_sets(docs, id_col, text_col, size), "sets")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("best")
-    first = written(rows.groupBy("node").agg(best, F.first("n").alias("n"), F.first("shingles").alias("shingles")), "first")
-    roots = _roots(first.select("node", "n", "shingles"))
-    named = first.select("node", "best").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
+    first = rows.groupBy("node").agg(best)
+    roots = _roots(rows)
+    named = first.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
     return chosen_rows(docs, named, id_col, text_col)
