@@ -9,6 +9,8 @@ Texts that share such a shingle are a bucket, sorted by size.  First only neighb
 what they link are components.  Then all pairs of a bucket whose components differ and whose sizes allow 4/5 are compared.  So a
 large group of near copies costs no square of its size, and no bucket is dropped, capped or sampled.
 
+Before two sets are compared, their counts in ``CELLS`` cells of hashes bound what they can share, so only few sets are shuffled.
+
 Edge cases: a text of fewer words than a shingle is one shingle; texts without words are copies of each other; repeated rows and
 texts of equal sets are one node; null ids are kept; an empty table gives no rows; columns of other names are passed by.
 """
@@ -31,6 +33,7 @@ SIZE = 5
 #: Texts whose shingles are counted for the order, and shingles that the order knows at most (a matter of speed, never of results).
 SEEN, KNOWN = 5_000, 50_000
 _MET = 1 << 17
+CELLS = 128
 
 
 def shingle_set(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -39,16 +42,21 @@ def shingle_set(text: str | None, size: int = SIZE) -> np.ndarray:
     return np.sort(np.unique(np.concatenate(found)).view(np.int64)) if found else np.zeros(0, dtype=np.int64)
 
 
+def cells_of(shingles: np.ndarray) -> bytes:
+    """How many shingles are in each cell, 255 for more."""
+    return np.minimum(np.bincount(shingles & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """(id, text_hash, node, n, shingles): one row per row of ``docs``; node is a hash of the set."""
-    fields = "text_hash long, node long, n long, shingles array<long>"
+    """(id, text_hash, node, n, cells, shingles): one row per row of ``docs``; node is a hash of the set."""
+    fields = "text_hash long, node long, n long, cells binary, shingles array<long>"
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL(fields).fields])
 
     def rows(batches):
         for b in batches:
             for i, h, t in zip(b["id"], b["text_hash"], b["text"]):
                 s = shingle_set(t, size)
-                yield i, h, int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).view(np.int64)), len(s), s
+                yield i, h, int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).view(np.int64)), len(s), cells_of(s), s
 
     text = F.col(f"`{text_col}`")
     return arrow_map(docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")), rows, schema, batch=256)
@@ -172,8 +180,32 @@ def _sets_of(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return maybe.where(F.getbit(byte, (place % 8).cast("int")) == 1).select("node", "n", "shingles").dropDuplicates(["node"])
 
 
+def may_link(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the cells ``a`` and ``b`` (one row a pair) leave room for 4/5; a full cell leaves any."""
+    most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+    return (9 * most >= 4 * (n_a + n_b)) | (np.minimum(a, b) == 255).any(axis=1)
+
+
+def _hopeful(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that their cells leave room for."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                cells = [np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint8).reshape(-1, CELLS) for k in (3, 5)]
+                yield b.select(["a", "b"]).filter(pa.array(may_link(b.column(2).to_numpy(), b.column(4).to_numpy(), *cells)))
+
+    narrow = sets.select("node", "n", "cells").dropDuplicates(["node"])
+    side = lambda c: narrow.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"c_{c}"))
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    return both.select("a", "b", "n_a", "c_a", "n_b", "c_b").mapInArrow(run, "a long, b long")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose similarity is 4/5 or more, exactly: 9 times the shared shingles reach 4 times both sizes."""
+    pairs = written(_hopeful(pairs, sets), "hopeful")
     few = written(_sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), sets), "compared")
     side = lambda c: few.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
