@@ -259,6 +259,15 @@ def q_weighted_mean_link(spark, sf_dir):
     return r.groupBy("upper", "lower").agg(F.count("*").alias("n"), F.round(F.first(F.col("e_upper") - F.col("e_lower")), 6).alias("diff"))
 
 
+@query(f"""WITH {T} SELECT net, up AS upper, low AS lower, count(*) AS n, round(sum(freq / (unc * unc)) / sum(1 / (unc * unc)), 6) AS diff FROM t GROUP BY net, up, low""")
+def q_weighted_mean_link_all_nets(spark, sf_dir):
+    """Each pair of levels of every net as a component of its own: the solve is the weighted mean of its lines."""
+    pair = F.concat_ws("|", "upper", "lower")
+    t = adapters.transitions(spark, sf_dir).withColumn("pair", F.struct("upper", "lower")).withColumns({"upper": F.concat_ws("|", F.lit("u"), pair), "lower": F.concat_ws("|", F.lit("l"), pair)})
+    r = solve.residuals(t, solve.solve_energies(t))
+    return r.groupBy("net", "pair.upper", "pair.lower").agg(F.count("*").alias("n"), F.round(F.first(F.col("e_upper") - F.col("e_lower")), 6).alias("diff"))
+
+
 @query(f"WITH {T} SELECT DISTINCT net, 0::BIGINT AS violations FROM t")
 def q_normal_eq_residual(spark, sf_dir):
     t = adapters.transitions(spark, sf_dir)
