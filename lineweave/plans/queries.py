@@ -525,9 +525,9 @@ def _closeness(o, m):
     return -(d[:, 1] + 3 * d[:, 0])
 
 
-def _best_pairs(spark, sf_dir):
+def _best_pairs(spark, sf_dir, orphans="comp > 1 and n_levels <= 25"):
     c = written(network.components(adapters.transitions(spark, sf_dir)), "comps").withColumn("v", qn_vector(F.col("level")))
-    return candidates.best_pairs(c.where("comp > 1 and n_levels <= 25").withColumnRenamed("comp", "orphan"), c.where("comp = 1"), _closeness)
+    return candidates.best_pairs(c.where(orphans).withColumnRenamed("comp", "orphan"), c.where("comp = 1"), _closeness)
 
 
 @query(f"WITH RECURSIVE {_PAIRS} SELECT net, orphan, orphan_level, main_level, d0, d1, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY net, orphan ORDER BY logit DESC, orphan_level, main_level) AS r FROM sc) WHERE r <= 5")
@@ -543,6 +543,24 @@ def q_orphan_report(spark, sf_dir):
     return candidates.orphan_report(p, "logit").withColumn("score", F.round("score", 6))
 
 
+#: Orphans of any size from 2 levels, as the reference reports them.
+_ALL_ORPHANS = "comp > 1 and n_levels >= 2"
+_ALL_PAIRS = _PAIRS.replace("comp > 1 AND n_levels <= 25", "comp > 1 AND n_levels >= 2")
+
+
+@query(f"WITH RECURSIVE {_ALL_PAIRS} SELECT net, orphan, orphan_level, main_level, d0, d1, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY net, orphan ORDER BY logit DESC, orphan_level, main_level) AS r FROM sc) WHERE r <= 5")
+def q_pair_features_top5_all_orphans(spark, sf_dir):
+    dqn = F.zip_with(qn_vector(F.col("orphan_level")), qn_vector(F.col("main_level")), lambda a, b: F.abs(a - b))
+    p = _best_pairs(spark, sf_dir, _ALL_ORPHANS).withColumn("dqn", dqn)
+    return p.select("net", "orphan", "orphan_level", "main_level", F.col("dqn")[0].alias("d0"), F.col("dqn")[1].alias("d1"), "rank")
+
+
+@query(f"WITH RECURSIVE {_ALL_PAIRS} SELECT net, orphan, orphan_level, main_level, round(1 / (1 + exp(-logit / 100)), 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY net, orphan ORDER BY 1 / (1 + exp(-logit / 100)) DESC, orphan_level, main_level) AS r FROM sc) WHERE r <= 5")
+def q_orphan_report_all_orphans(spark, sf_dir):
+    p = _best_pairs(spark, sf_dir, _ALL_ORPHANS).withColumn("logit", F.col("score") / 100).drop("score", "rank")
+    return candidates.orphan_report(p, "logit").withColumn("score", F.round("score", 6))
+
+
 # --- metrics ---------------------------------------------------------------------------------------------------------
 
 _SCORED = f"{_CORRUPT}, sc AS (SELECT *, ({_hash('31', 'net', 'seq')} % 2001 - 1000 + kind * 400) / 1000.0::DOUBLE AS score FROM cor)"
