@@ -9,6 +9,9 @@ is held out.  The probability from which a family counts is calibrated on the he
 A prediction is then confirmed by comparison with the family's templates: the share of a template's word pairs that the paragraph
 has must reach ``CONFIRM`` for one of them; else it becomes ``unknown``, too.
 
+A line is looked at if it has an anchor or a word pair of ``word_filter``: of each template, and of each name of no listed family, more
+pairs are in it than a text of similarity ``CONFIRM`` can lack, so no line that could be confirmed is passed by.
+
 Results go back to their document by a number given to each row where it is read; texts are not shuffled.
 
 Edge cases: null or empty text has no paragraphs; very long paragraphs are compared whole; repeated rows are reported each; an
@@ -17,6 +20,9 @@ empty table gives no rows; columns of other names are passed by.
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -30,7 +36,7 @@ CONFIRM = 0.8
 #: n-grams that the classifier knows at most.
 VOCABULARY = 20_000
 
-#: Words without which no paragraph is a notice.
+#: Words that notices of any licence have.
 ANCHORS = r"(?i)licen[cs]|lizenz|copyright|copyleft|creative\s+commons|public\s+domain|\bcc[ -](?:by|0)|\b[al]?gpl|gnu\s+general|apache|mozilla|\bbsd\b|all\s+rights\s+reserved"
 
 #: What notices of each family call their licence.
@@ -135,11 +141,34 @@ def _template_pairs(family: str) -> Column:
     return F.transform(texts, lambda t: _pairs(words_of(t)))
 
 
+def _plain_pairs(text: str) -> list[str]:
+    words = re.findall(r"[^\W_]+", text.lower())
+    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:]))) if len(words) > 1 else words
+
+
+def _templates() -> dict[str, list[list[str]]]:
+    return {f: [_plain_pairs(t) for t in (*NAMES[f], *PHRASES.get(f, ()))] for f in NAMES}
+
+
+def word_filter() -> str:
+    """A pattern that matches every text with ``CONFIRM`` of the pairs of a template or of a name in ``OTHERS``, on one line or more."""
+    chosen = set()
+    for pairs in [p for t in _templates().values() for p in t] + [_plain_pairs(o) for o in OTHERS]:
+        least = len(pairs) - math.ceil(CONFIRM * len(pairs) - 1e-9) + 1
+        # those that have an anchor in one word come for nothing, long ones are rare
+        known = {p for p in pairs if any(re.search(ANCHORS, w) for w in p.split())}
+        chosen |= {p for p in sorted(pairs, key=lambda p: (p not in known, -len(p), p))[:least] if p not in known}
+    return rf"(?i){ANCHORS[4:]}|\b(?:" + "|".join(p.replace(" ", r"[^\p{L}\p{N}]+") for p in sorted(chosen)) + r")\b"
+
+
+FILTER = word_filter()
+
+
 def paragraphs_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``row_no``, ``n_paragraphs`` and, exploded, ``position`` and ``paragraph`` of those with an anchor (else null)."""
+    """Adds ``row_no``, ``n_paragraphs`` and, exploded, ``position`` and ``paragraph`` of those that pass ``FILTER`` (else null)."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     numbered = docs.withColumn("row_no", F.monotonically_increasing_id()).withColumn("lines", lines)
-    candidates = F.filter(F.transform("lines", lambda p, i: F.when(p.rlike(ANCHORS), F.struct(i.alias("position"), p.alias("paragraph")))), lambda s: s.isNotNull())
+    candidates = F.filter(F.transform("lines", lambda p, i: F.when(p.rlike(FILTER), F.struct(i.alias("position"), p.alias("paragraph")))), lambda s: s.isNotNull())
     counted = numbered.withColumn("n_paragraphs", F.size(F.filter("lines", lambda p: p.rlike(r"\S"))).cast("long"))
     return counted.withColumn("c", F.explode_outer(candidates)).withColumn("position", F.col("c.position")).withColumn("paragraph", F.col("c.paragraph")).drop("c", "lines")
 

@@ -1,5 +1,7 @@
 """Held-out accuracy, unknown licences and edge cases of the licence scan."""
 
+import re
+
 import pytest
 
 from lineweave.llm import licenses as L
@@ -39,6 +41,12 @@ def test_documents(spark, fitted):
     assert L.scan(docs.limit(0), fitted).count() == 0
 
 
+def test_filter_passes_every_notice():
+    java = L.FILTER.replace(r"[^\p{L}\p{N}]", r"[\W_]")
+    made = [t for f, t in L.notices() if f != "none"] + [t for x in (*L.NAMES.values(), *L.PHRASES.values(), L.OTHERS) for t in x]
+    assert [t for t in made if not re.search(java, t)] == []
+
+
 def test_no_python_in_the_plan(spark, fitted):
     docs = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     plan = L.scan(docs, fitted)._jdf.queryExecution().toString()
