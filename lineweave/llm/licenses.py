@@ -12,6 +12,10 @@ has must reach ``CONFIRM`` for one of them; else it becomes ``unknown``, too.
 A line is looked at if it has an anchor or a word pair of ``word_filter``: of each template, and of each name of no listed family, more
 pairs are in it than a text of similarity ``CONFIRM`` can lack, so no line that could be confirmed is passed by.
 
+Notices that are wrapped over lines are found in blocks, the runs of lines between blank ones: a family whose template a block of
+several lines has in its joined words by ``CONFIRM`` is a notice at the block's first line, unless a line of it is one already or a
+family with like templates is closer.  Lines without a family, half of whose pairs are in such a family's templates, are its parts.
+
 Results go back to their document by a number given to each row where it is read; texts are not shuffled.
 
 Edge cases: null or empty text has no paragraphs; very long paragraphs are compared whole; repeated rows are reported each; an
@@ -164,12 +168,55 @@ def word_filter() -> str:
 FILTER = word_filter()
 
 
+def _rivals(family: str) -> list[str]:
+    """Families with a template that has half of its pairs in common with one of this family."""
+    made = _templates()
+    near = lambda a, b: 2 * len(set(a) & set(b)) >= min(len(a), len(b))
+    return [g for g in NAMES if g != family and any(near(a, b) for a in made[family] for b in made[g])]
+
+
+def block_notices(text: Column) -> Column:
+    """(first, last, family, share) of the families that a block of several lines confirms, for each block with any."""
+    pieces = F.split(text, r"(?<=\n)(?=[^\S\n]*\n)")  # each begins with its blank line
+    breaks = lambda p: F.regexp_count(p, F.lit("\n"))
+    made = _templates()
+    every = F.array(*[F.lit(p) for p in sorted({p for t in made.values() for x in t for p in x})])
+
+    def found(piece, i):
+        at = F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda a, p: a + breaks(p))
+        first = at + F.when(piece.rlike(r"\A[^\S\n]*\n"), 1).otherwise(0)
+        # places of all pairs of templates, in order; one-row arrays, so that words and places are taken once
+        ordered = lambda w: F.filter(
+            F.concat(F.transform(w, lambda x, k: F.struct(k.alias("k"), x.alias("x"))), F.transform(w, lambda x, k: F.struct(k.alias("k"), F.concat_ws(" ", x, F.get(w, k + 1)).alias("x")))),
+            lambda s: F.array_contains(every, s["x"]),
+        )
+        places = F.transform(F.array(words_of(piece)), ordered)
+
+        def close(at, t):
+            """Most of the template's pairs among as many places in a row as it has, and a few more, by their share."""
+            mine = F.transform(F.array(F.filter(at, lambda s: F.array_contains(F.array(*[F.lit(p) for p in t]), s["x"]))), lambda m: F.array_max(
+                F.transform(m, lambda p: F.size(F.array_distinct(F.transform(F.filter(m, lambda q: (q["k"] >= p["k"]) & (q["k"] < p["k"] + len(t) + max(2, len(t) // 4))), lambda q: q["x"]))))
+            ))[0]
+            return F.coalesce(mine, F.lit(0)) / len(t)
+
+        share = lambda at, f: F.greatest(*[close(at, t) for t in made[f]], F.lit(0.0))
+        shares = F.transform(places, lambda at: F.array(*[F.struct(F.lit(f).alias("family"), share(at, f).alias("share")) for f in NAMES]))[0]
+        rivals = F.create_map(*[x for f in NAMES for x in (F.lit(f), F.array(*[F.lit(g) for g in _rivals(f)]).cast("array<string>"))])
+        best = F.transform(F.array(shares), lambda all_: F.filter(all_, lambda s: (s["share"] >= CONFIRM) & ~F.exists(all_, lambda o: (o["share"] > s["share"]) & F.array_contains(rivals[s["family"]], o["family"]))))[0]
+        return F.transform(best, lambda s: F.struct(first.cast("int").alias("first"), (at + breaks(piece)).cast("int").alias("last"), s["family"].alias("family"), s["share"].cast("double").alias("share")))
+
+    several = lambda p: p.rlike(FILTER) & p.rlike(r"\S[^\n]*\n[^\n]*\S")
+    return F.flatten(F.transform(pieces, lambda p, i: F.when(several(p), found(p, i)).otherwise(F.array().cast("array<struct<first:int,last:int,family:string,share:double>>"))))
+
+
 def paragraphs_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``row_no``, ``n_paragraphs`` and, exploded, ``position`` and ``paragraph`` of those that pass ``FILTER`` (else null)."""
+    """Adds ``row_no``, ``n_paragraphs`` and, exploded, ``position`` and ``paragraph`` of those that pass ``FILTER`` (else null), and ``blocks``."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     numbered = docs.withColumn("row_no", F.monotonically_increasing_id()).withColumn("lines", lines)
     candidates = F.filter(F.transform("lines", lambda p, i: F.when(p.rlike(FILTER), F.struct(i.alias("position"), p.alias("paragraph")))), lambda s: s.isNotNull())
     counted = numbered.withColumn("n_paragraphs", F.size(F.filter("lines", lambda p: p.rlike(r"\S"))).cast("long"))
+    none = F.array().cast("array<struct<first:int,last:int,family:string,share:double>>")
+    counted = counted.withColumn("blocks", F.when(F.col(text_col).rlike(FILTER) & F.col(text_col).contains("\n"), block_notices(F.col(text_col))).otherwise(none))
     return counted.withColumn("c", F.explode_outer(candidates)).withColumn("position", F.col("c.position")).withColumn("paragraph", F.col("c.paragraph")).drop("c", "lines")
 
 
@@ -184,7 +231,9 @@ def classify(paragraphs: DataFrame, fitted: Classifier) -> DataFrame:
     named = F.element_at(F.array(*[F.lit(c) for c in fitted.classes]), F.col("best.i") + 1)
     sure = (F.col("best.p") >= fitted.bound) & (F.col("similarity") >= CONFIRM)
     family = F.when(F.col("paragraph").isNull(), "none").when(is_family & ~sure, "unknown").otherwise(named)
-    return compared.withColumn("family", family).withColumn("probability", F.col("best.p")).drop("p", "best", "words", "own")
+    made = {f: sorted({p for t in x for p in t}) for f, x in _templates().items()}
+    parts = F.filter(F.array(*[F.when(2 * F.size(F.array_intersect("own", F.array(*[F.lit(p) for p in x]))) >= F.size("own"), F.lit(f)) for f, x in made.items()]), lambda f: f.isNotNull())
+    return compared.withColumn("family", family).withColumn("part_of", parts).withColumn("probability", F.col("best.p")).drop("p", "best", "words", "own")
 
 
 def scan(docs: DataFrame, fitted: Classifier | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,8 +244,14 @@ def scan(docs: DataFrame, fitted: Classifier | None = None, id_col: str = "doc_i
     """
     fitted = fitted or train(docs.sparkSession)
     rows = classify(paragraphs_of(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), fitted)
-    notice = F.when(F.col("family") != "none", F.struct("position", "family", "probability", "similarity"))
-    found = rows.groupBy("row_no", "id").agg(F.first("n_paragraphs").alias("n_paragraphs"), F.sort_array(F.collect_list(notice)).alias("notices"))
+    notice = F.when(F.col("family") != "none", F.struct("position", "family", "probability", "similarity", "part_of"))
+    listed = rows.groupBy("row_no", "id").agg(F.first("n_paragraphs").alias("n_paragraphs"), F.first("blocks").alias("blocks"), F.collect_list(notice).alias("lines"))
+    within = lambda n, b: (n["position"] >= b["first"]) & (n["position"] <= b["last"])
+    wrapped = F.filter("blocks", lambda b: ~F.exists("lines", lambda n: within(n, b) & (n["family"] == b["family"])))
+    own = F.filter("lines", lambda n: (n["family"] != "unknown") | ~F.exists("blocks", lambda b: within(n, b) & F.array_contains(n["part_of"], b["family"])))
+    four = lambda p, f, q, s: F.struct(p.cast("int").alias("position"), f.alias("family"), q.cast("double").alias("probability"), s.cast("double").alias("similarity"))
+    both = F.concat(F.transform(own, lambda n: four(n["position"], n["family"], n["probability"], n["similarity"])), F.transform(wrapped, lambda b: four(b["first"], b["family"], b["share"], b["share"])))
+    found = listed.select("row_no", "id", "n_paragraphs", F.sort_array(both).alias("notices"))
     families = F.array_sort(F.array_distinct(F.transform("notices", lambda n: n["family"])))
     return found.select("id", "n_paragraphs", F.size("notices").cast("long").alias("n_notices"), families.alias("families"), "notices")
 

@@ -47,6 +47,29 @@ def test_filter_passes_every_notice():
     assert [t for t in made if not re.search(java, t)] == []
 
 
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version %s of the License, or
+# (at your option) any later version."""
+MIT = """Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software and associated documentation files
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer."""
+
+
+def test_wrapped_notices(spark, fitted):
+    texts = {1: "Prose here.\n\n" + GPL % 3 + "\n\nmore prose", 2: GPL % 2, 3: MIT, 4: BSD, 5: "Released under MPL-2.0.", 6: "Published under CC0-1.0", 7: "Released under the terms of our customer agreement", 8: L.PHRASES["MIT"][0], 9: "one line\nof prose\n\nand another"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.families, r.notices) for r in L.digests(L.scan(docs, fitted)).collect()}
+    assert got[1] == ("GPL-3.0", "2:GPL-3.0") and got[2] == ("GPL-2.0", "0:GPL-2.0")
+    assert [got[k][0] for k in range(3, 10)] == ["MIT", "BSD", "MPL-2.0", "CC0-1.0", "unknown", "MIT", ""]
+
+
 def test_no_python_in_the_plan(spark, fitted):
     docs = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     plan = L.scan(docs, fitted)._jdf.queryExecution().toString()
