@@ -5,7 +5,7 @@ the wave module and takes features from what it reads.
 
 Features: frames of ``FRAME`` samples, ``HOP`` apart, Hann window, magnitudes in whole numbers of 1/1024.  In a frame the
 ``PEAKS`` strongest local maxima over frequency are peaks (ties: the lower bin).  Each peak is paired with the peaks of the
-``REACH`` frames after it, the ``FAN`` first in order of frame and bin.  A pair is one long: frame of the first peak, bins of
+``REACH`` frames after it, all of them.  A pair is one long: frame of the first peak, bins of
 both, frames between (time << 32 | f1 << 20 | f2 << 8 | dt), and the array of a payload is in ascending order.
 
 Transforms go over slabs of frames, so memory is fixed however long a payload is; pairs of neighbouring slabs are kept.
@@ -32,7 +32,8 @@ RATE = 8000
 #: Payloads are padded with spaces to a positive multiple of this (contract).
 BLOCK = 192
 FRAME, HOP = 192, 96
-PEAKS, FAN, REACH = 2, 2, 3
+PEAKS, REACH = 2, 3
+FAN = PEAKS * REACH  # every peak in reach
 _SLAB = 4096
 _WINDOW = np.hanning(FRAME + 1)[:-1].astype(np.float64)
 

@@ -41,6 +41,14 @@ def test_features(monkeypatch):
         assert M.pairs_of(peaks).tolist() == slow_pairs(slow_peaks(payload))
 
 
+def test_pairs_reach_all_frames():
+    rng = random.Random(2)
+    peaks = M.spectral_peaks(M.payload_of("".join(rng.choice("abc deéf") for _ in range(4000)))[0])
+    want = sorted((t << 32) | (k << 20) | (j << 8) | (u - t) for t, k in peaks.tolist() for u, j in peaks.tolist() if 1 <= u - t <= M.REACH)
+    got = M.pairs_of(peaks).tolist()
+    assert got == want and {p & 255 for p in got} == set(range(1, M.REACH + 1))
+
+
 def test_columns(spark):
     texts = ["héllo " * 100, None, "", "x" * 192, "x" * 100_000, "héllo " * 100]
     docs = spark.createDataFrame([(i, t, b"") for i, t in enumerate(texts)], "doc_id long, text string, media binary")
