@@ -84,8 +84,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base
 """
 
-#: Sizes, targets by running sums, quotas in blocks, the permutation of blocks and the overlap of blocks and documents.
-OP6_SQL = r"""
+#: Sizes, targets by running sums, quotas in blocks, rounds of the permutation of blocks, shards drawn, and the overlap of blocks and documents.
+_OP6_DRAW = "('0x' || substr(md5(concat_ws('|', {})), 1, 15))::BIGINT"
+_OP6_ROUNDS = "".join(
+    f""",
+x{i + 1} AS (SELECT *, CASE WHEN (((greatest(x{i}, (k{i} + n_blocks - x{i}) % n_blocks) % {mixing.PRIME}) * {a} + {b}) % {mixing.PRIME}) // 4096 % 2 = 1 THEN (k{i} + n_blocks - x{i}) % n_blocks ELSE x{i} END AS x{i + 1} FROM x{i})"""
+    for i, (a, b) in enumerate(mixing.round_constants())
+)
+OP6_SQL = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rnk FROM s),
@@ -96,19 +102,20 @@ r AS (SELECT *, sum(source_size) OVER () AS all_size,
 c AS (SELECT *, cap * left_weight < weight * lft AS capped FROM r),
 f AS (SELECT *, all_size - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS free_size, sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () AS free_weight FROM c),
 t AS (SELECT source, rnk, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE (weight * free_size)::DOUBLE / greatest(free_weight, 1)::DOUBLE END AS target,
-             (source_size + 127) // 128 AS n_blocks FROM f),
-q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target * n_blocks / source_size + 0.5)::BIGINT ELSE 0 END AS quota,
-             (rnk * 7919 + 12345) % greatest(n_blocks, 1) AS shift, CASE WHEN greatest(n_blocks, 1) % 999983 <> 0 THEN 999983 WHEN greatest(n_blocks, 1) % 1000003 <> 0 THEN 1000003 ELSE 1000033 END AS mult FROM t),
-times AS (SELECT rnk, (j % n_blocks * mult + shift) % n_blocks AS block, count(*) AS n
-          FROM (SELECT rnk, n_blocks, mult, shift, unnest(range(0, quota)) AS j FROM q) GROUP BY ALL),
-n AS (SELECT greatest(1, ceil(count(*) / 4000.0))::BIGINT AS chunks FROM documents),
+             ((source_size + 127) // 128)::BIGINT AS n_blocks FROM f),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target * n_blocks / source_size + 0.5)::BIGINT ELSE 0 END AS quota FROM t),
+v AS (SELECT *, greatest(1, ceil(sum(quota) OVER () / 1024.0))::BIGINT AS shards{"".join(f", {_OP6_DRAW.format(f"'42', 'pivot', rnk, '{i}'")} % greatest(n_blocks, 1) AS k{i}" for i in range(mixing.ROUNDS))} FROM q),
+x0 AS (SELECT *, j % n_blocks AS x0 FROM (SELECT *, unnest(range(0, quota)) AS j FROM v WHERE quota > 0)){_OP6_ROUNDS},
+slots AS (SELECT rnk, x{mixing.ROUNDS} AS block, {_OP6_DRAW.format("'42', 'shard', rnk, j")} % shards AS shard FROM x{mixing.ROUNDS}),
+n AS (SELECT greatest(1, ceil(count(*) / 256.0))::BIGINT AS chunks FROM documents),
 o AS (SELECT d.doc_id, d.size, q.rnk, q.source_size, q.target,
-             sum(d.size) OVER (PARTITION BY q.rnk ORDER BY ((coalesce(d.doc_id, -1) % 1000003 + 1000003) % 1000003 * 7919) % 1000003 % n.chunks, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS start,
+             sum(d.size) OVER (PARTITION BY q.rnk ORDER BY {_OP6_DRAW.format("'42', 'chunk', d.doc_id")} % n.chunks, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS start,
              row_number() OVER () AS rid
       FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source CROSS JOIN n),
 p AS (SELECT rid, rnk, start, size, unnest(range((start // 128)::BIGINT, ((start + size - 1) // 128 + 1)::BIGINT)) AS block FROM o WHERE size > 0),
-g AS (SELECT rid, sum((least((block + 1) * 128 - start, size) - greatest(block * 128 - start, 0)) * n)::BIGINT AS taken FROM p JOIN times USING (rnk, block) GROUP BY rid)
-SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM o LEFT JOIN g USING (rid)
+g AS (SELECT rid, sum(least((block + 1) * 128 - start, size) - greatest(block * 128 - start, 0))::BIGINT AS taken, count(DISTINCT shard) AS n_shards, min(shard) AS first_shard
+      FROM p JOIN slots USING (rnk, block) GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(n_shards, 0)::BIGINT AS n_shards, first_shard FROM o LEFT JOIN g USING (rid)
 """
 
 OP7_SQL = r"""

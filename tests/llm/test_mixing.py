@@ -1,5 +1,7 @@
 """Targets, permutations and taken words against plain loops."""
 
+import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -111,3 +113,67 @@ def test_no_rows_and_no_words(spark):
     assert M.mixed_documents(spark.createDataFrame([], schema)).count() == 0
     r = M.mixed_sizes(spark.createDataFrame([(1, None, None), (None, "", "a")], schema)).collect()
     assert [(x.size, x.target, x.taken) for x in r] == [(0, 0.0, 0)] * 2
+
+
+def slow_permutation(n, rank, seed=M.SEED):
+    """Swap-or-not by its definition, one index at a time."""
+    number = lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+    out = []
+    for x in range(n):
+        for i in range(M.ROUNDS):
+            other = (number(seed, "pivot", rank, i) - x) % n
+            m = max(x, other) % M.PRIME
+            if (m * (number(seed, "mult", i) % (M.PRIME - 1) + 1) + number(seed, "add", i) % M.PRIME) % M.PRIME // 4096 % 2:
+                x = other
+        out.append(x)
+    return out
+
+
+def some_targets(spark, blocks, quota):
+    """Targets of sources a, b, ... of so many blocks, with quotas put in by hand."""
+    rows = [(f"={chr(97 + i)}", chr(97 + i), n * M.BLOCK) for i, n in enumerate(blocks)]
+    t = M.source_targets(spark.createDataFrame(rows, "key string, source string, size long"))
+    given = spark.createDataFrame([(r[0], q) for r, q in zip(rows, quota)], "key string, q long")
+    return t.join(given, "key").withColumn("quota", given.q).drop("q").cache()
+
+
+def test_permutation_equals_its_definition_and_is_spread(spark):
+    sizes = [1, 2, 3, 97, 1000, 999_983 // 997]
+    s = M.slots(some_targets(spark, sizes, sizes)).collect()
+    for rank, n in enumerate(sizes):
+        got = [r.block for r in sorted((r for r in s if r.key == f"={chr(97 + rank)}"), key=lambda r: r.slot)]
+        assert got == slow_permutation(n, rank) and sorted(got) == list(range(n))
+    # a fifth of the blocks, as an unfinished round takes them, lies evenly over tenths of the source
+    for rank, n in ((4, 1000), (5, sizes[5])):
+        tenths = Counter(b * 10 // n for b in slow_permutation(n, rank)[: n // 5])
+        assert all(abs(tenths[k] - n / 50) < 5 * (n / 50) ** 0.5 for k in range(10))
+        steps = Counter((b - a) % n for a, b in zip(slow_permutation(n, rank), slow_permutation(n, rank)[1:]))
+        assert max(steps.values()) < n / 10  # no fixed stride
+
+
+def test_counts_per_shard_are_multinomial(spark):
+    t = some_targets(spark, [30_000, 60_000], [40_000, 60_000])
+    counts = M.shard_counts(t).collect()
+    shards = math.ceil(100_000 / M.SHARD_SLOTS)
+    for key, quota in (("=a", 40_000), ("=b", 60_000)):
+        n = Counter({r.shard: r.n for r in counts if r.key == key})
+        assert sum(n.values()) == quota and set(n) <= set(range(shards))
+        chi = sum((n[s] - quota / shards) ** 2 / (quota / shards) for s in range(shards))
+        assert shards - 1 - 5 * (2 * shards) ** 0.5 < chi < shards - 1 + 5 * (2 * shards) ** 0.5  # neither uneven nor dealt in turn
+
+
+def test_seed_decides_what_is_taken(docs):
+    rows, df = docs
+    told = lambda seed: {(r.id, r.size, r.taken, r.n_shards, r.first_shard) for r in M.mixed_sizes(df, seed=seed).collect()}
+    assert told(42) == told(42) and {x[:3] for x in told(42)} != {x[:3] for x in told(43)}
+    for _, size, taken, n, first in told(42):
+        assert (n == 0) == (taken == 0) == (first is None) and n <= taken
+
+
+def test_ids_of_strings_and_extra_columns(spark):
+    rows = [("x%d" % i, "a b c " * i, "s%d" % (i % 2), "key", 1, i) for i in range(40)] + [(None, "n n", None, "k", 2, 2)] * 2
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string, key string, start int, block int")
+    got = M.mixed_sizes(df).collect()
+    assert sorted(r.size for r in got) == sorted(len(r[1].split()) for r in rows)
+    out = M.mixed_documents(df)
+    assert out.columns == df.columns and {(r.doc_id, r.block) for r in out.collect()} <= {(r[0], r[5]) for r in rows}
