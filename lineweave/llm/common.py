@@ -26,6 +26,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def key_of(value: Column) -> Column:
+    """A string that stands for ``value``, null included, so that joins and groups need no null-safe comparison."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
+
+
 def arrow_map(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[tuple]], schema: T.StructType, batch: int = 512) -> DataFrame:
     """``mapInArrow`` over rows: ``rows`` gets an iterator of column-dict batches and yields output tuples.
 

@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, n_words, written
+from .common import WORD, key_of, n_words, written
 
 BLOCK = 128
 #: Repeats of a source at most (contract).
@@ -44,12 +44,9 @@ SEED = 42
 #: Rounds of a permutation, and the prime of its round function.
 ROUNDS = 16
 PRIME = (1 << 31) - 1
-_SLOT_CHUNK = 1 << 14
-
-
-def _key(source: Column) -> Column:
-    """A key without nulls."""
-    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+#: Slots that a task makes, and those that one row stands for until then.
+SLOTS_PER_TASK = 1 << 17
+_SLOT_CHUNK = 1 << 12
 
 
 def drawn(*parts: Column | str | int) -> Column:
@@ -114,10 +111,12 @@ def slots(targets: DataFrame, seed: int = SEED) -> DataFrame:
     n_slots = F.sum("quota").over(Window.partitionBy())
     shards = F.greatest(F.ceil(F.col("n_slots") / SHARD_SLOTS), F.lit(1)).cast("long")
     kept = ["key", "rank", "n_blocks", "rounds", "shards"]
+    # a few rows become many, so the number of tasks is said, or they would be made by one
+    tasks = math.ceil((targets.agg(F.sum("quota")).first()[0] or 1) / SLOTS_PER_TASK)
     chunks = (
         targets.withColumn("n_slots", n_slots).withColumn("shards", shards).where("quota > 0")
         .select(*kept, "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1, F.lit(_SLOT_CHUNK).cast("long"))).alias("lo"))
-        .repartition("key", "lo")
+        .repartition(tasks, "key", "lo")
     )
     each = chunks.select(*kept, F.explode(F.sequence("lo", F.least(F.col("lo") + _SLOT_CHUNK, F.col("quota")) - 1)).alias("slot"))
     block = permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.col("rounds"))
@@ -160,7 +159,7 @@ def pieces(rows: DataFrame, blocks: DataFrame) -> DataFrame:
 def _measured(docs: DataFrame, id_col: str) -> DataFrame:
     """(id, text_hash, key, source, size) of each row.  Texts are read once and not shuffled."""
     text = F.col("text")
-    return written(docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), _key(F.col("source")).alias("key"), "source", n_words(text).alias("size")), "sizes")
+    return written(docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), key_of(F.col("source")).alias("key"), "source", n_words(text).alias("size")), "sizes")
 
 
 def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
@@ -197,8 +196,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", seed: int = SEED) -
     parts = pieces(rows.select(*of), block_shards(targets, seed)).groupBy(*of).agg(F.sort_array(F.collect_list(part)).alias("parts"))
     # rows of equal id, text and source share one array, so that the texts need one shuffle only
     same = ["row_id", "text_hash", "key"]
-    listed = parts.groupBy(_key(F.col("id")).alias("row_id"), "text_hash", "key").agg(F.sort_array(F.collect_list(F.struct("start", "size", "parts"))).alias("places"))
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _key(F.col(f"`{id_col}`")).alias("row_id"), F.xxhash64("text").alias("text_hash"), _key(F.col("source")).alias("key"))
+    listed = parts.groupBy(key_of(F.col("id")).alias("row_id"), "text_hash", "key").agg(F.sort_array(F.collect_list(F.struct("start", "size", "parts"))).alias("places"))
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key_of(F.col(f"`{id_col}`")).alias("row_id"), F.xxhash64("text").alias("text_hash"), key_of(F.col("source")).alias("key"))
     nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("row")))
     met = wide.join(listed.hint("merge"), same).withColumn("place", F.get("places", nth - 1)).where("place is not null")
     epochs = F.sequence(F.lit(1), F.array_max(F.transform("place.parts", lambda p: p["times"])))

@@ -19,7 +19,7 @@ an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.network import star_components
-from .common import arrow_map, written
+from .common import arrow_map, key_of, written
 
 #: Buckets above this many distinct fingerprints are keyed anew (a matter of speed, never of results).
 DIRECT = 4096
@@ -59,8 +59,13 @@ def shingle_hashes(text: str | None, size: int = 3) -> Iterator[np.ndarray]:
 
 def fingerprint(text: str | None, size: int = 3) -> int:
     """Bit b is 1 if it is set in over half of the shingle hashes."""
+    return majority(shingle_hashes(text, size))
+
+
+def majority(slabs: Iterable[np.ndarray]) -> int:
+    """Bit b is 1 if it is set in over half of the hashes in all ``slabs`` (uint64)."""
     ones, n = np.zeros(64, dtype=np.int64), 0
-    for h in shingle_hashes(text, size):
+    for h in slabs:
         counts = np.bincount((h.view(np.uint8).reshape(-1, 8).astype(np.int64) + _BYTE_BASE).ravel(), minlength=2048)
         ones += np.einsum("jv,vb->jb", counts.reshape(8, 256), _BITS_OF_BYTE).ravel()
         n += len(h)
@@ -235,12 +240,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
 def chosen_rows(docs: DataFrame, named: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``named(root, best)`` chooses, one for each root."""
-    kept = named.groupBy("root").agg(F.min("best").alias("low")).select(F.col("low.id").alias("id"), F.col("low.text_hash").alias("text_hash"))
+    low = named.groupBy("root").agg(F.min("best").alias("low"))
+    kept = low.select(key_of(F.col("low.id")).alias("row_id"), F.col("low.text_hash").alias("row_hash"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("row_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("row_hash"))
-    found = keyed.join(kept, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("text_hash")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("row_id", "row_hash").orderBy("row_hash"))
-    return found.withColumn("nth", nth).where("nth = 1").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    keyed = docs.select(row.alias("row"), key_of(F.col(f"`{id_col}`")).alias("row_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("row_hash"))
+    same = ["row_id", "row_hash"]  # of the join and of the window, so that whole rows are shuffled once
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("row")))
+    found = keyed.join(kept.hint("merge"), same, "left_semi").withColumn("nth", nth).where("nth = 1")
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def hex_fingerprint(fp):

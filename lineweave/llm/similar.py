@@ -1,15 +1,17 @@
-"""Near-duplicates by Jaccard similarity of word shingles: every pair of texts at 4/5 or more is linked, no other.
+"""Near-duplicates by SimHash, checked and completed: texts whose five-word shingles are 4/5 alike or more (Jaccard) are linked, no others.
 
-The distance of SimHash fingerprints does not bound the similarity, so candidates come from a prefix filter, which is exact.  With
-the shingles of all texts in one order, two sets of similarity 4/5 or more share one of the first n - ceil(4n/5) + 1 of either.
-The order is by how often a shingle was seen in at most ``SEEN`` texts, rare ones first, then by hash: it decides which shingles
-are looked at, never which texts are linked.
+SimHash comes first: fingerprints of the shingle sets are compared bit-sliced (:mod:`.simhash`), and links are checked against the
+sets.  But 64 bits can't bound the similarity: at 4/5 two fingerprints differ in some ten bits, and a radius that wide would link
+or compare nearly everything.  So an exact search finds the links that fingerprints miss: with the shingles of all texts in one order,
+two sets of similarity 4/5 or more share one of the first n - ceil(4n/5) + 1 of either.  The order is by how often a shingle
+was seen in some ``SEEN`` texts, rare ones first, then by hash: it decides which shingles are looked at, never which texts are linked.
 
-Texts that share such a shingle are a bucket, sorted by size.  First only neighbours in a bucket are compared, as many pairs as rows;
-what they link are components.  Then all pairs of a bucket whose components differ and whose sizes allow 4/5 are compared.  So a
-large group of near copies costs no square of its size, and no bucket is dropped, capped or sampled.
+Texts that share such a shingle are a bucket, sorted by size.  First only neighbours in a bucket are compared, along with what SimHash
+found; what they link are components.  Then all pairs of a bucket whose components differ and whose sizes allow 4/5 are compared.
+So a large group of near copies costs no square of its size, and no bucket is dropped, capped or sampled.
 
-Before two sets are compared, their counts in ``CELLS`` cells of hashes bound what they can share, so only few sets are shuffled.
+What is kept of a text is narrow: a hash of its set, its fingerprint, its prefix, and counts of its shingles in ``CELLS`` cells, which
+bound what two sets can share.  Sets are made again from the texts, of those only that the cells leave to be compared.
 
 Edge cases: a text of fewer words than a shingle is one shingle; texts without words are copies of each other; repeated rows and
 texts of equal sets are one node; null ids are kept; an empty table gives no rows; columns of other names are passed by.
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.network import star_components
+from . import simhash
 from .common import arrow_map, written
 from .quality import FILTER_BITS
-from .simhash import chosen_rows, shingle_hashes
 
 #: Rule for near-duplicate stages: words of a shingle, and 4/5 as the least similarity.
 SIZE = 5
@@ -34,38 +36,38 @@ SIZE = 5
 SEEN, KNOWN = 5_000, 50_000
 _MET = 1 << 17
 CELLS = 128
+#: Rows of an Arrow batch that holds sets or texts.
+_ROWS = 256
 
 
 def shingle_set(text: str | None, size: int = SIZE) -> np.ndarray:
     """Distinct shingle hashes, ascending, as signed longs."""
-    found = list(shingle_hashes(text, size))
+    found = list(simhash.shingle_hashes(text, size))
     return np.sort(np.unique(np.concatenate(found)).view(np.int64)) if found else np.zeros(0, dtype=np.int64)
 
 
+def node_of(shingles: np.ndarray) -> int:
+    """A hash of the set, as a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 7)).view(np.int64))
+
+
 def cells_of(shingles: np.ndarray) -> bytes:
     """How many shingles are in each cell, 255 for more."""
     return np.minimum(np.bincount(shingles & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """(id, text_hash, node, n, cells, shingles): one row per row of ``docs``; node is a hash of the set."""
-    fields = "text_hash long, node long, n long, cells binary, shingles array<long>"
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL(fields).fields])
+def _frequent(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles seen in several of about ``SEEN`` texts, ascending, and how often."""
 
     def rows(batches):
         for b in batches:
-            for i, h, t in zip(b["id"], b["text_hash"], b["text"]):
-                s = shingle_set(t, size)
-                yield i, h, int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).view(np.int64)), len(s), cells_of(s), s
+            for t in b["text"]:
+                yield (shingle_set(t, size),)
 
     text = F.col(f"`{text_col}`")
-    return arrow_map(docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")), rows, schema, batch=256)
-
-
-def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles seen in several of at most about ``SEEN`` texts, ascending, and how often."""
-    each = max(1, sets.count() // SEEN)
-    seen = sets.where(F.pmod("node", F.lit(each)) == 0).select("node", "shingles").select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 2")
+    each = max(1, docs.count() // SEEN)
+    some = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(each)) == 0).distinct()
+    seen = arrow_map(some, rows, T.StructType.fromDDL("s array<long>"), batch=_ROWS).select(F.explode("s").alias("s")).groupBy("s").count().where("count > 2")
     found = seen.orderBy(F.desc("count"), "s").limit(KNOWN).collect()
     pairs = np.array(sorted((r[0], r[1]) for r in found), dtype=np.int64).reshape(-1, 2)
     return pairs[:, 0].copy(), pairs[:, 1].copy()
@@ -81,28 +83,46 @@ def prefix_of(shingles: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.
     return shingles[np.lexsort((shingles, often))][: n - (4 * n + 4) // 5 + 1]
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+    """(id, text_hash, node, n, fp, cells, prefix): one row per row of ``docs``; node is a hash of the set, fp its fingerprint."""
+    known, times = _frequent(docs, text_col, size)
+    fields = "text_hash long, node long, n long, fp long, cells binary, prefix array<long>"
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL(fields).fields])
+
+    def rows(batches):
+        for b in batches:
+            for i, h, t in zip(b["id"], b["text_hash"], b["text"]):
+                s = shingle_set(t, size)
+                fp = simhash.majority([s.view(np.uint64)])
+                yield i, h, node_of(s), len(s), fp - (1 << 64) if fp >> 63 else fp, cells_of(s), prefix_of(s, known, times)
+
+    return arrow_map(_source(docs, id_col, text_col), rows, schema, batch=_ROWS)
+
+
+def _prefixes(marked: DataFrame) -> DataFrame:
     """(s, n, node): a row for each shingle in a set's prefix.  A task that meets a set again mostly passes it by."""
-    known, times = _frequent(sets)
 
     def run(batches):
         import pyarrow as pa
 
         met: set[int] = set()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
+            for lo in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(lo, _ROWS)
                 new = [k not in met and (len(met) >= _MET or met.add(k) is None) for k in b.column(0).to_pylist()]
                 b = b.filter(pa.array(new))
-                if not b.num_rows:
-                    continue
-                node, n, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
-                values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-                parts = [prefix_of(values[x:y], known, times) for x, y in zip(offsets[:-1], offsets[1:])]
-                size = [len(p) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(n, size)), pa.array(np.repeat(node, size))], names=["s", "n", "node"])
+                if b.num_rows:
+                    lists = b.column(2)
+                    size = np.diff(lists.offsets.to_numpy())
+                    node, n = (np.repeat(b.column(k).to_numpy(), size) for k in (0, 1))
+                    yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(n), pa.array(node)], names=["s", "n", "node"])
 
-    return sets.where("n > 0").select("node", "n", "shingles").mapInArrow(run, "s long, n long, node long")
+    return marked.where("n > 0").select("node", "n", "prefix").mapInArrow(run, "s long, n long, node long")
 
 
 def run_pairs(s: np.ndarray, n: np.ndarray, root: np.ndarray, near: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -170,14 +190,39 @@ def _candidates(rows: DataFrame, near: bool) -> DataFrame:
     return _by_shingle(rows.select("s", "n", "node", "root"), take, "a long, b long").distinct()
 
 
-def _sets_of(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, n, shingles) of ``nodes``.  A bitmap of hashed nodes, 8 MiB at most, drops most other sets before they are shuffled."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+def _simhash_candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes that fingerprints within two bits link; sets of one fingerprint are paired with its smallest node."""
+    first = nodes.groupBy("fp").agg(F.min("node").alias("low"))
+    same = nodes.join(first, "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    found = simhash.links(first.select("fp"))
+    ends = found.join(first.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b")
+    return same.unionByName(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def _sets_of(pairs: DataFrame, nodes: DataFrame, source: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the sets in ``pairs(a, b)``, made again from one text of each.
+
+    A bitmap of hashed rows, 8 MiB at most, passes by most texts that aren't asked for; those left over are dropped by the join.
+    """
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "text_hash"), "node")
+    bit = F.pmod(F.xxhash64("id", "text_hash"), F.lit(FILTER_BITS))
     place = F.bitmap_bit_position(bit)
-    bitmap = nodes.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    bitmap = asked.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
     byte = F.conv(F.hex(F.substr("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    maybe = sets.select("node", "n", "shingles", F.bitmap_bucket_number(bit).alias("bucket")).join(F.broadcast(bitmap), "bucket")
-    return maybe.where(F.getbit(byte, (place % 8).cast("int")) == 1).select("node", "n", "shingles").dropDuplicates(["node"])
+    maybe = source.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmap), "bucket").where(F.getbit(byte, (place % 8).cast("int")) == 1)
+
+    def rows(batches):
+        met: set[int] = set()
+        for b in batches:
+            for t in b["text"]:
+                s = shingle_set(t, size)
+                node = node_of(s)
+                if node not in met:
+                    if len(met) < _MET:
+                        met.add(node)
+                    yield node, s
+
+    return arrow_map(maybe.select("text"), rows, T.StructType.fromDDL("node long, shingles array<long>"), batch=_ROWS).dropDuplicates(["node"])
 
 
 def may_link(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -186,7 +231,7 @@ def may_link(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return (9 * most >= 4 * (n_a + n_b)) | (np.minimum(a, b) == 255).any(axis=1)
 
 
-def _hopeful(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _hopeful(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs that their cells leave room for."""
 
     def run(batches):
@@ -197,36 +242,41 @@ def _hopeful(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 cells = [np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint8).reshape(-1, CELLS) for k in (3, 5)]
                 yield b.select(["a", "b"]).filter(pa.array(may_link(b.column(2).to_numpy(), b.column(4).to_numpy(), *cells)))
 
-    narrow = sets.select("node", "n", "cells").dropDuplicates(["node"])
-    side = lambda c: narrow.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"c_{c}"))
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"c_{c}"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     return both.select("a", "b", "n_a", "c_a", "n_b", "c_b").mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, nodes: DataFrame, source: DataFrame, size: int) -> DataFrame:
     """The pairs whose similarity is 4/5 or more, exactly: 9 times the shared shingles reach 4 times both sizes."""
-    pairs = written(_hopeful(pairs, sets), "hopeful")
-    few = written(_sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), sets), "compared")
-    side = lambda c: few.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"s_{c}"))
+    pairs = written(_hopeful(pairs, nodes), "hopeful")
+    sets = written(_sets_of(pairs, nodes, source, size), "compared")
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
-    return both.where(9 * F.size(F.array_intersect("s_a", "s_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return both.where(9 * F.size(F.array_intersect("s_a", "s_b")) >= 4 * (F.size("s_a") + F.size("s_b"))).select("a", "b")
 
 
-def _roots(sets: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``sets(node, n, shingles)`` that is linked to another."""
-    rows = written(_by_shingle(_prefixes(sets), _shared, "s long, n long, node long"), "shared")
-    first = written(_linked(written(_candidates(rows.withColumn("root", F.col("node")), True), "near"), sets), "first_links")
+def _roots(marked: DataFrame, nodes: DataFrame, source: DataFrame, size: int) -> DataFrame:
+    """(node, root) of every node that is linked to another; ``nodes`` has a row for each set with shingles."""
+    rows = written(_by_shingle(_prefixes(marked), _shared, "s long, n long, node long"), "shared")
+    near = _candidates(rows.withColumn("root", F.col("node")), True).unionByName(_simhash_candidates(nodes)).distinct()
+    first = written(_linked(written(near, "near"), nodes, source, size), "first_links")
     roots = written(star_components(first), "first_roots")
     rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = _linked(written(_candidates(rooted, False), "far"), sets)
+    rest = _linked(written(_candidates(rooted, False), "far"), nodes, source, size)
     return star_components(first.unionByName(rest))
 
 
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+    """(root, best): a row for each set of shingles; sets of one group have one root, ``best`` is the set's row with the smallest id."""
+    source = _source(docs, id_col, text_col)
+    marked = written(marks(docs, id_col, text_col, size), "marks")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("best")
+    first = written(marked.groupBy("node").agg(best, *[F.first(c).alias(c) for c in ("n", "fp", "cells")]), "nodes")
+    nodes = first.where("n > 0").select("node", "best.id", "best.text_hash", "n", "fp", "cells")
+    return first.join(_roots(marked, nodes, source, size), "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """One row of each group, all columns of ``docs``: the row with the smallest id (ties: text hash); of equal rows one."""
-    rows = written(shingle_sets(docs, id_col, text_col, size), "sets")
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("best")
-    first = rows.groupBy("node").agg(best)
-    roots = _roots(rows)
-    named = first.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "best")
-    return chosen_rows(docs, named, id_col, text_col)
+    return simhash.chosen_rows(docs, groups(docs, id_col, text_col, size), id_col, text_col)

@@ -72,7 +72,7 @@ def test_equals_sql(docs, spark):
 
 def test_slots_are_permutations_and_shards_hold_all(docs, spark):
     rows, df = docs
-    sizes = df.select(M._key(df.source).alias("key"), "source", M.n_words(df.text).alias("size"))
+    sizes = df.select(M.key_of(df.source).alias("key"), "source", M.n_words(df.text).alias("size"))
     targets = M.source_targets(sizes).cache()
     s = M.slots(targets).collect()
     quota = {r.key: (r.quota, r.n_blocks) for r in targets.collect()}

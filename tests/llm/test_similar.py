@@ -64,6 +64,30 @@ def test_stage_on_documents(spark):
     assert sorted(r.doc_id for r in stages.simhash_near_dedup(spark, docs, SF).collect()) == slow_kept(rows)
 
 
+def test_simhash_proposes_pairs_and_links_are_checked(spark):
+    rng = random.Random(8)
+    base = ["%x" % rng.getrandbits(30) for _ in range(400)]
+    near = [*base[:-1], "other"]
+    texts = [" ".join(base), " ".join(near), " ".join(base * 2), "entirely different words of some other text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    m = J.marks(docs).cache()
+    node = {r.id: r.node for r in m.collect()}
+    pairs = {frozenset((r.a, r.b)) for r in J._simhash_candidates(m).collect()}
+    assert frozenset((node[0], node[1])) in pairs and frozenset((node[0], node[3])) not in pairs
+    given = spark.createDataFrame([(node[0], node[k]) for k in (1, 2, 3)], "a long, b long")
+    linked = J._linked(given, m.where("n > 0"), J._source(docs, "doc_id", "text"), J.SIZE).collect()
+    assert {r.b for r in linked} == {node[1], node[2]}  # of the same text twice over, only the joint's four shingles are new
+
+
+def test_null_ids_repeated_rows_and_clashing_columns(spark):
+    long = " ".join("w%d" % i for i in range(60))
+    rows = [(None, long, 1, "n", 2), (7, long, 1, "n", 2), (7, long, 1, "n", 2), (7, long + " end", 5, "x", 0), (None, "alone here", 3, "y", 1), (None, None, 0, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node long, fp string, n long")
+    out = stages.simhash_near_dedup(spark, docs, "")
+    got = out.collect()
+    assert out.columns == docs.columns and len(got) == 3 and {r.doc_id for r in got} == {7, None} and sum(r.doc_id == 7 for r in got) == 1
+
+
 def test_run_pairs():
     rng = np.random.default_rng(3)
     s, n, root = rng.integers(0, 9, 120), rng.integers(5, 20, 120), rng.integers(0, 6, 120)
