@@ -12,13 +12,19 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Arrow batches that go to Python workers hold at most so many bytes, unless the session says otherwise: several copies of one
+#: live at a time, in the JVM and in the worker.
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
 _attached: set[str] = set()
 _own: dict[str, str] = {}
 
 
 def attach(spark: SparkSession) -> SparkSession:
-    """Ship this package to the executors' Python workers, once per application."""
+    """Ship this package to the executors' Python workers, once per application, and bound their Arrow batches."""
     sc = spark.sparkContext
+    if spark.conf.get(ARROW_BYTES[0], None) is None:
+        spark.conf.set(*ARROW_BYTES)
     if sc.applicationId not in _attached:
         root = Path(__file__).resolve().parent
         target = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
