@@ -10,8 +10,8 @@ Texts that share such a shingle are a bucket, sorted by size.  First only neighb
 found; what they link are components.  Then all pairs of a bucket whose components differ and whose sizes allow 4/5 are compared.
 So a large group of near copies costs no square of its size, and no bucket is dropped, capped or sampled.
 
-What is kept of a text is narrow: a hash of its set, its fingerprint, its prefix, and counts of its shingles in ``CELLS`` cells, which
-bound what two sets can share.  Sets are made again from the texts, of those only that the cells leave to be compared.
+What is kept of a text is narrow: a hash of its set, its fingerprint, its prefix, and counts of its shingles in cells, one for some
+``PER_CELL`` shingles, which bound what two sets can share.  Sets are made again from the texts, of those only that the cells leave to be compared.
 
 Edge cases: a text of fewer words than a shingle is one shingle; texts without words are copies of each other; repeated rows and
 texts of equal sets are one node; null ids are kept; an empty table gives no rows; columns of other names are passed by.
@@ -35,7 +35,8 @@ SIZE = 5
 #: Texts whose shingles are counted for the order, and shingles that the order knows at most (a matter of speed, never of results).
 SEEN, KNOWN = 5_000, 50_000
 _MET = 1 << 17
-CELLS = 128
+#: Shingles in a cell, at most on average, and cells at least and at most.
+PER_CELL, FEWEST, MOST = 4, 128, 1 << 16
 #: Rows of an Arrow batch that holds sets or texts.
 _ROWS = 256
 
@@ -52,8 +53,9 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def cells_of(shingles: np.ndarray) -> bytes:
-    """How many shingles are in each cell, 255 for more."""
-    return np.minimum(np.bincount(shingles & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes()
+    """How many shingles are in each cell, 255 for more; the cells are a power of two, so many can be folded into few."""
+    width = min(max(FEWEST, 1 << (max(len(shingles) // PER_CELL, 1) - 1).bit_length()), MOST)
+    return np.minimum(np.bincount(shingles & (width - 1), minlength=width), 255).astype(np.uint8).tobytes()
 
 
 def _frequent(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,10 +227,17 @@ def _sets_of(pairs: DataFrame, nodes: DataFrame, source: DataFrame, size: int) -
     return arrow_map(maybe.select("text"), rows, T.StructType.fromDDL("node long, shingles array<long>"), batch=_ROWS).dropDuplicates(["node"])
 
 
-def may_link(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the cells ``a`` and ``b`` (one row a pair) leave room for 4/5; a full cell leaves any."""
-    most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-    return (9 * most >= 4 * (n_a + n_b)) | (np.minimum(a, b) == 255).any(axis=1)
+def may_link(n_a: int, n_b: int, a: bytes, b: bytes) -> bool:
+    """Whether the cells ``a`` and ``b`` leave room for 4/5; a full cell leaves any."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    if len(x) != len(y):
+        if (x == 255).any() or (y == 255).any():
+            return True
+        width = min(len(x), len(y))
+        x, y = (c.reshape(-1, width).sum(axis=0, dtype=np.int64) for c in (x, y))
+        return bool(9 * np.minimum(x, y).sum() >= 4 * (n_a + n_b))
+    low = np.minimum(x, y)
+    return bool(9 * low.sum(dtype=np.int64) >= 4 * (n_a + n_b) or (low == 255).any())
 
 
 def _hopeful(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -238,9 +247,10 @@ def _hopeful(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            if b.num_rows:
-                cells = [np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint8).reshape(-1, CELLS) for k in (3, 5)]
-                yield b.select(["a", "b"]).filter(pa.array(may_link(b.column(2).to_numpy(), b.column(4).to_numpy(), *cells)))
+            for lo in range(0, b.num_rows, _ROWS):
+                part = b.slice(lo, _ROWS)
+                ok = [may_link(*x) for x in zip(*(part.column(k).to_pylist() for k in (2, 4, 3, 5)))]
+                yield part.select(["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
 
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"c_{c}"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")

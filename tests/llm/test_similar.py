@@ -88,6 +88,23 @@ def test_null_ids_repeated_rows_and_clashing_columns(spark):
     assert out.columns == docs.columns and len(got) == 3 and {r.doc_id for r in got} == {7, None} and sum(r.doc_id == 7 for r in got) == 1
 
 
+def test_cells_never_deny_a_link():
+    rng = np.random.default_rng(4)
+    denied = 0
+    for n in (3, 100, 700, 3000, 40_000):
+        a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        for share in (1.0, 0.95, 0.89, 0.85, 0.5, 0.0):
+            for grown in (0, n // 12, n // 5):
+                b = np.unique(np.concatenate([a[: int(share * len(a))], rng.integers(-(1 << 62), 1 << 62, int((1 - share) * n) + grown)]))
+                both = len(np.intersect1d(a, b))
+                links = 9 * both >= 4 * (len(a) + len(b))
+                may = J.may_link(len(a), len(b), J.cells_of(a), J.cells_of(b))
+                assert may or not links
+                denied += not may
+    full = np.arange(0, 300 << 7, 1 << 7)  # 300 shingles in one cell
+    assert J.may_link(len(full), len(full), J.cells_of(full), J.cells_of(full)) and denied > 20
+
+
 def test_run_pairs():
     rng = np.random.default_rng(3)
     s, n, root = rng.integers(0, 9, 120), rng.integers(5, 20, 120), rng.integers(0, 6, 120)
