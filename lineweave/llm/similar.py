@@ -3,12 +3,14 @@
 SimHash comes first: fingerprints of the shingle sets are compared bit-sliced (:mod:`.simhash`), and links are checked against the
 sets.  But 64 bits can't bound the similarity: at 4/5 two fingerprints differ in some ten bits, and a radius that wide would link
 or compare nearly everything.  So an exact search finds the links that fingerprints miss: with the shingles of all texts in one order,
-two sets of similarity 4/5 or more share one of the first n - ceil(4n/5) + 1 of either.  The order is by how often a shingle
-was seen in some ``SEEN`` texts, rare ones first, then by hash: it decides which shingles are looked at, never which texts are linked.
+two sets of similarity 4/5 or more share one of the first n - ceil(4n/5) + 1 of either, and the first one that they share stands so
+early in both that what follows it can still reach 4/5.  The order is by how often a shingle was seen in a tenth of the texts, rare ones
+first, then by hash: it decides which shingles are looked at, never which texts are linked.
 
-Texts that share such a shingle are a bucket, sorted by size.  First only neighbours in a bucket are compared, along with what SimHash
-found; what they link are components.  Then all pairs of a bucket whose components differ and whose sizes allow 4/5 are compared.
-So a large group of near copies costs no square of its size, and no bucket is dropped, capped or sampled.
+Texts that share such a shingle are a bucket.  First each is compared with the bucket's centre, in which the shingle stands earliest, so
+the one with the fewest shingles of its own; along with what SimHash found, this links most of a group of near copies.  Then all pairs of
+a bucket whose components differ, and whose sizes and places allow 4/5, are compared.  So a large group of near copies costs no square of
+its size, and no bucket is dropped, capped or sampled: one of over ``BLOCK`` rows is cut into blocks, and each two of them meet in a task.
 
 What is kept of a text is narrow: a hash of its set, its fingerprint, its prefix, and counts of its shingles in cells, one for some
 ``PER_CELL`` shingles, which bound what two sets can share.  Sets are made again from the texts, of those only that the cells leave to be compared.
@@ -32,8 +34,10 @@ from .quality import FILTER_BITS
 
 #: Rule for near-duplicate stages: words of a shingle, and 4/5 as the least similarity.
 SIZE = 5
-#: Texts whose shingles are counted for the order, and shingles that the order knows at most (a matter of speed, never of results).
-SEEN, KNOWN = 5_000, 50_000
+#: One in so many texts is counted for the order, and shingles that the order knows at most (a matter of speed, never of results).
+SEEN, KNOWN = 10, 1 << 18
+#: Rows of a bucket that one task compares with each other.
+BLOCK = 1 << 15
 _MET = 1 << 17
 #: Shingles in a cell, at most on average, and cells at least and at most.
 PER_CELL, FEWEST, MOST = 4, 128, 1 << 16
@@ -59,7 +63,7 @@ def cells_of(shingles: np.ndarray) -> bytes:
 
 
 def _frequent(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles seen in several of about ``SEEN`` texts, ascending, and how often."""
+    """Shingles seen in several of one in ``SEEN`` texts, ascending, and how often; ``KNOWN`` at most, the most frequent ones."""
 
     def rows(batches):
         for b in batches:
@@ -67,8 +71,7 @@ def _frequent(docs: DataFrame, text_col: str, size: int) -> tuple[np.ndarray, np
                 yield (shingle_set(t, size),)
 
     text = F.col(f"`{text_col}`")
-    each = max(1, docs.count() // SEEN)
-    some = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(each)) == 0).distinct()
+    some = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SEEN)) == 0).distinct()
     seen = arrow_map(some, rows, T.StructType.fromDDL("s array<long>"), batch=_ROWS).select(F.explode("s").alias("s")).groupBy("s").count().where("count > 2")
     found = seen.orderBy(F.desc("count"), "s").limit(KNOWN).collect()
     pairs = np.array(sorted((r[0], r[1]) for r in found), dtype=np.int64).reshape(-1, 2)
@@ -107,7 +110,7 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
 
 def _prefixes(marked: DataFrame) -> DataFrame:
-    """(s, n, node): a row for each shingle in a set's prefix.  A task that meets a set again mostly passes it by."""
+    """(s, n, p, node): a row for each shingle in a set's prefix and its place there.  A task that meets a set again mostly passes it by."""
 
     def run(batches):
         import pyarrow as pa
@@ -122,44 +125,72 @@ def _prefixes(marked: DataFrame) -> DataFrame:
                     lists = b.column(2)
                     size = np.diff(lists.offsets.to_numpy())
                     node, n = (np.repeat(b.column(k).to_numpy(), size) for k in (0, 1))
-                    yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(n), pa.array(node)], names=["s", "n", "node"])
+                    p = np.arange(len(node)) - np.repeat(np.cumsum(size) - size, size)
+                    yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(n), pa.array(p), pa.array(node)], names=["s", "n", "p", "node"])
 
-    return marked.where("n > 0").select("node", "n", "prefix").mapInArrow(run, "s long, n long, node long")
+    return marked.where("n > 0").select("node", "n", "prefix").mapInArrow(run, "s long, n long, p long, node long")
 
 
-def run_pairs(s: np.ndarray, n: np.ndarray, root: np.ndarray, near: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of pairs in runs of equal ``s``, sorted by ``n``, of sizes that allow 4/5 and of different roots."""
-    starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    lengths = np.diff(np.concatenate([starts, [len(s)]]))
+def _maybe_in(rows: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """``rows`` without most of those whose columns ``on`` are not in ``keys``, by a bitmap of hashed keys of 8 MiB at most."""
+    bit = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS))
+    place = F.bitmap_bit_position(bit)
+    bitmap = keys.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    met = rows.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmap), "bucket")
+    return met.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("bucket", "bits")
+
+
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """The rows of ``prefixes`` whose shingle is in the prefix of another set, too, each once."""
+    two = prefixes.groupBy("s").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("s")
+    keys = written(two, "shared_shingles")
+    return _maybe_in(prefixes, keys, "s").join(keys.hint("merge"), "s").dropDuplicates(["s", "node"])
+
+
+def _centre_candidates(rows: DataFrame) -> DataFrame:
+    """(a, b): each row of a bucket with the one in which the shingle stands earliest; as many pairs as rows at most."""
+    centre = rows.groupBy("s").agg(F.min(F.struct("p", "n", "node")).alias("c"))
+    fits = (F.least(F.col("n") - F.col("p"), F.col("c.n") - F.col("c.p")) * 9 >= 4 * (F.col("n") + F.col("c.n"))) & (F.col("node") != F.col("c.node"))
+    met = rows.join(centre.hint("merge"), "s").where(fits)
+    return met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+
+
+def run_pairs(key: np.ndarray, n: np.ndarray, p: np.ndarray, root: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of pairs in runs of equal ``key``, sorted by ``n``, of sizes and places that allow 4/5 and of different roots.
+
+    In a run of two blocks, pairs within a block are left to that block's own run.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    lengths = np.diff(np.concatenate([starts, [len(key)]]))
     mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-    left = np.repeat(starts + lengths, lengths) - np.arange(len(s))
-    alive, shift, found = np.flatnonzero(np.repeat(mixed, lengths)), 1, []
+    one = np.repeat(np.minimum.reduceat(block, starts) == np.maximum.reduceat(block, starts), lengths)
+    left = np.repeat(starts + lengths, lengths) - np.arange(len(key))
+    alive, shift, found, rest = np.flatnonzero(np.repeat(mixed, lengths)), 1, [], n - p
     while len(alive := alive[left[alive] > shift]):
         alive = alive[5 * n[alive] >= 4 * n[alive + shift]]  # sizes rise, so no later one fits either
-        found.append((alive[root[alive] != root[alive + shift]], shift))
-        if near:
-            break
+        other = alive + shift
+        ok = (root[alive] != root[other]) & (9 * np.minimum(rest[alive], rest[other]) >= 4 * (n[alive] + n[other])) & (one[alive] | (block[alive] != block[other]))
+        found.append((alive[ok], shift))
         shift += 1
     at = np.concatenate([a for a, _ in found] or [np.zeros(0, dtype=np.int64)]).astype(np.int64)
     return at, at + np.repeat([d for _, d in found], [len(a) for a, _ in found]).astype(np.int64)
 
 
-def _by_shingle(rows: DataFrame, take, schema: str, tile: int = 1 << 16) -> DataFrame:
-    """Columns that ``take`` makes of the columns of ``rows(s, n, node, ...)``, of whole buckets at a time, each sorted by n and node."""
-    width = len(rows.columns)
+def _far_candidates(rooted: DataFrame, tile: int = 1 << 16) -> DataFrame:
+    """(a, b): all pairs to compare in the buckets of ``rooted(s, n, p, node, root)``."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = [f.split()[0] for f in schema.split(", ")]
-
         def flush(c):
-            new = np.concatenate([[True], (c[0][1:] != c[0][:-1]) | (c[2][1:] != c[2][:-1])])  # copies met in several tasks
-            made = take(*[x[new] for x in c])
-            for lo in range(0, len(made[0]), tile):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(m[lo : lo + tile])) for m in made], names=names)
+            i, j = run_pairs(c[0], c[1], c[2], c[4], c[5])
+            for lo in range(0, len(i), tile):
+                x, y = c[3][i[lo : lo + tile]], c[3][j[lo : lo + tile]]
+                two = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(two[:, k])) for k in (0, 1)], names=["a", "b"])
 
-        held = [np.zeros(0, dtype=np.int64)] * width
+        held = [np.zeros(0, dtype=np.int64)] * 6
         for b in batches:
             held = [np.concatenate([h, b.column(k).to_numpy()]) for k, h in enumerate(held)]
             if len(held[0]) >= tile:
@@ -171,25 +202,12 @@ def _by_shingle(rows: DataFrame, take, schema: str, tile: int = 1 << 16) -> Data
         if len(held[0]):
             yield from flush(held)
 
-    return rows.repartition("s").sortWithinPartitions("s", "n", "node").mapInArrow(run, schema)
-
-
-def _shared(s, n, node):
-    """The rows whose shingle is in the prefix of another set, too."""
-    same = np.concatenate([[False], s[1:] == s[:-1], [False]])
-    keep = same[:-1] | same[1:]
-    return s[keep], n[keep], node[keep]
-
-
-def _candidates(rows: DataFrame, near: bool) -> DataFrame:
-    """(a, b): pairs to compare in the buckets of ``rows(s, n, node, root)``."""
-
-    def take(s, n, node, root):
-        i, j = run_pairs(s, n, root, near)
-        two = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0)
-        return two[:, 0], two[:, 1]
-
-    return _by_shingle(rows.select("s", "n", "node", "root"), take, "a long, b long").distinct()
+    mixed = rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
+    met = rooted.join(mixed.select("s", F.ceil(F.col("many") / BLOCK).alias("blocks")).hint("merge"), "s")
+    met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.xxhash64("s", F.least("block", k), F.greatest("block", k)))
+    keyed = met.select(F.explode(F.when(F.col("blocks") > 1, cells).otherwise(F.array("s"))).alias("key"), "n", "p", "node", "root", "block")
+    return keyed.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def _simhash_candidates(nodes: DataFrame) -> DataFrame:
@@ -207,11 +225,7 @@ def _sets_of(pairs: DataFrame, nodes: DataFrame, source: DataFrame, size: int) -
     A bitmap of hashed rows, 8 MiB at most, passes by most texts that aren't asked for; those left over are dropped by the join.
     """
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "text_hash"), "node")
-    bit = F.pmod(F.xxhash64("id", "text_hash"), F.lit(FILTER_BITS))
-    place = F.bitmap_bit_position(bit)
-    bitmap = asked.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
-    byte = F.conv(F.hex(F.substr("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    maybe = source.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmap), "bucket").where(F.getbit(byte, (place % 8).cast("int")) == 1)
+    maybe = _maybe_in(source, asked, "id", "text_hash")
 
     def rows(batches):
         met: set[int] = set()
@@ -268,12 +282,12 @@ def _linked(pairs: DataFrame, nodes: DataFrame, source: DataFrame, size: int) ->
 
 def _roots(marked: DataFrame, nodes: DataFrame, source: DataFrame, size: int) -> DataFrame:
     """(node, root) of every node that is linked to another; ``nodes`` has a row for each set with shingles."""
-    rows = written(_by_shingle(_prefixes(marked), _shared, "s long, n long, node long"), "shared")
-    near = _candidates(rows.withColumn("root", F.col("node")), True).unionByName(_simhash_candidates(nodes)).distinct()
+    rows = written(_shared(_prefixes(marked)), "shared")
+    near = _centre_candidates(rows).unionByName(_simhash_candidates(nodes)).distinct()
     first = written(_linked(written(near, "near"), nodes, source, size), "first_links")
     roots = written(star_components(first), "first_roots")
     rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = _linked(written(_candidates(rooted, False), "far"), nodes, source, size)
+    rest = _linked(written(_far_candidates(written(rooted, "rooted")), "far"), nodes, source, size)
     return star_components(first.unionByName(rest))
 
 

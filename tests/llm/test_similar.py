@@ -108,7 +108,40 @@ def test_cells_never_deny_a_link():
 def test_run_pairs():
     rng = np.random.default_rng(3)
     s, n, root = rng.integers(0, 9, 120), rng.integers(5, 20, 120), rng.integers(0, 6, 120)
+    p, block = rng.integers(0, 4, 120), np.where(s < 5, rng.integers(0, 2, 120), 1)
     o = np.lexsort((n, s))
-    s, n, root = s[o], n[o], root[o]
-    want = {(i, j) for j in range(120) for i in range(j) if s[i] == s[j] and root[i] != root[j] and 5 * n[i] >= 4 * n[j]}
-    assert set(zip(*(x.tolist() for x in J.run_pairs(s, n, root, False)))) == want
+    s, n, root, p, block = (x[o] for x in (s, n, root, p, block))
+    fits = lambda i, j: 5 * n[i] >= 4 * n[j] and 9 * min(n[i] - p[i], n[j] - p[j]) >= 4 * (n[i] + n[j])
+    want = {(i, j) for j in range(120) for i in range(j) if s[i] == s[j] and root[i] != root[j] and fits(i, j) and (s[i] >= 5 or block[i] != block[j])}
+    assert set(zip(*(x.tolist() for x in J.run_pairs(s, n, p, root, block)))) == want and want
+
+
+def test_first_shared_shingle_stands_early_enough():
+    rng = random.Random(12)
+    order = {k: (rng.randrange(3), k) for k in range(300)}
+    for _ in range(3000):
+        base = rng.sample(range(300), rng.randrange(1, 60))
+        a, b = (sorted(set(base) - set(rng.sample(base, rng.randrange(len(base) // 5 + 1))) | set(rng.sample(range(300), rng.randrange(3))), key=order.get) for _ in range(2))
+        both = set(a) & set(b)
+        if not a or not b or 9 * len(both) < 4 * (len(a) + len(b)):
+            continue
+        known = np.array(sorted(order), dtype=np.int64)
+        times = np.array([order[k][0] for k in known], dtype=np.int64)
+        x, y = (J.prefix_of(np.array(sorted(c), dtype=np.int64), known, times).tolist() for c in (a, b))
+        s = min(set(x) & set(y), key=order.get)
+        assert 9 * min(len(a) - x.index(s), len(b) - y.index(s)) >= 4 * (len(a) + len(b))
+
+
+def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    base = ["%x" % rng.getrandbits(30) for _ in range(80)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = "z%d" % rng.getrandbits(20)
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(J, "BLOCK", 7)
+    monkeypatch.setattr(J, "_centre_candidates", lambda rows: rows.select(rows.node.alias("a"), rows.node.alias("b")).limit(0))  # all is left to the blocks
+    assert sorted(r.doc_id for r in J.keep_one(docs).collect()) == slow_kept(rows)
