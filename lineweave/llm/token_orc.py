@@ -32,6 +32,8 @@ STRIPE_BYTES = 16 << 20
 STRIDE = 1000
 BLOOM_FPP = 0.01
 VOCABULARY = "word_bpe_49k.json"
+#: Bytes of input that a range of ids stands for, about.
+RANGE_BYTES = 32 << 20
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, rows: int = 1024) -> Iterator[pa.RecordBatch]:
@@ -54,10 +56,17 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, rows: int = 102
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ats), pa.array(n), lists], names=["doc_id", "dealt", "at", "n_tokens", "ids"])
 
 
+def n_ranges(docs: DataFrame) -> int:
+    """As many ranges as the planner's estimate of the input asks for, the session's number of shuffle partitions at least."""
+    estimate = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a source that knows nothing of its size claims the largest number there is
+    return max(least, -(-estimate // RANGE_BYTES)) if estimate < 1 << 60 else least
+
+
 def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, ranges: int | None = None) -> None:
     """Encode ``docs(doc_id, text)`` and write ORC files under ``path``.  The texts are shuffled once, by id range."""
-    spark = docs.sparkSession
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or n_ranges(docs.select("doc_id", "text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sorted_ = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").withColumn("dealt", F.spark_partition_id()).sortWithinPartitions("doc_id", "text")
     encoded = sorted_.mapInArrow(lambda batches: _encoded(batches, vocabulary), _file_schema(id_type))

@@ -3,11 +3,14 @@
 A byte-pair tokenizer never joins what its pre-tokenizer splits, and both vocabularies split between a character that is not
 white space and an ASCII space that follows.  So texts are cut there; every distinct piece is encoded once by the tokenizers
 library and its ids are kept in a table, and a text's ids are its pieces' ids in order.  Cutting, looking up and joining go over
-whole columns in NumPy: pieces are known by 64-bit polynomial hashes with their lengths mixed in.
+whole columns in NumPy: pieces are known by two 64-bit polynomial hashes with their lengths mixed in.  The first one finds a
+piece, the second one must agree wherever it is found; a slab in which it does not goes through the library whole.
 
 A piece that is one word of Latin letters, maybe with a space before and marks after it, goes to the library's model directly, as
 normalizer and pre-tokenizer would hand it on; every other piece goes through the whole library.  Texts with white space beyond
-ASCII are not cut for the vocabulary that encodes white space, and pieces of over ``LONGEST_KEPT`` bytes are not kept.
+ASCII are not cut for the vocabulary that encodes white space, and pieces of over ``LONGEST_KEPT`` bytes are not kept.  Texts with the
+string of a special token go to the library whole: like the library's plain call, this gives the token's own id, unless
+``special_as_text`` is set, which makes it ordinary text.
 
 The table is per Python worker, holds at most ``CAPACITY`` pieces and starts anew when full; it changes speed only.
 """
@@ -25,7 +28,7 @@ END_ID = 1
 CAPACITY = 2_000_000
 LONGEST_KEPT = 40
 #: Bytes of text that are worked on at once.
-SLAB = 2 << 20
+SLAB = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -33,35 +36,48 @@ _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SIMPLE = re.compile(rf"( |\n|)([{_LETTERS}]+)([.,;:!?]*)")
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so that each has an inverse modulo 2**64
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
+@lru_cache(maxsize=4)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, base, dtype=np.uint64), np.full(n, pow(base, -1, 1 << 64), dtype=np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 def _byte_characters() -> dict[int, str]:
-    """The character that stands for each byte in a byte-level vocabulary: printable ones themselves, the rest from U+0100 on."""
+    """The character that stands for each byte in a byte-level vocabulary, printable ones themselves, the rest from U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in own]
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def piece_hashes(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each of the pieces ``b[s:e]``."""
+    made = []
+    for base in _BASES:
+        up, down = _powers(max(SLAB, 1 << 12), base) if len(b) <= SLAB else _powers(len(b), base)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)])])
+        made.append(((sums[e] - sums[s]) * down[s]) ^ ((e - s).astype(np.uint64) * _MIX))
+    return made[0], made[1]
+
+
 class Encoder:
-    """Ids of columns of texts; special tokens' strings in a text are ordinary text."""
+    """Ids of columns of texts, as the tokenizers library gives them without adding tokens of its own."""
 
-    def __init__(self, path: str, keeps_space: bool, capacity: int = CAPACITY):
+    def __init__(self, path: str, keeps_space: bool, capacity: int = CAPACITY, special_as_text: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # in any case, as a normalizer may lower it before the library looks for it
+        self.special = None if special_as_text or not added else re.compile(b"|".join(map(re.escape, added)), re.I)
         self.model = self.tokenizer.model
         self.keeps_space, self.capacity = keeps_space, capacity
         as_char = _byte_characters()
@@ -71,6 +87,7 @@ class Encoder:
 
     def _clear(self):
         self.keys = np.zeros(0, dtype=np.uint64)
+        self.check = np.zeros(0, dtype=np.uint64)
         self.at = np.zeros(0, dtype=np.int64)
         self.n = np.zeros(0, dtype=np.int64)
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
@@ -105,7 +122,7 @@ class Encoder:
                 out[i] = e.ids
         return out
 
-    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, check: np.ndarray, pieces: list[bytes]) -> None:
         ids = self.encode_pieces([p.decode("utf-8", "surrogatepass") for p in pieces])
         n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         total = int(n.sum())
@@ -113,6 +130,7 @@ class Encoder:
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), total), dtype=np.uint32)])
         self.pool[self.used : self.used + total] = np.fromiter((x for i in ids for x in i), dtype=np.uint32, count=total)
         where = np.searchsorted(self.keys, keys)
+        self.check = np.insert(self.check, where, check)
         self.keys, self.at, self.n = np.insert(self.keys, where, keys), np.insert(self.at, where, self.used + np.cumsum(n) - n), np.insert(self.n, where, n)
         self.used += total
 
@@ -136,9 +154,7 @@ class Encoder:
             e = np.flatnonzero(~space & after) + 1
         if not len(s):
             return np.zeros(0, dtype=np.uint32), none
-        up, down = _powers(SLAB)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)])])
-        h = ((sums[e] - sums[s]) * down[s]) ^ ((e - s).astype(np.uint64) * _MIX)
+        h, second = piece_hashes(b, s, e)
         keys, seen, back = np.unique(h, return_index=True, return_inverse=True)
         long = np.flatnonzero(e - s > LONGEST_KEPT)
         at = np.searchsorted(self.keys, keys)
@@ -151,10 +167,13 @@ class Encoder:
                 self._clear()
                 fresh = e[seen] - s[seen] <= LONGEST_KEPT
             new = np.flatnonzero(fresh)
-            self._learn(keys[new], [raw[x:y] for x, y in zip(s[seen[new]].tolist(), e[seen[new]].tolist())])
+            self._learn(keys[new], second[seen[new]], [raw[x:y] for x, y in zip(s[seen[new]].tolist(), e[seen[new]].tolist())])
             at = np.searchsorted(self.keys, keys)
         at = np.minimum(at, max(len(self.keys) - 1, 0))
+        kept = e - s <= LONGEST_KEPT
         if len(self.keys):
+            if (self.check[at][back] != second)[kept].any():
+                return self._each(raw, starts)
             lens, froms = self.n[at][back], self.at[at][back]
         else:
             lens, froms = np.zeros(len(s), dtype=np.int64), np.zeros(len(s), dtype=np.int64)
@@ -169,6 +188,11 @@ class Encoder:
         upto = np.concatenate([[0], ends])[np.searchsorted(s, np.concatenate([starts, [len(b)]]))]
         return values, np.diff(upto)
 
+    def _each(self, raw: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the library, text by text."""
+        found = [self._whole(raw[x:y]) for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(raw)])]
+        return np.concatenate(found), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+
     def _whole(self, raw: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(raw.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, dtype=np.uint32)
 
@@ -191,7 +215,7 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = np.zeros(0, dtype=np.uint32)
-            elif self.keeps_space and _OTHER_SPACE.search(t) or len(t) > SLAB:
+            elif len(t) > SLAB or self.keeps_space and _OTHER_SPACE.search(t) or self.special and b"<" in t and self.special.search(t):
                 out[i] = self._whole(t)
             else:
                 if size + len(t) > SLAB:
@@ -207,13 +231,13 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, keeps_space: bool) -> Encoder:
+def encoder(path: str, keeps_space: bool, special_as_text: bool = False) -> Encoder:
     """One encoder per worker process and vocabulary."""
-    return Encoder(path, keeps_space)
+    return Encoder(path, keeps_space, special_as_text=special_as_text)
 
 
-def of_vocabulary(name: str) -> Encoder:
+def of_vocabulary(name: str, special_as_text: bool = False) -> Encoder:
     """Encoder of a public vocabulary file; every executor finds the file for itself."""
     import public_tokenizers
 
-    return encoder(public_tokenizers.path(name), name.startswith("byte"))
+    return encoder(public_tokenizers.path(name), name.startswith("byte"), special_as_text)
