@@ -3,8 +3,8 @@
 A byte-pair tokenizer never joins what its pre-tokenizer splits, and both vocabularies split between a character that is not
 white space and an ASCII space that follows.  So texts are cut there; every distinct piece is encoded once by the tokenizers
 library and its ids are kept in a table, and a text's ids are its pieces' ids in order.  Cutting, looking up and joining go over
-whole columns in NumPy: pieces are known by two 64-bit polynomial hashes with their lengths mixed in.  The first one finds a
-piece, the second one must agree wherever it is found; a slab in which it does not goes through the library whole.
+whole columns in NumPy: pieces are found by 64-bit polynomial hashes with their lengths mixed in, and then compared byte by byte,
+eight at a time; a slab in which two pieces share a hash goes through the library whole.
 
 A piece that is one word of Latin letters, maybe with a space before and marks after it, goes to the library's model directly, as
 normalizer and pre-tokenizer would hand it on; every other piece goes through the whole library.  Texts with white space beyond
@@ -36,13 +36,17 @@ _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SIMPLE = re.compile(rf"( |\n|)([{_LETTERS}]+)([.,;:!?]*)")
 
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so that each has an inverse modulo 2**64
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, base, dtype=np.uint64), np.full(n, pow(base, -1, 1 << 64), dtype=np.uint64)
+#: Bytes that stand for a piece of a length below 8, among the 8 from its start.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
@@ -54,14 +58,27 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def piece_hashes(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each of the pieces ``b[s:e]``."""
-    made = []
-    for base in _BASES:
-        up, down = _powers(max(SLAB, 1 << 12), base) if len(b) <= SLAB else _powers(len(b), base)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)])])
-        made.append(((sums[e] - sums[s]) * down[s]) ^ ((e - s).astype(np.uint64) * _MIX))
-    return made[0], made[1]
+def piece_hashes(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A hash of each of the pieces ``b[s:e]``."""
+    up, down = _powers(max(SLAB, 1 << 12))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)])])
+    return ((sums[e] - sums[s]) * down[s]) ^ ((e - s).astype(np.uint64) * _MIX)
+
+
+def piece_words(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of pieces of up to ``LONGEST_KEPT``: the first and the last eight of each, and the middle ones of those over 16."""
+    padded = np.concatenate([b, np.zeros(LONGEST_KEPT + 8 - len(b) % 8, dtype=np.uint8)])
+    eights = np.empty(len(padded) - 8, dtype=np.uint64)  # the eight bytes from each place
+    for k in range(8):
+        eights[k::8] = padded[k : k + len(eights)].view("<u8")
+    load = eights.__getitem__
+    n = e - s
+    outer = np.stack([load(s) & _MASKS[np.minimum(n, 8)], np.where(n > 8, load(np.maximum(e - 8, 0)), 0)])
+    long = np.flatnonzero(n > 16)
+    inner = np.zeros((3, len(s)), dtype=np.uint64)
+    for k in range(3):
+        inner[k, long] = np.where(n[long] > 8 * k + 16, load(s[long] + 8 * k + 8), 0) & _MASKS[np.clip(n[long] - 8 * k - 16, 0, 8)]
+    return outer, inner
 
 
 class Encoder:
@@ -87,7 +104,7 @@ class Encoder:
 
     def _clear(self):
         self.keys = np.zeros(0, dtype=np.uint64)
-        self.check = np.zeros(0, dtype=np.uint64)
+        self.words = (np.zeros((2, 0), dtype=np.uint64), np.zeros((3, 0), dtype=np.uint64))
         self.at = np.zeros(0, dtype=np.int64)
         self.n = np.zeros(0, dtype=np.int64)
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
@@ -122,7 +139,7 @@ class Encoder:
                 out[i] = e.ids
         return out
 
-    def _learn(self, keys: np.ndarray, check: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, words: tuple[np.ndarray, np.ndarray], pieces: list[bytes]) -> None:
         ids = self.encode_pieces([p.decode("utf-8", "surrogatepass") for p in pieces])
         n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         total = int(n.sum())
@@ -130,7 +147,7 @@ class Encoder:
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), total), dtype=np.uint32)])
         self.pool[self.used : self.used + total] = np.fromiter((x for i in ids for x in i), dtype=np.uint32, count=total)
         where = np.searchsorted(self.keys, keys)
-        self.check = np.insert(self.check, where, check)
+        self.words = tuple(np.insert(old, where, new, axis=1) for old, new in zip(self.words, words))
         self.keys, self.at, self.n = np.insert(self.keys, where, keys), np.insert(self.at, where, self.used + np.cumsum(n) - n), np.insert(self.n, where, n)
         self.used += total
 
@@ -154,7 +171,7 @@ class Encoder:
             e = np.flatnonzero(~space & after) + 1
         if not len(s):
             return np.zeros(0, dtype=np.uint32), none
-        h, second = piece_hashes(b, s, e)
+        h, (outer, inner) = piece_hashes(b, s, e), piece_words(b, s, e)
         keys, seen, back = np.unique(h, return_index=True, return_inverse=True)
         long = np.flatnonzero(e - s > LONGEST_KEPT)
         at = np.searchsorted(self.keys, keys)
@@ -167,12 +184,13 @@ class Encoder:
                 self._clear()
                 fresh = e[seen] - s[seen] <= LONGEST_KEPT
             new = np.flatnonzero(fresh)
-            self._learn(keys[new], second[seen[new]], [raw[x:y] for x, y in zip(s[seen[new]].tolist(), e[seen[new]].tolist())])
+            self._learn(keys[new], (outer[:, seen[new]], inner[:, seen[new]]), [raw[x:y] for x, y in zip(s[seen[new]].tolist(), e[seen[new]].tolist())])
             at = np.searchsorted(self.keys, keys)
         at = np.minimum(at, max(len(self.keys) - 1, 0))
         kept = e - s <= LONGEST_KEPT
         if len(self.keys):
-            if (self.check[at][back] != second)[kept].any():
+            place, far = at[back], np.flatnonzero(kept & (e - s > 16))
+            if ((self.words[0][:, place] != outer) & kept).any() or (self.words[1][:, place[far]] != inner[:, far]).any():
                 return self._each(raw, starts)
             lens, froms = self.n[at][back], self.at[at][back]
         else:

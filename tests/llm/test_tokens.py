@@ -57,12 +57,25 @@ def test_texts_beyond_a_slab_and_equal_hashes(name, monkeypatch):
     enc = tokens.Encoder(public_tokenizers.path(name), name.startswith("byte"))
     assert [g.tolist() for g in enc.encode(raw)] == ids
     monkeypatch.undo()
-    # all pieces of one length under one first hash: the second one tells, and the library is asked
-    monkeypatch.setattr(tokens, "piece_hashes", lambda b, s, e, f=tokens.piece_hashes: ((e - s).astype(np.uint64), f(b, s, e)[1]))
+    # all pieces of one length under one hash: their bytes tell, and the library is asked
+    monkeypatch.setattr(tokens, "piece_hashes", lambda b, s, e: (e - s).astype(np.uint64))
     enc = tokens.Encoder(public_tokenizers.path(name), name.startswith("byte"))
     assert [g.tolist() for g in enc.encode(raw)] == ids and [g.tolist() for g in enc.encode(raw)] == ids
 
 
+def test_words_of_pieces_tell_them_apart():
+    rng = random.Random(7)
+    pieces = [bytes(rng.choice(b"ab\x00\xff") for _ in range(n)) for n in range(1, 41) for _ in range(30)]
+    pieces += [p[:k] + bytes([p[k] ^ 1]) + p[k + 1 :] for p in pieces[::7] for k in range(len(p))]
+    raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    e = np.cumsum([len(p) for p in pieces])
+    outer, inner = tokens.piece_words(raw, e - [len(p) for p in pieces], e)
+    found = defaultdict(set)
+    for k, p in enumerate(pieces):
+        found[len(p), *outer[:, k].tolist(), *inner[:, k].tolist()].add(p)
+    assert all(len(v) == 1 for v in found.values()) and len(found) == len(set(pieces))
+
+
 def documents(spark, texts):
     rows = [(i * 7 % 1009, t, 1) for i, t in enumerate(texts)] + [(5, "again one", 1), (5, "again one", 1), (None, "no id", 1)]
     return rows, spark.createDataFrame(rows, "doc_id long, text string, start int").repartition(5)
