@@ -8,6 +8,8 @@ import numpy as np
 
 #: Refinement passes of the solve.
 REFINE = 3
+#: Levels that are left for a dense matrix at most, and neighbours of a level that is eliminated before others are asked for.
+DENSE, DEGREES = 400, (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 
 
 def number_levels(upper, lower) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,8 +71,8 @@ def merged(u, l, f, w):  # noqa: E741
 def potentials(n: int, u, l, f, w) -> np.ndarray:  # noqa: E741
     """Weighted least-squares energies of all components, the lowest level of each at 0.
 
-    Levels with one neighbour are set aside until none is left; the rest is solved densely component by component and refined by
-    residuals taken line by line, which keeps accuracy when weights span many powers of ten; then the others follow by addition.
+    Levels with one neighbour are set aside until none is left; the rest is solved component by component by elimination and refined
+    by residuals taken line by line, which keeps accuracy when weights span many powers of ten; then the others follow by addition.
     """
     whole = ranked_components(n, u, l)[0]
     u, l, f, w = merged(u, l, f, w)  # noqa: E741
@@ -95,7 +97,7 @@ def potentials(n: int, u, l, f, w) -> np.ndarray:  # noqa: E741
         cuts = np.flatnonzero(np.diff(core[u][order])) + 1
         for part in np.split(order, cuts):
             nodes, ends = np.unique(np.concatenate([u[part], l[part]]), return_inverse=True)
-            x[nodes] = _dense(len(nodes), ends[: len(part)], ends[len(part) :], f[part], w[part])
+            x[nodes] = _refined(len(nodes), ends[: len(part)], ends[len(part) :], f[part], w[part])
     for leaf, parent, step in reversed(aside):
         x[leaf] = x[parent] + step
     low = np.full(int(whole.max(initial=0)) + 1, np.inf)
@@ -112,13 +114,126 @@ def laplacian(n: int, u, l, w) -> np.ndarray:  # noqa: E741
     return a
 
 
-def _dense(n, u, l, f, w) -> np.ndarray:  # noqa: E741
-    inverse = np.linalg.inv(laplacian(n, u, l, w)[1:, 1:])
+class Elimination:
+    """A connected network with few of its levels left, from which all others follow: star by star, in rounds.
+
+    Taking a level out joins its neighbours pairwise with weights w_i w_j / sum(w) (star-mesh).  Weights are only multiplied and added,
+    never subtracted, so they keep all their digits.  A round takes out levels of few neighbours, no two of them linked; when few
+    levels are left they are solved as a dense matrix.  Memory is that of the lines and of those that elimination adds.
+    """
+
+    def __init__(self, n: int, u: np.ndarray, l: np.ndarray, w: np.ndarray, dense: int = DENSE):  # noqa: E741
+        self.n, self.rounds = n, []
+        u, l, w = self._summed(u, l, w)  # noqa: E741
+        alive = n
+        while alive > dense:
+            v = self._free(u, l)
+            inner = np.zeros(n, dtype=bool)
+            inner[v] = True
+            at_u, at_l = inner[u], inner[l]
+            hit = at_u | at_l
+            owner, other, weight = np.where(at_u, u, l)[hit], np.where(at_u, l, u)[hit], w[hit]
+            order = np.argsort(owner, kind="stable")
+            owner, other, weight = owner[order], other[order], weight[order]
+            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            degree = np.diff(np.concatenate([starts, [len(owner)]]))
+            total = np.add.reduceat(weight, starts)
+            u, l, w = [u[~hit]], [l[~hit]], [w[~hit]]  # noqa: E741
+            for d in np.unique(degree).tolist():
+                mine = starts[degree == d][:, None] + np.arange(d)
+                i, j = np.triu_indices(d, 1)
+                ends, part = other[mine], weight[mine]
+                u.append(ends[:, i].ravel())
+                l.append(ends[:, j].ravel())
+                w.append((part[:, i] * part[:, j] / total[degree == d][:, None]).ravel())
+                self.rounds.append((owner[mine[:, 0]], ends, part / total[degree == d][:, None], total[degree == d]))
+            u, l, w = self._summed(np.concatenate(u), np.concatenate(l), np.concatenate(w))  # noqa: E741
+            alive -= len(v)
+        left = np.ones(n, dtype=bool)
+        for v, *_ in self.rounds:
+            left[v] = False
+        self.left = np.flatnonzero(left)
+        place = np.cumsum(left) - 1
+        self.inverse = np.zeros((len(self.left), len(self.left)))
+        if len(self.left) > 1:
+            self.inverse[1:, 1:] = np.linalg.inv(laplacian(len(self.left), place[u], place[l], w)[1:, 1:])
+
+    def _summed(self, u, l, w):  # noqa: E741
+        """Parallel lines as one."""
+        key, back = np.unique(np.minimum(u, l) * self.n + np.maximum(u, l), return_inverse=True)
+        return key // self.n, key % self.n, np.bincount(back, weights=w, minlength=len(key))
+
+    def _free(self, u, l) -> np.ndarray:  # noqa: E741
+        """Levels of few neighbours, no two of them linked, which come before their neighbours by (degree, hash)."""
+        degree = np.bincount(u, minlength=self.n) + np.bincount(l, minlength=self.n)
+        present = degree > 0
+        for most in (*DEGREES, self.n):
+            few = present & (degree <= most)
+            if few.sum() * 20 > present.sum() or most == self.n:
+                break
+        rank = np.where(few, degree, self.n) * (1 << 20) + (np.arange(self.n) * 2654435761 >> 7) % (1 << 20)
+        rank = np.argsort(np.argsort(rank, kind="stable"), kind="stable")
+        low = np.full(self.n, self.n)
+        np.minimum.at(low, u, rank[l])
+        np.minimum.at(low, l, rank[u])
+        return np.flatnonzero(few & (rank < low))
+
+    def solve(self, rhs: np.ndarray) -> np.ndarray:
+        """Potentials for ``rhs``, which sums to 0; the first level left is at 0."""
+        b, x = rhs.copy(), np.zeros(self.n)
+        for v, ends, share, _ in self.rounds:
+            np.add.at(b, ends.ravel(), (share * b[v][:, None]).ravel())
+        x[self.left] = self.inverse @ b[self.left]
+        for v, ends, share, total in reversed(self.rounds):
+            x[v] = (share * x[ends]).sum(axis=1) + b[v] / total
+        return x
+
+    def resistances(self, u: np.ndarray, l: np.ndarray) -> np.ndarray:  # noqa: E741
+        """Effective resistance between the ends of lines of the network.
+
+        Entries of the inverse are found backwards for the links that elimination made or met, which are all that is asked for.
+        """
+        n, left = self.n, self.left
+        own = np.zeros(n)
+        own[left] = np.diag(self.inverse)
+        i, j = np.triu_indices(len(left), 1)
+        parts = [(left[i] * n + left[j], self.inverse[i, j])]
+        keys, values = _merged_sorted(parts)
+        wait: list = []  # entries not yet among the sorted ones; those of one round never ask for each other
+        for v, ends, share, total in reversed(self.rounds):
+            d = ends.shape[1]
+            g = np.zeros((len(v), d, d))
+            a, b = np.triu_indices(d, 1)
+            if len(a):
+                asked = np.minimum(ends[:, a], ends[:, b]) * n + np.maximum(ends[:, a], ends[:, b])
+                keys, values = _merged_sorted([(keys, values), *wait])
+                wait = []
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                g[:, a, b] = g[:, b, a] = values[at]
+            g[:, np.arange(d), np.arange(d)] = own[ends]
+            row = np.einsum("vi,vij->vj", share, g)
+            own[v] = 1.0 / total + np.einsum("vj,vj->v", share, row)
+            wait.append(((np.minimum(v[:, None], ends) * n + np.maximum(v[:, None], ends)).ravel(), row.ravel()))
+        keys, values = _merged_sorted([(keys, values), *wait])
+        at = np.searchsorted(keys, np.minimum(u, l) * n + np.maximum(u, l))
+        return own[u] + own[l] - 2 * values[at]
+
+
+def _merged_sorted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        order = np.argsort(parts[0][0], kind="stable")
+        return parts[0][0][order], parts[0][1][order]
+    keys, values = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], values[order]
+
+
+def _refined(n, u, l, f, w) -> np.ndarray:  # noqa: E741
+    solved = Elimination(n, u, l, w)
     x = np.zeros(n)
     for _ in range(REFINE + 1):
         r = w * (f - (x[u] - x[l]))
-        rhs = np.bincount(u, weights=r, minlength=n) - np.bincount(l, weights=r, minlength=n)
-        x[1:] += inverse @ rhs[1:]
+        x += solved.solve(np.bincount(u, weights=r, minlength=n) - np.bincount(l, weights=r, minlength=n))
     return x
 
 
@@ -204,9 +319,7 @@ def leverages(n: int, u, l, w) -> np.ndarray:  # noqa: E741
         for part in np.split(core[order], np.flatnonzero(np.diff(label[u[core]][order])) + 1):
             nodes, ends = np.unique(np.concatenate([u[part], l[part]]), return_inverse=True)
             a, b = ends[: len(part)], ends[len(part) :]
-            g = np.zeros((len(nodes), len(nodes)))
-            g[1:, 1:] = np.linalg.inv(laplacian(len(nodes), a, b, w[part])[1:, 1:])
-            h[part] = w[part] * (g[a, a] + g[b, b] - 2 * g[a, b])
+            h[part] = w[part] * Elimination(len(nodes), a, b, w[part]).resistances(a, b)
     return np.clip(h, 0.0, 1.0)
 
 
