@@ -95,6 +95,7 @@ class Encoder:
         added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # in any case, as a normalizer may lower it before the library looks for it
         self.special = None if special_as_text or not added else re.compile(b"|".join(map(re.escape, added)), re.I)
+        self.mark = os.path.commonprefix([t.lower() for t in added] + [t.upper() for t in added])
         self.model = self.tokenizer.model
         self.keeps_space, self.capacity = keeps_space, capacity
         as_char = _byte_characters()
@@ -103,10 +104,9 @@ class Encoder:
         self._clear()
 
     def _clear(self):
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.words = (np.zeros((2, 0), dtype=np.uint64), np.zeros((3, 0), dtype=np.uint64))
-        self.at = np.zeros(0, dtype=np.int64)
-        self.n = np.zeros(0, dtype=np.int64)
+        """An empty table: sorted hashes with the row of each; rows, in order of learning, have a piece's bytes and the place and number of its ids."""
+        self.keys, self.row = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.columns = np.zeros((7, 1 << 12), dtype=np.uint64)
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
 
@@ -146,9 +146,14 @@ class Encoder:
         if self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), total), dtype=np.uint32)])
         self.pool[self.used : self.used + total] = np.fromiter((x for i in ids for x in i), dtype=np.uint32, count=total)
+        first, rows = len(self.keys), len(self.keys) + len(keys)
+        if rows > self.columns.shape[1]:
+            grown = np.zeros((7, max(rows, 2 * self.columns.shape[1])), dtype=np.uint64)
+            grown[:, :first] = self.columns[:, :first]
+            self.columns = grown
+        self.columns[:, first:rows] = np.concatenate([*words, np.stack([n, self.used + np.cumsum(n) - n]).astype(np.uint64)])
         where = np.searchsorted(self.keys, keys)
-        self.words = tuple(np.insert(old, where, new, axis=1) for old, new in zip(self.words, words))
-        self.keys, self.at, self.n = np.insert(self.keys, where, keys), np.insert(self.at, where, self.used + np.cumsum(n) - n), np.insert(self.n, where, n)
+        self.keys, self.row = np.insert(self.keys, where, keys), np.insert(self.row, where, np.arange(first, rows))
         self.used += total
 
     def _slab(self, raw: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,10 +194,11 @@ class Encoder:
         at = np.minimum(at, max(len(self.keys) - 1, 0))
         kept = e - s <= LONGEST_KEPT
         if len(self.keys):
-            place, far = at[back], np.flatnonzero(kept & (e - s > 16))
-            if ((self.words[0][:, place] != outer) & kept).any() or (self.words[1][:, place[far]] != inner[:, far]).any():
+            row, far = self.row[at][back], np.flatnonzero(kept & (e - s > 16))
+            told = self.columns
+            if any(((told[k][row] != outer[k]) & kept).any() for k in (0, 1)) or (told[2:5, row[far]] != inner[:, far]).any():
                 return self._each(raw, starts)
-            lens, froms = self.n[at][back], self.at[at][back]
+            lens, froms = told[5][row].astype(np.int64), told[6][row].astype(np.int64)
         else:
             lens, froms = np.zeros(len(s), dtype=np.int64), np.zeros(len(s), dtype=np.int64)
         pool = self.pool
@@ -233,7 +239,7 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = np.zeros(0, dtype=np.uint32)
-            elif len(t) > SLAB or self.keeps_space and _OTHER_SPACE.search(t) or self.special and b"<" in t and self.special.search(t):
+            elif len(t) > SLAB or self.keeps_space and _OTHER_SPACE.search(t) or self.special and self.mark in t and self.special.search(t):
                 out[i] = self._whole(t)
             else:
                 if size + len(t) > SLAB:

@@ -321,3 +321,12 @@ def test_ranges_follow_the_input(spark):
         assert token_orc.n_ranges(docs.unionByName(docs)) >= 4
     finally:
         token_orc.RANGE_BYTES = old
+
+
+def test_kept_pieces_are_found_again(monkeypatch):
+    enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    texts = [b"some words of a text, longer-than-sixteen-bytes-words too", b"and some others"]
+    want = [g.tolist() for g in enc.encode(texts)]
+    monkeypatch.setattr(enc, "_each", lambda *a: pytest.fail("the library was asked for known pieces"))
+    monkeypatch.setattr(enc, "encode_pieces", lambda *a: pytest.fail("known pieces were encoded anew"))
+    assert [g.tolist() for g in enc.encode(texts[::-1])] == want[::-1]
