@@ -37,7 +37,7 @@ FALSE_ACCEPT = 0.01
 #: The calibrated probability is at least this.
 LEAST = 0.5
 CONFIRM = 0.8
-#: n-grams that the classifier knows at most.
+#: Bound of the n-grams that the classifier knows; the notices made here have some 1,600, and training fails if they reach it.
 VOCABULARY = 20_000
 
 #: Words that notices of any licence have.
@@ -119,6 +119,8 @@ def train(spark: SparkSession, max_iter: int = 40) -> Classifier:
     rows = rows.select("label", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words")).withColumn("grams", ngrams(F.col("words")))
     held, used = rows.where("pmod(h, 3) = 0"), rows.where("pmod(h, 3) <> 0")
     vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=VOCABULARY).fit(used)
+    if len(vocabulary.vocabulary) >= VOCABULARY:
+        raise ValueError("the notices have more n-grams than the classifier may know")
     model = LogisticRegression(regParam=0.002, maxIter=max_iter, family="multinomial").fit(vocabulary.transform(used).select("label", "features"))
     fitted = Classifier(vocabulary, model, LEAST, classes)
     family = F.array_max(F.slice("p", 3, len(NAMES)))
@@ -225,15 +227,16 @@ def classify(paragraphs: DataFrame, fitted: Classifier) -> DataFrame:
     scored = fitted.probabilities(paragraphs.withColumn("words", words_of(F.coalesce("paragraph", F.lit(""))))).withColumn("best", _best("p"))
     own = _pairs(F.col("words"))
     templates = F.array(*[F.array(F.array(F.lit(""))) if f in ("none", "unknown") else _template_pairs(f) for f in fitted.classes])
-    share = F.array_max(F.transform(F.element_at(templates, F.col("best.i") + 1), lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.size(t)))
+    either = F.array_distinct(F.concat("words", "own"))  # a template of one word, such as GPLv3, is that word
+    share = F.array_max(F.transform(F.element_at(templates, F.col("best.i") + 1), lambda t: F.size(F.array_intersect(t, F.col("either"))) / F.size(t)))
     is_family = F.col("best.i") >= 2
-    compared = scored.withColumn("own", own).withColumn("similarity", F.when(is_family, share))
+    compared = scored.withColumn("own", own).withColumn("either", either).withColumn("similarity", F.when(is_family, share))
     named = F.element_at(F.array(*[F.lit(c) for c in fitted.classes]), F.col("best.i") + 1)
     sure = (F.col("best.p") >= fitted.bound) & (F.col("similarity") >= CONFIRM)
     family = F.when(F.col("paragraph").isNull(), "none").when(is_family & ~sure, "unknown").otherwise(named)
     made = {f: sorted({p for t in x for p in t}) for f, x in _templates().items()}
     parts = F.filter(F.array(*[F.when(2 * F.size(F.array_intersect("own", F.array(*[F.lit(p) for p in x]))) >= F.size("own"), F.lit(f)) for f, x in made.items()]), lambda f: f.isNotNull())
-    return compared.withColumn("family", family).withColumn("part_of", parts).withColumn("probability", F.col("best.p")).drop("p", "best", "words", "own")
+    return compared.withColumn("family", family).withColumn("part_of", parts).withColumn("probability", F.col("best.p")).drop("p", "best", "words", "own", "either")
 
 
 def scan(docs: DataFrame, fitted: Classifier | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

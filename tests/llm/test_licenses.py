@@ -1,7 +1,9 @@
 """Held-out accuracy, unknown licences and edge cases of the licence scan."""
 
+import random
 import re
 
+import numpy as np
 import pytest
 
 from lineweave.llm import licenses as L
@@ -70,6 +72,54 @@ def test_wrapped_notices(spark, fitted):
     assert [got[k][0] for k in range(3, 10)] == ["MIT", "BSD", "MPL-2.0", "CC0-1.0", "unknown", "MIT", ""]
 
 
+def test_every_name_and_phrase_is_found_in_plain_sentences(spark, fitted):
+    rows = [(f, form.format(n)) for f, names in L.NAMES.items() for n in names for form in ("Released under {}.", "Licensed under {}", "This tool is made available under {} since 2019.")]
+    rows += [(f, form.format(p)) for f, phrases in L.PHRASES.items() for p in phrases for form in ("{}", "Words before. {}, and more after.")]
+    rows += [("unknown", f"Released under {o}.") for o in L.OTHERS] + [("", f"Once, {m}.") for m in L.MENTIONS]
+    got = {r.doc_id: r.families for r in L.digests(L.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"), fitted)).collect()}
+    assert [(r, got[i]) for i, r in enumerate(rows) if got[i] != r[0]] == []
+
+
+def slow_family(fitted, line):
+    """Scoring, bound and comparison of one line by loops."""
+    words = re.findall(r"[^\W_]+", line.lower())
+    grams = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+    x = np.array([g in grams for g in fitted.vocabulary.vocabulary], dtype=float)
+    z = fitted.model.coefficientMatrix.toArray() @ x + fitted.model.interceptVector.toArray()
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    best = len(p) - 1 - int(p[::-1].argmax())
+    name = fitted.classes[best]
+    if best < 2:
+        return name
+    pairs = set(zip(words, words[1:])) | {(w,) for w in words}
+    share = 0.0
+    for t in (*L.NAMES[name], *L.PHRASES.get(name, ())):
+        w = re.findall(r"[^\W_]+", t.lower())
+        own = set(zip(w, w[1:])) if len(w) > 1 else {(w[0],)}
+        share = max(share, len(own & pairs) / len(own))
+    return name if p[best] >= fitted.bound and share >= L.CONFIRM else "unknown"
+
+
+def test_lines_equal_a_slow_version(spark, fitted):
+    rng = random.Random(1)
+    lines = [t for _, t in L.notices() if t]
+    words = sorted({w for t in lines for w in t.split()})
+    made = []
+    for t in rng.sample(lines, 250):
+        w = t.split()
+        for _ in range(rng.randrange(3)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice(words))
+        if rng.random() < 0.5:
+            del w[rng.randrange(len(w))]
+        made.append(" ".join(w))
+    java = L.FILTER.replace(r"[^\p{L}\p{N}]", r"[\W_]")
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = {r.id: [n.family for n in r.notices] for r in L.scan(docs, fitted).collect()}
+    want = {i: [f] if re.search(java, t) and (f := slow_family(fitted, t)) != "none" else [] for i, t in enumerate(made)}
+    assert got == want and len({f for v in want.values() for f in v}) > 8
+
+
 def test_no_python_in_the_plan(spark, fitted):
     docs = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     plan = L.scan(docs, fitted)._jdf.queryExecution().toString()
