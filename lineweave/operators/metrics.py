@@ -31,23 +31,65 @@ def fix_metrics(ranks: DataFrame) -> DataFrame:
     return ranks.agg(F.avg((F.col("rank") == 1).cast("double")).alias("acc"), F.avg(1 / F.col("rank")).alias("mrr"), F.count("*").alias("n"), F.avg("n").alias("n_cand"))
 
 
+#: Ranges of scores whose counts are summed before those of single scores.
+SCORE_RANGES = 256
+
+
+def _score_range(rows: DataFrame) -> Column:
+    """Number of the range, about as many rows in each, that a score is in; a missing score is below all."""
+    cuts = rows.select("score").where(F.col("score").isNotNull() & ~F.isnan("score")).approxQuantile("score", [k / SCORE_RANGES for k in range(1, SCORE_RANGES)], 1 / (4 * SCORE_RANGES))
+    bounds = sorted(set(cuts))
+    if not bounds:
+        return F.lit(0)
+
+    def at(lo: int, hi: int) -> Column:  # how many bounds are at or below the score, by halving
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col("score") >= F.lit(float(bounds[mid])), at(mid + 1, hi)).otherwise(at(lo, mid))
+
+    return F.coalesce(at(0, len(bounds)), F.lit(0))
+
+
 def average_precision(rows: DataFrame, label: Column, *keys: str, tie: tuple[str, ...] = ("net", "seq")) -> DataFrame:
     """(keys, ap): mean over the positives of the share of positives down to them, by score; null without positives.
 
-    Ties go by ``tie``.  Running sums go in two levels: over distinct scores, which are aggregated first, then within a score.
+    Ties go by ``tie``.  Running sums go in three levels: over ``SCORE_RANGES`` ranges of scores, over the distinct scores of a range, and
+    within a score, so no task sees all rows or all scores.
     """
     part = list(keys)
-    score_rows = rows.withColumn("_y", label.cast("int"))
-    per = score_rows.groupBy(*part, "score").agg(F.sum("_y").alias("_p"), F.count("*").alias("_c"))
-    down = Window.partitionBy(*part).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    before = per.select(*part, "score", F.coalesce(F.sum("_p").over(down), F.lit(0)).alias("_pb"), F.coalesce(F.sum("_c").over(down), F.lit(0)).alias("_cb"))
-    own = Window.partitionBy(*part, "score").orderBy(*tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = score_rows.withColumn("_pi", F.sum("_y").over(own)).withColumn("_ci", F.count("*").over(own)).join(before, [*part, "score"])
-    at = (F.col("_pb") + F.col("_pi")) / (F.col("_cb") + F.col("_ci"))
+    score_rows = rows.withColumn("_y", label.cast("int")).withColumn("_range", _score_range(rows))
+    per = score_rows.groupBy(*part, "_range", "score").agg(F.sum("_y").alias("_p"), F.count("*").alias("_c"))
+    ranges = per.groupBy(*part, "_range").agg(F.sum("_p").alias("_p"), F.sum("_c").alias("_c"))
+    above = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    down = Window.partitionBy(*part).orderBy(F.desc("_range"))
+    tops = ranges.select(*part, "_range", above(down, "_p").alias("_pr"), above(down, "_c").alias("_cr"))
+    inner = Window.partitionBy(*part, "_range").orderBy(F.desc("score"))
+    before = per.select(*part, "_range", "score", above(inner, "_p").alias("_pb"), above(inner, "_c").alias("_cb")).join(tops, [*part, "_range"])
+    own = Window.partitionBy(*part, "_range", "score").orderBy(*tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = score_rows.withColumn("_pi", F.sum("_y").over(own)).withColumn("_ci", F.count("*").over(own)).join(before, [*part, "_range", "score"])
+    at = (F.col("_pr") + F.col("_pb") + F.col("_pi")) / (F.col("_cr") + F.col("_cb") + F.col("_ci"))
     total = [F.try_divide(F.sum(F.when(F.col("_y") == 1, at)), F.sum("_y")).alias("ap")]
     return placed.groupBy(*part).agg(*total) if part else placed.agg(*total)
 
 
+def mean_over(per_net: DataFrame, *metrics: str) -> DataFrame:
+    """(metrics): mean over networks of metrics that each network has; nulls, of networks without one, are left out."""
+    return per_net.agg(*[F.avg(m).alias(m) for m in metrics])
+
+
+def spread_of_errors(errors: DataFrame) -> DataFrame:
+    """(net, level, n, spread): population deviation of each level's refit errors, lost ones left out."""
+    finite = F.when(~F.isnan("err"), F.col("err"))
+    return errors.groupBy("net", "level").agg(F.count(finite).alias("n"), F.stddev_pop(finite).alias("spread"))
+
+
+def preview(report: DataFrame, *order: Column | str, k: int = 10) -> DataFrame:
+    """The first ``k`` rows of a report, each with ``more``, how many the report has beyond them."""
+    total = report.agg(F.greatest(F.count("*") - k, F.lit(0)).alias("more"))
+    return report.orderBy(*order).limit(k).join(F.broadcast(total))
+
+
 def detection(rows: DataFrame, *, at: float = 0.0) -> DataFrame:
     """(precision, recall, base) of scores above ``at`` against ``kind`` > 0; precision is null if nothing is flagged."""
     bad, flagged = (F.col("kind") > 0), (F.col("score") > at)

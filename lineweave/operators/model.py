@@ -105,7 +105,12 @@ def bce(logits: Value, labels: np.ndarray, pos_weight: float) -> Value:
 
 def cross_entropy(logits: Value, suspect: np.ndarray, target: np.ndarray) -> Value:
     n = int(suspect.max()) + 1
-    return softmax_by(logits, suspect, n).take(np.flatnonzero(target)).log().mean() * -1.0
+    top = np.full(n, -np.inf)
+    np.maximum.at(top, suspect, logits.data)
+    shifted = logits - Value(top[suspect])  # a window's greatest logit is 0, so no sum of exponentials is 0
+    mass = shifted.exp().as_column().gather_sum(suspect, n).column().log()
+    hit = np.flatnonzero(target)
+    return (mass.take(suspect[hit]) - shifted.take(hit)).mean()
 
 
 def loss_of(w: dict[str, Value], g: dict) -> Value:

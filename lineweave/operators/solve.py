@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hashed, weight
 from ..schemas import ENERGIES
+from ..session import written
 from . import kernels
+from .frames import empty
 from .network import ends
 
 #: Bootstrap draws multiply an uncertainty by 1..10.
@@ -80,35 +82,38 @@ def normal_residual(transitions: DataFrame, energies: DataFrame) -> DataFrame:
     return signed.groupBy("net", "level").agg((F.sum(F.col("w") * F.col("s")) / F.sum("w")).alias("off"))
 
 
-def _roots(levels: np.ndarray, pdf: pd.DataFrame, comp: np.ndarray) -> np.ndarray:
-    """Number of the lowest level of each component, by the energies in ``pdf``."""
-    energy = np.full(len(levels), np.inf)
-    at = {v: i for i, v in enumerate(levels)}
-    for col, e in (("upper", "e_upper"), ("lower", "e_lower")):
-        for v, x in zip(pdf[col].to_numpy(), pdf[e].to_numpy()):
-            energy[at[v]] = x
-    order = np.lexsort((np.arange(len(levels)), energy, comp))
-    first = np.concatenate([[True], comp[order][1:] != comp[order][:-1]])
-    return order[first]
-
-
-def _paths_of_net(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf, levels, u, l = _numbered(pdf)  # noqa: E741
+def _paths_of_net(lines: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+    """Least costs from the lowest level of each component; ``given`` has the levels' energies, maybe with costs of entering them."""
+    if not len(lines) or not len(given):
+        return empty("net", "comp", "level", "unc")
+    pdf, levels, u, l = _numbered(lines)  # noqa: E741
+    found = given.drop_duplicates("level").set_index("level").reindex(levels)
+    known = found["energy"].notna().to_numpy()
     comp = kernels.ranked_components(len(levels), u, l)[0]
-    up, down = pdf["cost_up"].to_numpy(), pdf["cost_down"].to_numpy()
-    d = kernels.cheapest(len(levels), u, l, up, down, _roots(levels, pdf, comp))
-    return pd.DataFrame({"net": pdf["net"].iloc[0], "comp": comp, "level": levels, "unc": np.sqrt(d)})
+    energy = np.where(known, found["energy"].to_numpy(dtype=float), np.inf)
+    if "cost" in given.columns:
+        cost = found["cost"].to_numpy(dtype=float)
+        use = known[u] & known[l] & ~np.isnan(cost[u]) & ~np.isnan(cost[l])
+        up, down = cost[u], cost[l]
+    else:
+        use = known[u] & known[l]
+        up = down = pdf["unc"].to_numpy() ** 2
+    order = np.lexsort((np.arange(len(levels)), energy, comp))
+    roots = order[np.concatenate([[True], comp[order][1:] != comp[order][:-1]])]
+    d = kernels.cheapest(len(levels), u[use], l[use], up[use], down[use], roots)
+    return pd.DataFrame({"net": pdf["net"].iloc[0], "comp": comp, "level": levels, "unc": np.sqrt(d)})[known]
 
 
-def _paths(lines: DataFrame, name: str) -> DataFrame:
-    found = lines.select("net", "seq", "upper", "lower", "e_upper", "e_lower", "cost_up", "cost_down").groupBy("net").applyInPandas(_paths_of_net, "net string, comp int, level string, unc double")
+def _paths(transitions: DataFrame, given: DataFrame, name: str) -> DataFrame:
+    """Lines and levels of a net meet by its name: one shuffle each, and no join by level."""
+    lines = transitions.select("net", "seq", "upper", "lower", "unc").groupBy("net")
+    found = lines.cogroup(given.toDF(*given.columns).groupBy("net")).applyInPandas(_paths_of_net, "net string, comp int, level string, unc double")
     return found.withColumnRenamed("unc", name)
 
 
 def path_uncertainty(transitions: DataFrame, energies: DataFrame) -> DataFrame:
     """(net, comp, level, sp_unc): root of the least sum of squared uncertainties from the component's lowest level."""
-    square = F.col("unc") * F.col("unc")
-    return _paths(residuals(transitions, energies).withColumn("cost_up", square).withColumn("cost_down", square), "sp_unc")
+    return _paths(transitions, energies.select("net", "level", "energy"), "sp_unc")
 
 
 def combined_uncertainty(transitions: DataFrame, energies: DataFrame, costs: DataFrame) -> DataFrame:
@@ -117,10 +122,7 @@ def combined_uncertainty(transitions: DataFrame, energies: DataFrame, costs: Dat
     ``costs(net, level, sp_unc, boot_unc)``; the lowest level's own cost is not charged.
     """
     cost = costs.select("net", "level", F.pow(F.greatest("sp_unc", "boot_unc"), F.lit(2)).alias("cost"))
-    lines = residuals(transitions, energies)
-    lines = lines.join(cost.select("net", F.col("level").alias("upper"), F.col("cost").alias("cost_up")), ["net", "upper"])
-    lines = lines.join(cost.select("net", F.col("level").alias("lower"), F.col("cost").alias("cost_down")), ["net", "lower"])
-    return _paths(lines, "unc")
+    return _paths(transitions, energies.select("net", "level", "energy").join(cost, ["net", "level"], "left"), "unc")
 
 
 def resampled(transitions: DataFrame, *, iterations: int = 100, seed: int = 0) -> DataFrame:
@@ -152,8 +154,11 @@ def bootstrap_statistics(samples: DataFrame, energies: DataFrame) -> DataFrame:
 
 
 def solve_network(transitions: DataFrame, *, bootstrap_iterations: int = 0, seed: int = 0) -> DataFrame:
-    """(net, comp, level, energy, unc): energies with path uncertainties, or combined ones if there are bootstrap iterations."""
-    energies = solve_energies(transitions)
+    """(net, comp, level, energy, unc): energies with path uncertainties, or combined ones if there are bootstrap iterations.
+
+    Energies are written, as several steps read them and the nets should be solved once.
+    """
+    energies = written(solve_energies(transitions), "energies")
     paths = path_uncertainty(transitions, energies)
     if not bootstrap_iterations:
         final = paths.select("net", "level", F.col("sp_unc").alias("unc"))
