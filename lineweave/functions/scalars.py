@@ -78,3 +78,14 @@ def hashed(*parts: Column | str | int) -> Column:
 def uniform(*parts: Column | str | int) -> Column:
     """Uniform in [0, 1) from ``hashed``."""
     return hashed(*parts) / F.lit(4294967296.0)
+
+
+def copy_key(net: Column | str, *numbers: Column | str) -> Column:
+    """A net's name with numbers after it, each behind a ``#``; the name may have any characters."""
+    return F.concat_ws("#", net, *numbers)
+
+
+def copy_parts(key: Column, count: int) -> tuple[Column, ...]:
+    """The name and the ``count`` numbers of a ``copy_key``, read from its end."""
+    pattern = r"(?s)^(.*)" + r"#(-?[0-9]+)" * count + "$"
+    return F.regexp_extract(key, pattern, 1), *(F.regexp_extract(key, pattern, i + 2).cast("int") for i in range(count))

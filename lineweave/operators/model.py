@@ -11,9 +11,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..functions.scalars import QN_SLOTS
+from ..session import written
 from .autograd import Value, below, beside, softmax_by
 from .features import EDGE_DIM, NODE_DIM, as_arrays
 from .frames import empty
@@ -22,6 +24,9 @@ from .frames import empty
 HIDDEN, LAYERS, SLOPE, EXTRAS = 64, 3, 0.2, 3
 LOSS_WEIGHTS = {"unc": 1.0, "outlier": 10.0, "link": 10.0, "fix": 10.0}
 
+#: Samples of these kinds that an epoch draws; of other kinds it takes all.
+PER_EPOCH = {"corrupted": 6, "linked": 4}
+
 Params = dict[str, np.ndarray]
 
 
@@ -207,20 +212,42 @@ def mean_gradient(samples: DataFrame, p: Params) -> tuple[float, Params]:
 
     sums = samples.select("sample").mapInPandas(run, "loss double, n long, grad binary").toPandas()  # one row a task
     n = int(sums["n"].sum())
+    if not n:
+        raise ValueError("no samples to learn from")
     total = sum(np.frombuffer(g, dtype=np.float64) for g in sums["grad"])
     return float(sums["loss"].sum() / n), _from_vector(total / n, p)
 
 
-def train(samples: DataFrame, validation: DataFrame | None = None, *, epochs: int = 1000, per_epoch: float = 1.0, check_every: int = 50, rate: float = 1e-3, seed: int = 0, start: Params | None = None, log: Callable[[int, float, float], None] | None = None) -> Params:
+def epoch_samples(samples: DataFrame, counts: dict[str, int], per_epoch: dict[str, int], seed: int, epoch: int) -> DataFrame:
+    """The samples that an epoch takes: of the kinds in ``per_epoch`` so many, drawn without replacement, of others all.
+
+    ``samples(kind, nth, ...)`` are numbered within their kind, and ``counts`` says how many there are.
+    """
+    rng = np.random.default_rng([seed, epoch])
+    taken = F.lit(False)
+    for kind, n in sorted(counts.items()):
+        few = per_epoch.get(kind, n)
+        mine = F.col("kind") == kind
+        if few < n:
+            mine &= F.col("nth").isin([int(k) for k in rng.choice(n, few, replace=False)])
+        taken |= mine
+    return samples.where(taken)
+
+
+def train(samples: DataFrame, validation: DataFrame | None = None, *, epochs: int = 1000, per_epoch: dict[str, int] | None = None, check_every: int = 50, rate: float = 1e-3, seed: int = 0, start: Params | None = None, log: Callable[[int, float, float], None] | None = None) -> Params:
     """Parameters of the least loss on ``validation`` (else on the samples), looked at each ``check_every`` epochs.
 
-    An epoch is one step over the share ``per_epoch`` of the samples.
+    An epoch is one step over what ``per_epoch`` draws by ``kind``, or over all samples.
     """
     p = start or initial(seed)
     adam, best, least = Adam(rate), None, np.inf
+    counts: dict[str, int] = {}
+    if per_epoch:
+        nth = F.row_number().over(Window.partitionBy("kind").orderBy("net", F.xxhash64("sample"))) - 1
+        samples = written(samples.withColumn("nth", nth), "numbered")
+        counts = {r["kind"]: r["n"] for r in samples.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     for epoch in range(epochs):
-        part = samples if per_epoch >= 1 else samples.sample(fraction=per_epoch, seed=seed + epoch)
-        loss, g = mean_gradient(part, p)
+        loss, g = mean_gradient(epoch_samples(samples, counts, per_epoch, seed, epoch) if per_epoch else samples, p)
         if epoch % check_every == 0 or epoch == epochs - 1:
             seen = loss if validation is None else mean_loss(validation, p)
             if log:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ERROR_SCALE, hashed, shifted, token_int, uniform
+from ..functions.scalars import ERROR_SCALE, copy_key, hashed, shifted, token_int, uniform
 from . import kernels
 from .frames import empty
 from .solve import _numbered, _weights, residuals
@@ -74,7 +74,7 @@ def main_of_copies(corrupted: DataFrame) -> DataFrame:
     """Largest component of each (net, copy), keyed as nets ``net#copy``; labels are columns and stay with their lines."""
     from .network import largest_component
 
-    return largest_component(corrupted.withColumn("net", F.concat_ws("#", "net", "copy")))
+    return largest_component(corrupted.withColumn("net", copy_key("net", "copy")))
 
 
 def masked(transitions: DataFrame, *, n_samples: int = 200, mask_fraction: float = 0.15, seed: int = 0) -> DataFrame:
@@ -114,6 +114,13 @@ def refit_errors(transitions: DataFrame, energies: DataFrame, *, n_samples: int
     return every.join(found, ["net", "level", "sample"], "left")
 
 
+def without_ground(errors: DataFrame, energies: DataFrame) -> DataFrame:
+    """``errors(net, level, ...)`` of all levels but each net's ground, which stays at 0 by construction."""
+    from .solve import ground_levels
+
+    return errors.join(ground_levels(energies).select("net", "level"), ["net", "level"], "left_anti")
+
+
 def _hash32(*parts) -> int:
     return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
 

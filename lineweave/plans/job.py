@@ -10,7 +10,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import model, network
+from ..operators import metrics, model, network
 from ..session import attach, written
 from ..sources import lines
 from . import training
@@ -29,6 +29,8 @@ def run(spark: SparkSession, table: str, out: str, train: list[str], validate: l
     off = labelled.where("comp > 1").select(*held.columns, F.col("comp").alias("orphan"))
     training.advise_corrections(main, p).write.mode("overwrite").parquet(f"{out}/reports/corrections")
     training.advise_links(main, off, p).write.mode("overwrite").parquet(f"{out}/reports/links")
+    for name, order in (("corrections", (F.desc("outlier_p"), "net", "seq")), ("links", ("net", "orphan", "rank"))):
+        metrics.preview(spark.read.parquet(f"{out}/reports/{name}"), *order).show(truncate=False)
     return p
 
 

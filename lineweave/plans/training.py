@@ -6,11 +6,14 @@ the loop; the loop only sums gradients over them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import copy_key, copy_parts
 from ..operators import candidates, features, metrics, model, network, simulate, solve
 from ..session import written
 
@@ -40,8 +43,7 @@ def refit_samples(transitions: DataFrame, *, n_samples: int = 200, seed: int = 0
     main = written(main_components(transitions), "main")
     energies = written(solve.solve_energies(main), "energies")
     nodes, edges = features.build_graph(main, energies)
-    ground = solve.ground_levels(energies).select("net", "level")
-    err = simulate.refit_errors(main, energies, n_samples=n_samples, seed=seed).join(ground, ["net", "level"], "left_anti")
+    err = simulate.without_ground(simulate.refit_errors(main, energies, n_samples=n_samples, seed=seed), energies)
     err = err.join(energies.select("net", "level", "idx"), ["net", "level"])
 
     def merge(g, rows):
@@ -85,21 +87,19 @@ def linked_samples(transitions: DataFrame, *, n_graphs: int = 30, n_detach: int
     cut = written(simulate.detached_levels(main, energies, n_copies=n_graphs, n_detach=n_detach, max_size=max_size, seed=seed), "cut")
     parts = written(simulate.detached_parts(main, cut, n_copies=n_graphs), "parts")
     names = ["seq", "freq", "unc", "orig_unc", "upper", "lower", "ref"]
-    kept = written(parts.where("part = 'main'").select(F.concat_ws("#", "net", "copy").alias("net"), *names), "kept")
-    off = written(parts.where("part = 'orphan'").select(F.concat_ws("#", "net", "copy", "orphan_id").alias("net"), *names), "off")
+    kept = written(parts.where("part = 'main'").select(copy_key("net", "copy").alias("net"), *names), "kept")
+    off = written(parts.where("part = 'orphan'").select(copy_key("net", "copy", "orphan_id").alias("net"), *names), "off")
     main_nodes, main_edges = features.build_graph(kept)
     o_nodes, o_edges = features.build_graph(off)
     links = simulate.orphans(cut)
-    levels = lambda nodes: nodes.select(F.split("net", "#").alias("k"), "level", "idx")
-    o_levels = levels(o_nodes).select(F.col("k")[0].alias("net"), F.col("k")[1].cast("int").alias("copy"), F.col("k")[2].cast("int").alias("orphan_id"), "level", "idx")
-    m_levels = levels(main_nodes).select(F.col("k")[0].alias("net"), F.col("k")[1].cast("int").alias("copy"), "level", "idx")
+    named = lambda n: [c.alias(a) for c, a in zip(copy_parts(F.col("net"), n), ("net", "copy", "orphan_id"))]
+    o_levels, m_levels = o_nodes.select(*named(2), "level", "idx"), main_nodes.select(*named(1), "level", "idx")
     pairs = simulate.negative_pairs(links, o_levels.drop("idx"), m_levels.drop("idx"), n_neg=n_neg, seed=seed)
     pairs = pairs.join(o_levels.select("net", "copy", "orphan_id", F.col("level").alias("orphan_level"), F.col("idx").alias("po")), ["net", "copy", "orphan_id", "orphan_level"])
     pairs = pairs.join(m_levels.select("net", "copy", F.col("level").alias("main_level"), F.col("idx").alias("pm")), ["net", "copy", "main_level"])
     of_orphan = pairs.groupBy("net", "copy", "orphan_id").agg(F.collect_list(F.struct("k", "po", "pm", "label")).alias("pairs"))
-    graph = model.graphs(o_nodes, o_edges).select(F.split("net", "#").alias("k"), "sample")
-    graph = graph.select(F.col("k")[0].alias("net"), F.col("k")[1].cast("int").alias("copy"), F.col("k")[2].cast("int").alias("orphan_id"), "sample")
-    rows = graph.join(of_orphan, ["net", "copy", "orphan_id"]).select(F.concat_ws("#", "net", "copy").alias("net"), "orphan_id", F.col("sample").alias("graph"), "pairs")
+    graph = model.graphs(o_nodes, o_edges).select(*named(2), "sample")
+    rows = graph.join(of_orphan, ["net", "copy", "orphan_id"]).select(copy_key("net", "copy").alias("net"), "orphan_id", F.col("sample").alias("graph"), "pairs")
 
     def merge(g, rows):
         out = []
@@ -113,18 +113,24 @@ def linked_samples(transitions: DataFrame, *, n_graphs: int = 30, n_detach: int
 
 
 def train_model(transitions: DataFrame, validation: DataFrame, *, epochs: int = 1000, n_refits: int = 200, n_graphs: int = 30, seed: int = 0, rate: float = 1e-3, check_every: int = 50, log=None) -> model.Params:
-    """All four heads on refit, corrupted and linked samples of the training nets; the least loss on ``validation`` is kept."""
-    one = lambda t: refit_samples(t, n_samples=n_refits, seed=seed).unionByName(corrupted_samples(t, n_graphs=n_graphs, seed=seed)).unionByName(linked_samples(t, n_graphs=n_graphs, seed=seed))
-    return model.train(written(one(transitions), "train"), written(refit_samples(validation, n_samples=n_refits, seed=seed + 1), "validation"), epochs=epochs, check_every=check_every, rate=rate, seed=seed, log=log)
+    """All four heads on refit, corrupted and linked samples of the training nets; the least loss on ``validation`` is kept.
+
+    An epoch takes all refit samples and draws as many of the others as ``model.PER_EPOCH`` says.
+    """
+    kinds = {"refit": refit_samples(transitions, n_samples=n_refits, seed=seed), "corrupted": corrupted_samples(transitions, n_graphs=n_graphs, seed=seed), "linked": linked_samples(transitions, n_graphs=n_graphs, seed=seed)}
+    samples = reduce(DataFrame.unionByName, [s.withColumn("kind", F.lit(k)) for k, s in kinds.items()])
+    held = written(refit_samples(validation, n_samples=n_refits, seed=seed + 1), "validation")
+    return model.train(written(samples, "train"), held, epochs=epochs, per_epoch=model.PER_EPOCH, check_every=check_every, rate=rate, seed=seed, log=log)
 
 
 def outlier_evaluation(transitions: DataFrame, p: model.Params, *, n_graphs: int = 30, seed: int = 1) -> dict[str, DataFrame]:
-    """Detection metrics of the outlier head on corrupted copies."""
+    """Detection metrics of the outlier head on corrupted copies: ``ap_by_net`` and its mean ``ap``, the others over all copies."""
     bad = written(simulate.main_of_copies(simulate.corrupt(simulate.copies(main_components(transitions), n_graphs), seed=seed)), "bad")
     nodes, edges = features.build_graph(bad.drop("copy"))
     scored = written(model.score_lines(nodes, edges, p).join(bad, ["net", "seq"]).withColumnRenamed("logit", "score"), "scored")
+    by_net = metrics.average_precision(scored.withColumn("of", copy_parts(F.col("net"), 1)[0]), F.col("kind") > 0, "of").withColumnRenamed("of", "net")
     return {
-        "ap": metrics.average_precision(scored, F.col("kind") > 0), "detection": metrics.detection(scored), "p_at_k": metrics.precision_at_k(scored, "net"),
+        "ap_by_net": by_net, "ap": metrics.mean_over(by_net, "ap"), "detection": metrics.detection(scored), "p_at_k": metrics.precision_at_k(scored, "net"),
         "by_kind": metrics.by_kind(scored), "by_magnitude": metrics.by_magnitude(scored),
     }
 
@@ -133,8 +139,7 @@ def calibration(transitions: DataFrame, p: model.Params, *, n_samples: int = 100
     """(source, nll, coverage): the model's widths and path uncertainties against refit errors."""
     main = written(main_components(transitions), "main")
     energies = written(solve.solve_energies(main), "energies")
-    ground = solve.ground_levels(energies).select("net", "level")
-    err = written(simulate.refit_errors(main, energies, n_samples=n_samples, seed=seed).join(ground, ["net", "level"], "left_anti"), "errors")
+    err = written(simulate.without_ground(simulate.refit_errors(main, energies, n_samples=n_samples, seed=seed), energies), "errors")
     nodes, edges = features.build_graph(main, energies)
     learned = model.score_levels(nodes, edges, p).select("net", "level", F.exp("log_sigma").alias("sigma"))
     paths = solve.path_uncertainty(main, energies).where("sp_unc > 0").select("net", "level", (F.col("sp_unc") * 1e6).alias("sigma"))
@@ -169,13 +174,13 @@ def advise_corrections(transitions: DataFrame, p: model.Params, *, j_pos: int =
 def advise_links(main: DataFrame, orphans: DataFrame, p: model.Params, *, k: int = candidates.TOP) -> DataFrame:
     """Links of orphan components to look at: ``orphans`` are lines with ``orphan``; the best pairs of each.  Never fed back."""
     nodes, edges = features.build_graph(main)
-    off = orphans.withColumn("net", F.concat_ws("#", "net", "orphan"))
+    off = orphans.withColumn("net", copy_key("net", "orphan"))
     o_nodes, o_edges = features.build_graph(off.drop("orphan"))
     # a level's vector is its quantum numbers and its embedding
     vector = lambda n, e: n.join(model.score_levels(n, e, p).select("net", "level", "h"), ["net", "level"]).withColumn("v", F.concat(F.slice("x", 1, model.QN_SLOTS), "h"))
     of_main = vector(nodes, edges).select("net", "level", "v")
-    key = F.split("net", "#")
-    of_orphan = vector(o_nodes, o_edges).select(key[0].alias("net"), key[1].cast("int").alias("orphan"), "level", "v")
+    name, orphan = copy_parts(F.col("net"), 1)
+    of_orphan = vector(o_nodes, o_edges).select(name.alias("net"), orphan.alias("orphan"), "level", "v")
 
     def score(o: np.ndarray, m: np.ndarray) -> np.ndarray:
         w, n = model.leaves(p), model.QN_SLOTS
@@ -233,11 +238,12 @@ def fix_ranks(samples: DataFrame, p: model.Params) -> DataFrame:
     return samples.select("net", "sample").mapInPandas(run, "net string, suspect long, rank long, n long")
 
 
-def evaluation(transitions: DataFrame, p: model.Params, *, n_graphs: int = 30, seed: int = 5) -> dict[str, DataFrame]:
-    """Metrics of all heads on the main components of validation nets."""
+def evaluation(transitions: DataFrame, p: model.Params, *, n_graphs: int = 30, seed: int = 5, published: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Metrics of all heads on the main components of validation nets; with ``published`` levels, how many lie within path uncertainties."""
     corrupted = written(corrupted_samples(transitions, n_graphs=n_graphs, seed=seed), "corrupted")
     linked = written(linked_samples(transitions, n_graphs=n_graphs, seed=seed), "linked")
     return {
         "calibration": calibration(transitions, p, seed=seed), **outlier_evaluation(transitions, p, n_graphs=n_graphs, seed=seed),
         "fix": metrics.fix_metrics(fix_ranks(corrupted, p)), "link": metrics.link_metrics(link_ranks(linked, p)),
+        **({"sanity": metrics.within_sigma(solve.solve_network(main_components(transitions)), published)} if published is not None else {}),
     }

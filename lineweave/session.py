@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,6 +33,7 @@ def attach(spark: SparkSession) -> SparkSession:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
         sc.addPyFile(target)
+        atexit.register(shutil.rmtree, os.path.dirname(target), ignore_errors=True)
         _attached.add(sc.applicationId)
     return spark
 
@@ -39,11 +41,13 @@ def attach(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, it is a folder of this process, gone when it ends.
+    Only where that is unset and the master is local, as in tests, it is a folder of this process, gone when it ends.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="lineweave-")
