@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Bounds of the bins of shift size, in uncertainties; half open.
 MAG_BINS = (5.0, 15.0, 50.0, 150.0, 500.0)
 
@@ -32,7 +34,7 @@ def fix_metrics(ranks: DataFrame) -> DataFrame:
 
 
 #: Ranges of scores whose counts are summed before those of single scores.
-SCORE_RANGES = 256
+SCORE_RANGES = 64
 
 
 def _score_range(rows: DataFrame) -> Column:
@@ -58,7 +60,8 @@ def average_precision(rows: DataFrame, label: Column, *keys: str, tie: tuple[str
     within a score, so no task sees all rows or all scores.
     """
     part = list(keys)
-    score_rows = rows.withColumn("_y", label.cast("int")).withColumn("_range", _score_range(rows))
+    narrow = written(rows.select(*dict.fromkeys([*part, *tie, "score"]), label.cast("int").alias("_y")), "scores")  # read three times
+    score_rows = narrow.withColumn("_range", _score_range(narrow))
     per = score_rows.groupBy(*part, "_range", "score").agg(F.sum("_y").alias("_p"), F.count("*").alias("_c"))
     ranges = per.groupBy(*part, "_range").agg(F.sum("_p").alias("_p"), F.sum("_c").alias("_c"))
     above = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

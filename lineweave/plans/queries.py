@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import floored, hashed, qn_vector, tag
+from ..functions.scalars import floored, hashed, qn_vector, shifted, tag
 from ..operators import candidates, features, metrics, network, simulate, solve, units
 from ..session import attach, scratch_path, written
 from ..sources import adapters, lines
@@ -250,17 +250,8 @@ def q_ground(spark, sf_dir):
     return solve.ground_levels(e)
 
 
-@query(f"""WITH {T}, g AS (SELECT up, low, count(*) AS n, sum(freq / (unc * unc)) / sum(1 / (unc * unc)) AS m FROM t WHERE net = '1995-01' GROUP BY up, low)
-SELECT up AS upper, low AS lower, n, round(m, 6) AS diff FROM g""")
-def q_weighted_mean_link(spark, sf_dir):
-    """Each pair of levels as a network of its own: the solve is the weighted mean of its lines."""
-    t = adapters.transitions(spark, sf_dir).where("net = '1995-01'").withColumn("net", F.concat_ws("|", "upper", "lower"))
-    r = solve.residuals(t, solve.solve_energies(t))
-    return r.groupBy("upper", "lower").agg(F.count("*").alias("n"), F.round(F.first(F.col("e_upper") - F.col("e_lower")), 6).alias("diff"))
-
-
 @query(f"""WITH {T} SELECT net, up AS upper, low AS lower, count(*) AS n, round(sum(freq / (unc * unc)) / sum(1 / (unc * unc)), 6) AS diff FROM t GROUP BY net, up, low""")
-def q_weighted_mean_link_all_nets(spark, sf_dir):
+def q_weighted_mean_link(spark, sf_dir):
     """Each pair of levels of every net as a component of its own: the solve is the weighted mean of its lines."""
     pair = F.concat_ws("|", "upper", "lower")
     t = adapters.transitions(spark, sf_dir).withColumn("pair", F.struct("upper", "lower")).withColumns({"upper": F.concat_ws("|", F.lit("u"), pair), "lower": F.concat_ws("|", F.lit("l"), pair)})
@@ -357,7 +348,7 @@ def q_node_features(spark, sf_dir):
 @query(f"""WITH RECURSIVE {EN}, r AS (SELECT t.net, t.seq, t.unc, t.freq, abs(t.freq - (u.energy - l.energy)) AS resid, ({_hash('5', 't.net', 't.seq')} % 1000) / 1000.0::DOUBLE AS h FROM t JOIN en u ON u.net = t.net AND u.level = t.up JOIN en l ON l.net = t.net AND l.level = t.low)
 SELECT net, seq, round(log10(unc) / 10, 6) AS a0, round(ln(1 + freq) / 10, 6) AS a1, round(log10(1 + resid / unc) / 4, 6) AS a2, round(h, 6) AS a3, round(log10(1 + resid / (unc * sqrt(greatest(1 - h, 1e-12)))) / 4, 6) AS a4 FROM r""")
 def q_edge_features(spark, sf_dir):
-    e = solve.solve_energies(adapters.consistent(spark, sf_dir))
+    e = written(solve.solve_energies(adapters.consistent(spark, sf_dir)), "energies")
     t = adapters.transitions(spark, sf_dir)
     given = t.select("net", "seq", ((hashed(5, F.col("net"), F.col("seq")) % 1000) / 1000.0).alias("leverage"))
     a = features.line_features(t, e, given)
@@ -485,7 +476,7 @@ _CAND = f"""{EN}, off(pos, d) AS (VALUES (0, -2), (1, -1), (2, 1), (3, 2)), aske
 
 def _candidates(spark, sf_dir):
     t = adapters.transitions(spark, sf_dir)
-    e = solve.solve_energies(adapters.consistent(spark, sf_dir))
+    e = written(solve.solve_energies(adapters.consistent(spark, sf_dir)), "energies")
     return t, candidates.correction_candidates(t, e)
 
 
@@ -514,7 +505,7 @@ def q_correction_report(spark, sf_dir):
     return r.select("net", "seq", "ref", "upper", "lower", "proposed_upper", F.round("outlier_p", 6).alias("outlier_p"), F.round("confidence", 6).alias("confidence"))
 
 
-_PAIRS = f"""{CC}, o AS (SELECT net, comp AS orphan, level FROM comps WHERE comp > 1 AND n_levels <= 25), m AS (SELECT net, level FROM comps WHERE comp = 1),
+_PAIRS = f"""{CC}, o AS (SELECT net, comp AS orphan, level FROM comps WHERE comp > 1 AND n_levels >= 2), m AS (SELECT net, level FROM comps WHERE comp = 1),
  pr AS (SELECT o.net, orphan, o.level AS orphan_level, m.level AS main_level, abs(split_part(o.level, ' ', 1)::DOUBLE - split_part(m.level, ' ', 1)::DOUBLE) AS d0, abs(split_part(o.level, ' ', 2)::DOUBLE - split_part(m.level, ' ', 2)::DOUBLE) AS d1 FROM o JOIN m USING (net)),
  sc AS (SELECT *, -(d1 + 3 * d0) AS logit FROM pr)"""
 
@@ -525,7 +516,7 @@ def _closeness(o, m):
     return -(d[:, 1] + 3 * d[:, 0])
 
 
-def _best_pairs(spark, sf_dir, orphans="comp > 1 and n_levels <= 25"):
+def _best_pairs(spark, sf_dir, orphans="comp > 1 and n_levels >= 2"):
     c = written(network.components(adapters.transitions(spark, sf_dir)), "comps").withColumn("v", qn_vector(F.col("level")))
     return candidates.best_pairs(c.where(orphans).withColumnRenamed("comp", "orphan"), c.where("comp = 1"), _closeness)
 
@@ -543,24 +534,6 @@ def q_orphan_report(spark, sf_dir):
     return candidates.orphan_report(p, "logit").withColumn("score", F.round("score", 6))
 
 
-#: Orphans of any size from 2 levels, as the reference reports them.
-_ALL_ORPHANS = "comp > 1 and n_levels >= 2"
-_ALL_PAIRS = _PAIRS.replace("comp > 1 AND n_levels <= 25", "comp > 1 AND n_levels >= 2")
-
-
-@query(f"WITH RECURSIVE {_ALL_PAIRS} SELECT net, orphan, orphan_level, main_level, d0, d1, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY net, orphan ORDER BY logit DESC, orphan_level, main_level) AS r FROM sc) WHERE r <= 5")
-def q_pair_features_top5_all_orphans(spark, sf_dir):
-    dqn = F.zip_with(qn_vector(F.col("orphan_level")), qn_vector(F.col("main_level")), lambda a, b: F.abs(a - b))
-    p = _best_pairs(spark, sf_dir, _ALL_ORPHANS).withColumn("dqn", dqn)
-    return p.select("net", "orphan", "orphan_level", "main_level", F.col("dqn")[0].alias("d0"), F.col("dqn")[1].alias("d1"), "rank")
-
-
-@query(f"WITH RECURSIVE {_ALL_PAIRS} SELECT net, orphan, orphan_level, main_level, round(1 / (1 + exp(-logit / 100)), 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY net, orphan ORDER BY 1 / (1 + exp(-logit / 100)) DESC, orphan_level, main_level) AS r FROM sc) WHERE r <= 5")
-def q_orphan_report_all_orphans(spark, sf_dir):
-    p = _best_pairs(spark, sf_dir, _ALL_ORPHANS).withColumn("logit", F.col("score") / 100).drop("score", "rank")
-    return candidates.orphan_report(p, "logit").withColumn("score", F.round("score", 6))
-
-
 # --- metrics ---------------------------------------------------------------------------------------------------------
 
 _SCORED = f"{_CORRUPT}, sc AS (SELECT *, ({_hash('31', 'net', 'seq')} % 2001 - 1000 + kind * 400) / 1000.0::DOUBLE AS score FROM cor)"
@@ -659,14 +632,191 @@ def q_window_cross_entropy(spark, sf_dir):
     return metrics.window_cross_entropy(candidates.recoverable(c), "net", "seq").select(F.round("loss", 6).alias("loss"))
 
 
+# --- further sources, sinks, filters and statistics -----------------------------------------------------------------------
+
+
+@query("SELECT 0 AS comp_is, 'chain' AS net, '0 0' AS level, 0.0::DOUBLE AS energy WHERE false UNION ALL SELECT * FROM (VALUES (1, 'chain', 'a', 0.0), (1, 'chain', 'b', 10.0), (1, 'chain', 'c', 15.0), (1, 'doubled', 'a', 0.0), (1, 'doubled', 'b', 10.08), (1, 'triangle', 'a', 0.0), (1, 'triangle', 'b', 10.0), (1, 'triangle', 'c', 15.0))")
+def q_in_memory_rows(spark, sf_dir):
+    """Networks given as rows: a chain, a doubled link of unequal weights, a closed triangle."""
+    given = {"chain": [(10.0, 1e-3, "b", "a"), (5.0, 1e-3, "c", "b")], "doubled": [(10.0, 1e-3, "b", "a"), (10.4, 2e-3, "b", "a")], "triangle": [(10.0, 1e-3, "b", "a"), (5.0, 1e-3, "c", "b"), (15.0, 1e-3, "c", "a")]}
+    rows = [(net, i, f, u, u, up, low, "00Test.1") for net, lines_ in given.items() for i, (f, u, up, low) in enumerate(lines_)]
+    t = spark.createDataFrame(rows, "net string, seq long, freq double, unc double, orig_unc double, upper string, lower string, ref string")
+    return solve.solve_energies(t).select(F.col("comp").alias("comp_is"), "net", "level", F.round("energy", 8).alias("energy"))
+
+
+@query(f"""WITH {T}, m AS (SELECT net, up AS level, seq, freq, unc, max(seq) FILTER (seq IN (4, 9)) OVER (PARTITION BY net) AS bar FROM t)
+SELECT net, level, max_by(freq::DECIMAL(18,2), seq)::DOUBLE AS energy, max_by(unc::DECIMAL(18,2), seq)::DOUBLE AS unc, max(seq)::INTEGER AS n_trans FROM m WHERE seq > bar AND seq <> 12 GROUP BY net, level""")
+def q_mrt_levels(spark, sf_dir):
+    t = adapters.transitions(spark, sf_dir)
+    money = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
+    row = F.concat_ws(" ", "net", F.lit("name"), "upper", money("freq"), money("unc"), "seq")
+    value = F.when(F.col("seq").isin(4, 9), F.lit("-" * 60)).when(F.col("seq") == 12, F.lit(" ")).otherwise(row)
+    return lines.parse_mrt_levels(t.select("net", F.col("seq").alias("line_no"), value.alias("value")))
+
+
+@query(f"""WITH {LINES}, s(tag, unit) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in SEGMENTS.items())}),
+ f AS (SELECT tag, CASE unit WHEN 'Hz' THEN 1.0 WHEN 'kHz' THEN 1e3 WHEN 'MHz' THEN 1e6 WHEN 'GHz' THEN 1e9 WHEN 'THz' THEN 1e12 ELSE 2.99792458e10 END::DOUBLE / 2.99792458e10::DOUBLE AS k FROM s)
+SELECT net, seq, CASE WHEN abs(freq * f.k) < 5e-7 THEN 0.0::DOUBLE ELSE round(freq * f.k, 6) END AS freq, round(unc * f.k, 9) AS unc, round(orig_unc * f.k, 9) AS orig_unc, upper, lower, excluded FROM p JOIN f ON f.tag = split_part(ref, '.', 1)""")
+def q_parse_with_segments(spark, sf_dir):
+    seg = spark.createDataFrame(list(SEGMENTS.items()), "tag string, unit string")
+    p = lines.parse_native(adapters.native_lines(spark, sf_dir), segments=seg)
+    freq = F.when(F.abs("freq") < 5e-7, F.lit(0.0)).otherwise(F.round("freq", 6))  # no zero with a sign
+    return p.select("net", "seq", freq.alias("freq"), F.round("unc", 9).alias("unc"), F.round("orig_unc", 9).alias("orig_unc"), "upper", "lower", "excluded")
+
+
+@query(f"""WITH {LINES}, loops AS (SELECT net, seq % 20 = 11 AS negative FROM p WHERE seq % 20 IN (11, 12))
+SELECT 'missing segment' AS rule, count(*) > 0 AS raised FROM p WHERE split_part(ref, '.', 1) = 'AF' UNION ALL SELECT 'all segments', count(*) > 0 FROM p WHERE split_part(ref, '.', 1) NOT IN ({', '.join(repr(k) for k in SEGMENTS)})
+UNION ALL SELECT 'self-loop, excluded', count(*) > 0 FROM loops WHERE negative AND NOT negative UNION ALL SELECT 'self-loop, kept', count(*) > 0 FROM loops WHERE NOT negative""")
+def q_checks_raise(spark, sf_dir):
+    """Which inputs the parser refuses: a tag without a segment, a kept line between a level and itself; not an excluded one."""
+    given = adapters.native_lines(spark, sf_dir)
+    loop = F.regexp_replace("value", r"1 ([0-9]+) 0 [0-9]+ ", "1 $1 1 $1 ")
+    seg = lambda skip: spark.createDataFrame([(k, v) for k, v in SEGMENTS.items() if k != skip], "tag string, unit string")
+    cases = {
+        "missing segment": lines.parse_native(given, segments=seg("AF")), "all segments": lines.parse_native(given, segments=seg(None)),
+        "self-loop, excluded": lines.parse_native(given.withColumn("value", F.when(F.col("line_no") % 20 == 11, loop).otherwise(F.col("value")))),
+        "self-loop, kept": lines.parse_native(given.withColumn("value", F.when(F.col("line_no") % 20 == 12, loop).otherwise(F.col("value")))),
+    }
+
+    def raised(df: DataFrame) -> bool:
+        try:
+            df.write.format("noop").mode("overwrite").save()
+        except Exception as e:  # noqa: BLE001
+            if "missing segment" not in str(e) and "upper == lower" not in str(e):
+                raise
+            return True
+        return False
+
+    return spark.createDataFrame([(k, raised(df)) for k, df in cases.items()], "rule string, raised boolean")
+
+
+@query(f"WITH {T} SELECT net, up AS upper, low AS lower, round(sum(freq / (orig_unc * orig_unc)) / sum(1 / (orig_unc * orig_unc)), 6) AS diff FROM t GROUP BY net, up, low")
+def q_weight_override(spark, sf_dir):
+    """Another column of uncertainties stands in for the weights."""
+    t = _pairwise(spark, sf_dir)
+    r = solve.residuals(t, solve.solve_energies(t, unc="orig_unc"))
+    return r.groupBy("net", "pair.upper", "pair.lower").agg(F.round(F.first(F.col("e_upper") - F.col("e_lower")), 6).alias("diff"))
+
+
+def _pairwise(spark, sf_dir):
+    """Each pair of levels of every net as a component of its own."""
+    pair = F.concat_ws("|", "upper", "lower")
+    return adapters.transitions(spark, sf_dir).withColumn("pair", F.struct("upper", "lower")).withColumns({"upper": F.concat_ws("|", F.lit("u"), pair), "lower": F.concat_ws("|", F.lit("l"), pair)})
+
+
+@query(f"""WITH {T}, g AS (SELECT net, up, low, sum(freq / (unc * unc)) / sum(1 / (unc * unc)) AS m FROM t GROUP BY ALL),
+ d AS (SELECT net, k, up, low, sum(freq / (u * u)) / sum(1 / (u * u)) AS x FROM (SELECT *, ({_hash('13', 'net', 'k', 'seq')} % 10 + 1) * orig_unc AS u FROM t, range(5) AS r(k)) GROUP BY ALL),
+ a AS (SELECT net, up, low, median(x) AS mid, stddev_samp(x) AS sd FROM d GROUP BY ALL)
+SELECT net, up AS upper, low AS lower, round(sqrt(2.0) * greatest(abs(m - mid), sd) + 0.0000123, 3) AS boot_unc FROM a JOIN g USING (net, up, low)""")
+def q_bootstrap_conflicting(spark, sf_dir):
+    """Bootstrap of conflicting parallel lines: the upper level of each pair, the lower one at 0."""
+    t = _pairwise(spark, sf_dir).drop("pair")
+    e = written(solve.solve_energies(t), "energies")
+    boot = solve.bootstrap_statistics(solve.bootstrap_samples(t, iterations=5, seed=13), e).where("level like 'u|%'")
+    key = F.split("level", r"\|")
+    return boot.select("net", key[1].alias("upper"), key[2].alias("lower"), F.round(F.col("boot_unc") + 0.0000123, 3).alias("boot_unc"))
+
+
+@query(f"""WITH RECURSIVE {_CAND}, s AS (SELECT *, {_hash('61', 'net', 'seq')} % 5 AS o FROM cand), tr AS (SELECT net, seq, bool_or(pos = o) AS known FROM s GROUP BY net, seq)
+SELECT s.net, s.seq, s.pos, s.cand_level, s.pos = s.o AS is_target FROM s JOIN tr USING (net, seq) WHERE known""")
+def q_recoverable(spark, sf_dir):
+    """Candidates of suspects whose true upper level is among them; of every fifth suspect by hash it is none that is asked for."""
+    t = adapters.transitions(spark, sf_dir)
+    o = hashed(61, F.col("net"), F.col("seq")) % 5
+    moved = F.element_at(F.array(*[F.lit(d) for d in (*candidates.OFFSETS, 1_000_000)]), (o + 1).cast("int"))
+    e = written(solve.solve_energies(adapters.consistent(spark, sf_dir)), "energies")
+    c = candidates.correction_candidates(t.withColumn("orig_upper", shifted(F.col("upper"), 1, moved)), e)
+    return candidates.recoverable(c).select("net", "seq", "pos", "cand_level", "is_target")
+
+
+@query(f"""WITH {T}, {ENDS}, lv AS (SELECT DISTINCT net, level FROM ends), v AS (SELECT net, ({_hash('71', 'net', 'level')} % 2001 - 1000) / 100.0 AS d, ({_hash('72', 'net', 'level')} % 1000) / 100.0 AS unc FROM lv)
+SELECT net, round(avg((abs(d) <= unc)::INTEGER), 6) AS share FROM v GROUP BY net""")
+def q_within_sigma(spark, sf_dir):
+    p = adapters.published(spark, sf_dir).withColumn("energy", F.lit(100.0))
+    moved = F.lit(100.0) + (hashed(71, F.col("net"), F.col("level")) % 2001 - 1000) / 100.0
+    c = p.withColumn("unc", (hashed(72, F.col("net"), F.col("level")) % 1000) / 100.0).withColumn("energy", moved)
+    # a distance of exactly one uncertainty may fall on either side once 100 is added
+    odd = F.abs(F.abs((hashed(71, F.col("net"), F.col("level")) % 2001 - 1000) / 100.0) - F.col("unc")) < 1e-9
+    c = c.withColumn("unc", F.when(odd, F.col("unc") + 1e-6).otherwise(F.col("unc")))
+    return metrics.within_sigma(c, p).select("net", F.round("share", 6).alias("share"))
+
+
+@query(f"WITH {_ERR} SELECT net, level, count(err) AS n, round(stddev_pop(err), 4) AS spread FROM er GROUP BY net, level")
+def q_spread_of_errors(spark, sf_dir):
+    levels = adapters.published(spark, sf_dir).select("net", "level")
+    k = levels.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    lost = hashed(51, F.col("net"), F.col("level"), F.col("k")) % 7 == 0
+    err = k.withColumn("err", F.when(lost, F.when(F.col("k") % 2 == 0, F.lit(float("nan")))).otherwise((hashed(52, F.col("net"), F.col("level"), F.col("k")) % 2001 - 1000) / 10.0))
+    return metrics.spread_of_errors(err).withColumn("spread", F.round("spread", 4))
+
+
+@query(f"""WITH {_SCORED}, ap AS (SELECT net, sum(y * p) / sum(y) AS ap FROM (SELECT net, y, sum(y) OVER w / row_number() OVER w AS p FROM (SELECT (kind > 0)::INTEGER AS y, score, net, seq FROM sc) WINDOW w AS (PARTITION BY net ORDER BY score DESC, seq ROWS UNBOUNDED PRECEDING)) GROUP BY net)
+SELECT count(*) AS nets, round(avg(ap), 6) AS ap FROM ap""")
+def q_mean_over_nets(spark, sf_dir):
+    per = metrics.average_precision(_scored(spark, sf_dir), F.col("kind") > 0, "net")
+    return per.agg(F.count("*").alias("nets")).join(F.broadcast(metrics.mean_over(per, "ap"))).select("nets", F.round("ap", 6).alias("ap"))
+
+
+@query(SQL["q_refit_survival"].replace("SELECT net, sample, count(*) AS survivors FROM alive GROUP BY net, sample", "SELECT net, sample, count(*) - 1 AS levels FROM alive GROUP BY net, sample HAVING count(*) > 1"))
+def q_ground_excluded(spark, sf_dir):
+    """Errors of all levels but the ground."""
+    m = _main(spark, sf_dir)
+    e = written(solve.solve_energies(m).withColumn("energy", F.round("energy", 6)), "energies")
+    err = simulate.without_ground(simulate.refit_errors(m, e, n_samples=2, seed=9), e)
+    return err.groupBy("net", "sample").agg(F.count("*").alias("levels"))
+
+
+@query(f"WITH RECURSIVE {CC} SELECT t.net, comps.comp, t.seq FROM t JOIN comps ON comps.net = t.net AND comps.level = t.up WHERE comp > 1")
+def q_rest_of_components(spark, sf_dir):
+    """Lines of all components but the largest."""
+    labelled, _ = network.split_components(adapters.transitions(spark, sf_dir))
+    return labelled.where("comp > 1").select("net", "comp", "seq")
+
+
+@query(f"""WITH RECURSIVE {_CORRUPT}, t2 AS (SELECT net, seq, upper AS up, lower AS low, freq, unc, kind, mag, orig_upper FROM cor), {CC.removeprefix(T + ", ").replace("FROM t ", "FROM t2 ").replace("FROM t)", "FROM t2)")}
+SELECT t2.net, t2.seq, kind, round(mag, 6) AS mag, orig_upper FROM t2 JOIN comps ON comps.net = t2.net AND comps.level = t2.up WHERE comp = 1""")
+def q_labels_follow(spark, sf_dir):
+    """Labels stay with the lines of the main component of a corrupted net."""
+    c = network.largest_component(simulate.corrupt(adapters.transitions(spark, sf_dir), seed=11))
+    return c.select("net", "seq", F.col("kind").cast("int").alias("kind"), F.round("mag", 6).alias("mag"), "orig_upper")
+
+
+@query(f"WITH {T} SELECT net, k::INTEGER AS copy, count(*) AS n, greatest(1, round_even(0.05 * count(*), 0))::BIGINT AS bad FROM t, range(3) AS r(k) GROUP BY net, k")
+def q_corrupted_copies(spark, sf_dir):
+    """Several corrupted copies of each net in one table, each with as many bad lines as were asked for."""
+    c = simulate.corrupt(simulate.copies(adapters.transitions(spark, sf_dir), 3), seed=5)
+    return c.groupBy("net", "copy").agg(F.count("*").alias("n"), F.count_if(F.col("kind") > 0).alias("bad"))
+
+
+@query("SELECT 'w' || i AS name, i::INTEGER AS rows, (i + 1)::INTEGER AS cols, (SELECT sum(0.5 * k) FROM range(0, i * (i + 1)) AS r(k))::DOUBLE AS total FROM range(1, 6) AS s(i)")
+def q_checkpoint_round_trip(spark, sf_dir):
+    """Weights through their table: names, shapes and values."""
+    import numpy as np
+
+    from ..operators import model
+
+    path = scratch_path(spark, "weights")
+    model.save(spark, {f"w{i}": 0.5 * np.arange(i * (i + 1), dtype=float).reshape(i, i + 1) for i in range(1, 6)}, path)
+    return spark.createDataFrame([(k, *v.shape, float(v.sum())) for k, v in model.load(spark, path).items()], "name string, rows int, cols int, total double")
+
+
+@query(f"""WITH RECURSIVE {_CAND}, s AS (SELECT *, {_LOGIT} AS ol FROM cand), f AS (SELECT net, seq, any_value(ol) AS ol FROM s WHERE ol > 0 GROUP BY net, seq)
+SELECT net, seq, round(1 / (1 + exp(-ol)), 6) AS outlier_p, (SELECT greatest(count(*) - 10, 0) FROM f) AS more FROM f ORDER BY ol DESC, net, seq LIMIT 10""")
+def q_report_preview(spark, sf_dir):
+    """The correction report through its sink: the first ten rows, and how many more there are."""
+    t, c = _candidates(spark, sf_dir)
+    t = t.withColumn("ol", (hashed(21, F.col("net"), F.col("seq")) % 2001 - 1000) / 500.0)
+    c = c.withColumn("logit", (hashed(22, F.col("net"), F.col("seq"), F.col("pos")) % 2001 - 1000) / 500.0)
+    report = written(candidates.correction_report(t, "ol", c), "report")
+    return metrics.preview(report, F.desc("outlier_p"), "net", "seq").select("net", "seq", F.round("outlier_p", 6).alias("outlier_p"), "more")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Energies of the largest component of every net."""
     energies = solve.solve_energies(adapters.consistent(attach(spark), sf_dir))
     return energies.where("comp = 1").select("net", "level", F.round("energy", 4).alias("energy"))
 
 
-
-
 @query()
 def q_model_forward(spark, sf_dir):
     """Widths of all levels by the model with its initial weights."""
@@ -677,13 +827,28 @@ def q_model_forward(spark, sf_dir):
     return model.score_levels(nodes, edges, model.initial(7, hidden=16, layers=2)).select("net", "level", "log_sigma")
 
 
-@query(f"""WITH RECURSIVE {CC}, l AS (SELECT net, comp AS orphan_id, min(level) AS o FROM comps WHERE comp > 1 GROUP BY ALL), o AS (SELECT net, comp AS orphan_id, level, row_number() OVER (PARTITION BY net, comp ORDER BY level) - 1 AS i FROM comps WHERE comp > 1),
+_NEGATIVE = f"""WITH RECURSIVE {CC}, l AS (SELECT net, comp AS orphan_id, min(level) AS o FROM comps WHERE comp > 1 GROUP BY ALL), o AS (SELECT net, comp AS orphan_id, level, row_number() OVER (PARTITION BY net, comp ORDER BY level) - 1 AS i FROM comps WHERE comp > 1),
  m AS (SELECT net, level, row_number() OVER (PARTITION BY net ORDER BY level) - 1 AS j FROM comps WHERE comp = 1), n AS (SELECT net, orphan_id, count(*) AS n_o FROM o GROUP BY ALL), q AS (SELECT net, count(*) AS n_m FROM m GROUP BY net),
  d AS (SELECT n.net, n.orphan_id, k, {_hash('6', "'o'", 'n.net', '0', 'n.orphan_id', 'k')} % n_o AS i, {_hash('6', "'m'", 'n.net', '0', 'n.orphan_id', 'k')} % n_m AS j FROM n JOIN q USING (net), range(3) AS r(k))
 SELECT d.net, 0 AS copy, d.orphan_id, d.k, o.level AS orphan_level, m.level AS main_level, 0 AS label FROM d JOIN o ON o.net = d.net AND o.orphan_id = d.orphan_id AND o.i = d.i JOIN m ON m.net = d.net AND m.j = d.j
-UNION ALL SELECT l.net, 0, l.orphan_id, -1, o, (SELECT min(level) FROM m WHERE m.net = l.net), 1 FROM l""")
+UNION ALL SELECT l.net, 0, l.orphan_id, -1, o, (SELECT min(level) FROM m WHERE m.net = l.net), 1 FROM l"""
+
+
+@query(_NEGATIVE)
 def q_negative_pairs(spark, sf_dir):
+    return _drawn_pairs(spark, sf_dir)
+
+
+def _drawn_pairs(spark, sf_dir):
     c = written(network.components(adapters.transitions(spark, sf_dir)).withColumn("copy", F.lit(0)), "comps")
     off, main = c.where("comp > 1").withColumnRenamed("comp", "orphan_id").select("net", "copy", "orphan_id", "level"), c.where("comp = 1").select("net", "copy", "level")
     links = off.groupBy("net", "copy", "orphan_id").agg(F.min("level").alias("orphan_level")).join(main.groupBy("net", "copy").agg(F.min("level").alias("main_level")), ["net", "copy"])
     return simulate.negative_pairs(links, off, main, n_neg=3, seed=6)
+
+
+@query(f"""WITH n AS ({_NEGATIVE}), x AS (SELECT label, ({_hash('81', 'net', 'orphan_id', 'k')} % 2001 - 1000) / 500.0 AS z FROM n)
+SELECT round(avg(CASE WHEN label = 1 THEN 3 * ln(1 + exp(-z)) ELSE ln(1 + exp(z)) END), 6) AS loss FROM x""")
+def q_link_loss(spark, sf_dir):
+    """Log-loss of the true links against drawn pairs, a true one weighing as much as its negatives."""
+    z = (hashed(81, F.col("net"), F.col("orphan_id"), F.col("k")) % 2001 - 1000) / 500.0
+    return metrics.weighted_log_loss(_drawn_pairs(spark, sf_dir).withColumn("logit", z), 3.0).select(F.round("loss", 6).alias("loss"))
