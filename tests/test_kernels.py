@@ -1,8 +1,12 @@
 """Kernels against brute force and closed forms."""
 
 import itertools
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -104,3 +108,53 @@ def test_detach_keeps_ground_and_sizes():
             assert root in side and anchor not in side
     picks, _ = K.detach(9, u, l, 0, [(3, 4), (1, 3)], 5, 3)
     assert picks[0][0] == {4, 5} and len(picks) == 1  # the level between the cuts is alone
+
+
+def spectral(rng, n, extra, span=0.0):
+    """Lines between near levels: a tree and extra links."""
+    u = np.arange(1, n)
+    l = np.maximum(0, u - rng.integers(1, 4, n - 1))  # noqa: E741
+    a = rng.integers(0, n, extra)
+    b = np.clip(a + rng.integers(-40, 41, extra), 0, n - 1)
+    ok = a != b
+    u, l = np.concatenate([u, a[ok]]), np.concatenate([l, b[ok]])  # noqa: E741
+    x = rng.normal(size=n) * 1e4
+    return u, l, x[u] - x[l] + rng.normal(size=len(u)) * 1e-3, 10.0 ** rng.uniform(-span, span, len(u))
+
+
+@pytest.mark.parametrize("span", [0.0, 5.0])
+@pytest.mark.parametrize("dense", [1, 2, 30, 400])
+def test_elimination_equals_a_dense_solve(span, dense):
+    rng = np.random.default_rng(int(span) + dense)
+    u, l, f, w = spectral(rng, 300, 500, span)  # noqa: E741
+    e = K.Elimination(300, u, l, w, dense=dense)
+    assert len(e.left) <= max(dense, 1)
+    inverse = np.zeros((300, 300))
+    inverse[1:, 1:] = np.linalg.inv(K.laplacian(300, u, l, w)[1:, 1:])
+    rhs = np.bincount(u, weights=w * f, minlength=300) - np.bincount(l, weights=w * f, minlength=300)
+    x, y = e.solve(rhs), inverse @ rhs
+    assert np.allclose(x - x[0], y - y[0], rtol=1e-6, atol=1e-4)
+    assert np.allclose(e.resistances(u, l), inverse[u, u] + inverse[l, l] - 2 * inverse[u, l], rtol=1e-6)
+    x = K.potentials(300, u, l, f, w)  # the normal equations hold
+    r = w * (f - (x[u] - x[l]))
+    left = np.bincount(u, weights=r, minlength=300) - np.bincount(l, weights=r, minlength=300)
+    assert np.abs(left).max() <= 1e-9 * np.abs(w * f).max()
+
+
+def test_a_core_of_fifty_thousand_levels_takes_little_memory():
+    code = """
+import resource, numpy as np, sys
+sys.path.insert(0, sys.argv[1])
+from lineweave.operators import kernels as K
+from tests.test_kernels import spectral
+n = 50_000
+u, l, f, w = spectral(np.random.default_rng(0), n, 60_000)
+x = K.potentials(n, u, l, f, w)
+r = w * (f - (x[u] - x[l]))
+assert abs(np.bincount(u, weights=r, minlength=n) - np.bincount(l, weights=r, minlength=n)).max() < 1e-6
+assert abs(K.leverages(n, u, l, w).sum() - (n - 1)) < 1e-4
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+"""
+    root = Path(__file__).resolve().parent.parent
+    out = subprocess.run([sys.executable, "-c", code, str(root)], cwd=root, check=True, timeout=300, capture_output=True, text=True)
+    assert int(out.stdout) < 1 << 20  # KB
