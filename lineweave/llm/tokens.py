@@ -81,6 +81,15 @@ def piece_words(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray
     return outer, inner
 
 
+def _room(columns: np.ndarray, used: int, wanted: int) -> np.ndarray:
+    """``columns`` with room for ``wanted`` entries; of the old ones ``used`` stay."""
+    if wanted <= columns.shape[1]:
+        return columns
+    grown = np.zeros((len(columns), max(wanted, columns.shape[1] * 3 // 2)), dtype=columns.dtype)
+    grown[:, :used] = columns[:, :used]
+    return grown
+
+
 class Encoder:
     """Ids of columns of texts, as the tokenizers library gives them without adding tokens of its own."""
 
@@ -104,9 +113,14 @@ class Encoder:
         self._clear()
 
     def _clear(self):
-        """An empty table: sorted hashes with the row of each; rows, in order of learning, have a piece's bytes and the place and number of its ids."""
-        self.keys, self.row = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        self.columns = np.zeros((7, 1 << 12), dtype=np.uint64)
+        """An empty table: sorted hashes with the row of each.
+
+        Rows, in order of learning, have a piece's first and last bytes, and packed into one number how many ids it has (8 bits), where they
+        stand in the pool (32) and the row of its middle bytes (24), which only pieces of over 16 bytes have.
+        """
+        self.keys, self.row = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+        self.columns = np.zeros((3, 1 << 12), dtype=np.uint64)
+        self.inner, self.n_inner = np.zeros((3, 1 << 8), dtype=np.uint64), 0
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
 
@@ -144,16 +158,20 @@ class Encoder:
         n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         total = int(n.sum())
         if self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), total), dtype=np.uint32)])
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool) // 2, total), dtype=np.uint32)])
         self.pool[self.used : self.used + total] = np.fromiter((x for i in ids for x in i), dtype=np.uint32, count=total)
         first, rows = len(self.keys), len(self.keys) + len(keys)
-        if rows > self.columns.shape[1]:
-            grown = np.zeros((7, max(rows, 2 * self.columns.shape[1])), dtype=np.uint64)
-            grown[:, :first] = self.columns[:, :first]
-            self.columns = grown
-        self.columns[:, first:rows] = np.concatenate([*words, np.stack([n, self.used + np.cumsum(n) - n]).astype(np.uint64)])
+        outer, inner = words
+        long = np.flatnonzero(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) > 16)
+        self.columns, self.inner = _room(self.columns, first, rows), _room(self.inner, self.n_inner, self.n_inner + len(long))
+        at_inner = np.zeros(len(keys), dtype=np.uint64)
+        at_inner[long] = np.arange(self.n_inner, self.n_inner + len(long))
+        self.inner[:, self.n_inner : self.n_inner + len(long)] = inner[:, long]
+        self.n_inner += len(long)
+        self.columns[:2, first:rows] = outer
+        self.columns[2, first:rows] = n.astype(np.uint64) | (self.used + np.cumsum(n) - n).astype(np.uint64) << np.uint64(8) | at_inner << np.uint64(40)
         where = np.searchsorted(self.keys, keys)
-        self.keys, self.row = np.insert(self.keys, where, keys), np.insert(self.row, where, np.arange(first, rows))
+        self.keys, self.row = np.insert(self.keys, where, keys), np.insert(self.row, where, np.arange(first, rows, dtype=np.int32))
         self.used += total
 
     def _slab(self, raw: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,9 +214,10 @@ class Encoder:
         if len(self.keys):
             row, far = self.row[at][back], np.flatnonzero(kept & (e - s > 16))
             told = self.columns
-            if any(((told[k][row] != outer[k]) & kept).any() for k in (0, 1)) or (told[2:5, row[far]] != inner[:, far]).any():
+            packed = told[2][row]
+            if any(((told[k][row] != outer[k]) & kept).any() for k in (0, 1)) or (self.inner[:, (packed[far] >> np.uint64(40)).astype(np.int64)] != inner[:, far]).any():
                 return self._each(raw, starts)
-            lens, froms = told[5][row].astype(np.int64), told[6][row].astype(np.int64)
+            lens, froms = (packed & np.uint64(255)).astype(np.int64), (packed >> np.uint64(8) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         else:
             lens, froms = np.zeros(len(s), dtype=np.int64), np.zeros(len(s), dtype=np.int64)
         pool = self.pool
