@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, media, mixing, packing, quality, secrets, simhash, token_counts, token_orc
+from . import chat, collocations, licenses, media, mixing, packing, quality, secrets, simhash, token_counts, token_orc
 from ..session import attach
 from .common import table
 
@@ -55,6 +55,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.peak_pairs(media.to_wav(table(spark, sf_dir, "documents"))))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 #: n-gram buckets, weights in millionths of a nat and base counts, as the operator defines them.
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -130,12 +134,29 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+#: Pieces, their words, phrases of one to five words with their counts, all cuts, candidates that no longer one holds.
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 6) AS r(m))),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS x, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+s AS (SELECT c.lang, c.m, c.phrase, c.a, k, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n // (l.a::HUGEINT * r.a))::BIGINT AS score
+      FROM c JOIN n USING (lang) JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(x[:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(x[k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(x[i:i + j - 1], ' ') AS phrase, max(a) AS most
+      FROM (SELECT lang, m, string_split(phrase, ' ') AS x, a, j, unnest(range(1, m - j + 2)) AS i FROM f, range(2, 5) AS r(j) WHERE m > j) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b LEFT JOIN i USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a QUALIFY rank <= 2000
+"""
+
 QUERIES = {
     "op1_quality_llr": op1_quality_llr, "op2_simhash": op2_simhash, "op3_token_orc": op3_token_orc, "op4_token_counts": op4_token_counts,
     "op5_secrets": op5_secrets, "op6_mixing": op6_mixing, "op7_chat": op7_chat, "op8_packing": op8_packing, "op9_licenses": op9_licenses,
-    "op10_media": op10_media,
+    "op10_media": op10_media, "op12_collocations": op12_collocations,
 }
-SQL = {"op1_quality_llr": OP1_SQL, "op6_mixing": OP6_SQL, "op7_chat": OP7_SQL}
+SQL = {"op1_quality_llr": OP1_SQL, "op6_mixing": OP6_SQL, "op7_chat": OP7_SQL, "op12_collocations": OP12_SQL}
 
 
 def _attached(f):
