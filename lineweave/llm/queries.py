@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, licenses, media, mixing, packing, quality, secrets, simhash, token_counts, token_orc
+from . import chat, collocations, licenses, maxent, media, mixing, packing, quality, secrets, simhash, token_counts, token_orc
 from ..session import attach
 from .common import table
 
@@ -55,6 +55,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.peak_pairs(media.to_wav(table(spark, sf_dir, "documents"))))
 
 
+def op11_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.lm_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -154,7 +158,7 @@ FROM b LEFT JOIN i USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 *
 QUERIES = {
     "op1_quality_llr": op1_quality_llr, "op2_simhash": op2_simhash, "op3_token_orc": op3_token_orc, "op4_token_counts": op4_token_counts,
     "op5_secrets": op5_secrets, "op6_mixing": op6_mixing, "op7_chat": op7_chat, "op8_packing": op8_packing, "op9_licenses": op9_licenses,
-    "op10_media": op10_media, "op12_collocations": op12_collocations,
+    "op10_media": op10_media, "op11_maxent_lm": op11_maxent_lm, "op12_collocations": op12_collocations,
 }
 SQL = {"op1_quality_llr": OP1_SQL, "op6_mixing": OP6_SQL, "op7_chat": OP7_SQL, "op12_collocations": OP12_SQL}
 
