@@ -143,28 +143,36 @@ class Step:
         other = self.cls >= SHORT
         self.logs[other] += v.share[now[other]]
 
-    def gradients(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Gradients of both factors' weights and the tokens that reach each row; probabilities are used up."""
+    def gradients(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, gradients, tokens that reach them) of the weights of either factor; probabilities are used up."""
         self.pa[np.arange(len(self.cls)), self.cls] -= 1
         self.pb[np.arange(len(self.slot)), self.slot] -= 1
-        ga, na = _scattered(self.pa, self.fa)
-        ga[ROWS] = self.pa.sum(axis=0)
-        na[ROWS] = len(self.cls)
-        gb, nb = _scattered(self.pb, self.fb)
-        return ga, na, gb, nb
-
-
-def _scattered(g: np.ndarray, features: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    total, n = np.zeros((ROWS + BLOCK, g.shape[1]), dtype=np.float32), np.zeros(ROWS + BLOCK, dtype=np.int64)
-    for f in features:
-        if not len(f):
-            continue
-        order = np.argsort(f.astype(np.uint16), kind="stable")  # radix
-        rows = f[order]
-        at = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1])
-        total[rows[at]] += np.add.reduceat(g[order], at, axis=0)
-        n += np.bincount(f, minlength=len(n))
-    return total, n
+        rows, g, n = _scattered(self.pa, self.fa)
+        always = (np.append(rows, ROWS), np.concatenate([g, self.pa.sum(axis=0, keepdims=True)]), np.append(n, len(self.cls)))
+        return [always, _scattered(self.pb, self.fb)]
+
+
+def _scattered(g: np.ndarray, features: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows that features name, sums of ``g`` over the tokens that do so, number of these)."""
+    f = np.concatenate(features).astype(np.uint16)
+    if not len(f):
+        return np.zeros(0, dtype=np.int64), np.zeros((0, g.shape[1]), dtype=g.dtype), np.zeros(0, dtype=np.int64)
+    order = np.argsort(f, kind="stable")  # radix
+    f = f[order]
+    at = np.concatenate([[0], np.flatnonzero(f[1:] != f[:-1]) + 1])
+    n = np.diff(at, append=len(f))
+    return f[at].astype(np.int64), _sums(np.take(g, order % len(g), axis=0), at, n), n
+
+
+def _sums(g: np.ndarray, at: np.ndarray, n: np.ndarray, short: int = 12) -> np.ndarray:
+    """Sums of ``n`` rows from ``at`` on: short runs row by row for all of them at once, long ones run by run."""
+    out = np.take(g, at, axis=0)
+    for k in range(1, short):
+        runs = np.flatnonzero((n > k) & (n <= short))
+        out[runs] += np.take(g, at[runs] + k, axis=0)
+    for i in np.flatnonzero(n > short).tolist():
+        out[i] = g[at[i] : at[i] + n[i]].sum(axis=0)
+    return out
 
 
 def _learn(m: Model, v: Vocabulary, batches: Iterator[list[np.ndarray]], rate: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -177,14 +185,16 @@ def _learn(m: Model, v: Vocabulary, batches: Iterator[list[np.ndarray]], rate: f
     for texts in batches:
         t, w1, w2 = _contexts(texts, begin)
         for at in range(0, len(t), BATCH):
-            ga, na, gb, nb = Step(now, v, t[at : at + BATCH], w1[at : at + BATCH], w2[at : at + BATCH]).gradients()
-            for w, g, n, sq, all_ in ((now.a, ga, na, squares[0], seen[0]), (now.b, gb, nb, squares[1], seen[1])):
-                rows = np.flatnonzero(n)
-                all_ += n
-                g = g[rows]
-                s = sq[rows] + g * g
+            found = Step(now, v, t[at : at + BATCH], w1[at : at + BATCH], w2[at : at + BATCH]).gradients()
+            for w, sq, total, (rows, g, n) in zip((now.a, now.b), squares, seen, found):
+                total[rows] += n
+                s = np.take(sq, rows, axis=0)
+                s += g * g
                 sq[rows] = s
-                w[rows] -= rate * g / np.sqrt(s)
+                np.sqrt(s, out=s)
+                g /= s
+                g *= np.float32(rate)
+                w[rows] -= g
     return [now.a - m.a, now.b - m.b], seen
 
 

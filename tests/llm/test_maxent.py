@@ -117,17 +117,17 @@ def test_gradients_equal_differences():
     m.b = (m.b + r.normal(0, 0.3, m.b.shape)).astype(np.float64)
     now, w1, w2 = (r.integers(0, 2501, 40) for _ in range(3))
     loss = lambda: -M.Step(m, v, now, w1, w2).logs.sum()
-    ga, na, gb, nb = M.Step(m, v, now, w1, w2).gradients()
-    for w, g, n in ((m.a, ga, na), (m.b, gb, nb)):
-        for row in np.flatnonzero(n)[:6].tolist() + [int(np.flatnonzero(n)[-1])]:
-            col = int(np.abs(g[row]).argmax())
+    for w, (rows, g, n) in zip((m.a, m.b), M.Step(m, v, now, w1, w2).gradients()):
+        assert (n > 0).all() and len(set(rows.tolist())) == len(rows)
+        for i in [0, 1, 2, 3, len(rows) - 2, len(rows) - 1]:
+            row, col = rows[i], int(np.abs(g[i]).argmax())
             keep = w[row, col]
             w[row, col] = keep + 1e-5
             high = loss()
             w[row, col] = keep - 1e-5
             low = loss()
             w[row, col] = keep
-            assert (high - low) / 2e-5 == pytest.approx(g[row, col], rel=1e-3, abs=1e-4)
+            assert (high - low) / 2e-5 == pytest.approx(g[i, col], rel=1e-3, abs=1e-4)
 
 
 def test_moves_are_added_in_any_order():
@@ -140,3 +140,11 @@ def test_moves_are_added_in_any_order():
     one = {r["block"]: r for b in M._added(b for p in parts for b in p) for r in b.to_pylist()}
     two = {r["block"]: r for b in M._added(b for p in reversed(parts) for b in p) for r in b.to_pylist()}
     assert one == two and len(one) > 300
+
+
+def test_sums_of_runs():
+    r = np.random.default_rng(5)
+    n = np.array([1, 40, 2, 12, 13, 1, 5, 300])
+    g = r.normal(size=(n.sum(), 3))
+    at = np.concatenate([[0], np.cumsum(n)[:-1]])
+    assert np.allclose(M._sums(g, at, n), np.add.reduceat(g, at, axis=0))
