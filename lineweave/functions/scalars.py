@@ -43,9 +43,13 @@ def weight(unc: Column) -> Column:
     return F.lit(1.0) / (unc * unc)
 
 
+#: A number of the file format.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i)(nan|inf|infinity)$"
+
+
 def number(token: Column) -> Column:
     """A token as a double, null for none; bad ones raise.  Only what is a number in the file format passes the cast."""
-    ok = token.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i)(nan|inf|infinity)$")
+    ok = token.rlike(NUMBER)
     return F.when(ok, token.cast("double")).when(token.isNotNull(), F.raise_error(F.concat(F.lit("not a number: "), token)).cast("double"))
 
 

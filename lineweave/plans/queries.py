@@ -311,8 +311,13 @@ def q_bootstrap_tree_zero(spark, sf_dir):
     return boot.groupBy("net").agg(F.count_if(F.col("boot_unc") > 1e-6).alias("violations"))
 
 
-@query(f"""WITH RECURSIVE {EN}, {_GROUND}, step AS (SELECT net, up AS src, low AS dst, min(unc * unc) AS cost FROM t GROUP BY ALL UNION ALL SELECT net, low, up, min(unc * unc) FROM t GROUP BY ALL), {_PATHS}
-SELECT en.net, en.comp, en.level, round(energy, 4) AS energy, round(sqrt(d), 8) AS unc FROM en JOIN w ON w.net = en.net AND w.level = en.level""")
+def solved_networks(columns: str) -> str:
+    """SQL of energies and path uncertainties of consistent networks: ``columns`` of ``en`` and ``w``."""
+    step = "step AS (SELECT net, up AS src, low AS dst, min(unc * unc) AS cost FROM t GROUP BY ALL UNION ALL SELECT net, low, up, min(unc * unc) FROM t GROUP BY ALL)"
+    return f"WITH RECURSIVE {EN}, {_GROUND}, {step}, {_PATHS} SELECT {columns} FROM en JOIN w ON w.net = en.net AND w.level = en.level"
+
+
+@query(solved_networks("en.net, en.comp, en.level, round(energy, 4) AS energy, round(sqrt(d), 8) AS unc"))
 def q_solve_network(spark, sf_dir):
     s = solve.solve_network(adapters.consistent(spark, sf_dir).withColumn("freq", F.round("freq", 6)))
     return s.select("net", "comp", "level", F.round("energy", 4).alias("energy"), F.round("unc", 8).alias("unc"))

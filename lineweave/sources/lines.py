@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import floored, number, tag, tokens, unit_factor
+from ..functions.scalars import NUMBER, floored, number, tag, tokens, unit_factor
 
 #: Fixed value: how the line before the data of a machine-readable table begins.
 DIVIDER = "-" * 40
@@ -32,6 +32,38 @@ def _is_data() -> Column:
     return (F.size("tok") >= 5) & ~F.startswith(F.get("tok", F.lit(0)), F.lit("#"))
 
 
+#: What the native parser makes of a line, in the order in which it is asked.
+LINE_KINDS = ("divider", "blank", "comment", "marked", "short", "data", "words")
+
+
+def text_lines(text: Column) -> Column:
+    """Lines of a text; what follows the last line end counts as one."""
+    return F.split(text, r"\r\n|\n|\r")
+
+
+def _numeric(token: Column) -> Column:
+    return F.coalesce(token.rlike(NUMBER), F.lit(False))
+
+
+def line_kind(value: Column) -> Column:
+    """One of ``LINE_KINDS``: a divider of a table, no tokens, a comment (``&``), marked by ``#``, fewer than five tokens, data (three
+    numbers first, then tokens for two levels and a reference), or other words.
+
+    What is data here passes ``parse_native``, given the number of tokens that ``line_nqn`` tells.
+    """
+    tok = tokens(value)
+    numbers = _numeric(F.get(tok, F.lit(0))) & _numeric(F.get(tok, F.lit(1))) & _numeric(F.get(tok, F.lit(2)))
+    return (
+        F.when(F.startswith(value, F.lit(DIVIDER)), "divider").when(F.size(tok) == 0, "blank").when(F.contains(value, F.lit("&")), "comment").when(F.startswith(F.get(tok, F.lit(0)), F.lit("#")), "marked")
+        .when(F.size(tok) < 5, "short").when(numbers & (F.size(tok) >= 6), "data").otherwise("words")
+    )
+
+
+def line_nqn(value: Column) -> Column:
+    """Tokens of a level in a data line, as the parser infers them."""
+    return F.floor((F.size(tokens(value)) - 4) / 2).cast("int")
+
+
 def _data_lines(lines: DataFrame) -> DataFrame:
     """Lines that are neither comments nor too short, as tokens."""
     toks = lines.where(~F.contains(F.col("value"), F.lit("&"))).withColumn("tok", tokens(F.col("value")))

@@ -6,7 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lineweave.plans.queries import QUERIES, SQL
+from jobs.queries import QUERIES as JOBS, SQL as JOBS_SQL
+from lineweave.plans import queries as engine
+
+QUERIES, SQL = engine.QUERIES | JOBS, engine.SQL | JOBS_SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
