@@ -323,36 +323,59 @@ def leverages(n: int, u, l, w) -> np.ndarray:  # noqa: E741
     return np.clip(h, 0.0, 1.0)
 
 
-def reachable(near: list[list[tuple[int, int]]], start: int, blocked_nodes: set[int], blocked: tuple[int, int]) -> set[int]:
-    """Levels that ``start`` reaches without ``blocked_nodes`` and without the link ``blocked``."""
-    seen, todo = {start}, [start]
-    while todo:
-        a = todo.pop()
-        for b, _ in near[a]:
-            if b not in seen and b not in blocked_nodes and {a, b} != set(blocked):
-                seen.add(b)
-                todo.append(b)
-    return seen
-
-
-def detach(n: int, u, l, ground: int, order_of_bridges: list[tuple[int, int]], n_detach: int, max_size: int):  # noqa: E741
-    """Cuts up to ``n_detach`` bridges in the given order; the side without ``ground``, of 2 to ``max_size`` levels, leaves.
-
-    Returns the picks (levels, root, anchor) in order; a later pick may hold an earlier one's anchor.
+class Rooted:
+    """A connected network hung up at ``root``: parents in a breadth-first tree, and an order in which each subtree is one range.
+
+    What a bridge separates from the root is the subtree of its lower end, so sides of cuts are ranges of that order.
     """
-    near = neighbours(n, u, l)
-    gone: set[int] = set()
-    picks = []
-    for a, b in order_of_bridges:
-        if len(picks) == n_detach:
-            break
-        if a in gone or b in gone:
-            continue
-        side = reachable(near, a, gone, (a, b))
-        root, anchor = (b, a) if ground in side else (a, b)
-        if root == b:
-            side = reachable(near, b, gone, (a, b))
-        if 2 <= len(side) <= max_size:
-            gone |= side
-            picks.append((side, root, anchor))
-    return picks, gone
+
+    def __init__(self, n: int, u: np.ndarray, l: np.ndarray, root: int):  # noqa: E741
+        src, dst = np.concatenate([u, l]), np.concatenate([l, u])
+        by = np.argsort(src, kind="stable")
+        dst, first = dst[by], np.searchsorted(src[by], np.arange(n + 1))
+        self.parent = np.full(n, -1)
+        self.parent[root] = root
+        layers = [np.array([root])]
+        while len(layers[-1]):
+            now = layers[-1]
+            degree = first[now + 1] - first[now]
+            at = np.repeat(first[now] - np.cumsum(degree) + degree, degree) + np.arange(degree.sum())
+            new, where = np.unique(dst[at], return_index=True)
+            fresh = self.parent[new] < 0
+            self.parent[new[fresh]] = np.repeat(now, degree)[where[fresh]]
+            layers.append(new[fresh])
+        self.size = np.ones(n, dtype=np.int64)
+        for layer in reversed(layers[1:]):
+            np.add.at(self.size, self.parent[layer], self.size[layer])
+        self.place = np.full(n, n)
+        self.place[root] = 0
+        for layer in layers[1:]:
+            layer = layer[np.argsort(self.parent[layer], kind="stable")]
+            up = self.parent[layer]
+            # siblings lie one behind the other, the first right behind its parent
+            run = np.cumsum(self.size[layer]) - self.size[layer]
+            head = np.concatenate([[True], up[1:] != up[:-1]]) if len(up) else np.zeros(0, dtype=bool)
+            self.place[layer] = self.place[up] + 1 + run - np.repeat(run[head], np.diff(np.flatnonzero(head), append=len(up)))
+        self.order = np.argsort(self.place, kind="stable")
+
+    def below(self, v: int) -> slice:
+        """Places of the subtree of ``v``."""
+        return slice(int(self.place[v]), int(self.place[v] + self.size[v]))
+
+
+def detach(n: int, u, l, ground: int, cuts: list[tuple[int, int]], n_detach: int, max_size: int):  # noqa: E741
+    """Cuts of bridges, in the given order, that take 2 to ``max_size`` levels off the ground's side; ``n_detach`` at most.
+
+    Returns ([(levels, root, anchor)], all levels that left); with a cut, those levels of its lower subtree leave that are still there.
+    """
+    tree = Rooted(n, np.asarray(u), np.asarray(l), ground)
+    there = np.ones(n, dtype=bool)  # by place
+    picks: list[tuple[set[int], int, int]] = []
+    lower = [(b, a) if tree.parent[b] == a else (a, b) for a, b in cuts]
+    for v, anchor in lower:
+        span = tree.below(v)
+        left = int(np.count_nonzero(there[span])) if there[span.start] and len(picks) < n_detach else 0
+        if 2 <= left <= max_size:
+            picks.append((set(tree.order[span][there[span]].tolist()), v, anchor))
+            there[span] = False
+    return picks, set(tree.order[~there].tolist())

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import hashed, weight
 from ..schemas import ENERGIES
 from ..session import written
-from . import kernels
+from . import dissection, kernels, paths
 from .frames import empty
 from .network import ends
 
@@ -40,11 +40,16 @@ def _energies_of_net(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"net": pdf["net"].iloc[0], "comp": comp, "idx": np.arange(len(levels)), "level": levels, "energy": x})
 
 
-def solve_energies(transitions: DataFrame, *, unc: str = "unc") -> DataFrame:
+def solve_energies(transitions: DataFrame, *, unc: str = "unc", method: str = "by_net", most: int = dissection.MOST) -> DataFrame:
     """(net, comp, idx, level, energy): weighted least-squares energies; the lowest level of a component is at 0.
 
-    ``unc`` names the column of uncertainties, so a resampled one can stand in.
+    ``unc`` names the column of uncertainties, so a resampled one can stand in.  ``by_net`` takes each net in one task; ``distributed`` spreads
+    a net over tasks of ``most`` levels by elimination in rounds.
     """
+    if method == "distributed":
+        return dissection.solve_spread(transitions, unc=unc, most=most)
+    if method != "by_net":
+        raise ValueError(method)
     lines = transitions.select("net", "seq", "upper", "lower", "freq", F.col(unc).alias("unc"))
     return lines.groupBy("net").applyInPandas(_energies_of_net, ENERGIES)
 
@@ -111,17 +116,35 @@ def _paths(transitions: DataFrame, given: DataFrame, name: str) -> DataFrame:
     return found.withColumnRenamed("unc", name)
 
 
-def path_uncertainty(transitions: DataFrame, energies: DataFrame) -> DataFrame:
-    """(net, comp, level, sp_unc): root of the least sum of squared uncertainties from the component's lowest level."""
+def _spread_paths(edges: DataFrame, energies: DataFrame, name: str) -> DataFrame:
+    """Paths by rounds over tables, for nets of any size.  Levels that no path reaches have an infinite uncertainty."""
+    found, _ = paths.least_costs(edges, ground_levels(energies))
+    dist = F.coalesce(F.sqrt("dist"), F.lit(float("inf")))
+    return energies.select("net", "comp", "level").join(found, ["net", "level"], "left").select("net", "comp", "level", dist.alias(name))
+
+
+def path_uncertainty(transitions: DataFrame, energies: DataFrame, *, method: str = "by_net") -> DataFrame:
+    """(net, comp, level, sp_unc): root of the least sum of squared uncertainties from the component's lowest level.
+
+    ``by_net`` takes each net in one task; ``distributed`` spreads a net over tasks by delta-stepping.
+    """
+    if method == "distributed":
+        return _spread_paths(paths.by_uncertainty(transitions), energies, "sp_unc")
+    if method != "by_net":
+        raise ValueError(method)
     return _paths(transitions, energies.select("net", "level", "energy"), "sp_unc")
 
 
-def combined_uncertainty(transitions: DataFrame, energies: DataFrame, costs: DataFrame) -> DataFrame:
+def combined_uncertainty(transitions: DataFrame, energies: DataFrame, costs: DataFrame, *, method: str = "by_net") -> DataFrame:
     """(net, comp, level, unc): least path where entering a level costs the square of the larger of its two uncertainties.
 
     ``costs(net, level, sp_unc, boot_unc)``; the lowest level's own cost is not charged.
     """
     cost = costs.select("net", "level", F.pow(F.greatest("sp_unc", "boot_unc"), F.lit(2)).alias("cost"))
+    if method == "distributed":
+        return _spread_paths(paths.by_entry(transitions, cost), energies, "unc")
+    if method != "by_net":
+        raise ValueError(method)
     return _paths(transitions, energies.select("net", "level", "energy").join(cost, ["net", "level"], "left"), "unc")
 
 
@@ -159,12 +182,12 @@ def solve_network(transitions: DataFrame, *, bootstrap_iterations: int = 0, seed
     Energies are written, as several steps read them and the nets should be solved once.
     """
     energies = written(solve_energies(transitions), "energies")
-    paths = path_uncertainty(transitions, energies)
+    shortest = path_uncertainty(transitions, energies)
     if not bootstrap_iterations:
-        final = paths.select("net", "level", F.col("sp_unc").alias("unc"))
+        final = shortest.select("net", "level", F.col("sp_unc").alias("unc"))
     else:
         boot = bootstrap_statistics(bootstrap_samples(transitions, iterations=bootstrap_iterations, seed=seed), energies)
-        costs = paths.join(boot, ["net", "level"])
+        costs = shortest.join(boot, ["net", "level"])
         final = combined_uncertainty(transitions, energies, costs).select("net", "level", "unc")
     return energies.join(final, ["net", "level"]).select("net", "comp", "level", "energy", "unc")
 

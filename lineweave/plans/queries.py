@@ -237,6 +237,12 @@ def q_energies(spark, sf_dir):
     return solve.solve_energies(adapters.consistent(spark, sf_dir)).select("net", "comp", "level", F.round("energy", 4).alias("energy"))
 
 
+@query(f"WITH RECURSIVE {EN} SELECT net, comp, idx, level, round(energy, 4) AS energy FROM en")
+def q_energies_distributed(spark, sf_dir):
+    """Elimination in rounds; tasks of 40 levels, so that the networks of these tables are cut into clusters."""
+    return solve.solve_energies(adapters.consistent(spark, sf_dir), method="distributed", most=40).withColumn("energy", F.round("energy", 4))
+
+
 @query(f"WITH RECURSIVE {EN} SELECT net, comp, level, round(energy, 4) AS energy FROM en")
 def q_energies_floored(spark, sf_dir):
     """Weights over ten powers of ten: uncertainties as they are, zeros floored."""
@@ -271,26 +277,50 @@ _PATHS = """w(net, level, d) USING KEY (net, level) AS (SELECT net, level, d0 FR
 _GROUND = "g AS (SELECT net, comp, min_by(level, energy * 1e6 + idx * 1e-6) AS level FROM en GROUP BY net, comp)"
 
 
-@query(f"""WITH RECURSIVE {EN}, {_GROUND}, step AS (SELECT net, up AS src, low AS dst, min(unc * unc) AS cost FROM t GROUP BY ALL UNION ALL SELECT net, low, up, min(unc * unc) FROM t GROUP BY ALL), {_PATHS}
-SELECT w.net, w.level, round(sqrt(d), 8) AS sp_unc FROM w""")
-def q_path_unc(spark, sf_dir):
+PATH_SQL = f"""WITH RECURSIVE {EN}, {_GROUND}, step AS (SELECT net, up AS src, low AS dst, min(unc * unc) AS cost FROM t GROUP BY ALL UNION ALL SELECT net, low, up, min(unc * unc) FROM t GROUP BY ALL), {_PATHS}
+SELECT w.net, w.level, round(sqrt(d), 8) AS sp_unc FROM w"""
+
+
+def _path_unc(spark, sf_dir, method):
     c = adapters.consistent(spark, sf_dir)
-    e = solve.solve_energies(c).withColumn("energy", F.round("energy", 6))
-    return solve.path_uncertainty(c, e).select("net", "level", F.round("sp_unc", 8).alias("sp_unc"))
+    e = written(solve.solve_energies(c).withColumn("energy", F.round("energy", 6)), "energies")
+    return solve.path_uncertainty(c, e, method=method).select("net", "level", F.round("sp_unc", 8).alias("sp_unc"))
+
+
+@query(PATH_SQL)
+def q_path_unc(spark, sf_dir):
+    return _path_unc(spark, sf_dir, "by_net")
+
+
+@query(PATH_SQL)
+def q_path_unc_distributed(spark, sf_dir):
+    return _path_unc(spark, sf_dir, "distributed")
 
 
 _COST = f"pow(greatest(({_hash('7', chr(39) + 'sp' + chr(39), 'level')} % 1000 + 1) / 1000.0, ({_hash('7', chr(39) + 'boot' + chr(39), 'level')} % 1000 + 1) / 1000.0), 2)"
 
 
-@query(f"""WITH RECURSIVE {EN}, {_GROUND}, cost AS (SELECT net, level, {_COST} AS cost FROM en),
+COMBINED_SQL = f"""WITH RECURSIVE {EN}, {_GROUND}, cost AS (SELECT net, level, {_COST} AS cost FROM en),
  step AS (SELECT DISTINCT t.net, t.up AS src, t.low AS dst, cost.cost FROM t JOIN cost ON cost.net = t.net AND cost.level = t.low UNION SELECT DISTINCT t.net, t.low, t.up, cost.cost FROM t JOIN cost ON cost.net = t.net AND cost.level = t.up), {_PATHS}
-SELECT w.net, w.level, round(sqrt(d), 8) AS unc FROM w""")
-def q_combined_unc(spark, sf_dir):
+SELECT w.net, w.level, round(sqrt(d), 8) AS unc FROM w"""
+
+
+def _combined_unc(spark, sf_dir, method):
     c = adapters.consistent(spark, sf_dir)
-    e = solve.solve_energies(c).withColumn("energy", F.round("energy", 6))
+    e = written(solve.solve_energies(c).withColumn("energy", F.round("energy", 6)), "energies")
     given = lambda what: (hashed(7, what, F.col("level")) % 1000 + 1) / 1000.0
     costs = e.select("net", "level", given("sp").alias("sp_unc"), given("boot").alias("boot_unc"))
-    return solve.combined_uncertainty(c, e, costs).select("net", "level", F.round("unc", 8).alias("unc"))
+    return solve.combined_uncertainty(c, e, costs, method=method).select("net", "level", F.round("unc", 8).alias("unc"))
+
+
+@query(COMBINED_SQL)
+def q_combined_unc(spark, sf_dir):
+    return _combined_unc(spark, sf_dir, "by_net")
+
+
+@query(COMBINED_SQL)
+def q_combined_unc_distributed(spark, sf_dir):
+    return _combined_unc(spark, sf_dir, "distributed")
 
 
 @query(f"""WITH RECURSIVE {EN}, s AS (SELECT net, level, k, energy + ({_hash('3', 'net', 'level', 'k')} % 2001 - 1000) / 1000.0 AS x FROM en, range(9) AS r(k)),

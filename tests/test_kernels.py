@@ -158,3 +158,44 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
     root = Path(__file__).resolve().parent.parent
     out = subprocess.run([sys.executable, "-c", code, str(root)], cwd=root, check=True, timeout=300, capture_output=True, text=True)
     assert int(out.stdout) < 1 << 20  # KB
+
+
+def test_rooted_order_of_subtrees():
+    r = np.random.default_rng(4)
+    for n in (1, 2, 30, 200):
+        parent = np.array([int(r.integers(0, max(1, i))) for i in range(n)])
+        u, l = np.concatenate([np.arange(1, n), r.integers(0, n, n // 3)]), np.concatenate([parent[1:], r.integers(0, n, n // 3)])
+        root = int(r.integers(0, n))
+        tree = K.Rooted(n, u, l, root)
+        assert sorted(tree.place.tolist()) == list(range(n)) and tree.size[root] == n
+        kids = {v: {v} for v in range(n)}
+        for v in tree.order[::-1].tolist():
+            if v != root:
+                kids[int(tree.parent[v])] |= kids[v]
+        for v in range(n):
+            assert set(tree.order[tree.below(v)].tolist()) == kids[v]
+
+
+def test_detach_sides_equal_searches():
+    """Each pick is what is reached from its root when all earlier picks and the cut link are taken away."""
+    r = np.random.default_rng(9)
+    for _ in range(40):
+        n = 25
+        u, l = np.arange(1, n), np.array([int(r.integers(max(0, i - 4), i)) for i in range(1, n)])
+        u, l = np.concatenate([u, r.integers(0, n, 2)]), np.concatenate([l, r.integers(0, n, 2)])
+        cut = np.flatnonzero(K.bridges(n, u, l))
+        cuts = [(int(u[k]), int(l[k])) for k in r.permutation(cut)]
+        ground = int(r.integers(0, n))
+        picks, gone = K.detach(n, u, l, ground, cuts, 4, 6)
+        away: set[int] = set()
+        for side, root, anchor in picks:
+            links = {frozenset((int(a), int(b))) for a, b in zip(u, l)} - {frozenset((root, anchor))}
+            seen = {root}
+            while True:
+                more = {y for x in links for y in x if x & seen and not x & away} - seen
+                if not more:
+                    break
+                seen |= more
+            assert seen == side and 2 <= len(side) <= 6 and ground not in side
+            away |= side
+        assert away == gone
