@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,6 +81,17 @@ def hashed(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def hashes(seqs, *parts) -> list[int]:
+    """What ``hashed(*parts, seq)`` is for each of ``seqs``, for use inside a task."""
+    start = hashlib.md5("".join(f"{p}|" for p in parts).encode())
+    out = []
+    for seq in seqs:
+        h = start.copy()
+        h.update(str(seq).encode())
+        out.append(int(h.hexdigest()[:8], 16))
+    return out
+
+
 def uniform(*parts: Column | str | int) -> Column:
     """Uniform in [0, 1) from ``hashed``."""
     return hashed(*parts) / F.lit(4294967296.0)

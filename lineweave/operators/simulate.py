@@ -12,10 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ERROR_SCALE, copy_key, hashed, shifted, token_int, uniform
+from ..functions.scalars import ERROR_SCALE, copy_key, hashed, hashes, shifted, token_int, uniform
 from . import kernels
 from .frames import empty
-from .solve import _numbered, _weights, residuals
+from .solve import BLOCKS, _numbered, _weights, residuals, sample_blocks
 
 CLEAN, FREQ_SHIFT, QN_BUMP = 0, 1, 2
 #: Shifts are between these many uncertainties.
@@ -83,31 +83,40 @@ def masked(transitions: DataFrame, *, n_samples: int = 200, mask_fraction: float
     return chosen(fanned, mask_fraction, seed, "net", "sample").where(~F.col("picked")).drop("picked")
 
 
-def _refit(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf, levels, u, l = _numbered(pdf)  # noqa: E741
-    at = {v: i for i, v in enumerate(levels)}
-    ground = at.get(pdf["ground"].iloc[0])
-    if ground is None:
-        return empty("net", "level", "sample", "err")
-    label = kernels.components(len(levels), u, l)
-    mine = label[u] == label[ground]
-    nodes, ends_ = np.unique(np.concatenate([u[mine], l[mine]]), return_inverse=True)
-    m = int(mine.sum())
-    x = kernels.potentials(len(nodes), ends_[:m], ends_[m:], pdf["freq"].to_numpy()[mine], _weights(pdf["unc"].to_numpy()[mine]))
-    given = np.zeros(len(levels))
-    given[u], given[l] = pdf["e_upper"].to_numpy(), pdf["e_lower"].to_numpy()
-    return pd.DataFrame({"net": pdf["net"].iloc[0], "level": levels[nodes], "sample": pdf["sample"].iloc[0], "err": (x - given[nodes]) * ERROR_SCALE})
+def _refits(n_samples: int, mask_fraction: float, seed: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, levels, u, l = _numbered(pdf)  # noqa: E741
+        net, freq, seq = pdf["net"].iloc[0], pdf["freq"].to_numpy(), pdf["seq"].to_numpy()
+        weights, ground = _weights(pdf["unc"].to_numpy()), int(np.flatnonzero(levels == pdf["ground"].iloc[0])[0])
+        given = np.zeros(len(levels))
+        given[u], given[l] = pdf["e_upper"].to_numpy(), pdf["e_lower"].to_numpy()
+        n_masked = max(1, round(mask_fraction * len(pdf)))  # halves go to the even neighbour, here as in ``n_chosen``
+        parts = [empty("net", "level", "sample", "err")]
+        for sample in range(int(pdf["block"].iloc[0]), n_samples, BLOCKS):
+            kept = np.ones(len(pdf), dtype=bool)
+            kept[np.lexsort((seq, np.array(hashes(seq.tolist(), seed, net, sample))))[:n_masked]] = False
+            label = kernels.components(len(levels), u[kept], l[kept])
+            mine = np.flatnonzero(kept & (label[u] == label[ground]))
+            if not len(mine):
+                continue
+            nodes, ends_ = np.unique(np.concatenate([u[mine], l[mine]]), return_inverse=True)
+            x = kernels.potentials(len(nodes), ends_[: len(mine)], ends_[len(mine) :], freq[mine], weights[mine])
+            parts.append(pd.DataFrame({"net": net, "level": levels[nodes], "sample": sample, "err": (x - given[nodes]) * ERROR_SCALE}))
+        return pd.concat(parts)
+
+    return run
 
 
 def refit_errors(transitions: DataFrame, energies: DataFrame, *, n_samples: int = 200, mask_fraction: float = 0.15, seed: int = 0, lost: bool = False) -> DataFrame:
     """(net, level, sample, err): how far each level moves, in 1e-6/cm, when lines are masked; levels that lose the ground are absent.
 
-    A refit is shifted to its own minimum.  With ``lost``, absent levels have a row with a null error.  Nets are taken as connected:
+    A sample's masked lines are those of ``masked``, drawn where a net's lines have met, so a line isn't shuffled once a sample.  A refit is shifted to its own minimum.  With ``lost``, absent levels have a row with a null error.  Nets are taken as connected:
     pass the main component.
     """
     ground = energies.groupBy("net").agg(F.min_by("level", F.struct("energy", "idx")).alias("ground"))
-    lines = masked(residuals(transitions, energies), n_samples=n_samples, mask_fraction=mask_fraction, seed=seed).join(ground, "net")
-    found = lines.select("net", "sample", "seq", "upper", "lower", "freq", "unc", "e_upper", "e_lower", "ground").groupBy("net", "sample").applyInPandas(_refit, "net string, level string, sample int, err double")
+    lines = residuals(transitions, energies).join(ground, "net").select("net", "seq", "upper", "lower", "freq", "unc", "e_upper", "e_lower", "ground")
+    refits = _refits(n_samples, mask_fraction, seed)
+    found = sample_blocks(lines, n_samples).groupBy("net", "block").applyInPandas(refits, "net string, level string, sample int, err double")
     if not lost:
         return found
     every = energies.select("net", "level").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))

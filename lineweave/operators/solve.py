@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hashed, weight
+from ..functions.scalars import hashed, hashes, weight
 from ..schemas import ENERGIES
 from ..session import written
 from . import dissection, kernels, paths
@@ -20,6 +20,8 @@ from .network import ends
 
 #: Bootstrap draws multiply an uncertainty by 1..10.
 DRAWS = 10
+#: Tasks that share a net's samples.
+BLOCKS = 16
 
 
 def _numbered(pdf: pd.DataFrame):
@@ -155,17 +157,35 @@ def resampled(transitions: DataFrame, *, iterations: int = 100, seed: int = 0) -
     return fanned.withColumn("drawn", (F.pmod(hashed(seed, F.col("net"), F.col("sample"), F.col("seq")), F.lit(DRAWS)) + 1) * checked)
 
 
-def _sample_of_net(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = _energies_of_net(pdf)
-    out["sample"] = pdf["sample"].iloc[0]
-    return out
+def sample_blocks(lines: DataFrame, n_samples: int) -> DataFrame:
+    """Lines once for each ``block``: a task takes every sample whose number has its block's remainder.
+
+    A line is shuffled ``BLOCKS`` times at most, whatever the number of samples, which are drawn where the lines have met.
+    """
+    return lines.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(min(BLOCKS, n_samples) - 1))))
+
+
+def _samples_of_net(iterations: int, seed: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, levels, u, l = _numbered(pdf)  # noqa: E741
+        net, freq, given, seqs = pdf["net"].iloc[0], pdf["freq"].to_numpy(), pdf["orig_unc"].to_numpy(), pdf["seq"].tolist()
+        comp = kernels.ranked_components(len(levels), u, l)[0]
+        parts = []
+        for sample in range(int(pdf["block"].iloc[0]), iterations, BLOCKS):
+            drawn = (np.array(hashes(seqs, seed, net, sample)) % DRAWS + 1) * given
+            x = kernels.potentials(len(levels), u, l, freq, _weights(drawn))
+            parts.append(pd.DataFrame({"net": net, "comp": comp, "idx": np.arange(len(levels)), "level": levels, "energy": x, "sample": sample}))
+        return pd.concat(parts)
+
+    return run
 
 
 def bootstrap_samples(transitions: DataFrame, *, iterations: int = 100, seed: int = 0) -> DataFrame:
-    """(net, sample, comp, level, energy): one solve per net and sample; samples run in parallel."""
-    lines = resampled(transitions, iterations=iterations, seed=seed).select("net", "sample", "seq", "upper", "lower", "freq", F.col("drawn").alias("unc"))
+    """(net, sample, comp, level, energy): one solve per net and sample, the draws those of ``resampled``."""
+    checked = F.when(F.col("orig_unc") == 0, F.raise_error(F.lit("an original uncertainty is zero")).cast("double")).otherwise(F.col("orig_unc"))
+    lines = sample_blocks(transitions.select("net", "seq", "upper", "lower", "freq", checked.alias("orig_unc")), iterations)
     schema = "net string, comp int, idx int, level string, energy double, sample int"
-    return lines.groupBy("net", "sample").applyInPandas(_sample_of_net, schema)
+    return lines.groupBy("net", "block").applyInPandas(_samples_of_net(iterations, seed), schema)
 
 
 def bootstrap_statistics(samples: DataFrame, energies: DataFrame) -> DataFrame:

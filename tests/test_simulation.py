@@ -182,3 +182,32 @@ def test_reports(samples, spark):
     links = training.advise_links(t.where("net = 'n0'"), off, p)
     assert [x.rank for x in links.orderBy("rank").collect()] == [1, 2, 3, 4, 5]
     assert training.calibration(t, p, n_samples=3).count() == 2
+
+
+def test_draws_in_tasks_are_those_of_columns(spark, net):
+    """Refits and bootstraps draw in the task; the lines they keep and the uncertainties are those of the column forms."""
+    t = net([(10.0 + i, 0.1 * (1 + i % 3), f"0 {i % 7 + 1}", f"0 {i % 5}") for i in range(31) if i % 7 + 1 != i % 5], "n|x")
+    e = solve.solve_energies(t).where("comp = 1").persist()
+    main = t.join(e.select("net", F.col("level").alias("upper")), ["net", "upper"])
+    kept = simulate.masked(main, n_samples=20, mask_fraction=0.3, seed=5)
+    want = {}
+    for r in kept.select("sample", "upper", "lower").collect():
+        want.setdefault(r["sample"], []).append((r["upper"], r["lower"]))
+    ground = e.orderBy("energy").first()["level"]
+    got = {}
+    for r in simulate.refit_errors(main, e, n_samples=20, mask_fraction=0.3, seed=5).collect():
+        got.setdefault(r["sample"], set()).add(r["level"])
+    for k, lines in want.items():
+        seen = {ground}
+        while more := {y for a, b in lines for y in (a, b) if a in seen or b in seen} - seen:
+            seen |= more
+        assert got.get(k, {ground}) == seen
+    drawn = solve.resampled(t, iterations=19, seed=3)
+    one = solve.solve_energies(drawn.where("sample = 17"), unc="drawn").collect()
+    two = solve.bootstrap_samples(t, iterations=19, seed=3).where("sample = 17").collect()
+    assert {(r["level"], round(r["energy"], 9)) for r in one} == {(r["level"], round(r["energy"], 9)) for r in two}
+
+
+def test_shuffle_does_not_follow_samples(spark, net):
+    t = net([(1.0, 0.1, "b", "a"), (2.0, 0.1, "c", "a")])
+    assert solve.sample_blocks(t, 1000).count() == solve.sample_blocks(t, 100_000).count() == solve.BLOCKS * 2
