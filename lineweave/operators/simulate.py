@@ -91,7 +91,7 @@ def _refits(n_samples: int, mask_fraction: float, seed: int):
         given = np.zeros(len(levels))
         given[u], given[l] = pdf["e_upper"].to_numpy(), pdf["e_lower"].to_numpy()
         n_masked = max(1, round(mask_fraction * len(pdf)))  # halves go to the even neighbour, here as in ``n_chosen``
-        parts = [empty("net", "level", "sample", "err")]
+        parts = []
         for sample in range(int(pdf["block"].iloc[0]), n_samples, BLOCKS):
             kept = np.ones(len(pdf), dtype=bool)
             kept[np.lexsort((seq, np.array(hashes(seq.tolist(), seed, net, sample))))[:n_masked]] = False
@@ -102,7 +102,7 @@ def _refits(n_samples: int, mask_fraction: float, seed: int):
             nodes, ends_ = np.unique(np.concatenate([u[mine], l[mine]]), return_inverse=True)
             x = kernels.potentials(len(nodes), ends_[: len(mine)], ends_[len(mine) :], freq[mine], weights[mine])
             parts.append(pd.DataFrame({"net": net, "level": levels[nodes], "sample": sample, "err": (x - given[nodes]) * ERROR_SCALE}))
-        return pd.concat(parts)
+        return pd.concat(parts) if parts else empty("net", "level", "sample", "err")
 
     return run
 

@@ -670,13 +670,17 @@ def q_window_cross_entropy(spark, sf_dir):
 # --- further sources, sinks, filters and statistics -----------------------------------------------------------------------
 
 
-@query("SELECT 0 AS comp_is, 'chain' AS net, '0 0' AS level, 0.0::DOUBLE AS energy WHERE false UNION ALL SELECT * FROM (VALUES (1, 'chain', 'a', 0.0), (1, 'chain', 'b', 10.0), (1, 'chain', 'c', 15.0), (1, 'doubled', 'a', 0.0), (1, 'doubled', 'b', 10.08), (1, 'triangle', 'a', 0.0), (1, 'triangle', 'b', 10.0), (1, 'triangle', 'c', 15.0))")
+@query("""SELECT n_name AS net, 'n ' || n_nationkey AS level, 0.0::DOUBLE AS energy FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)
+UNION ALL SELECT n_name, 's ' || s_suppkey, round(s_acctbal + 20000, 4) FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
 def q_in_memory_rows(spark, sf_dir):
-    """Networks given as rows: a chain, a doubled link of unequal weights, a closed triangle."""
-    given = {"chain": [(10.0, 1e-3, "b", "a"), (5.0, 1e-3, "c", "b")], "doubled": [(10.0, 1e-3, "b", "a"), (10.4, 2e-3, "b", "a")], "triangle": [(10.0, 1e-3, "b", "a"), (5.0, 1e-3, "c", "b"), (15.0, 1e-3, "c", "a")]}
-    rows = [(net, i, f, u, u, up, low, "00Test.1") for net, lines_ in given.items() for i, (f, u, up, low) in enumerate(lines_)]
-    t = spark.createDataFrame(rows, "net string, seq long, freq double, unc double, orig_unc double, upper string, lower string, ref string")
-    return solve.solve_energies(t).select(F.col("comp").alias("comp_is"), "net", "level", F.round("energy", 8).alias("energy"))
+    """Networks given as rows of a table, without files: a line from each supplier to its nation."""
+    s, n = spark.read.parquet(f"{sf_dir}/supplier.parquet"), spark.read.parquet(f"{sf_dir}/nation.parquet")
+    unc = F.lit(1e-3)
+    t = s.join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(
+        F.col("n_name").alias("net"), F.col("s_suppkey").alias("seq"), (F.col("s_acctbal") + 20000).alias("freq"), unc.alias("unc"), unc.alias("orig_unc"),
+        F.concat(F.lit("s "), "s_suppkey").alias("upper"), F.concat(F.lit("n "), "s_nationkey").alias("lower"), F.lit("rows.1").alias("ref"),
+    )
+    return solve.solve_energies(t).select("net", "level", F.round("energy", 4).alias("energy"))
 
 
 @query(f"""WITH {T}, m AS (SELECT net, up AS level, seq, freq, unc, max(seq) FILTER (seq IN (4, 9)) OVER (PARTITION BY net) AS bar FROM t)
@@ -823,16 +827,59 @@ def q_corrupted_copies(spark, sf_dir):
     return c.groupBy("net", "copy").agg(F.count("*").alias("n"), F.count_if(F.col("kind") > 0).alias("bad"))
 
 
-@query("SELECT 'w' || i AS name, i::INTEGER AS rows, (i + 1)::INTEGER AS cols, (SELECT sum(0.5 * k) FROM range(0, i * (i + 1)) AS r(k))::DOUBLE AS total FROM range(1, 6) AS s(i)")
+@query("SELECT 'w' || l_linenumber AS name, 2::INTEGER AS rows, 2::INTEGER AS cols, count(*) FILTER (l_linestatus = 'F')::DOUBLE AS first, sum(l_quantity)::DOUBLE AS last FROM lineitem GROUP BY l_linenumber")
 def q_checkpoint_round_trip(spark, sf_dir):
-    """Weights through their table: names, shapes and values."""
+    """Weights through their table: names, shapes and values, here statistics of the lines by line number."""
     import numpy as np
 
     from ..operators import model
 
+    lines_ = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_linenumber")
+    found = lines_.agg(F.count_if(F.col("l_linestatus") == "F").cast("double").alias("a"), F.min("l_tax").alias("b"), F.max("l_tax").alias("c"), F.sum("l_quantity").alias("d")).collect()  # one row a line number
     path = scratch_path(spark, "weights")
-    model.save(spark, {f"w{i}": 0.5 * np.arange(i * (i + 1), dtype=float).reshape(i, i + 1) for i in range(1, 6)}, path)
-    return spark.createDataFrame([(k, *v.shape, float(v.sum())) for k, v in model.load(spark, path).items()], "name string, rows int, cols int, total double")
+    model.save(spark, {f"w{r['l_linenumber']}": np.array([[r["a"], r["b"]], [r["c"], r["d"]]]) for r in found}, path)
+    rows = [(k, *v.shape, float(v[0, 0]), float(v[-1, -1])) for k, v in model.load(spark, path).items()]
+    return spark.createDataFrame(rows, "name string, rows int, cols int, first double, last double")
+
+
+#: Chains of levels from one ground, 1 to 5 levels long, one for each supplier of a nation; cuts of a chain in order of hash: what is
+#: left of it (r), which cut was taken (pick) and how many levels went with it.
+_CHAINS = f"""s AS (SELECT n_name AS net, s_suppkey AS k, (1 + s_suppkey % 5)::INTEGER AS len, copy::INTEGER AS copy FROM supplier JOIN nation ON s_nationkey = n_nationkey, range(3) AS r(copy)),
+c AS (SELECT *, k || ' ' || i AS lev, CASE WHEN i = 1 THEN '0 0' ELSE k || ' ' || (i - 1) END AS anchor FROM (SELECT *, unnest(range(1, len))::INTEGER AS i FROM s)),
+h AS (SELECT *, row_number() OVER (PARTITION BY net, copy, k ORDER BY {_hash("'8'", 'net', 'copy', 'least(lev, anchor)', 'greatest(lev, anchor)')}, least(lev, anchor)) AS o FROM c),
+w AS (SELECT net, copy, k, 0::BIGINT AS o, len AS r, NULL::INTEGER AS pick, 0 AS size, NULL::VARCHAR AS lev, NULL::VARCHAR AS anchor FROM s UNION ALL
+ SELECT w.net, w.copy, w.k, h.o, CASE WHEN h.i < w.r THEN h.i - 1 ELSE w.r END, CASE WHEN h.i < w.r THEN h.i END, w.r - h.i + 1, h.lev, h.anchor FROM w JOIN h ON h.net = w.net AND h.copy = w.copy AND h.k = w.k AND h.o = w.o + 1),
+picks AS (SELECT net, copy, k, o, lev, anchor, size, pick, count(pick) OVER (PARTITION BY net, copy, k ORDER BY o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) > 0 AS void FROM w)"""
+
+
+def _chains(spark, sf_dir):
+    s, n = spark.read.parquet(f"{sf_dir}/supplier.parquet"), spark.read.parquet(f"{sf_dir}/nation.parquet")
+    rows = s.join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("n_name").alias("net"), F.col("s_suppkey").alias("k"), F.explode(F.sequence(F.lit(1), (1 + F.col("s_suppkey") % 5).cast("int"))).alias("i"))
+    level = lambda i: F.concat_ws(" ", "k", i)
+    return rows.select(
+        "net", (F.col("k") * 10 + F.col("i")).alias("seq"), F.lit(10.0).alias("freq"), F.lit(1e-3).alias("unc"), F.lit(1e-3).alias("orig_unc"),
+        level(F.col("i")).alias("upper"), F.when(F.col("i") == 1, "0 0").otherwise(level(F.col("i") - 1)).alias("lower"), F.lit("chain.1").alias("ref"),
+    )
+
+
+@query(f"WITH RECURSIVE {_CHAINS} SELECT net, copy, lev AS orphan_level, anchor AS main_level, size::BIGINT AS n_levels, void FROM picks WHERE pick IS NOT NULL")
+def q_void_anchors(spark, sf_dir):
+    """Every pick of a detachment with its size; void ones lost their anchor to a later pick."""
+    t = written(_chains(spark, sf_dir), "chains")
+    d = simulate.detached_levels(t, solve.solve_energies(t), n_copies=3, n_detach=1_000_000, seed=8)
+    return d.groupBy("net", "copy", "orphan_level", "main_level", "void").agg(F.count("*").alias("n_levels"))
+
+
+@query(f"""WITH RECURSIVE {_CHAINS}, o AS (SELECT net, copy, count(*) AS orphans, sum(size)::BIGINT AS orphan_levels FROM picks WHERE pick IS NOT NULL AND NOT void GROUP BY net, copy),
+m AS (SELECT net, copy, 1 + sum(r)::BIGINT AS main_levels FROM (SELECT net, copy, k, min(r) AS r FROM w GROUP BY net, copy, k) GROUP BY net, copy)
+SELECT net, copy, main_levels, orphans, orphan_levels, 4 * orphans AS pairs, orphans AS true_pairs FROM o JOIN m USING (net, copy) WHERE main_levels > 1""")
+def q_linked_copies(spark, sf_dir):
+    """Training samples with subtrees cut off: levels that stay, orphans, their levels and the pairs asked; copies without orphans go."""
+    from . import training
+
+    samples = training.linked_samples(written(_chains(spark, sf_dir), "chains"), n_graphs=3, n_detach=1_000_000, n_neg=3, seed=8)
+    sums = samples.mapInPandas(training.linked_sizes, "net string, main_levels long, orphans long, orphan_levels long, pairs long, true_pairs long")
+    return sums.withColumn("copy", F.element_at(F.split("net", "#"), -1).cast("int")).withColumn("net", F.expr("substring(net, 1, length(net) - length(element_at(split(net, '#'), -1)) - 1)"))
 
 
 @query(f"""WITH RECURSIVE {_CAND}, s AS (SELECT *, {_LOGIT} AS ol FROM cand), f AS (SELECT net, seq, any_value(ol) AS ol FROM s WHERE ol > 0 GROUP BY net, seq)

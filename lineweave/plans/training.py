@@ -112,6 +112,17 @@ def linked_samples(transitions: DataFrame, *, n_graphs: int = 30, n_detach: int
     return _joined(model.graphs(main_nodes, main_edges).join(rows.select("net").distinct(), "net", "left_semi"), _rows(rows, "orphan_id", "graph", "pairs"), merge)
 
 
+def linked_sizes(batches):
+    """(net, main_levels, orphans, orphan_levels, pairs, true_pairs) of batches of linked samples, for ``mapInPandas``."""
+    for b in batches:
+        rows = []
+        for net, raw in zip(b["net"], b["sample"]):
+            g = model.unpacked(bytes(raw))
+            o = g["orphans"]
+            rows.append((net, len(g["x"]), len(o), sum(len(x["x"]) for x in o), sum(len(x["label"]) for x in o), int(sum(x["label"].sum() for x in o))))
+        yield pd.DataFrame(rows, columns=["net", "main_levels", "orphans", "orphan_levels", "pairs", "true_pairs"])
+
+
 def train_model(transitions: DataFrame, validation: DataFrame, *, epochs: int = 1000, n_refits: int = 200, n_graphs: int = 30, seed: int = 0, rate: float = 1e-3, check_every: int = 50, log=None) -> model.Params:
     """All four heads on refit, corrupted and linked samples of the training nets; the least loss on ``validation`` is kept.
 
