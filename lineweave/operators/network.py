@@ -91,6 +91,25 @@ def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _bridges_of_net(pdf: pd.DataFrame) -> pd.DataFrame:
+    levels, u, l = kernels.number_levels(pdf["a"].to_numpy(), pdf["b"].to_numpy())  # noqa: E741
+    return pdf[kernels.bridges(len(levels), u, l)]
+
+
+def bridges(transitions: DataFrame, *, method: str = "by_net") -> DataFrame:
+    """(net, a, b), a < b: links without which their network falls apart; lines between the same two levels count as one link.
+
+    ``by_net`` takes each net in one task; ``distributed`` spreads a net over tasks (see :mod:`.forest`).
+    """
+    if method == "by_net":
+        return simple_edges(transitions).groupBy("net").applyInPandas(_bridges_of_net, "net string, a string, b string")
+    if method != "distributed":
+        raise ValueError(method)
+    from . import forest
+
+    return forest.bridges(transitions)
+
+
 def component_sizes(comps: DataFrame) -> DataFrame:
     return comps.groupBy("net", "comp").agg(F.count("*").cast("int").alias("n_levels"))
 

@@ -862,6 +862,27 @@ def _chains(spark, sf_dir):
     )
 
 
+@query("""WITH s AS (SELECT n_name AS net, s_suppkey AS k, 1 + s_suppkey % 5 AS len FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+c AS (SELECT net, k, len, k || ' ' || i AS lev, CASE WHEN i = 1 THEN '0 0' ELSE k || ' ' || (i - 1) END AS anchor FROM (SELECT *, unnest(range(1, len + 1)) AS i FROM s))
+SELECT net, least(lev, anchor) AS a, greatest(lev, anchor) AS b FROM c WHERE k % 3 > 0 OR len = 1""")
+def q_bridges_distributed(spark, sf_dir):
+    """Links that no cycle passes, where every third chain is closed to a ring."""
+    t = _chains(spark, sf_dir)
+    k = F.split("upper", " ")[0].cast("long")
+    ring = t.where((k % 3 == 0) & (F.split("upper", " ")[1].cast("long") == 1 + k % 5)).withColumn("lower", F.lit("0 0")).withColumn("seq", F.col("seq") + 1_000_000)
+    return network.bridges(t.unionByName(ring), method="distributed")
+
+
+@query(f"WITH {T} SELECT DISTINCT net, 0::BIGINT AS violations FROM t")
+def q_bridges_methods(spark, sf_dir):
+    """Links that only one of the two methods takes for bridges."""
+    t = written(adapters.transitions(spark, sf_dir), "lines")
+    one, two = network.bridges(t), written(network.bridges(t, method="distributed"), "bridges")
+    odd = one.withColumn("n", F.lit(1)).unionByName(two.withColumn("n", F.lit(-1))).groupBy("net", "a", "b").agg(F.sum("n").alias("n")).where("n <> 0")
+    wrong = odd.groupBy("net").agg(F.count("*").alias("violations"))
+    return t.select("net").distinct().join(wrong, "net", "left").na.fill(0)
+
+
 @query(f"WITH RECURSIVE {_CHAINS} SELECT net, copy, lev AS orphan_level, anchor AS main_level, size::BIGINT AS n_levels, void FROM picks WHERE pick IS NOT NULL")
 def q_void_anchors(spark, sf_dir):
     """Every pick of a detachment with its size; void ones lost their anchor to a later pick."""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lineweave.operators import dissection, paths, solve
+from lineweave.operators import dissection, network, paths, solve
 
 
 def grid(n, seed=0):
@@ -113,3 +113,15 @@ def test_spread_uncertainties_equal_kernel(spark, net):
     both = lambda m: {(r["net"], r["level"]): r["unc"] for r in solve.combined_uncertainty(t, e, costs, method=m).collect()}
     a, b = both("by_net"), both("distributed")
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_spread_bridges_equal_kernel(spark, net):
+    r = random.Random(3)
+    rows = grid(3, 1) + [(1.0, 0.1, f"r {i}", f"r {r.randrange(max(0, i - 3), i)}") for i in range(1, 30)] + [(1.0, 0.1, "r 20", "r 11"), (1.0, 0.1, "r 5", "r 2"), (2.0, 0.1, "loop", "loop")]
+    t = net(rows, "a").unionByName(net([(1.0, 0.1, "p", "q"), (2.0, 0.1, "q", "p")], "b"))
+    pairs = lambda df: sorted(map(tuple, df.select("net", "a", "b").collect()))
+    got = pairs(network.bridges(t, method="distributed"))
+    assert got == pairs(network.bridges(t)) and ("b", "p", "q") in got and len(got) > 10
+    assert pairs(network.bridges(net([]), method="distributed")) == pairs(network.bridges(net([]))) == []
+    with pytest.raises(ValueError):
+        network.bridges(t, method="other")
