@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,17 +118,23 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 def entropy_spans(text: str | None, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """(entropy, start, end) of what the base spans do not hold already."""
     found = []
+    starts = [x for _, x, _ in base]
+    reach = list(accumulate((y for _, _, y in base), max))  # how far the base spans up to one reach
     for m in CANDIDATE.finditer(text or ""):
         s, at = m.group(), m.start()
         if not (odd := suspects(s)):
             continue
+        ends = [y for _, y in odd]  # parts lie one behind the other
         merged: list[list[int]] = []
         for a, b in sorted(x for members, bits in CLASSES.values() for x in window_spans(s, members, bits)):
             if merged and a <= merged[-1][1]:
                 merged[-1][1] = max(merged[-1][1], b)
             else:
                 merged.append([a, b])
-        found += [("entropy", at + a, at + b) for a, b in merged if any(x < b and a < y for x, y in odd) and not any(x <= at + a and at + b <= y for _, x, y in base)]
+        for a, b in merged:
+            part, before = bisect_right(ends, a), bisect_right(starts, at + a)
+            if part < len(odd) and odd[part][0] < b and not (before and reach[before - 1] >= at + b):
+                found.append(("entropy", at + a, at + b))
     return found
 
 

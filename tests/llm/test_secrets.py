@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import time
 from collections import Counter
 
 from hypothesis import given, settings
@@ -103,3 +104,46 @@ def test_query_columns(spark):
     assert S.digests(S.find_secrets(docs.limit(0))).count() == 0
     clean = S.redact_documents(docs)
     assert clean.columns == docs.columns and clean.count() == 4 and clean.where("text like '%04dbebab%'").count() == 0
+
+
+def entropy_by_all_pairs(text, base):
+    """``entropy_spans`` with every span held against every other."""
+    found = []
+    for m in S.CANDIDATE.finditer(text):
+        odd = S.suspects(m.group())
+        places = sorted(x for members, bits in S.CLASSES.values() for x in S.window_spans(m.group(), members, bits))
+        merged = []
+        for a, b in places:
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(merged[-1][1], b))
+            else:
+                merged.append((a, b))
+        at = m.start()
+        found += [("entropy", at + a, at + b) for a, b in merged if any(x < b and a < y for x, y in odd) and not any(x <= at + a and at + b <= y for _, x, y in base)]
+    return found
+
+
+def test_entropy_spans_equal_all_pairs():
+    r = random.Random(11)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=."
+    some = 0
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randrange(1, 12)):
+            body = "".join(r.choice(alphabet[: r.choice([16, 36, 62, 68])]) for _ in range(r.randrange(0, 60)))
+            parts.append(r.choice(["", "token=", "password: ", "AKIA", "word-word-word-", "0123456789abcdef"]) + body)
+        text = r.choice([" ", "", ", "]).join(parts)
+        base = S.base_spans(text)
+        got = S.entropy_spans(text, base)
+        some += len(got)
+        assert got == entropy_by_all_pairs(text, base)
+    assert some > 100
+
+
+def test_many_spans_take_seconds():
+    r = random.Random(2)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    text = " ".join("".join(r.choice(alphabet) for _ in range(24)) + " deadbeefdeadbeef" for _ in range(20_000))
+    start = time.process_time()
+    assert len(S.all_spans(text)[1]) > 35_000
+    assert time.process_time() - start < 8
