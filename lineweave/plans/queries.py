@@ -92,6 +92,16 @@ def q_unit_convert(spark, sf_dir):
     return lines.convert_units(adapters.transitions(spark, sf_dir), seg).select("net", "seq", F.round("freq", 6).alias("freq"), F.round("unc", 9).alias("unc"), F.round("orig_unc", 9).alias("orig_unc"))
 
 
+@query(f"""WITH {T}, m AS (SELECT *, CASE WHEN seq % 50 = 0 THEN up ELSE low END AS lower, CASE WHEN seq % 9 = 4 THEN -freq ELSE freq END AS f FROM t),
+ k AS (SELECT CASE WHEN f >= 0 AND up = lower THEN 'self-loop' WHEN split_part(ref, '.', 1) NOT IN ({', '.join(f"'{k}'" for k in list(SEGMENTS)[:4])}) THEN 'missing segment' ELSE 'none' END AS fault FROM m)
+SELECT fault, count(*) AS n FROM k GROUP BY fault""")
+def q_checked_write(spark, sf_dir):
+    """Lines of several faults, written in one pass with what is wrong with each."""
+    seg = spark.createDataFrame(list(SEGMENTS.items())[:4], "tag string, unit string")
+    t = adapters.transitions(spark, sf_dir).withColumn("lower", F.when(F.col("seq") % 50 == 0, F.col("upper")).otherwise(F.col("lower"))).withColumn("freq", F.when(F.col("seq") % 9 == 4, -F.col("freq")).otherwise(F.col("freq")))
+    return lines.write_checked(t, scratch_path(spark, "checked"), seg, fail=False)
+
+
 @query(f"WITH {T} SELECT split_part(ref, '.', 1) AS tag, count(*) AS n FROM t GROUP BY 1")
 def q_tag_counts(spark, sf_dir):
     return adapters.transitions(spark, sf_dir).groupBy(tag(F.col("ref")).alias("tag")).agg(F.count("*").alias("n"))
@@ -353,6 +363,17 @@ def q_solve_network(spark, sf_dir):
     return s.select("net", "comp", "level", F.round("energy", 4).alias("energy"), F.round("unc", 8).alias("unc"))
 
 
+_AGAIN = _PATHS.replace("w(net", "w2(net").replace("min(w.d + step.cost)", "min(w2.d + step2.cost)").replace("FROM w JOIN step ON step.net = w.net AND step.src = w.level JOIN recurring.w r ON r.net = step.net AND r.level = step.dst WHERE w.d + step.cost", "FROM w2 JOIN step2 ON step2.net = w2.net AND step2.src = w2.level JOIN recurring.w2 r ON r.net = step2.net AND r.level = step2.dst WHERE w2.d + step2.cost")
+_STEP2 = "step2 AS (SELECT t.net, t.up AS src, t.low AS dst, any_value(w.d) AS cost FROM t JOIN w ON w.net = t.net AND w.level = t.low GROUP BY ALL UNION ALL SELECT t.net, t.low, t.up, any_value(w.d) FROM t JOIN w ON w.net = t.net AND w.level = t.up GROUP BY ALL)"
+
+
+@query(solved_networks("en.net, en.comp, en.level, round(energy, 4) AS energy, round(sqrt(w2.d), 7) AS unc").replace(" SELECT en.net", f", {_STEP2}, {_AGAIN} SELECT en.net") + " JOIN w2 ON w2.net = en.net AND w2.level = en.level")
+def q_solve_network_bootstrap(spark, sf_dir):
+    """With bootstrap: consistent lines have no spread, so a level costs the square of its path uncertainty."""
+    s = solve.solve_network(adapters.consistent(spark, sf_dir).withColumn("freq", F.round("freq", 6)), bootstrap_iterations=3, seed=2)
+    return s.select("net", "comp", "level", F.round("energy", 4).alias("energy"), F.round("unc", 7).alias("unc"))
+
+
 @query(f"WITH {T}, {ENDS} SELECT DISTINCT net, level, 'published' AS side FROM ends WHERE level LIKE '0 1%'")
 def q_levels_diff(spark, sf_dir):
     p = adapters.published(spark, sf_dir)

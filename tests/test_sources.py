@@ -116,3 +116,17 @@ def test_stream_of_lines(spark, tmp_path):
         assert q.exception() is None
     assert got[0] == {("n", "0 1"): 10.0, ("n", "0 0"): 0.0}
     assert got[1] == {("n", "0 0"): 0.0, ("n", "0 1"): 10.0, ("n", "0 2"): 15.0, ("m", "0 0"): 0.0, ("m", "0 1"): 2.0}
+
+
+def test_checked_write_tells_all_faults(spark, net, tmp_path):
+    t = net([(1.0, 0.1, "b", "a"), (2.0, 0.1, "c", "c"), (-3.0, 0.1, "d", "d"), (4.0, 0.1, "e", "a")])
+    seg = spark.createDataFrame([("00Test", "cm-1")], "tag string, unit string")
+    path = str(tmp_path / "one")
+    with pytest.raises(ValueError, match="^1 of self-loop: n line 1: self-loop"):
+        L.write_checked(t, path, seg)
+    assert spark.read.parquet(path + "/fault=none").count() == 3
+    none = spark.createDataFrame([], seg.schema)
+    found = {r["fault"]: r["n"] for r in L.write_checked(t, str(tmp_path / "two"), none, fail=False).collect()}
+    assert found == {"self-loop": 1, "missing segment": 3}
+    assert L.write_checked(net([]), str(tmp_path / "three")).count() == 0
+    assert [tuple(r) for r in L.write_checked(t.where("seq = 0"), str(tmp_path / "four")).collect()] == [("none", 1)]
