@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import weight
 from ..session import written
 from .frames import empty
-from .kernels import DEGREES, potentials
+from .kernels import DEGREES, Elimination, potentials
 from .network import star_components
 
 #: Levels of a cluster, and neighbours that a level may have when it leaves a cluster.
@@ -110,7 +110,7 @@ def clusters(lines: DataFrame, most: int, number: int) -> DataFrame:
 def take_out(n: int, a, b, w, d, may_go: np.ndarray, fill: int = FILL):
     """(lines left, stars) of one cluster: levels that may go leave in rounds, few neighbours first, none with more than ``fill``.
 
-    Lines are arrays (a, b, w, d) with one line for each pair; a star is (v, neighbours, shares, steps), rows of levels of one degree.
+    Lines are arrays (a, b, w, d) with one line for each pair; a star is (v, neighbours, shares, steps, weight of all), rows of levels of one degree.
     """
     stars = []
     turn = (np.arange(n) * 2654435761 >> 5) % (1 << 20)
@@ -139,7 +139,7 @@ def take_out(n: int, a, b, w, d, may_go: np.ndarray, fill: int = FILL):
             rows = starts[size == k][:, None] + np.arange(k)
             ends, part, dist = o[rows], wt[rows], step[rows]
             total = part.sum(axis=1, keepdims=True)
-            stars.append((v[rows[:, 0]], ends, part / total, dist))
+            stars.append((v[rows[:, 0]], ends, part / total, dist, total[:, 0]))
             i, j = np.triu_indices(k, 1)
             new.append(tuple(x.ravel() for x in (ends[:, i], ends[:, j], part[:, i] * part[:, j] / total, dist[:, j] - dist[:, i])))
         a, b, w, d = (np.concatenate(x) for x in zip(*new))
@@ -151,7 +151,7 @@ def take_out(n: int, a, b, w, d, may_go: np.ndarray, fill: int = FILL):
         a, b, w = key // n, key % n, total
 
 
-_OUT = "net string, root long, c long, s int, step int, a long, b long, w double, d double"
+_OUT = "net string, root long, c long, s int, step int, a long, b long, w double, d double, total double"
 _NAMES = [x.split()[0] for x in _OUT.split(", ")]
 
 
@@ -165,9 +165,9 @@ def _inner_out(lines: pd.DataFrame, border: pd.DataFrame) -> pd.DataFrame:
     if may_go.all():
         may_go[0] = False  # a whole component: one level stays
     left, stars = take_out(n, ends[:m], ends[m:], lines["w"].to_numpy(), lines["d"].to_numpy(), may_go)
-    rows = [(np.full(len(left[0]), -1), names[left[0]], names[left[1]], left[2], left[3])]
-    for i, (v, o, share, step) in enumerate(stars):
-        rows.append((np.full(o.size, i), names[np.repeat(v, o.shape[1])], names[o.ravel()], share.ravel(), step.ravel()))
+    rows = [(np.full(len(left[0]), -1), names[left[0]], names[left[1]], left[2], left[3], left[2])]
+    for i, (v, o, share, step, total) in enumerate(stars):
+        rows.append((np.full(o.size, i), names[np.repeat(v, o.shape[1])], names[o.ravel()], share.ravel(), step.ravel(), np.repeat(total, o.shape[1])))
     out = pd.DataFrame(dict(zip(_NAMES[4:], (np.concatenate(x) for x in zip(*rows)))))
     for c in _NAMES[:4]:
         out[c] = lines[c].iloc[0]
@@ -175,7 +175,7 @@ def _inner_out(lines: pd.DataFrame, border: pd.DataFrame) -> pd.DataFrame:
 
 
 def cluster_round(lines: DataFrame, most: int, number: int) -> tuple[DataFrame, DataFrame]:
-    """(stars, lines left): inner levels of clusters leave, each cluster in one task."""
+    """(stars, lines left): inner levels of clusters leave, each cluster in one task.  Stars have their clusters' lines left with them, at step -1."""
     of = clusters(lines, most, number)
     end = lambda e: of.select("net", F.col("v").alias(e), F.struct("c", "s").alias(f"c{e}"))
     placed = written(lines.join(end("a"), ["net", "a"]).join(end("b"), ["net", "b"]), "placed")
@@ -185,7 +185,7 @@ def cluster_round(lines: DataFrame, most: int, number: int) -> tuple[DataFrame,
     key = ["net", "c", "s"]
     out = written(inside.groupBy(*key).cogroup(border.groupBy(*key)).applyInPandas(_inner_out, _OUT), "cluster-out")
     left = out.where("step < 0").select("net", "root", "a", "b", "w", "d")
-    return out.where("step >= 0"), written(merged(left.unionByName(across.select(*left.columns))), "lines")
+    return out, written(merged(left.unionByName(across.select(*left.columns))), "lines")
 
 
 def _stars_back(stars: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -207,6 +207,7 @@ def _stars_back(stars: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
 def _clusters_back(stars: DataFrame, x: DataFrame) -> DataFrame:
     """(net, v, x) of the levels that left in a round of clusters."""
     key = ["net", "c", "s"]
+    stars = stars.where("step >= 0")
     asked = stars.select(*key, F.col("b").alias("v")).distinct().join(x, ["net", "v"])
     return stars.groupBy(*key).cogroup(asked.toDF(*asked.columns).groupBy(*key)).applyInPandas(_stars_back, "net string, v long, x double")
 
@@ -228,62 +229,154 @@ def _numbered_levels(ids: DataFrame) -> DataFrame:
     return cut.join(before, ["net", "chunk"]).withColumn("idx", (F.col("before") + F.col("place") - 1).cast("int")).drop("chunk", "place", "before")
 
 
+class Eliminated:
+    """A network taken apart: ``levels`` (net, level, id, root), ``rounds`` of stars, the lines of the ``top`` and the lines it began with."""
+
+    def __init__(self, transitions: DataFrame, unc: str, most: int, force: bool):
+        ids = written(level_ids(transitions), "ids")
+        named = lambda e, to: ids.select("net", F.col("level").alias(e), F.col("id").alias(to))
+        checked = F.when(F.col(unc) == 0, F.raise_error(F.lit("an uncertainty is zero")).cast("double")).otherwise(weight(F.col(unc)))
+        raw = transitions.select("net", "seq", "upper", "lower", checked.alias("w"), F.col("freq").alias("d")).join(named("upper", "a"), ["net", "upper"]).join(named("lower", "b"), ["net", "lower"])
+        self.raw = written(raw.select("net", "seq", "a", "b", "w", "d"), "raw")
+        node = lambda c: F.struct("net", F.col(c).alias("id"))
+        roots = star_components(self.raw.select(node("a").alias("a"), node("b").alias("b"))).select("node.net", F.col("node.id").alias("id"), F.col("root.id").alias("root"))
+        self.levels = written(ids.join(roots, ["net", "id"], "left").withColumn("root", F.coalesce("root", "id")), "levels")
+        self.rounds: list[tuple[str, DataFrame]] = []
+        lines = written(merged(self.raw.join(self.levels.select("net", F.col("id").alias("a"), "root"), ["net", "a"])), "lines")
+        self.top = self._clustered(self._peeled(lines), most, force)
+
+    def _peeled(self, lines: DataFrame) -> DataFrame:
+        for number in range(200):
+            stars, rest = peel(lines, number)
+            n, before = stars.count(), lines.count()
+            if n:
+                self.rounds.append(("peel", stars))
+                lines = rest
+                log.info("peel %d: %d levels left, %d lines before", number, n, before)
+            if n * WORTH <= before:
+                break
+        return lines
+
+    def _clustered(self, lines: DataFrame, most: int, force: bool) -> DataFrame:
+        for number in range(200):
+            nodes = both_ways(lines).select("net", "root", "v").distinct().groupBy("net", "root").agg(F.count("*").alias("n"))
+            large = written(nodes.where(F.col("n") > most), "large")
+            total = large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            if not total:
+                break
+            big = large.select("net", "root")
+            stars, rest = cluster_round(written(lines.join(big, ["net", "root"], "left_semi"), "big"), most, number)
+            n = stars.where("step >= 0").select("net", "a").distinct().count()
+            log.info("clusters %d: %d of %d levels left", number, n, total)
+            if n:
+                self.rounds.append(("clusters", stars))
+                lines = written(lines.join(big, ["net", "root"], "left_anti").unionByName(rest), "lines")
+            if n * 20 < total:
+                if not force:
+                    raise ValueError(f"{total - n} levels are left that clusters of {most} levels can't take out")
+                break
+        return lines
+
+    def taken(self) -> list[DataFrame]:
+        """(net, v) of the levels that left in each round."""
+        return [stars.select("net", "v") if kind == "peel" else stars.where("step >= 0").select("net", F.col("a").alias("v")).distinct() for kind, stars in self.rounds]
+
+
 def solve_spread(transitions: DataFrame, *, unc: str = "unc", most: int = MOST, force: bool = True) -> DataFrame:
     """(net, comp, idx, level, energy): what ``solve.solve_energies`` gives, for networks of any number of levels.
 
     A task takes at most about ``most`` levels, but for what clusters can't take out any more (see above).  An uncertainty of zero raises.
     """
-    ids = written(level_ids(transitions), "ids")
-    named = lambda e, to: ids.select("net", F.col("level").alias(e), F.col("id").alias(to))
-    checked = F.when(F.col(unc) == 0, F.raise_error(F.lit("an uncertainty is zero")).cast("double")).otherwise(weight(F.col(unc)))
-    raw = transitions.select("net", "upper", "lower", checked.alias("w"), F.col("freq").alias("d")).join(named("upper", "a"), ["net", "upper"]).join(named("lower", "b"), ["net", "lower"])
-    raw = written(raw.select("net", "a", "b", "w", "d"), "raw")
-    node = lambda c: F.struct("net", F.col(c).alias("id"))
-    roots = star_components(raw.select(node("a").alias("a"), node("b").alias("b"))).select("node.net", F.col("node.id").alias("id"), F.col("root.id").alias("root"))
-    levels = written(ids.join(roots, ["net", "id"], "left").withColumn("root", F.coalesce("root", "id")), "levels")
-    lines = written(merged(raw.join(levels.select("net", F.col("id").alias("a"), "root"), ["net", "a"])), "lines")
-
-    rounds, taken = [], []
-    for number in range(200):
-        stars, rest = peel(lines, number)
-        n, before = stars.count(), lines.count()
-        if n:
-            rounds.append((_peeled_back, stars))
-            taken.append(stars.select("net", "v"))
-            lines = rest
-            log.info("peel %d: %d levels left, %d lines before", number, n, before)
-        if n * WORTH <= before:
-            break
-    for number in range(200):
-        nodes = both_ways(lines).select("net", "root", "v").distinct().groupBy("net", "root").agg(F.count("*").alias("n"))
-        sizes = written(nodes, "sizes")
-        big = sizes.where(F.col("n") > most).select("net", "root")
-        total = sizes.where(F.col("n") > most).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        if not total:
-            break
-        stars, rest = cluster_round(written(lines.join(big, ["net", "root"], "left_semi"), "big"), most, number)
-        n = stars.select("net", "a").distinct().count()
-        log.info("clusters %d: %d of %d levels left", number, n, total)
-        if n:
-            rounds.append((_clusters_back, stars))
-            taken.append(stars.select("net", F.col("a").alias("v")).distinct())
-            lines = written(lines.join(big, ["net", "root"], "left_anti").unionByName(rest), "lines")
-        if n * 20 < total:
-            if not force:
-                raise ValueError(f"{total - n} levels are left that clusters of {most} levels can't take out")
-            break
-
-    top = written(lines.groupBy("net", "root").applyInPandas(_top_of, "net string, v long, x double"), "top")
-    known = [top]
-    alone = levels.select("net", F.col("id").alias("v"))
-    for t in (top.select("net", "v"), *taken):
+    e = Eliminated(transitions, unc, most, force)
+    top = written(e.top.groupBy("net", "root").applyInPandas(_top_of, "net string, v long, x double"), "top")
+    alone = e.levels.select("net", F.col("id").alias("v"))
+    for t in (top.select("net", "v"), *e.taken()):
         alone = alone.join(t, ["net", "v"], "left_anti")
-    known.append(written(alone.withColumn("x", F.lit(0.0)), "alone"))
-    for back, stars in reversed(rounds):
+    known = [top, written(alone.withColumn("x", F.lit(0.0)), "alone")]
+    for kind, stars in reversed(e.rounds):
+        back = _peeled_back if kind == "peel" else _clusters_back
         known.append(written(back(stars, reduce(DataFrame.unionByName, known)), "x"))
 
-    x = written(levels.join(reduce(DataFrame.unionByName, known).withColumnRenamed("v", "id"), ["net", "id"]), "x")
+    x = written(e.levels.join(reduce(DataFrame.unionByName, known).withColumnRenamed("v", "id"), ["net", "id"]), "x")
     parts = x.groupBy("net", "root").agg(F.min("x").alias("low"), F.count("*").alias("n"))
     ranked = parts.withColumn("comp", F.row_number().over(Window.partitionBy("net").orderBy(F.desc("n"), "root")))
     out = _numbered_levels(x.select("net", "id", "level", "root", "x")).join(ranked, ["net", "root"])
     return out.select("net", "comp", "idx", "level", (F.col("x") - F.col("low")).alias("energy"))
+
+
+def _top_resistances(pdf: pd.DataFrame) -> pd.DataFrame:
+    names, ends = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
+    m = len(pdf)
+    r = Elimination(len(names), ends[:m], ends[m:], pdf["w"].to_numpy()).resistances(ends[:m], ends[m:])
+    return pd.DataFrame({"net": pdf["net"].iloc[0], "a": pdf["a"].to_numpy(), "b": pdf["b"].to_numpy(), "r": r})
+
+
+def _ordered(net, v, o, r) -> list:
+    return [net, F.least(v, o).alias("a"), F.greatest(v, o).alias("b"), r.alias("r")]
+
+
+def _peeled_resistances(stars: DataFrame, known: DataFrame) -> DataFrame:
+    """(net, a, b, r) between levels that left in a round of ``peel`` and their neighbours.
+
+    A level v with shares s of neighbours i and weight W has R_vj = 1 / W + sum s_i R_ij - sum s_i s_k R_ik / 2.
+    """
+    v, o1, o2, w1, w2 = F.col("v"), F.col("n1.o"), F.col("n2.o"), F.col("n1.w"), F.col("n2.w")
+    one = stars.where("k = 1").select(*_ordered("net", v, o1, 1 / w1))
+    keyed = stars.where("k = 2").withColumn("a", F.least(o1, o2)).withColumn("b", F.greatest(o1, o2)).join(known, ["net", "a", "b"])
+    total = w1 + w2
+    each = lambda o, other: F.struct(F.least(v, o).alias("a"), F.greatest(v, o).alias("b"), (1 / total + other * other / (total * total) * F.col("r")).alias("r"))
+    return one.unionByName(keyed.select("net", F.inline(F.array(each(o1, w2), each(o2, w1)))))
+
+
+def _resistances_back(stars: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    stars = stars[stars["step"] >= 0]
+    if not len(stars):
+        return empty("net", "a", "b", "r")
+    names = np.unique(np.concatenate([stars["a"].to_numpy(), stars["b"].to_numpy(), known["a"].to_numpy(), known["b"].to_numpy()]))
+    n, at = len(names), lambda c: np.searchsorted(names, c.to_numpy())
+    keys, values = at(known["a"]) * n + at(known["b"]), known["r"].to_numpy()
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    v, o, share, total, step = at(stars["a"]), at(stars["b"]), stars["w"].to_numpy(), stars["total"].to_numpy(), stars["step"].to_numpy()
+    new_keys, new_values = [], []
+    for i in np.unique(step)[::-1]:
+        mine = np.flatnonzero(step == i)
+        mine = mine[np.argsort(v[mine], kind="stable")]
+        d = len(mine) // len(np.unique(v[mine]))  # levels of one step have as many neighbours
+        rows = mine.reshape(-1, d)
+        ends, s, me = o[rows], share[rows], v[rows[:, 0]]
+        r = np.zeros((len(rows), d, d))
+        if d > 1:
+            p, q = np.triu_indices(d, 1)
+            asked = np.minimum(ends[:, p], ends[:, q]) * n + np.maximum(ends[:, p], ends[:, q])
+            r[:, p, q] = r[:, q, p] = values[np.searchsorted(keys, asked)]
+        to = np.einsum("vi,vij->vj", s, r)
+        found = 1 / total[rows[:, 0]][:, None] + to - np.einsum("vj,vj->v", s, to)[:, None] / 2
+        key = (np.minimum(me[:, None], ends) * n + np.maximum(me[:, None], ends)).ravel()
+        new_keys.append(key)
+        new_values.append(found.ravel())
+        order = np.argsort(np.concatenate([keys, key]), kind="stable")
+        keys, values = np.concatenate([keys, key])[order], np.concatenate([values, found.ravel()])[order]
+    key = np.concatenate(new_keys)
+    return pd.DataFrame({"net": stars["net"].iloc[0], "a": names[key // n], "b": names[key % n], "r": np.concatenate(new_values)})
+
+
+def leverages_spread(transitions: DataFrame, *, unc: str = "unc", most: int = MOST, force: bool = True) -> DataFrame:
+    """(net, seq, leverage): weight times effective resistance of each line, for networks of any number of levels; 0 for a self-loop.
+
+    The rounds of ``solve_spread`` are read backwards for the resistances between a level and its neighbours at the time it left; those between the
+    neighbours are known then, as leaving linked them.
+    """
+    e = Eliminated(transitions, unc, most, force)
+    known = written(e.top.groupBy("net", "root").applyInPandas(_top_resistances, "net string, a long, b long, r double"), "resistances")
+    for kind, stars in reversed(e.rounds):
+        if kind == "peel":
+            new = _peeled_resistances(stars, known)
+        else:
+            key = ["net", "c", "s"]
+            linked = stars.where("step < 0").select(*key, "a", "b").join(known, ["net", "a", "b"])
+            new = stars.groupBy(*key).cogroup(linked.toDF(*linked.columns).groupBy(*key)).applyInPandas(_resistances_back, "net string, a long, b long, r double")
+        known = known.unionByName(written(new, "resistances"))
+    pair = e.raw.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).select("net", "seq", "w", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    h = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col("w") * F.col("r"), F.lit(0.0))))
+    return pair.join(known, ["net", "a", "b"], "left").select("net", "seq", h.alias("leverage"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import QN_SLOTS, qn_vector
-from . import kernels
+from . import dissection, forest, kernels
 from .network import bidirected, ends
 from .solve import _numbered, _weights, residuals
 
@@ -23,8 +23,18 @@ def _leverages_of_net(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"net": pdf["net"].to_numpy(), "seq": pdf["seq"].to_numpy(), "leverage": h, "bridge": kernels.bridges(len(levels), u, l)})
 
 
-def leverages(transitions: DataFrame) -> DataFrame:
-    """(net, seq, leverage, bridge) of each line: 1 where the solve takes a line over whole, near 0 where it is redundant."""
+def leverages(transitions: DataFrame, *, method: str = "by_net", most: int = dissection.MOST) -> DataFrame:
+    """(net, seq, leverage, bridge) of each line: 1 where the solve takes a line over whole, near 0 where it is redundant.
+
+    ``by_net`` takes each net in one task; ``distributed`` spreads a net over tasks of ``most`` levels (see :mod:`.dissection`, :mod:`.forest`).
+    """
+    if method == "distributed":
+        h = dissection.leverages_spread(transitions, most=most)
+        cut = forest.bridges(transitions).withColumn("bridge", F.lit(True))
+        pair = transitions.select("net", "seq", F.least("upper", "lower").alias("a"), F.greatest("upper", "lower").alias("b")).join(cut, ["net", "a", "b"], "left")
+        return h.join(pair.select("net", "seq", F.coalesce("bridge", F.lit(False)).alias("bridge")), ["net", "seq"])
+    if method != "by_net":
+        raise ValueError(method)
     lines = transitions.select("net", "seq", "upper", "lower", "unc")
     return lines.groupBy("net").applyInPandas(_leverages_of_net, "net string, seq long, leverage double, bridge boolean")
 

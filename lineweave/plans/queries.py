@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import floored, hashed, qn_vector, shifted, tag
-from ..operators import candidates, features, metrics, network, simulate, solve, units
+from ..operators import candidates, dissection, features, metrics, network, simulate, solve, units
 from ..session import attach, scratch_path, written
 from ..sources import adapters, lines
 
@@ -417,12 +417,24 @@ def q_qn_vector(spark, sf_dir):
     return v.select("level", *[F.col("v")[i].alias(f"q{i}") for i in range(7)])
 
 
-@query(f"WITH RECURSIVE {CC} SELECT net, (count(*) - count(DISTINCT comp))::BIGINT AS total, 0::BIGINT AS outside FROM comps GROUP BY net")
-def q_leverage_sum(spark, sf_dir):
-    h = features.leverages(adapters.transitions(spark, sf_dir))
+LEVERAGE_SQL = f"WITH RECURSIVE {CC} SELECT net, (count(*) - count(DISTINCT comp))::BIGINT AS total, 0::BIGINT AS outside FROM comps GROUP BY net"
+
+
+def _leverage_sum(h):
     return h.groupBy("net").agg(F.round(F.sum("leverage"), 6).cast("long").alias("total"), F.count_if((F.col("leverage") < 0) | (F.col("leverage") > 1)).alias("outside"))
 
 
+@query(LEVERAGE_SQL)
+def q_leverage_sum(spark, sf_dir):
+    return _leverage_sum(features.leverages(adapters.transitions(spark, sf_dir)))
+
+
+@query(LEVERAGE_SQL)
+def q_leverage_sum_distributed(spark, sf_dir):
+    """By the rounds of the spread elimination, read backwards for resistances."""
+    return _leverage_sum(dissection.leverages_spread(adapters.transitions(spark, sf_dir), most=40))
+
+
 @query(f"WITH {T} SELECT DISTINCT net, 0::BIGINT AS violations FROM t")
 def q_bridge_leverage(spark, sf_dir):
     """A lone bridge has leverage 1; parallel lines on a bridge add up to 1; no other line reaches 1."""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lineweave.operators import dissection, network, paths, solve
+from lineweave.operators import dissection, features, network, paths, solve
 
 
 def grid(n, seed=0):
@@ -70,7 +70,7 @@ def test_star_elimination_of_one_cluster():
     a, b, w, d = np.arange(5), np.arange(1, 6), np.array([1.0, 2.0, 4.0, 5.0, 10.0]), -np.arange(1.0, 6.0)
     may = np.array([False, True, True, True, True, False])
     (la, lb, lw, ld), stars = dissection.take_out(6, a, b, w, d, may)
-    assert (la.tolist(), lb.tolist()) == ([0], [5]) and sum(len(v) for v, *_ in stars) == 4
+    assert (la.tolist(), lb.tolist()) == ([0], [5]) and sum(len(v) for v, *_ in stars) == 4 and all(np.allclose(share.sum(axis=1), 1) for _, _, share, _, _ in stars)
     assert lw[0] == pytest.approx(1 / (1 / w).sum()) and ld[0] == pytest.approx(d.sum())
 
 
@@ -125,3 +125,10 @@ def test_spread_bridges_equal_kernel(spark, net):
     assert pairs(network.bridges(net([]), method="distributed")) == pairs(network.bridges(net([]))) == []
     with pytest.raises(ValueError):
         network.bridges(t, method="other")
+
+
+def test_spread_leverages_equal_kernel(spark, net):
+    t = net(grid(5) + [(1.0, 0.1, "loop", "loop")], "a").unionByName(net([(1.0, 0.1, "p", "q"), (2.0, 0.2, "q", "p")], "b"))
+    of = lambda df: {(r["net"], r["seq"]): (r["leverage"], r["bridge"]) for r in df.collect()}
+    got, want = of(features.leverages(t, method="distributed", most=12)), of(features.leverages(t))
+    assert got.keys() == want.keys() and all(got[k] == (pytest.approx(want[k][0], abs=1e-9), want[k][1]) for k in got)
