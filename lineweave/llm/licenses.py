@@ -1,47 +1,49 @@
 """License scans: a trained paragraph classifier, in DataFrame functions and Spark ML only.
 
-Paragraphs are the lines of a text.  Those with a word that any notice has (``ANCHORS``) are classified: sparse counts of word
-1- to 3-grams, then multinomial logistic regression over the families, ``unknown`` (a notice of no listed family) and ``none``.
+A text is cut into paragraphs' sentences: at blank lines, after a full stop before a capital, and before lines that begin as notices
+do; a line break within a sentence is a space, so a notice may be wrapped anywhere.  Of a sentence the *passages* are classified:
+runs of its telling words, at most ``GAP`` words apart, with ``PAD`` words on both sides.  The classifier takes sparse word 1- to 3-grams and
+gives multinomial logistic regression over the families, ``unknown`` (a notice of no listed family) and ``none``.
+
+Which words are telling follows from the fitted coefficients (``telling_words``): n-grams without any of them can't lift a class
+above ``none``, whichever occur together, so what is passed by would be ``none`` if it were classified.
+
 The classifier is trained here on notices made by rule from the fixed names and phrases below; a third of them, chosen by hash,
-is held out.  The probability from which a family counts is calibrated on the held-out notices that are of no family: at most
+is held out.  A penalty on the sum of coefficients leaves few n-grams that count, so few words are telling.  The probability from which a family counts is calibrated on the held-out notices that are of no family: at most
 ``FALSE_ACCEPT`` of these reach it.  A family that does not reach it becomes ``unknown``.
 
-A prediction is then confirmed by comparison with the family's templates: the share of a template's word pairs that the paragraph
+A prediction is then confirmed by comparison with the family's templates: the share of a template's word pairs that the passage
 has must reach ``CONFIRM`` for one of them; else it becomes ``unknown``, too.
 
-A line is looked at if it has an anchor or a word pair of ``word_filter``: of each template, and of each name of no listed family, more
-pairs are in it than a text of similarity ``CONFIRM`` can lack, so no line that could be confirmed is passed by.
-
-Notices that are wrapped over lines are found in blocks, the runs of lines between blank ones: a family whose template a block of
-several lines has in its joined words by ``CONFIRM`` is a notice at the block's first line, unless a line of it is one already or a
-family with like templates is closer.  Lines without a family, half of whose pairs are in such a family's templates, are its parts.
+One decision owns its sentences: notices of one family in sentences that follow each other are one notice, as are ``unknown`` ones beside
+those of a family, unless a blank line or a line that begins as notices do lies between.
 
 Results go back to their document by a number given to each row where it is read; texts are not shuffled.
 
-Edge cases: null or empty text has no paragraphs; very long paragraphs are compared whole; repeated rows are reported each; an
-empty table gives no rows; columns of other names are passed by.
+Edge cases: null or empty text has no paragraphs; very long ones are compared whole, in time that grows with their length; repeated
+rows are reported each; an empty table gives no rows; columns of other names are passed by.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 import re
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FALSE_ACCEPT = 0.01
 #: The calibrated probability is at least this.
 LEAST = 0.5
 CONFIRM = 0.8
-#: Bound of the n-grams that the classifier knows; the notices made here have some 1,600, and training fails if they reach it.
-VOCABULARY = 20_000
-
-#: Words that notices of any licence have.
-ANCHORS = r"(?i)licen[cs]|lizenz|copyright|copyleft|creative\s+commons|public\s+domain|\bcc[ -](?:by|0)|\b[al]?gpl|gnu\s+general|apache|mozilla|\bbsd\b|all\s+rights\s+reserved"
+#: Bound of the n-grams that the classifier knows; training fails if the notices made here reach it.
+VOCABULARY = 40_000
+#: Telling words further apart are of different passages; the words on either side that go with a passage, at most half as many.
+GAP, PAD = 12, 6
 
 #: What notices of each family call their licence.
 NAMES = {
@@ -67,12 +69,27 @@ PHRASES = {
     "BSD": ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
 }
-#: How notices begin and end.
-OPENINGS = ("Licensed under", "Released under", "This work is licensed under", "This software is distributed under the terms of", "The code is available under", "Published under", "Distributed under", "All files are covered by", "License:", "Use of this source code is governed by")
-ENDINGS = ("", ".", ". See the LICENSE file for details.", ", unless noted otherwise.", ". Copyright 2021 the authors. All rights reserved.")
-#: Names of no listed family, and sentences that mention such words without being a notice.
+#: How notices begin and end, and sentences that follow them.
+OPENINGS = ("Licensed under", "Released under", "This work is licensed under", "This software is distributed under the terms of", "The code is available under", "Published under", "Distributed under", "Available under", "All files are covered by", "License:", "Use of this source code is governed by")
+ENDINGS = ("", ".", ", unless noted otherwise.", " since 2019.")
+FOLLOWING = ("See the LICENSE file for details.", "Copyright 2021 the authors.", "All rights reserved.")
+#: Names of no listed family; in the second ones a made-up word comes in.
 OTHERS = ("the Example Community License", "the Acme Public License, version 1.1", "a proprietary license", "the terms of our customer agreement", "the Open Widget License 2.0", "the Sample Software License, Version 3", "an internal license", "the Foo Attribution License 4.0", "the Regional Data License, version 2", "a commercial license")
-MENTIONS = ("a driver's license is required to rent a car", "the license plate was hard to read", "she studied copyright law for three years", "the Apache helicopter landed in the field", "poetic license is allowed here", "fishing licences are sold at the harbour", "der Zug fährt mit der Lizenz des Landes", "the public domain of knowledge grows every year", "a general with a version of the story", "is it an open question")
+OTHER_FORMS = ("{}", "the {}", "the {} 1.2", "the {} License", "the {} Public License", "the {} License, Version 2.0", "the {} terms", "the {} Software License", "the terms of the {} License")
+OTHER_WHOLE = ("{} terms apply", "{} Software terms apply", "{} license terms apply", "The {} License applies", "Subject to the {} License")
+#: Sentences that mention such words without being a notice, and such that mention a licence by name.
+MENTIONS = (
+    "a driver's license is required to rent a car", "the license plate was hard to read", "she studied copyright law for three years", "the Apache helicopter landed in the field", "poetic license is allowed here",
+    "fishing licences are sold at the harbour", "der Zug fährt mit der Lizenz des Landes", "the public domain of knowledge grows every year", "a general with a version of the story", "is it an open question",
+    "the leaflets were distributed under pressure", "the album was released under another title", "tickets are available under the stairs", "the book was published under a false name", "the water was released under the bridge",
+    "the terms of the contract apply to all", "software terms are hard to read", "the source of the river is in the mountains", "permission to leave was granted by the general", "a copy of the letter is in the file",
+)
+NAMED = (
+    "she went to {} office", "he wrote a book on {} and its history", "the class compared {} with others", "lawyers argued about {} for hours", "what does {} mean", "the author of {} gave a talk",
+    "many people dislike {} and say so", "we were asked about {} yesterday", "an article on {} appeared in the paper", "they read {} aloud in court", "the text of {} was hard to read", "her lecture covers {} as an example",
+)
+#: Fixed value: frequent words, of which prose is made by rule.
+FREQUENT = "the of and to in a is that it for on with as was at by an be this are from or not all any you may under use which have has had its".split()
 
 
 def words_of(text: Column) -> Column:
@@ -92,12 +109,37 @@ def _pairs(words: Column) -> Column:
     ).otherwise(words)
 
 
-def notices() -> list[tuple[str, str]]:
-    """(family, notice) by rule from the fixed values."""
-    made = [(family, f"{a} {name}{z}") for family, names in {**NAMES, "unknown": OTHERS}.items() for name in names for a in OPENINGS for z in ENDINGS]
-    made += [(family, f"{a}{p}{z}") for family, phrases in PHRASES.items() for p in phrases for a in ("", "/* ", "Note: ") for z in ENDINGS]
-    made += [("none", f"{a}{m}{z}") for m in MENTIONS for a in ("", "He said that ", "In fact, ", "And so ") for z in ("", ".", ", he added.", " and more.")]
-    return made + [("none", ""), ("none", "the of and to in a is that it for on with as was at by an be this")] * 20
+def _number(*key) -> int:
+    return int.from_bytes(hashlib.md5(repr(key).encode()).digest()[:6], "big")
+
+
+def prose(n: int, key) -> str:
+    """``n`` frequent words, drawn by a hash."""
+    return " ".join(FREQUENT[_number(key, i) % len(FREQUENT)] for i in range(n))
+
+
+def _sentences(text: str) -> list[str]:
+    return re.split(r"(?<=[.!?])\s+(?=[A-Z])", text)
+
+
+def templates() -> dict[str, list[str]]:
+    """Names and the sentences of the phrases of each family."""
+    return {f: [*NAMES[f], *(t for p in PHRASES.get(f, ()) for t in _sentences(p))] for f in NAMES}
+
+
+def notices() -> list[tuple[str, str, str]]:
+    """(family, notice, form) by rule from the fixed values; the form is what is about the name."""
+    made_up = lambda *key: "".join("bcdfglmnprstvz"[_number(*key, i) % 14] + "aeiou"[_number(*key, i, "v") % 5] for i in range(3 + _number(*key) % 2)).capitalize()
+    made = [(f, f"{a} {n}{z}", f"{a}|{z}") for f, of in {**NAMES, "unknown": OTHERS}.items() for n in of for a in OPENINGS for z in ENDINGS]
+    made += [("unknown", f"{a} {o.format(made_up(o, i, a, z))}{z}", f"{a}|{z}") for o in OTHER_FORMS for i in range(4) for a in OPENINGS for z in ENDINGS]
+    made += [("unknown", o.format(made_up(o, i)) + z, o) for o in OTHER_WHOLE for i in range(8) for z in ("", ".")]
+    made += [(f, n + z, "|" + z) for f, of in NAMES.items() for n in of for z in ("", ".")] * 2
+    made += [(f, f"{a}{t}{z}", f"{a}|{z}") for f, of in PHRASES.items() for p in of for t in _sentences(p) for a in ("", "/* ", "Note: ", "Words before, ") for z in ("", ".", ", and more after.")]
+    made += [(f, f"{prose(_number(t, 'a') % 7, t)} {t} {prose(_number(t, 'z') % 7, (t, 1))}", form) for f, t, form in made if _number(t) % 2]
+    made += [("none", f"{a}{m}{z}", f"{m}") for m in (*MENTIONS, *FOLLOWING) for a in ("", "He said that ", "In fact, ", "And so ") for z in ("", ".", ", he added.", " and more.")]
+    made += [("none", m.format(n) + z, m) for m in NAMED for of in NAMES.values() for n in of for z in ("", ".")]
+    made += [("none", prose(1 + i % 12, i), "prose") for i in range(3000)]
+    return made + [("none", "", "")] * 20
 
 
 class Classifier:
@@ -105,6 +147,7 @@ class Classifier:
 
     def __init__(self, vocabulary: CountVectorizerModel, model: LogisticRegressionModel, bound: float, classes: list[str]):
         self.vocabulary, self.model, self.bound, self.classes = vocabulary, model, bound, classes
+        self.telling = telling_words(vocabulary.vocabulary, model.coefficientMatrix.toArray(), np.asarray(model.interceptVector))
 
     def probabilities(self, paragraphs: DataFrame) -> DataFrame:
         """Adds ``p``, one probability per class, to ``paragraphs(words, ...)``."""
@@ -112,16 +155,43 @@ class Classifier:
         return self.model.transform(featured).withColumn("p", vector_to_array("probability")).drop("grams", "features", "rawPrediction", "probability", "prediction")
 
 
-def train(spark: SparkSession, max_iter: int = 40) -> Classifier:
+def telling_words(grams: list[str], coefficients: np.ndarray, intercepts: np.ndarray) -> list[str]:
+    """Words without any of which every text is of the first class.
+
+    For each other class, its lead in the intercepts and all that n-grams of other words could add to it come to less than zero.  Words
+    are taken while this doesn't hold, those that add most first, frequent ones last.
+    """
+    gains = np.maximum(coefficients - coefficients[0], 0.0)
+    lead = intercepts - intercepts[0] + gains.sum(axis=1)
+    lead[0] = -np.inf
+    having: dict[str, list[int]] = {}
+    for i, g in enumerate(grams):
+        for w in set(g.split(" ")):
+            having.setdefault(w, []).append(i)
+    alive, frequent, chosen = np.ones(len(grams), dtype=bool), set(FREQUENT), []
+    while having and (worst := lead.argmax()) and lead[worst] > -1e-6:
+        adds = {w: gains[worst, [i for i in at if alive[i]]].sum() for w, at in having.items()}
+        word = max(adds, key=lambda w: (adds[w] > 0, w not in frequent, adds[w], w))
+        gone = [i for i in having.pop(word) if alive[i]]
+        alive[gone] = False
+        lead = lead - gains[:, gone].sum(axis=1)
+        chosen.append(word)
+    if lead[1:].max() > -1e-6:
+        raise ValueError("a text without words isn't of the first class")
+    return sorted(chosen)
+
+
+def train(spark: SparkSession, max_iter: int = 40, held_by: str = "text") -> Classifier:
+    """``held_by``: notices are held out by the hash of their ``text``, or with all others of their ``form``."""
     made = notices()
     classes = ["none", "unknown", *NAMES]
-    rows = spark.createDataFrame([(float(classes.index(f)), t) for f, t in made], "label double, text string").coalesce(1)
-    rows = rows.select("label", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words")).withColumn("grams", ngrams(F.col("words")))
-    held, used = rows.where("pmod(h, 3) = 0"), rows.where("pmod(h, 3) <> 0")
-    vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=VOCABULARY).fit(used)
+    rows = spark.createDataFrame([(float(classes.index(f)), t, _held(x, t, held_by)) for f, t, x in made], "label double, text string, held boolean").coalesce(1)
+    rows = rows.select("label", "held", words_of(F.col("text")).alias("words")).withColumn("grams", ngrams(F.col("words")))
+    held, used = rows.where("held"), rows.where("not held")
+    vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=3, vocabSize=VOCABULARY).fit(used)
     if len(vocabulary.vocabulary) >= VOCABULARY:
         raise ValueError("the notices have more n-grams than the classifier may know")
-    model = LogisticRegression(regParam=0.002, maxIter=max_iter, family="multinomial").fit(vocabulary.transform(used).select("label", "features"))
+    model = LogisticRegression(regParam=0.001, elasticNetParam=0.99, maxIter=max_iter, family="multinomial").fit(vocabulary.transform(used).select("label", "features"))
     fitted = Classifier(vocabulary, model, LEAST, classes)
     family = F.array_max(F.slice("p", 3, len(NAMES)))
     accepted = fitted.probabilities(held.drop("grams")).where("label < 2").agg(F.percentile(family, F.lit(1 - FALSE_ACCEPT))).first()[0]
@@ -129,9 +199,13 @@ def train(spark: SparkSession, max_iter: int = 40) -> Classifier:
     return fitted
 
 
-def held_out_accuracy(spark: SparkSession, fitted: Classifier) -> float:
+def _held(form: str, text: str, by: str) -> bool:
+    return text != "" and form != "prose" and _number("held", form if by == "form" else text) % 3 == 0
+
+
+def held_out_accuracy(spark: SparkSession, fitted: Classifier, held_by: str = "text") -> float:
     """Share of the held-out notices whose class is found, before confirmation."""
-    rows = spark.createDataFrame([(fitted.classes.index(f), t) for f, t in notices()], "label int, text string").where(F.pmod(F.xxhash64("text"), F.lit(3)) == 0)
+    rows = spark.createDataFrame([(fitted.classes.index(f), t) for f, t, x in notices() if _held(x, t, held_by)], "label int, text string")
     best = fitted.probabilities(rows.select("label", words_of(F.col("text")).alias("words"))).select("label", _best("p")["i"].alias("i"))
     return best.agg(F.avg((F.col("i") == F.col("label")).cast("double"))).first()[0]
 
@@ -141,122 +215,106 @@ def _best(p) -> Column:
     return F.array_max(F.transform(F.col(p), lambda x, i: F.struct(x.alias("p"), i.alias("i"))))
 
 
-def _template_pairs(family: str) -> Column:
-    """Word pairs of each of the family's templates."""
-    texts = F.array(*[F.lit(t) for t in (*NAMES[family], *PHRASES.get(family, ()))])
-    return F.transform(texts, lambda t: _pairs(words_of(t)))
-
-
-def _plain_pairs(text: str) -> list[str]:
-    words = re.findall(r"[^\W_]+", text.lower())
-    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:]))) if len(words) > 1 else words
+def _with(value: Column, of) -> Column:
+    """``of(value)`` with the value taken once, however often it is used within."""
+    return F.transform(F.array(value), of)[0]
 
 
-def _templates() -> dict[str, list[list[str]]]:
-    return {f: [_plain_pairs(t) for t in (*NAMES[f], *PHRASES.get(f, ()))] for f in NAMES}
+_STARTS = "[^\\p{L}\\p{N}\\n]*(?:" + "|".join(re.escape(o) for o in OPENINGS) + ")"
+#: Empty matches: before blank lines, after full stops before capitals, before lines that begin as notices do.
+BREAK = r"(?=\n[^\S\n]*\n)|(?<=[.!?])(?=\s+\p{Lu})|(?=\n" + _STARTS + ")"
+#: Sentences that are no part of the one before.
+FRESH = r"\A\n[^\S\n]*\n|\A\s*" + _STARTS
+_newlines = lambda text: F.regexp_count(text, F.lit("\n"))
 
 
-def word_filter() -> str:
-    """A pattern that matches every text with ``CONFIRM`` of the pairs of a template or of a name in ``OTHERS``, on one line or more."""
-    chosen = set()
-    for pairs in [p for t in _templates().values() for p in t] + [_plain_pairs(o) for o in OTHERS]:
-        least = len(pairs) - math.ceil(CONFIRM * len(pairs) - 1e-9) + 1
-        # those that have an anchor in one word come for nothing, long ones are rare
-        known = {p for p in pairs if any(re.search(ANCHORS, w) for w in p.split())}
-        chosen |= {p for p in sorted(pairs, key=lambda p: (p not in known, -len(p), p))[:least] if p not in known}
-    return rf"(?i){ANCHORS[4:]}|\b(?:" + "|".join(p.replace(" ", r"[^\p{L}\p{N}]+") for p in sorted(chosen)) + r")\b"
+def passages_of(words: Column, telling: Column) -> Column:
+    """Runs of the telling words among ``words``, with the words about them, in order."""
+    hits = F.filter(F.transform(words, lambda w, k: F.when(F.array_contains(telling, w), k)), lambda k: k.isNotNull())
 
+    def runs(h):
+        firsts = F.filter(F.transform(h, lambda k, j: F.when((j == 0) | (k - F.get(h, j - 1) > GAP), j)), lambda j: j.isNotNull())
 
-FILTER = word_filter()
+        def cut(f):
+            def passage(j, n):
+                from_ = F.greatest(F.get(h, j) - PAD, F.lit(0))
+                to = F.get(h, F.coalesce(F.get(f, n + 1), F.size(h)) - 1) + PAD
+                return F.slice(words, from_ + 1, to - from_ + 1)
 
+            return F.transform(f, passage)
 
-def _rivals(family: str) -> list[str]:
-    """Families with a template that has half of its pairs in common with one of this family."""
-    made = _templates()
-    near = lambda a, b: 2 * len(set(a) & set(b)) >= min(len(a), len(b))
-    return [g for g in NAMES if g != family and any(near(a, b) for a in made[family] for b in made[g])]
+        return _with(firsts, cut)
 
+    return _with(hits, runs)
 
-def block_notices(text: Column) -> Column:
-    """(first, last, family, share) of the families that a block of several lines confirms, for each block with any."""
-    pieces = F.split(text, r"(?<=\n)(?=[^\S\n]*\n)")  # each begins with its blank line
-    breaks = lambda p: F.regexp_count(p, F.lit("\n"))
-    made = _templates()
-    every = F.array(*[F.lit(p) for p in sorted({p for t in made.values() for x in t for p in x})])
 
-    def found(piece, i):
-        at = F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda a, p: a + breaks(p))
-        first = at + F.when(piece.rlike(r"\A[^\S\n]*\n"), 1).otherwise(0)
-        # places of all pairs of templates, in order; one-row arrays, so that words and places are taken once
-        ordered = lambda w: F.filter(
-            F.concat(F.transform(w, lambda x, k: F.struct(k.alias("k"), x.alias("x"))), F.transform(w, lambda x, k: F.struct(k.alias("k"), F.concat_ws(" ", x, F.get(w, k + 1)).alias("x")))),
-            lambda s: F.array_contains(every, s["x"]),
-        )
-        places = F.transform(F.array(words_of(piece)), ordered)
+def passages(docs: DataFrame, fitted: Classifier, text_col: str = "text") -> DataFrame:
+    """Adds ``row_no``, ``n_paragraphs`` (lines that aren't blank) and, a row for each passage (none: one row of nulls): ``sentence`` and ``passage`` (their
+    numbers), ``lines`` (line breaks since the last such sentence), ``lead`` (those at its beginning), ``fresh`` and ``words``."""
+    telling = F.array(*[F.lit(w) for w in fitted.telling])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    plain = lambda t: F.split(F.lower(t), r"[^\p{L}\p{N}]+")
 
-        def close(at, t):
-            """Most of the template's pairs among as many places in a row as it has, and a few more, by their share."""
-            mine = F.transform(F.array(F.filter(at, lambda s: F.array_contains(F.array(*[F.lit(p) for p in t]), s["x"]))), lambda m: F.array_max(
-                F.transform(m, lambda p: F.size(F.array_distinct(F.transform(F.filter(m, lambda q: (q["k"] >= p["k"]) & (q["k"] < p["k"] + len(t) + max(2, len(t) // 4))), lambda q: q["x"]))))
-            ))[0]
-            return F.coalesce(mine, F.lit(0)) / len(t)
+    def found(p):
+        hits = F.filter(F.transform(p, lambda t, i: F.when(F.arrays_overlap(plain(t), telling), i)), lambda i: i.isNotNull())
 
-        share = lambda at, f: F.greatest(*[close(at, t) for t in made[f]], F.lit(0.0))
-        shares = F.transform(places, lambda at: F.array(*[F.struct(F.lit(f).alias("family"), share(at, f).alias("share")) for f in NAMES]))[0]
-        rivals = F.create_map(*[x for f in NAMES for x in (F.lit(f), F.array(*[F.lit(g) for g in _rivals(f)]).cast("array<string>"))])
-        best = F.transform(F.array(shares), lambda all_: F.filter(all_, lambda s: (s["share"] >= CONFIRM) & ~F.exists(all_, lambda o: (o["share"] > s["share"]) & F.array_contains(rivals[s["family"]], o["family"]))))[0]
-        return F.transform(best, lambda s: F.struct(first.cast("int").alias("first"), (at + breaks(piece)).cast("int").alias("last"), s["family"].alias("family"), s["share"].cast("double").alias("share")))
+        def told(h):
+            def row(i, j):
+                last = F.coalesce(F.get(h, j - 1), F.lit(0))
+                lines = F.aggregate(F.slice(p, last + 1, i - last), F.lit(0), lambda a, t: a + _newlines(t))
+                return F.struct(i.alias("i"), lines.alias("lines"), F.get(p, i).alias("t"))
 
-    several = lambda p: p.rlike(FILTER) & p.rlike(r"\S[^\n]*\n[^\n]*\S")
-    return F.flatten(F.transform(pieces, lambda p, i: F.when(several(p), found(p, i)).otherwise(F.array().cast("array<struct<first:int,last:int,family:string,share:double>>"))))
+            return F.transform(h, row)
 
+        return _with(hits, told)
 
-def paragraphs_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``row_no``, ``n_paragraphs`` and, exploded, ``position`` and ``paragraph`` of those that pass ``FILTER`` (else null), and ``blocks``."""
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    numbered = docs.withColumn("row_no", F.monotonically_increasing_id()).withColumn("lines", lines)
-    candidates = F.filter(F.transform("lines", lambda p, i: F.when(p.rlike(FILTER), F.struct(i.alias("position"), p.alias("paragraph")))), lambda s: s.isNotNull())
-    counted = numbered.withColumn("n_paragraphs", F.size(F.filter("lines", lambda p: p.rlike(r"\S"))).cast("long"))
-    none = F.array().cast("array<struct<first:int,last:int,family:string,share:double>>")
-    counted = counted.withColumn("blocks", F.when(F.col(text_col).rlike(FILTER) & F.col(text_col).contains("\n"), block_notices(F.col(text_col))).otherwise(none))
-    return counted.withColumn("c", F.explode_outer(candidates)).withColumn("position", F.col("c.position")).withColumn("paragraph", F.col("c.paragraph")).drop("c", "lines")
+    numbered = docs.withColumn("row_no", F.monotonically_increasing_id()).withColumn("n_paragraphs", F.regexp_count(text, F.lit(r"\S[^\n]*")).cast("long"))
+    each = numbered.withColumn("s", F.explode_outer(_with(F.split(text, BREAK), found)))
+    cut = each.select(
+        *numbered.columns, F.col("s.i").alias("sentence"), F.col("s.lines").alias("lines"), _newlines(F.regexp_extract("s.t", r"\A[^\p{L}\p{N}]*", 0)).alias("lead"), F.col("s.t").rlike(FRESH).alias("fresh"),
+        F.posexplode_outer(_with(words_of(F.col("s.t")), lambda w: passages_of(w, telling))).alias("passage", "words"),
+    )
+    return cut.withColumn("lines", F.when(F.col("passage") == 0, F.col("lines")).otherwise(0))
 
 
-def classify(paragraphs: DataFrame, fitted: Classifier) -> DataFrame:
-    """Adds ``family`` (none, unknown or a family), ``probability`` and ``similarity`` to ``paragraphs(paragraph, ...)``."""
-    scored = fitted.probabilities(paragraphs.withColumn("words", words_of(F.coalesce("paragraph", F.lit(""))))).withColumn("best", _best("p"))
-    own = _pairs(F.col("words"))
-    templates = F.array(*[F.array(F.array(F.lit(""))) if f in ("none", "unknown") else _template_pairs(f) for f in fitted.classes])
-    either = F.array_distinct(F.concat("words", "own"))  # a template of one word, such as GPLv3, is that word
-    share = F.array_max(F.transform(F.element_at(templates, F.col("best.i") + 1), lambda t: F.size(F.array_intersect(t, F.col("either"))) / F.size(t)))
+def classify(found: DataFrame, fitted: Classifier) -> DataFrame:
+    """Adds ``family`` (none, unknown or a family), ``probability`` and ``similarity`` to ``found(words, ...)``."""
+    scored = fitted.probabilities(found.withColumn("words", F.coalesce("words", F.array().cast("array<string>")))).withColumn("best", _best("p"))
+    made = templates()
+    pairs = F.array(*[F.array(*[_pairs(words_of(F.lit(t))) for t in made.get(f, ("",))]) for f in fitted.classes])
+    own = F.array_distinct(F.concat("words", _pairs(F.col("words"))))  # a template of one word, such as GPLv3, is that word
+    share = _with(own, lambda o: F.array_max(F.transform(F.element_at(pairs, F.col("best.i") + 1), lambda t: F.size(F.array_intersect(t, o)) / F.size(t))))
     is_family = F.col("best.i") >= 2
-    compared = scored.withColumn("own", own).withColumn("either", either).withColumn("similarity", F.when(is_family, share))
+    compared = scored.withColumn("similarity", F.when(is_family, share))
     named = F.element_at(F.array(*[F.lit(c) for c in fitted.classes]), F.col("best.i") + 1)
     sure = (F.col("best.p") >= fitted.bound) & (F.col("similarity") >= CONFIRM)
-    family = F.when(F.col("paragraph").isNull(), "none").when(is_family & ~sure, "unknown").otherwise(named)
-    made = {f: sorted({p for t in x for p in t}) for f, x in _templates().items()}
-    parts = F.filter(F.array(*[F.when(2 * F.size(F.array_intersect("own", F.array(*[F.lit(p) for p in x]))) >= F.size("own"), F.lit(f)) for f, x in made.items()]), lambda f: f.isNotNull())
-    return compared.withColumn("family", family).withColumn("part_of", parts).withColumn("probability", F.col("best.p")).drop("p", "best", "words", "own", "either")
+    return compared.withColumn("family", F.when(is_family & ~sure, "unknown").otherwise(named)).withColumn("probability", F.col("best.p")).drop("p", "best", "words")
 
 
 def scan(docs: DataFrame, fitted: Classifier | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_paragraphs, n_notices, families, notices): one row per row of ``docs``.
 
     ``families`` are the distinct families in order of name; ``notices`` the (position, family, probability, similarity) of each
-    paragraph that is a notice, in order.
+    notice in order; the position is the line where its sentence begins.
     """
     fitted = fitted or train(docs.sparkSession)
-    rows = classify(paragraphs_of(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), fitted)
-    notice = F.when(F.col("family") != "none", F.struct("position", "family", "probability", "similarity", "part_of"))
-    listed = rows.groupBy("row_no", "id").agg(F.first("n_paragraphs").alias("n_paragraphs"), F.first("blocks").alias("blocks"), F.collect_list(notice).alias("lines"))
-    within = lambda n, b: (n["position"] >= b["first"]) & (n["position"] <= b["last"])
-    wrapped = F.filter("blocks", lambda b: ~F.exists("lines", lambda n: within(n, b) & (n["family"] == b["family"])))
-    own = F.filter("lines", lambda n: (n["family"] != "unknown") | ~F.exists("blocks", lambda b: within(n, b) & F.array_contains(n["part_of"], b["family"])))
-    four = lambda p, f, q, s: F.struct(p.cast("int").alias("position"), f.alias("family"), q.cast("double").alias("probability"), s.cast("double").alias("similarity"))
-    both = F.concat(F.transform(own, lambda n: four(n["position"], n["family"], n["probability"], n["similarity"])), F.transform(wrapped, lambda b: four(b["first"], b["family"], b["share"], b["share"])))
-    found = listed.select("row_no", "id", "n_paragraphs", F.sort_array(both).alias("notices"))
+    rows = classify(passages(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), fitted).drop("text"), fitted)
+    rows = rows.withColumn("is_notice", F.col("family") != "none").repartition("row_no")
+    of_row = Window.partitionBy("row_no").orderBy("sentence", "passage")
+    of_notices = Window.partitionBy("row_no", "is_notice").orderBy("sentence", "passage")
+    run = Window.partitionBy("row_no", "is_notice", "run")
+    before = run.orderBy("sentence", "passage").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.lag("sentence").over(of_notices)
+    broken = last.isNull() | (F.col("sentence") - last > 1) | ((F.col("sentence") != last) & F.col("fresh"))
+    placed = rows.withColumn("position", (F.sum("lines").over(of_row) + F.col("lead")).cast("int")).withColumn("broken", broken.cast("int")).withColumn("run", F.sum("broken").over(of_notices))
+    known = F.when(F.col("family") != "unknown", F.col("family"))
+    told = placed.withColumn("known", known).withColumn("current", F.last("known", ignorenulls=True).over(before)).withColumn("any", F.max("known").over(run)).withColumn("n_before", F.count("*").over(before))
+    begins = F.when(F.col("known").isNotNull(), F.col("current").isNull() | (F.col("current") != F.col("known"))).otherwise(F.col("any").isNull() & (F.col("n_before") == 0))
+    notice = F.when(F.col("is_notice") & begins, F.struct("position", "sentence", "passage", "family", "probability", "similarity"))
+    listed = told.groupBy("row_no", "id").agg(F.first("n_paragraphs").alias("n_paragraphs"), F.sort_array(F.collect_list(notice)).alias("found"))
+    listed = listed.withColumn("notices", F.transform("found", lambda n: F.struct(n["position"].alias("position"), n["family"].alias("family"), n["probability"].alias("probability"), n["similarity"].cast("double").alias("similarity"))))
     families = F.array_sort(F.array_distinct(F.transform("notices", lambda n: n["family"])))
-    return found.select("id", "n_paragraphs", F.size("notices").cast("long").alias("n_notices"), families.alias("families"), "notices")
+    return listed.select("id", "n_paragraphs", F.size("notices").cast("long").alias("n_notices"), families.alias("families"), "notices")
 
 
 def digests(found: DataFrame) -> DataFrame:
