@@ -25,7 +25,7 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.histogram(token_counts.lengths(table(spark, sf_dir, "documents")))
+    return token_counts.report(token_counts.lengths(table(spark, sf_dir, "documents")))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
