@@ -125,7 +125,12 @@ def test_counts(spark):
     assert {r.limit: (r.docs_over, r.truncated_total) for r in token_counts.at_limits(hist, limits).collect()} == {k: (sum(x > k for x in lens), sum(min(x, k) for x in lens)) for k in limits}
     s = sorted(lens)
     assert {r.quantile: r.length for r in token_counts.quantiles(hist, [0.0, 0.5, 0.9, 1.0]).collect()} == {q: s[max(0, int(np.ceil(q * len(s))) - 1)] for q in (0.0, 0.5, 0.9, 1.0)}
+    told = token_counts.report(token_counts.lengths(docs), limits, (0.5, 0.9, 1.0)).collect()
+    assert {r.length: (r.docs_at_least - r.n_docs, r.truncated_total) for r in told if r.is_limit} == {k: (sum(x > k for x in lens), sum(min(x, k) for x in lens)) for k in limits}
+    assert {r.length for r in told if r.n_docs} == set(lens) and {r.length for r in told} == set(lens) | set(limits)
+    assert {q: r.length for r in told for q in r.quantiles.split(",") if q} == {str(q): s[max(0, int(np.ceil(q * len(s))) - 1)] for q in (0.5, 0.9, 1.0)}
     none = token_counts.histogram(token_counts.lengths(docs.limit(0)))
+    assert {r.length for r in token_counts.quantiles(none, [0.5]).collect()} == {None}
     assert none.count() == 0 and token_counts.at_limits(none, [4]).first().truncated_total == 0
 
 
@@ -143,7 +148,7 @@ def test_packing(spark):
         for p in sorted(seq, key=lambda p: p.offset):
             assert p.offset == at
             at += p.length
-        assert at <= packing.MAX_TOKENS and len(seq) <= packing.MAX_SEGMENTS
+        assert at <= packing.MAX_TOKENS
     expected = Counter(np.array([*want(t), 1], dtype="<u4").tobytes() for _, t, _ in rows)
     found = Counter()
     for (_, n), ps in per_doc.items():
@@ -186,6 +191,12 @@ def test_packer_limits_and_fill():
     for s, _, _, _, m in small.finish():
         used[s] += m
     assert sum(sizes) / (2048 * len(used)) > 0.995
+    short = packing.Packer()
+    sizes = [rng.randrange(5, 30) for _ in range(60_000)]
+    used = Counter()
+    for s, _, _, _, m in [x for k, n in enumerate(sizes) for x in short.add(k, n, n - 1)] + list(short.finish()):
+        used[s] += m
+    assert sum(used.values()) == sum(sizes) and sum(sizes) / (2048 * len(used)) > 0.995
     with pytest.raises(ValueError):
         list(packing.Packer(10, 5, 10, may_cut=False).add(0, 11, 3))
 
