@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import QN_SLOTS, qn_vector
 from . import dissection, forest, kernels
-from .network import bidirected, ends
-from .solve import _numbered, _weights, residuals
+from .network import bidirected, ends, keys
+from .solve import _numbered, _parted, _weights, residuals
 
 #: Quantum numbers are divided by this, logarithms by the other two.
 QN_SCALE, LOG_SCALE, MISFIT_SCALE = 50.0, 10.0, 4.0
@@ -26,7 +26,7 @@ def _leverages_of_net(pdf: pd.DataFrame) -> pd.DataFrame:
 def leverages(transitions: DataFrame, *, method: str = "by_net", most: int = dissection.MOST) -> DataFrame:
     """(net, seq, leverage, bridge) of each line: 1 where the solve takes a line over whole, near 0 where it is redundant.
 
-    ``by_net`` takes each net in one task; ``distributed`` spreads a net over tasks of ``most`` levels (see :mod:`.dissection`, :mod:`.forest`).
+    ``by_net`` takes each net in one task, or its parts; ``distributed`` spreads a net over tasks of ``most`` levels (see :mod:`.dissection`, :mod:`.forest`).
     """
     if method == "distributed":
         h = dissection.leverages_spread(transitions, most=most)
@@ -35,8 +35,8 @@ def leverages(transitions: DataFrame, *, method: str = "by_net", most: int = dis
         return h.join(pair.select("net", "seq", F.coalesce("bridge", F.lit(False)).alias("bridge")), ["net", "seq"])
     if method != "by_net":
         raise ValueError(method)
-    lines = transitions.select("net", "seq", "upper", "lower", "unc")
-    return lines.groupBy("net").applyInPandas(_leverages_of_net, "net string, seq long, leverage double, bridge boolean")
+    lines = _parted(transitions, "unc")
+    return lines.groupBy(*keys(lines)).applyInPandas(_leverages_of_net, "net string, seq long, leverage double, bridge boolean")
 
 
 def node_features(transitions: DataFrame, energies: DataFrame) -> DataFrame:
