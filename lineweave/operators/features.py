@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import QN_SLOTS, qn_vector
+from ..session import written
 from . import dissection, forest, kernels
 from .network import bidirected, ends, keys
 from .solve import _numbered, _parted, _weights, residuals
@@ -70,7 +71,7 @@ def build_graph(transitions: DataFrame, energies: DataFrame | None = None) -> tu
     from .solve import solve_energies
 
     energies = energies if energies is not None else solve_energies(transitions)
-    nodes = node_features(transitions, energies)
+    nodes = written(node_features(transitions, energies), "nodes")  # read three times
     lines = line_features(transitions, energies, leverages(transitions))
     number = nodes.select("net", "level", "idx", "comp")
     edges = bidirected(lines, "attr").join(number.select("net", F.col("level").alias("src"), F.col("idx").alias("src_idx"), "comp"), ["net", "src"])

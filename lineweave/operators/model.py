@@ -19,9 +19,12 @@ from ..session import written
 from .autograd import Value, below, beside, softmax_by
 from .features import EDGE_DIM, NODE_DIM, as_arrays
 from .frames import empty
+from .network import sizes
 
 #: Sizes of the model, slope of the attention's activation, weights of the losses.
 HIDDEN, LAYERS, SLOPE, EXTRAS = 64, 3, 0.2, 3
+#: Levels of a net that a task scores at once.
+LEVELS = 20_000
 LOSS_WEIGHTS = {"unc": 1.0, "outlier": 10.0, "link": 10.0, "fix": 10.0}
 
 #: Samples of these kinds that an epoch draws; of other kinds it takes all.
@@ -271,6 +274,20 @@ def _together(nodes: DataFrame, edges: DataFrame):
     return nodes.groupBy("net").cogroup(edges.toDF(*edges.columns).groupBy("net"))
 
 
+def _scored(nodes: DataFrame, edges: DataFrame):
+    """Both sides of each net, or of its parts if it has more than ``LEVELS`` levels.
+
+    A level hears of its component alone, so parts of whole components are scored as the net would be.  Components are ranked by size and dealt in
+    turn; a larger one stays whole.
+    """
+    parts = sizes(nodes, LEVELS) if "comp" in nodes.columns and "comp" in edges.columns else None
+    if parts is None:
+        return _together(nodes, edges)
+    dealt = lambda rows: rows.join(F.broadcast(parts), "net").withColumn("_part", F.pmod("comp", "parts")).drop("parts")
+    edges = dealt(edges)
+    return dealt(nodes).groupBy("net", "_part").cogroup(edges.toDF(*edges.columns).groupBy("net", "_part"))
+
+
 def graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(net, sample): each network's arrays as bytes."""
 
@@ -294,7 +311,7 @@ def score_lines(nodes: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
         logit = outlier_logits(w, encode(w, x, ends, attr), ends, attr).data
         return pd.DataFrame({"net": key[0], "seq": e.sort_values(["seq", "dir"])["seq"].to_numpy()[0::2], "logit": logit})
 
-    return _together(nodes, edges).applyInPandas(run, "net string, seq long, logit double")
+    return _scored(nodes, edges).applyInPandas(run, "net string, seq long, logit double")
 
 
 def score_levels(nodes: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
@@ -309,7 +326,7 @@ def score_levels(nodes: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
         n = n.sort_values("idx")
         return pd.DataFrame({"net": key[0], "idx": n["idx"].to_numpy(), "level": n["level"].to_numpy(), "log_sigma": log_sigma(w, h).data, "h": list(h.data)})
 
-    return _together(nodes, edges).applyInPandas(run, "net string, idx int, level string, log_sigma double, h array<double>")
+    return _scored(nodes, edges).applyInPandas(run, "net string, idx int, level string, log_sigma double, h array<double>")
 
 
 def save(spark: SparkSession, p: Params, path: str) -> None:

@@ -1,9 +1,10 @@
 """Nets of more lines than a task takes: the same rows as those of whole nets."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lineweave.operators import features, network, solve
+from lineweave.operators import features, model, network, solve
 from lineweave.session import attach
 from lineweave.sources import adapters
 
@@ -67,3 +68,18 @@ def whole_columns(k):
         "energies": ["net", "comp", "idx", "level", "energy"], "samples": ["net", "comp", "idx", "level", "energy", "sample"], "network": ["net", "comp", "level", "energy", "unc"],
         "leverages": ["net", "seq", "leverage", "bridge"], "bridges": ["net", "a", "b"],
     }.get(k, ["net", "comp", "level", "sp_unc"])
+
+
+def test_model_scores_parts(spark, monkeypatch):
+    """No task meets more levels than it should, and parts are scored as whole nets are."""
+    c = adapters.consistent(attach(spark), SF)
+    nodes, edges = features.build_graph(c)
+    p = model.initial(7, hidden=8, layers=2)
+    widths = lambda: {r[:2]: r[2] for r in model.score_levels(nodes, edges, p).select("net", "level", "log_sigma").collect()}
+    logits = lambda: {r[:2]: r[2] for r in model.score_lines(nodes, edges, p).collect()}
+    whole = widths(), logits()
+    monkeypatch.setattr(model, "LEVELS", 20)
+    most = lambda g: g.applyInPandas(lambda n, e: pd.DataFrame({"n": [n["net"].count()], "comps": [n["comp"].nunique()]}), "n long, comps long").where("comps > 1").agg(F.max("n")).first()[0]
+    assert most(model._scored(nodes, edges)) < most(model._together(nodes, edges))
+    for rows, before in zip((widths(), logits()), whole):
+        assert rows.keys() == before.keys() and all(rows[k] == pytest.approx(before[k]) for k in rows)
