@@ -132,3 +132,22 @@ def test_spread_leverages_equal_kernel(spark, net):
     of = lambda df: {(r["net"], r["seq"]): (r["leverage"], r["bridge"]) for r in df.collect()}
     got, want = of(features.leverages(t, method="distributed", most=12)), of(features.leverages(t))
     assert got.keys() == want.keys() and all(got[k] == (pytest.approx(want[k][0], abs=1e-9), want[k][1]) for k in got)
+
+
+def test_bridges_leave_few_links_for_the_forest(spark, net, monkeypatch):
+    """Chains, rings, doubled lines and random links: bridges as by kernels, and the forest grows only over what can't be peeled."""
+    from lineweave.operators import forest
+
+    rng = np.random.default_rng(4)
+    t = None
+    for k, n in enumerate((2, 3, 30, 60, 60)):
+        m = n if k < 4 else 3 * n  # sparse nets with trees and chains of rings; a dense one
+        rows = [(1.0, 1.0, f"1 {i}", f"1 {j}") for i, j in rng.integers(0, n, (m, 2)) if i != j] + [(1.0, 1.0, f"2 {i + 1}", f"2 {i}") for i in range(n)]
+        one = net(rows + [(1.0, 1.0, "2 0", "1 0"), (1.0, 1.0, "3 0", "3 1"), (1.0, 1.0, "3 1", "3 2"), (1.0, 1.0, "3 2", "3 0"), (1.0, 1.0, "3 0", "4 0")], f"n{k}")
+        t = one if t is None else t.unionByName(one)
+    grown = []
+    whole = forest.uncrossed
+    monkeypatch.setattr(forest, "uncrossed", lambda links: grown.append(links.count()) or whole(links))
+    found = sorted(map(tuple, network.bridges(t, method="distributed").select("net", "a", "b").collect()))
+    assert found == sorted(map(tuple, network.bridges(t).select("net", "a", "b").collect()))
+    assert 0 < grown[0] * 2 < network.simple_edges(t).count()
