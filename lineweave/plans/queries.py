@@ -337,7 +337,7 @@ def q_combined_unc_distributed(spark, sf_dir):
  a AS (SELECT net, level, median(x) AS mid, stddev_samp(x) AS sd FROM s GROUP BY net, level) SELECT net, level, round(sqrt(2.0) * greatest(abs(energy - mid), sd), 4) AS boot_unc FROM a JOIN en USING (net, level)""")
 def q_bootstrap_stats(spark, sf_dir):
     """Statistics over given samples: closed-form energies moved by hash."""
-    e = solve.solve_energies(adapters.consistent(spark, sf_dir))
+    e = written(solve.solve_energies(adapters.consistent(spark, sf_dir)), "energies")  # read twice
     s = e.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("energy", F.col("energy") + (hashed(3, F.col("net"), F.col("level"), F.col("k")) % 2001 - 1000) / 1000.0)
     return solve.bootstrap_statistics(s, e).select("net", "level", F.round("boot_unc", 4).alias("boot_unc"))
 
@@ -345,7 +345,7 @@ def q_bootstrap_stats(spark, sf_dir):
 @query(f"WITH {T} SELECT DISTINCT net, 0::BIGINT AS violations FROM t")
 def q_bootstrap_tree_zero(spark, sf_dir):
     """Consistent lines give the same energies whatever the uncertainties drawn."""
-    c = adapters.consistent(spark, sf_dir)
+    c = network.parted(adapters.consistent(spark, sf_dir))
     e = solve.solve_energies(c)
     boot = solve.bootstrap_statistics(solve.bootstrap_samples(c, iterations=4), e)
     return boot.groupBy("net").agg(F.count_if(F.col("boot_unc") > 1e-6).alias("violations"))
