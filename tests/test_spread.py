@@ -151,3 +151,27 @@ def test_bridges_leave_few_links_for_the_forest(spark, net, monkeypatch):
     found = sorted(map(tuple, network.bridges(t, method="distributed").select("net", "a", "b").collect()))
     assert found == sorted(map(tuple, network.bridges(t).select("net", "a", "b").collect()))
     assert 0 < grown[0] * 2 < network.simple_edges(t).count()
+
+
+def test_star_rounds_keep_keys_apart(spark):
+    """One number in two nets is two nodes, and rounds add up numbers, not structs of net and number."""
+    e = spark.createDataFrame([("a", 3, 2), ("a", 2, 1), ("b", 3, 2), ("b", 9, 3)], "net string, a long, b long")
+    assert sorted(map(tuple, network.star_components(e, "net").collect())) == [("a", 2, 1), ("a", 3, 1), ("b", 3, 2), ("b", 9, 2)]
+
+
+def test_a_task_takes_many_clusters(spark, monkeypatch):
+    """Clusters of few levels share a task, and what is left does not depend on how many do."""
+    g = np.random.default_rng(5)
+    a = np.arange(1, 300)
+    b = np.where(g.random(299) < 0.8, a - 1, g.integers(0, a))
+    lines = spark.createDataFrame([("n", 0, int(y), int(x), 1.0, float(x - y)) for x, y in zip(a, b)], "net string, root long, a long, b long, w double, d double")
+    few = dissection.cluster_round(lines, 10, 0)
+    clusters = dissection.clusters(lines, 10, 0).select("c", "s").distinct().count()
+    assert clusters > 10 and few[0].select("lot").distinct().count() == 1
+    monkeypatch.setattr(dissection, "LOT", 40)
+    many = dissection.cluster_round(lines, 10, 0)
+    assert many[0].select("lot").distinct().count() > 1
+    rows = lambda df: sorted((r.a, r.b) for r in df.collect())
+    gone = lambda df: {r.a for r in df.where("step >= 0").collect()}
+    assert gone(few[0]) and all(abs(r.d - (r.b - r.a)) < 1e-9 or abs(r.d - (r.a - r.b)) < 1e-9 for r in few[1].collect())
+    assert gone(few[0]) == gone(many[0]) and rows(few[1]) == rows(many[1])
