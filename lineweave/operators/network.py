@@ -11,8 +11,8 @@ from ..schemas import COMPONENTS
 from ..session import written
 from . import kernels
 
-#: Lines of a net that a task takes at once, blocks of smaller nets where spreading is asked for, and links of blocks that one task settles.
-LINES, SPREAD, LINKS = 100_000, 8, 4_000_000
+#: Lines of a net that a task takes at once, blocks of smaller nets where spreading is asked for, and links of blocks that one task settles, there too.
+LINES, SPREAD, LINKS, SHARD = 100_000, 8, 4_000_000, 1_000_000
 #: Nodes of a block are numbered below this.
 NODES = 1 << 40
 
@@ -75,8 +75,8 @@ def rooted(lines: DataFrame, parts: DataFrame, *, rounds: bool = False) -> tuple
     """(lines with ``node``, tops of nodes): components of any net, no task having more than a block of its lines.
 
     Lines meet in blocks by their lower level, and components of a block become nodes; levels that are in several blocks link nodes.  Those
-    links are numbers and few; they are settled by net, or by star rounds if a net has over ``LINKS`` of them (or if ``rounds`` asks for it).  A node
-    without links is missing from ``tops(net, node, _top)``: it is its own top.
+    links are numbers and few; they are settled by net.  Of a net with over ``LINKS`` of them (``SHARD`` if ``rounds`` asks for it) each task settles a shard of
+    so many, and the stars of all shards go through star rounds, which read the whole table each time.  A node without links is missing from ``tops(net, node, _top)``: it is its own top.
     """
     block = F.pmod(F.xxhash64("lower"), F.col("parts")).cast("int")
     blocks = lines.join(F.broadcast(parts), "net").withColumn("block", block).drop("parts")
@@ -87,9 +87,14 @@ def rooted(lines: DataFrame, parts: DataFrame, *, rounds: bool = False) -> tuple
     seen = rows.select("net", "node", F.inline(both)).where("new").withColumn("b", F.lag("node").over(Window.partitionBy("net", "level").orderBy("node")))
     links = written(seen.where("b <> node").select("net", F.col("node").alias("a"), "b").distinct(), "links")
     rows = rows.drop("new_upper", "new_lower")
-    if rounds or (links.groupBy("net").count().agg(F.max("count")).first()[0] or 0) > LINKS:
-        return rows, star_components(links, "net").withColumnRenamed("root", "_top")
-    return rows, written(links.groupBy("net").applyInPandas(_of_links, "net string, node long, _top long"), "tops")
+    counts = written(links.groupBy("net").agg(F.ceil(F.count("*") / F.lit(SHARD if rounds else LINKS)).cast("int").alias("shards")), "counts")
+    shape = "net string, node long, _top long"
+    if (counts.agg(F.max("shards")).first()[0] or 0) <= 1:
+        return rows, written(links.groupBy("net").applyInPandas(_of_links, shape), "tops")
+    shard = F.pmod(F.xxhash64("a"), F.col("shards")).cast("int").alias("shard")
+    stars = links.join(F.broadcast(counts), "net").select("net", "a", "b", shard).groupBy("net", "shard").applyInPandas(_of_links, shape)
+    found = star_components(stars.select("net", F.col("node").alias("a"), F.col("_top").alias("b")), "net")
+    return rows, found.withColumnRenamed("root", "_top")
 
 
 def parted(transitions: DataFrame, *, most: int | None = None) -> DataFrame:
@@ -136,8 +141,8 @@ def ranked(levels: DataFrame) -> DataFrame:
 def components(transitions: DataFrame, *, method: str = "by_net", most: int | None = None) -> DataFrame:
     """(net, comp, n_levels, idx, level): component of each level; comp 1 is a net's largest, ties by first appearance.
 
-    ``by_net`` takes each net in one task if it has at most ``most`` lines, and else a block of so many at a time; ``distributed`` also settles
-    what links the blocks by star rounds.
+    ``by_net`` takes each net in one task if it has at most ``most`` lines, and else a block of so many at a time; ``distributed`` always takes
+    blocks, and fewer links of them a task (see :func:`rooted`).
     """
     lines = transitions.select("net", "seq", "upper", "lower")
     if method not in ("by_net", "distributed"):

@@ -33,6 +33,16 @@ def test_components_of_blocks(spark, small):
         assert _rows(network.components(x, method="distributed")) == rows
 
 
+def test_links_are_settled_in_shards(spark, monkeypatch):
+    """Star rounds come only where a net has more links than a task takes, and then over stars of shards."""
+    t = adapters.transitions(attach(spark), SF).where("net like '1995%'")
+    whole, runs, rounds = _rows(network.components(t)), [], network.star_components
+    monkeypatch.setattr(network, "star_components", lambda *a: runs.append(a[0].count()) or rounds(*a))
+    assert _rows(network.components(t, method="distributed")) == whole and not runs
+    monkeypatch.setattr(network, "SHARD", 4)
+    assert _rows(network.components(t, method="distributed")) == whole and runs[0] > 0
+
+
 def test_parts_have_whole_components(spark, small):
     t = adapters.transitions(attach(spark), SF)
     small()
