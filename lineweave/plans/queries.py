@@ -376,7 +376,7 @@ def q_solve_network_bootstrap(spark, sf_dir):
 
 @query(f"WITH {T}, {ENDS} SELECT DISTINCT net, level, 'published' AS side FROM ends WHERE level LIKE '0 1%'")
 def q_levels_diff(spark, sf_dir):
-    p = adapters.published(spark, sf_dir)
+    p = written(adapters.published(spark, sf_dir), "published")  # read twice
     return solve.levels_difference(p.where("level NOT LIKE '0 1%'"), p)
 
 

@@ -28,15 +28,20 @@ def transitions(spark: SparkSession, sf_dir: str, *, raw: bool = False) -> DataF
 
 
 def potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(level, potential)."""
+    """(level, potential).
+
+    Joins with them are hinted to shuffle: they grow with the tables, but their pruned files look small enough to be sent whole to every executor.
+    """
     part = _read(spark, sf_dir, "part").select(F.concat(F.lit("1 "), F.col("p_partkey")).alias("level"), (F.col("p_retailprice") + PART_SHIFT).alias("potential"))
     return part.unionByName(_read(spark, sf_dir, "supplier").select(F.concat(F.lit("0 "), F.col("s_suppkey")).alias("level"), F.col("s_acctbal").alias("potential")))
 
 
-def consistent(spark: SparkSession, sf_dir: str, *, raw: bool = False) -> DataFrame:
+def consistent(spark: SparkSession, sf_dir: str, *, raw: bool = False, of: DataFrame | None = None) -> DataFrame:
+    """T with differences of potentials for frequencies; ``of`` has T where it is written already."""
     p = potentials(spark, sf_dir)
-    lines = transitions(spark, sf_dir, raw=raw).drop("freq")
-    both = lines.join(p.select(F.col("level").alias("upper"), F.col("potential").alias("_u")), "upper").join(p.select(F.col("level").alias("lower"), F.col("potential").alias("_l")), "lower")
+    lines = (transitions(spark, sf_dir, raw=raw) if of is None else of).drop("freq")
+    up, low = (p.select(F.col("level").alias(end), F.col("potential").alias(v)).hint("shuffle_hash") for end, v in (("upper", "_u"), ("lower", "_l")))
+    both = lines.join(up, "upper").join(low, "lower")
     return both.select("net", "seq", (F.col("_u") - F.col("_l")).alias("freq"), "unc", "orig_unc", "upper", "lower", "ref")
 
 
@@ -44,7 +49,7 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(net, level, energy): the potential of every level of every net."""
     lines = transitions(spark, sf_dir)
     levels = lines.select("net", F.explode(F.array("upper", "lower")).alias("level")).distinct()
-    return levels.join(potentials(spark, sf_dir).withColumnRenamed("potential", "energy"), "level").select("net", "level", "energy")
+    return levels.join(potentials(spark, sf_dir).withColumnRenamed("potential", "energy").hint("shuffle_hash"), "level").select("net", "level", "energy")
 
 
 def _money(c: str) -> Column:
