@@ -144,13 +144,17 @@ def components(transitions: DataFrame, *, method: str = "by_net", most: int | No
     ``by_net`` takes each net in one task if it has at most ``most`` lines, and else a block of so many at a time; ``distributed`` always takes
     blocks, and fewer links of them a task (see :func:`rooted`).
     """
+    return _components(transitions, method, most, False)
+
+
+def _components(transitions: DataFrame, method: str, most: int | None, stored: bool) -> DataFrame:
     lines = transitions.select("net", "seq", "upper", "lower")
     if method not in ("by_net", "distributed"):
         raise ValueError(method)
     if "_part" in transitions.columns:
         levels = firsts(transitions.select("net", "seq", "upper", "lower", "_top"), "_top")
         return ranked(written(levels, "levels")).select("net", "comp", "n_levels", "idx", "level")
-    lines = written(lines, "lines")
+    lines = lines if stored else written(lines, "lines")
     parts = sizes(lines, most or LINES)
     if parts is None:
         if method == "by_net":
@@ -212,6 +216,12 @@ def component_sizes(comps: DataFrame) -> DataFrame:
     return comps.groupBy("net", "comp").agg(F.count("*").cast("int").alias("n_levels"))
 
 
+def _labelled(transitions: DataFrame, method: str) -> DataFrame:
+    """Lines with their component; they are written first, as components and what is labelled read them."""
+    lines = written(transitions, "given")
+    return with_component(lines, _components(lines, method, None, True))
+
+
 def with_component(transitions: DataFrame, comps: DataFrame) -> DataFrame:
     """Adds ``comp`` and ``n_levels`` by the upper level; both ends of a line share a component."""
     return transitions.join(comps.select("net", F.col("level").alias("upper"), "comp", "n_levels"), ["net", "upper"])
@@ -219,13 +229,13 @@ def with_component(transitions: DataFrame, comps: DataFrame) -> DataFrame:
 
 def split_components(transitions: DataFrame, *, minsize: int = 1, method: str = "by_net") -> tuple[DataFrame, DataFrame]:
     """(solvable, dropped) lines with ``comp`` and ``n_levels``; components of fewer than ``minsize`` levels are dropped."""
-    labelled = with_component(transitions, components(transitions, method=method))
+    labelled = _labelled(transitions, method)
     return labelled.where(F.col("n_levels") >= minsize), labelled.where(F.col("n_levels") < minsize)
 
 
 def largest_component(transitions: DataFrame, *, method: str = "by_net") -> DataFrame:
     """Lines of each net's largest component; whatever columns label a line stay with it."""
-    return with_component(transitions, components(transitions, method=method)).where("comp = 1").select(*transitions.columns)
+    return _labelled(transitions, method).where("comp = 1").select(*transitions.columns)
 
 
 def neighbour_mean(transitions: DataFrame, values: DataFrame) -> DataFrame:

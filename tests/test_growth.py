@@ -29,3 +29,15 @@ def test_levels_of_both_sides_are_counted_in_one_pass(spark):
     d = solve.levels_difference(a, b)
     assert plan(d).count("Scan ExistingRDD") == 2  # four before
     assert sorted(map(tuple, d.collect())) == [("m", "z", "published"), ("m", "z", "published"), ("n", "x", "computed"), ("n", "y", "computed")]
+
+
+def numbered(t):
+    """Lines with a window under them, which shows wherever they are computed."""
+    return t.withColumn("seq", F.row_number().over(Window.partitionBy("net").orderBy("seq")).cast("long"))
+
+
+def test_lines_to_be_labelled_are_written_first(spark, net):
+    t = numbered(net([(1.0, 1e-3, "b", "a"), (1.0, 1e-3, "c", "b"), (1.0, 1e-3, "y", "x")]))
+    found = network.largest_component(t)
+    assert "Window" not in plan(found)
+    assert sorted(r.lower for r in found.collect()) == ["a", "b"]
