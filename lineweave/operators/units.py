@@ -11,28 +11,27 @@ from ..functions.scalars import HZ, LIGHT_CM_S, UNC_FLOOR, tag
 UNITS = ("cm-1", *HZ)
 
 
-def checkable(transitions: DataFrame, levels: DataFrame) -> DataFrame:
-    """Lines whose two levels are known, with ``tag`` and ``diff``, the difference of the levels."""
+def checkable(transitions: DataFrame, levels: DataFrame, *, how: str = "inner") -> DataFrame:
+    """Lines whose two levels are known, with ``tag`` and ``diff``, the difference of the levels; if ``how`` is left, other lines too, their ``found_upper`` or ``found_lower`` being null."""
     lv = levels.select("net", "level", "energy")
-    up = transitions.join(lv.select("net", F.col("level").alias("upper"), F.col("energy").alias("e_upper")), ["net", "upper"])
-    both = up.join(lv.select("net", F.col("level").alias("lower"), F.col("energy").alias("e_lower")), ["net", "lower"])
+    up = transitions.join(lv.select("net", F.col("level").alias("upper"), F.col("energy").alias("e_upper"), F.lit(True).alias("found_upper")), ["net", "upper"], how)
+    both = up.join(lv.select("net", F.col("level").alias("lower"), F.col("energy").alias("e_lower"), F.lit(True).alias("found_lower")), ["net", "lower"], how)
     return both.withColumn("tag", tag(F.col("ref"))).withColumn("diff", F.col("e_upper") - F.col("e_lower"))
 
 
 def _matches(factor: float):
     scaled = F.abs(F.col("freq") * factor - F.col("diff"))
-    return F.count_if(scaled <= 3 * F.greatest(F.col("unc") * factor, F.lit(UNC_FLOOR)))
+    return scaled <= 3 * F.greatest(F.col("unc") * factor, F.lit(UNC_FLOOR))
 
 
 def unit_report(transitions: DataFrame, levels: DataFrame) -> DataFrame:
     """(net, tag, lines, n_<unit>...): how many checkable lines agree with the levels in each unit; all tags are listed.
 
-    Lines of frequency below zero name their tag and are not checked.  All units are counted in one pass.
+    Lines of frequency below zero name their tag and are not checked.  All tags and units are counted in one pass over the lines.
     """
-    counts = [_matches(HZ.get(u, LIGHT_CM_S) / LIGHT_CM_S).alias(f"n_{u}") for u in UNITS]
-    found = checkable(transitions.where(~(F.col("freq") < 0)), levels).groupBy("net", "tag").agg(F.count("*").alias("lines"), *counts)
-    tags = transitions.select("net", tag(F.col("ref")).alias("tag")).distinct()
-    return tags.join(found, ["net", "tag"], "left").na.fill(0, ["lines", *[f"n_{u}" for u in UNITS]])
+    known = checkable(transitions, levels, how="left").withColumn("known", ~(F.col("freq") < 0) & F.col("found_upper") & F.col("found_lower"))
+    counts = [F.count_if(F.col("known") & _matches(HZ.get(u, LIGHT_CM_S) / LIGHT_CM_S)).alias(f"n_{u}") for u in UNITS]
+    return known.groupBy("net", "tag").agg(F.count_if("known").alias("lines"), *counts)
 
 
 def infer_units(report: DataFrame) -> DataFrame:

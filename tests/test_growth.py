@@ -41,3 +41,12 @@ def test_lines_to_be_labelled_are_written_first(spark, net):
     found = network.largest_component(t)
     assert "Window" not in plan(found)
     assert sorted(r.lower for r in found.collect()) == ["a", "b"]
+
+
+def test_units_are_counted_in_one_pass(spark, net):
+    t = net([(1.0, 1e-3, "b", "a"), (-1.0, 1e-3, "b", "a"), (1.0, 1e-3, "c", "a"), (3.0, 1e-3, "b", "a")])
+    t = t.withColumn("ref", F.when(F.col("upper") == "c", "11Lone.1").otherwise(F.col("ref")))
+    lv = spark.createDataFrame([("n", "a", 0.0), ("n", "b", 1.0)], "net string, level string, energy double")
+    report = units.unit_report(t, lv)
+    assert plan(report).count("Scan ExistingRDD") == 3  # four before, as tags were read apart
+    assert {(r["tag"], r["lines"], r["n_cm-1"]) for r in report.collect()} == {("00Test", 2, 1), ("11Lone", 0, 0)}
