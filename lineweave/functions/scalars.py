@@ -45,8 +45,9 @@ def weight(unc: Column) -> Column:
     return F.lit(1.0) / (unc * unc)
 
 
-#: A number of the file format.
+#: A number of the file format, as a whole and before white space.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i)(nan|inf|infinity)$"
+NUMBER_TOKEN = r"[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:nan|inf|infinity))"
 
 
 def number(token: Column) -> Column:

@@ -731,7 +731,7 @@ def q_mrt_levels(spark, sf_dir):
 SELECT net, seq, CASE WHEN abs(freq * f.k) < 5e-7 THEN 0.0::DOUBLE ELSE round(freq * f.k, 6) END AS freq, round(unc * f.k, 9) AS unc, round(orig_unc * f.k, 9) AS orig_unc, upper, lower, excluded FROM p JOIN f ON f.tag = split_part(ref, '.', 1)""")
 def q_parse_with_segments(spark, sf_dir):
     seg = spark.createDataFrame(list(SEGMENTS.items()), "tag string, unit string")
-    p = lines.parse_native(adapters.native_lines(spark, sf_dir), segments=seg)
+    p = lines.parse_native(written(adapters.native_lines(spark, sf_dir), "native"), segments=seg)  # read twice
     freq = F.when(F.abs("freq") < 5e-7, F.lit(0.0)).otherwise(F.round("freq", 6))  # no zero with a sign
     return p.select("net", "seq", freq.alias("freq"), F.round("unc", 9).alias("unc"), F.round("orig_unc", 9).alias("orig_unc"), "upper", "lower", "excluded")
 
@@ -741,7 +741,7 @@ SELECT 'missing segment' AS rule, count(*) > 0 AS raised FROM p WHERE split_part
 UNION ALL SELECT 'self-loop, excluded', count(*) > 0 FROM loops WHERE negative AND NOT negative UNION ALL SELECT 'self-loop, kept', count(*) > 0 FROM loops WHERE NOT negative""")
 def q_checks_raise(spark, sf_dir):
     """Which inputs the parser refuses: a tag without a segment, a kept line between a level and itself; not an excluded one."""
-    given = adapters.native_lines(spark, sf_dir)
+    given = written(adapters.native_lines(spark, sf_dir), "native")  # read twice a case
     loop = F.regexp_replace("value", r"1 ([0-9]+) 0 [0-9]+ ", "1 $1 1 $1 ")
     seg = lambda skip: spark.createDataFrame([(k, v) for k, v in SEGMENTS.items() if k != skip], "tag string, unit string")
     cases = {

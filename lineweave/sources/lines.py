@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import NUMBER, floored, number, tag, tokens, unit_factor
+from ..functions.scalars import NUMBER_TOKEN, floored, number, tag, tokens, unit_factor
 
 #: Fixed value: how the line before the data of a machine-readable table begins.
 DIVIDER = "-" * 40
@@ -41,8 +41,16 @@ def text_lines(text: Column) -> Column:
     return F.split(text, r"\r\n|\n|\r")
 
 
-def _numeric(token: Column) -> Column:
-    return F.coalesce(token.rlike(NUMBER), F.lit(False))
+#: Patterns of whole lines, which take no line apart: marked; at least five tokens; three numbers and at least three tokens more; the same of any line of a text, so far as its numbers go.
+_MARKED = r"^\s*#"
+_FIVE = r"^\s*+(?:\S++\s++){4}\S"
+_DATA = rf"^\s*+(?:{NUMBER_TOKEN}\s++){{3}}(?:\S++\s++){{2}}\S"
+_SOME_DATA = rf"(?:^|[\r\n])[^\S\r\n]*+(?:{NUMBER_TOKEN}[^\S\r\n]++){{3}}\S"
+
+
+def may_have_data(text: Column) -> Column:
+    """False for texts of which no line is data; one search, before a text is taken apart."""
+    return text.rlike(_SOME_DATA)
 
 
 def line_kind(value: Column) -> Column:
@@ -51,11 +59,9 @@ def line_kind(value: Column) -> Column:
 
     What is data here passes ``parse_native``, given the number of tokens that ``line_nqn`` tells.
     """
-    tok = tokens(value)
-    numbers = _numeric(F.get(tok, F.lit(0))) & _numeric(F.get(tok, F.lit(1))) & _numeric(F.get(tok, F.lit(2)))
     return (
-        F.when(F.startswith(value, F.lit(DIVIDER)), "divider").when(F.size(tok) == 0, "blank").when(F.contains(value, F.lit("&")), "comment").when(F.startswith(F.get(tok, F.lit(0)), F.lit("#")), "marked")
-        .when(F.size(tok) < 5, "short").when(numbers & (F.size(tok) >= 6), "data").otherwise("words")
+        F.when(F.startswith(value, F.lit(DIVIDER)), "divider").when(~value.rlike(r"\S"), "blank").when(F.contains(value, F.lit("&")), "comment").when(value.rlike(_MARKED), "marked")
+        .when(~value.rlike(_FIVE), "short").when(value.rlike(_DATA), "data").otherwise("words")
     )
 
 
@@ -66,8 +72,8 @@ def line_nqn(value: Column) -> Column:
 
 def _data_lines(lines: DataFrame) -> DataFrame:
     """Lines that are neither comments nor too short, as tokens."""
-    toks = lines.where(~F.contains(F.col("value"), F.lit("&"))).withColumn("tok", tokens(F.col("value")))
-    return toks.where(_is_data())
+    value = F.col("value")
+    return lines.where(~F.contains(value, F.lit("&")) & value.rlike(_FIVE) & ~value.rlike(_MARKED)).withColumn("tok", tokens(value))
 
 
 def parse_native(lines: DataFrame, nqn: int | None = None, segments: DataFrame | None = None) -> DataFrame:
@@ -97,9 +103,12 @@ def parse_native(lines: DataFrame, nqn: int | None = None, segments: DataFrame |
 
 
 def convert_units(transitions: DataFrame, segments: DataFrame) -> DataFrame:
-    """Frequencies and uncertainties in 1/cm by the unit of each line's tag; a tag without a segment raises."""
+    """Frequencies and uncertainties in 1/cm by the unit of each line's tag; a tag without a segment raises.
+
+    Segments, a row a tag, are sent to all tasks: by their few tags lines would meet in a few tasks.
+    """
     known = segments.select(F.col("tag").alias("_tag"), F.col("unit").alias("_unit"), F.lit(True).alias("_known"))
-    joined = transitions.withColumn("_tag", tag(F.col("ref"))).join(known, "_tag", "left")
+    joined = transitions.withColumn("_tag", tag(F.col("ref"))).join(F.broadcast(known), "_tag", "left")
     factor = F.when(F.col("_known"), unit_factor(F.col("_unit"))).otherwise(F.raise_error(F.concat(F.lit("missing segment: "), F.col("_tag"))).cast("double"))
     scaled = {c: F.col(c) * F.col("_factor") for c in ("freq", "unc", "orig_unc")}
     return joined.withColumn("_factor", factor).withColumns(scaled).select(*transitions.columns)
@@ -123,7 +132,7 @@ def with_fault(rows: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     if segments is None:
         return rows.withColumn("fault", F.when(loop, FAULTS[0]).otherwise("none"))
     known = segments.select(F.col("tag").alias("_tag"), F.lit(True).alias("_known")).distinct()
-    joined = rows.withColumn("_tag", tag(F.col("ref"))).join(known, "_tag", "left")
+    joined = rows.withColumn("_tag", tag(F.col("ref"))).join(F.broadcast(known), "_tag", "left")
     return joined.withColumn("fault", F.when(loop, FAULTS[0]).when(F.col("_known").isNull(), FAULTS[1]).otherwise("none")).select(*rows.columns, "fault")
 
 
