@@ -59,19 +59,23 @@ def kinds(rows: DataFrame) -> DataFrame:
     line = sources.text_lines(F.col("text"))
     each = F.transform(line, lambda x: F.struct(sources.line_kind(x).alias("kind"), F.length(x).cast("long").alias("chars")))
     of = lambda k: F.filter(F.col("each"), lambda x: x["kind"] == k)
-    counted = F.array(*[F.struct(F.lit(k).alias("kind"), F.size(of(k)).cast("long").alias("lines"), F.aggregate(of(k), F.lit(0).cast("long"), lambda s, x: s + x["chars"]).alias("chars")) for k in sources.LINE_KINDS])
-    long = rows.select("origin", "source", each.alias("each")).select("origin", "source", F.inline(counted)).where("lines > 0")
+    apart = F.array(*[F.struct(F.lit(k).alias("kind"), of(k).alias("of")) for k in sources.LINE_KINDS])
+    some = rows.select("origin", "source", each.alias("each")).select("origin", "source", F.inline(apart)).where(F.size("of") > 0)
+    chars = F.aggregate("of", F.lit(0).cast("long"), lambda s, x: s + x["chars"])
+    long = some.select("origin", "source", "kind", F.size("of").cast("long").alias("lines"), chars.alias("chars"))
     return long.groupBy("origin", "source", "kind").agg(F.sum("lines").alias("lines"), F.count("*").alias("texts"), F.sum("chars").alias("chars"))
 
 
 def lists(rows: DataFrame, least: int, percent: int) -> DataFrame:
     """(source, net, line_no, value): the data lines of texts that are line lists.
 
-    A text is looked at as a whole by expressions; only texts that qualify are taken apart.
+    One search passes by texts without a data line; the others are looked at as a whole by expressions, and only those that qualify are taken apart.
     """
     line = sources.text_lines(F.col("text"))
     data = F.filter(line, lambda x: sources.line_kind(x) == "data")
     other = F.filter(line, lambda x: ~sources.line_kind(x).isin("blank", "comment", "marked", "divider"))
+    if least > 0:
+        rows = rows.where(sources.may_have_data(F.col("text")))
     marked = rows.withColumn("n_data", F.size(data)).withColumn("n_other", F.size(other)).where(F.col("n_data") >= least).where(F.col("n_data") * 100 >= F.col("n_other") * percent)
     numbered = marked.select("source", F.concat_ws(":", "origin", "source", "id").alias("net"), F.posexplode(line).alias("at", "value")).where(sources.line_kind(F.col("value")) == "data")
     return numbered.select("source", "net", (F.col("at") + 1).cast("long").alias("line_no"), "value")
