@@ -438,7 +438,7 @@ def q_leverage_sum_distributed(spark, sf_dir):
 @query(f"WITH {T} SELECT DISTINCT net, 0::BIGINT AS violations FROM t")
 def q_bridge_leverage(spark, sf_dir):
     """A lone bridge has leverage 1; parallel lines on a bridge add up to 1; no other line reaches 1."""
-    t = adapters.transitions(spark, sf_dir)
+    t = network.parted(adapters.transitions(spark, sf_dir))
     pair = features.leverages(t).join(t.select("net", "seq", "upper", "lower"), ["net", "seq"]).groupBy("net", "upper", "lower", "bridge").agg(F.sum("leverage").alias("h"))
     bad = (F.col("bridge") & (F.abs(F.col("h") - 1) > 1e-9)) | (~F.col("bridge") & (F.col("h") > 1 - 1e-9))
     return pair.groupBy("net").agg(F.count_if(bad).alias("violations"))
