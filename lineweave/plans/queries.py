@@ -404,8 +404,8 @@ def q_node_features(spark, sf_dir):
 @query(f"""WITH RECURSIVE {EN}, r AS (SELECT t.net, t.seq, t.unc, t.freq, abs(t.freq - (u.energy - l.energy)) AS resid, ({_hash('5', 't.net', 't.seq')} % 1000) / 1000.0::DOUBLE AS h FROM t JOIN en u ON u.net = t.net AND u.level = t.up JOIN en l ON l.net = t.net AND l.level = t.low)
 SELECT net, seq, round(log10(unc) / 10, 6) AS a0, round(ln(1 + freq) / 10, 6) AS a1, round(log10(1 + resid / unc) / 4, 6) AS a2, round(h, 6) AS a3, round(log10(1 + resid / (unc * sqrt(greatest(1 - h, 1e-12)))) / 4, 6) AS a4 FROM r""")
 def q_edge_features(spark, sf_dir):
-    e = written(solve.solve_energies(adapters.consistent(spark, sf_dir)), "energies")
-    t = adapters.transitions(spark, sf_dir)
+    t = written(adapters.transitions(spark, sf_dir), "lines")  # read three times
+    e = written(solve.solve_energies(adapters.consistent(spark, sf_dir, of=t)), "energies")
     given = t.select("net", "seq", ((hashed(5, F.col("net"), F.col("seq")) % 1000) / 1000.0).alias("leverage"))
     a = features.line_features(t, e, given)
     return a.select("net", "seq", *[F.round(F.col("attr")[i], 6).alias(f"a{i}") for i in range(5)])
@@ -543,8 +543,8 @@ _CAND = f"""{EN}, off(pos, d) AS (VALUES (0, -2), (1, -1), (2, 1), (3, 2)), aske
 
 
 def _candidates(spark, sf_dir):
-    t = adapters.transitions(spark, sf_dir)
-    e = written(solve.solve_energies(adapters.consistent(spark, sf_dir)), "energies")
+    t = written(adapters.transitions(spark, sf_dir), "lines")  # read twice or more
+    e = written(solve.solve_energies(adapters.consistent(spark, sf_dir, of=t)), "energies")
     return t, candidates.correction_candidates(t, e)
 
 
