@@ -160,6 +160,55 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
     assert int(out.stdout) < 1 << 20  # KB
 
 
+def filling(rng, n_low, n_lines):
+    """Lines between levels drawn at random, as many upper ones as make elimination fill up; the largest component."""
+    u, l = rng.integers(0, 20 * n_low, n_lines) + n_low, rng.integers(0, n_low, n_lines)
+    label = K.components(21 * n_low, u, l)
+    mine = label[u] == np.bincount(label).argmax()
+    nodes, ends = np.unique(np.concatenate([u[mine], l[mine]]), return_inverse=True)
+    return len(nodes), ends[: mine.sum()], ends[mine.sum() :]
+
+
+@pytest.mark.parametrize("span", [0.0, 5.0])
+@pytest.mark.parametrize("block", [1, 7, 64, 1000])
+def test_a_matrix_takes_what_fills_up(span, block, monkeypatch):
+    rng = np.random.default_rng(block)
+    n, u, l = filling(rng, 100, 800)  # noqa: E741
+    monkeypatch.setattr(K, "DENSE", 5)
+    monkeypatch.setattr(K, "BLOCK", block)
+    w = 10.0 ** rng.uniform(-span, span, len(u))
+    e = K.Elimination(n, u, l, w, dense=5)
+    assert 5 < len(e.left) < n
+    p = rng.uniform(0, 1e4, n)
+    monkeypatch.setattr(K, "Elimination", lambda *a: e)
+    x = K._refined(n, u, l, p[u] - p[l], w)
+    assert np.allclose(x - x[0], p - p[0], atol=1e-7)
+    h = w * e.resistances(u, l)
+    assert np.isclose(h.sum(), n - 1) and ((h > -1e-6) & (h < 1 + 1e-6)).all()
+    if not span:
+        g = np.linalg.pinv(K.laplacian(n, u, l, w))
+        assert np.allclose(h, w * (g[u, u] + g[l, l] - 2 * g[u, l]), rtol=1e-6)
+
+
+def test_a_core_that_fills_up_takes_seconds():
+    """Nets of large tables: 140,000 lines whose elimination leaves some two thousand levels, nearly all linked to each other."""
+    code = """
+import resource, numpy as np, sys
+sys.path.insert(0, sys.argv[1])
+from lineweave.operators import kernels as K
+from tests.test_kernels import filling
+n, u, l = filling(np.random.default_rng(0), 20_000, 144_600)
+p = np.random.default_rng(1).uniform(0, 1e4, n)
+x = K.potentials(n, u, l, p[u] - p[l], np.ones(len(u)))
+assert abs(x - (p - p.min())).max() < 1e-7
+assert abs(K.leverages(n, u, l, np.ones(len(u))).sum() - (n - 1)) < 1e-4
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+"""
+    root = Path(__file__).resolve().parent.parent
+    out = subprocess.run([sys.executable, "-c", code, str(root)], cwd=root, check=True, timeout=60, capture_output=True, text=True)
+    assert int(out.stdout) < 400 << 10  # KB
+
+
 def test_rooted_order_of_subtrees():
     r = np.random.default_rng(4)
     for n in (1, 2, 30, 200):
