@@ -23,8 +23,8 @@ from .network import sizes
 
 #: Sizes of the model, slope of the attention's activation, weights of the losses.
 HIDDEN, LAYERS, SLOPE, EXTRAS = 64, 3, 0.2, 3
-#: Levels of a net that a task scores at once.
-LEVELS = 20_000
+#: Levels of a net that a task scores at once if they are not of one component, and levels or lines that a task has intermediate values of.
+LEVELS, ROWS = 20_000, 10_000
 LOSS_WEIGHTS = {"unc": 1.0, "outlier": 10.0, "link": 10.0, "fix": 10.0}
 
 #: Samples of these kinds that an epoch draws; of other kinds it takes all.
@@ -66,17 +66,50 @@ def encode(w: dict[str, Value], x: np.ndarray, ends: np.ndarray, attr: np.ndarra
     while f"conv{k}.src" in w:
         left = h @ w[f"conv{k}.src"] + w[f"conv{k}.src_b"]
         right = h @ w[f"conv{k}.dst"] + w[f"conv{k}.dst_b"]
-        m = left.take(src)
-        logit = ((m + right.take(dst) + e @ w[f"conv{k}.edge"]).leaky(SLOPE) @ w[f"conv{k}.att"]).column()
-        share = softmax_by(logit, dst, n)
-        h = (m * share.as_column()).gather_sum(dst, n) + w[f"conv{k}.bias"]
-        h = h - h.mean(axis=1, keepdims=True)
-        h = h / ((h * h).mean(axis=1, keepdims=True) + 1e-5).sqrt() * w[f"norm{k}.scale"] + w[f"norm{k}.shift"]
-        h = h.leaky()
+        h = _attended(w, k, left.take(src), right.take(dst), e, dst, n)
         k += 1
     return h
 
 
+def _attended(w: dict[str, Value], k: int, m: Value, right: Value, e: Value, dst: np.ndarray, n: int) -> Value:
+    """What layer ``k`` makes of messages ``m`` to ``n`` levels."""
+    logit = ((m + right + e @ w[f"conv{k}.edge"]).leaky(SLOPE) @ w[f"conv{k}.att"]).column()
+    share = softmax_by(logit, dst, n)
+    h = (m * share.as_column()).gather_sum(dst, n) + w[f"conv{k}.bias"]
+    h = h - h.mean(axis=1, keepdims=True)
+    h = h / ((h * h).mean(axis=1, keepdims=True) + 1e-5).sqrt() * w[f"norm{k}.scale"] + w[f"norm{k}.shift"]
+    return h.leaky()
+
+
+def embedded(w: dict[str, Value], x: np.ndarray, ends: np.ndarray, attr: np.ndarray) -> np.ndarray:
+    """The rows of :func:`encode` without a way back for gradients: ``ROWS`` levels at a time, with the lines that end there."""
+    n = len(x)
+    order = np.argsort(ends[1], kind="stable")
+    src, dst = ends[0][order], ends[1][order]
+    first = np.searchsorted(dst, np.arange(n + 1))
+    h, k = x, 0
+    while f"conv{k}.src" in w:
+        left, right = (h @ w[f"conv{k}.{end}"].data + w[f"conv{k}.{end}_b"].data for end in ("src", "dst"))
+        h = np.empty_like(left)
+        for a in range(0, n, ROWS):
+            b = min(a + ROWS, n)
+            mine, levels = slice(first[a], first[b]), np.arange(b - a)
+            at, given = dst[mine] - a, attr[order[mine]]
+            own = np.zeros((b - a, attr.shape[1]))
+            np.add.at(own, at, given)
+            own /= np.maximum(np.bincount(at, minlength=b - a), 1)[:, None]
+            to = np.concatenate([at, levels])
+            m = Value(left[np.concatenate([src[mine], levels + a])])
+            h[a:b] = _attended(w, k, m, Value(right[a:b][to]), Value(np.concatenate([given, own])), to, b - a).data
+        k += 1
+    return h
+
+
+def by_rows(f: Callable[[slice], Value], n: int) -> np.ndarray:
+    """Values of ``f`` for ``n`` rows, ``ROWS`` at a time."""
+    return np.concatenate([f(slice(a, a + ROWS)).data for a in range(0, n, ROWS)])
+
+
 def head(w: dict[str, Value], name: str, z: Value) -> Value:
     return ((z @ w[f"{name}.w1"] + w[f"{name}.b1"]).leaky() @ w[f"{name}.w2"] + w[f"{name}.b2"]).column()
 
@@ -274,13 +307,19 @@ def _together(nodes: DataFrame, edges: DataFrame):
     return nodes.groupBy("net").cogroup(edges.toDF(*edges.columns).groupBy("net"))
 
 
+def _flat(rows: DataFrame, column: str, size: int) -> DataFrame:
+    """An array as columns of numbers, which take no object a row in Python."""
+    return rows.select(*[c for c in rows.columns if c != column], *[F.col(column)[i].cast("double").alias(f"{column}{i}") for i in range(size)])
+
+
 def _scored(nodes: DataFrame, edges: DataFrame):
-    """Both sides of each net, or of its parts if it has more than ``LEVELS`` levels.
+    """Both sides of each net, or of its parts if it has more than ``LEVELS`` levels, with arrays as columns (see :func:`_arrays`).
 
     A level hears of its component alone, so parts of whole components are scored as the net would be.  Components are ranked by size and dealt in
     turn; a larger one stays whole.
     """
     parts = sizes(nodes, LEVELS) if "comp" in nodes.columns and "comp" in edges.columns else None
+    nodes, edges = _flat(nodes, "x", NODE_DIM), _flat(edges, "attr", EDGE_DIM)
     if parts is None:
         return _together(nodes, edges)
     dealt = lambda rows: rows.join(F.broadcast(parts), "net").withColumn("_part", F.pmod("comp", "parts")).drop("parts")
@@ -288,6 +327,17 @@ def _scored(nodes: DataFrame, edges: DataFrame):
     return dealt(nodes).groupBy("net", "_part").cogroup(edges.toDF(*edges.columns).groupBy("net", "_part"))
 
 
+def _arrays(n: pd.DataFrame, e: pd.DataFrame):
+    """Orders of nodes and edges, and what :func:`.features.as_arrays` gives of them."""
+    by, lines = np.argsort(n["idx"].to_numpy(), kind="stable"), np.lexsort((e["dir"].to_numpy(), e["seq"].to_numpy()))
+    x, attr = np.empty((len(n), NODE_DIM)), np.empty((len(e), EDGE_DIM))
+    for name, found, rows, order in (("x", x, n, by), ("attr", attr, e, lines)):
+        for i in range(found.shape[1]):
+            found[:, i] = rows[f"{name}{i}"].to_numpy(dtype=float)[order]
+    idx = n["idx"].to_numpy()[by]
+    return by, lines, x, np.stack([np.searchsorted(idx, e[c].to_numpy()[lines]) for c in ("src", "dst")]), attr
+
+
 def graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(net, sample): each network's arrays as bytes."""
 
@@ -306,10 +356,11 @@ def score_lines(nodes: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
     def run(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(n) or not len(e):
             return empty("net", "seq", "logit")
-        x, ends, attr = as_arrays(n, e)
+        _, lines, x, ends, attr = _arrays(n, e)
         w = leaves(p)
-        logit = outlier_logits(w, encode(w, x, ends, attr), ends, attr).data
-        return pd.DataFrame({"net": key[0], "seq": e.sort_values(["seq", "dir"])["seq"].to_numpy()[0::2], "logit": logit})
+        h = Value(embedded(w, x, ends, attr))
+        logit = by_rows(lambda at: outlier_logits(w, h, ends[:, 2 * at.start : 2 * at.stop], attr[2 * at.start : 2 * at.stop]), len(e) // 2)
+        return pd.DataFrame({"net": key[0], "seq": e["seq"].to_numpy()[lines][0::2], "logit": logit})
 
     return _scored(nodes, edges).applyInPandas(run, "net string, seq long, logit double")
 
@@ -320,11 +371,11 @@ def score_levels(nodes: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
     def run(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(n) or not len(e):
             return empty("net", "idx", "level", "log_sigma", "h")
-        x, ends, attr = as_arrays(n, e)
+        by, _, x, ends, attr = _arrays(n, e)
         w = leaves(p)
-        h = encode(w, x, ends, attr)
-        n = n.sort_values("idx")
-        return pd.DataFrame({"net": key[0], "idx": n["idx"].to_numpy(), "level": n["level"].to_numpy(), "log_sigma": log_sigma(w, h).data, "h": list(h.data)})
+        h = embedded(w, x, ends, attr)
+        widths = by_rows(lambda at: log_sigma(w, Value(h[at])), len(h))
+        return pd.DataFrame({"net": key[0], "idx": n["idx"].to_numpy()[by], "level": n["level"].to_numpy()[by], "log_sigma": widths, "h": list(h)})
 
     return _scored(nodes, edges).applyInPandas(run, "net string, idx int, level string, log_sigma double, h array<double>")
 

@@ -111,3 +111,17 @@ def test_bootstrap_of_conflicting_lines(net):
     want = {s: sum(f / u**2 for f, u in v) / sum(1 / u**2 for _, u in v) for s, v in drawn.items()}
     got = {r["sample"]: r.energy for r in solve.bootstrap_samples(t, iterations=6, seed=4).where("level = 'a'").collect()}
     assert got == pytest.approx(want) and len(set(round(v, 9) for v in got.values())) > 1
+
+
+def test_embeddings_row_by_row_equal_those_of_whole_networks(monkeypatch):
+    """No intermediate value of scores has more rows than ``ROWS`` levels and the lines that end there."""
+    rng = np.random.default_rng(5)
+    n, m = 60, 150
+    x, attr, ends = rng.normal(size=(n, model.NODE_DIM)), rng.normal(size=(m, model.EDGE_DIM)), rng.integers(0, n, (2, m))
+    w, most, whole = model.leaves(model.initial(3, hidden=8)), [], model._attended
+    want = model.encode(w, x, ends, attr)
+    monkeypatch.setattr(model, "ROWS", 7)
+    monkeypatch.setattr(model, "_attended", lambda *a: most.append(a[-1]) or whole(*a))
+    h = model.embedded(w, x, ends, attr)
+    assert np.allclose(h, want.data, atol=1e-12) and max(most) == 7
+    assert np.allclose(model.by_rows(lambda at: model.log_sigma(w, model.Value(h[at])), n), model.log_sigma(w, want).data, atol=1e-12)
