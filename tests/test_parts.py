@@ -93,3 +93,13 @@ def test_model_scores_parts(spark, monkeypatch):
     assert most(model._scored(nodes, edges)) < most(model._together(nodes, edges))
     for rows, before in zip((widths(), logits()), whole):
         assert rows.keys() == before.keys() and all(rows[k] == pytest.approx(before[k]) for k in rows)
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    """What is written keeps no files of the shuffles before it, and the session's setting is as before."""
+    from lineweave import session
+
+    before = spark.conf.get(session.CLEANUP)
+    t = session.written(adapters.transitions(attach(spark), SF), "lines")  # by a window, so by a shuffle
+    assert spark.conf.get(session.CLEANUP) == before and t.count() == adapters.transitions(spark, SF).count()
+    assert all(f.endswith(".zstd.parquet") for f in (r[0] for r in t.select("_metadata.file_name").distinct().collect()))
