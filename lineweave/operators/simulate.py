@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ERROR_SCALE, copy_key, hashed, hashes, shifted, token_int, uniform
 from . import kernels
 from .frames import empty
-from .solve import BLOCKS, _numbered, _weights, residuals, sample_blocks
+from .solve import _numbered, _weights, n_blocks, residuals, sample_blocks
 
 CLEAN, FREQ_SHIFT, QN_BUMP = 0, 1, 2
 #: Shifts are between these many uncertainties.
@@ -84,6 +84,8 @@ def masked(transitions: DataFrame, *, n_samples: int = 200, mask_fraction: float
 
 
 def _refits(n_samples: int, mask_fraction: float, seed: int):
+    step = n_blocks(n_samples)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, levels, u, l = _numbered(pdf)  # noqa: E741
         net, freq, seq = pdf["net"].iloc[0], pdf["freq"].to_numpy(), pdf["seq"].to_numpy()
@@ -92,7 +94,7 @@ def _refits(n_samples: int, mask_fraction: float, seed: int):
         given[u], given[l] = pdf["e_upper"].to_numpy(), pdf["e_lower"].to_numpy()
         n_masked = max(1, round(mask_fraction * len(pdf)))  # halves go to the even neighbour, here as in ``n_chosen``
         parts = []
-        for sample in range(int(pdf["block"].iloc[0]), n_samples, BLOCKS):
+        for sample in range(int(pdf["block"].iloc[0]), n_samples, step):
             kept = np.ones(len(pdf), dtype=bool)
             kept[np.lexsort((seq, np.array(hashes(seq.tolist(), seed, net, sample))))[:n_masked]] = False
             label = kernels.components(len(levels), u[kept], l[kept])

@@ -95,6 +95,17 @@ def test_model_scores_parts(spark, monkeypatch):
         assert rows.keys() == before.keys() and all(rows[k] == pytest.approx(before[k]) for k in rows)
 
 
+def test_few_samples_share_a_copy_of_the_lines(spark, monkeypatch):
+    """As many copies as tasks are needed for the samples, and the same samples however many tasks share them."""
+    c = adapters.consistent(attach(spark), SF).where("net like '1995-0%'")
+    copies = lambda n: solve.sample_blocks(c, n).count() / c.count()
+    assert [copies(n) for n in (1, 5, 6, 200)] == [1, 1, 2, 16]
+    rounded = lambda: _rows(solve.bootstrap_samples(c, iterations=7).withColumn("energy", F.round("energy", 7)))
+    few = rounded()
+    monkeypatch.setattr(solve, "SAMPLES", 1)
+    assert rounded() == few and {r[-1] for r in few} == set(range(7))
+
+
 def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
     """What is written keeps no files of the shuffles before it, and the session's setting is as before."""
     from lineweave import session
